@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, flat, partitions, row_chunks, texts
+from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, flat, partitions, row_chunks
 from ledgerline.llm.shingles import mix
 from ledgerline.llm.suffix_array import equal_prefixes, keys8, suffix_array
 
@@ -36,6 +36,8 @@ PLACE = 24
 PIECE = 1 << (PLACE - 1)
 #: Bytes of text after which a task sends what it has gathered.
 FLUSH = 32 << 20
+#: Tells apart texts that share a doc_id.
+VERSION = "cast(xxhash64(text) % 32768 as int)"
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -48,32 +50,36 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     out = []
     for lo, hi in row_chunks(offsets):
         base, end = int(offsets[lo]), int(offsets[hi])
+        row_of = np.repeat(np.arange(lo, hi), np.diff(offsets[lo : hi + 1]))
+        whole = np.arange(base, end) + length <= np.repeat(offsets[lo + 1 : hi + 1], np.diff(offsets[lo : hi + 1]))
         # A text that is longer than a piece is read in pieces that overlap by a window less one byte.
-        for piece in range(base, max(base + 1, end), PIECE):
-            stop = min(end, piece + PIECE + length - 1)
-            if stop - piece < length:
+        for piece in range(base, end, PIECE):
+            part = data[piece : min(end, piece + PIECE + length - 1)]
+            if len(part) < length:
                 continue
-            part = data[piece:stop]
             eight = np.ndarray((len(part) - 7,), "<u8", np.ascontiguousarray(part), strides=(1,)).astype(np.uint64)
             n = len(part) - GRAM + 1
-            hashed = mix(eight[:n] + np.uint64(0x9E3779B97F4A7C15) * mix(eight[8 : 8 + n]))
-            low = (hashed >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(n, dtype=np.uint64)
+            hashed = eight[:n].copy()
+            for at in range(8, GRAM, 8):
+                hashed *= np.uint64(0x9E3779B97F4A7C15)
+                hashed ^= hashed >> np.uint64(29)
+                hashed += eight[at : at + n]
+            hashed = mix(hashed)
+            low = (hashed & np.uint64(-1 << PLACE & (1 << 64) - 1)) | np.arange(n, dtype=np.uint64)
             width, have = length - GRAM + 1, 1
             while have < width:  # minimum of `have` values, doubled up to the window's
                 step = min(have, width - have)
                 low = np.minimum(low[:-step], low[step:])
                 have += step
             windows = min(len(low), PIECE)
-            anchor = (low[:windows] & np.uint64((1 << PLACE) - 1)).astype(np.int64)
-            row = np.searchsorted(offsets, np.arange(piece, piece + windows), "right") - 1
-            fits = np.flatnonzero(np.arange(piece, piece + windows) + length <= offsets[row + 1])
+            fits = np.flatnonzero(whole[piece - base : piece - base + windows])
             if not len(fits):
                 continue
-            row, anchor = row[fits], anchor[fits]
+            anchor, row = low[fits], row_of[fits + (piece - base)]
             first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
             last = np.append(first[1:], len(fits)) - 1
             start = offsets[row[first]] - piece
-            out.append((row[first], fits[first] - start, fits[last] - start, hashed[anchor[first]]))
+            out.append((row[first], fits[first] - start, fits[last] - start, hashed[(anchor[first] & np.uint64((1 << PLACE) - 1)).astype(np.int64)]))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
@@ -96,6 +102,60 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(raw[1:].reshape(-1, int(raw[0])), axis=1) if raw[0] else np.zeros((0, 0), np.int64)
 
 
+def same_text(data: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """For each segment of `data` the number of one with equal bytes, the same for all of them.
+
+    Segments are sorted by a hash of their words of eight bytes and compared word by word with the first of their hash;
+    one that differs from it (which needs a collision) stays on its own.
+    """
+    n = np.arange(len(at))
+    if not len(at):
+        return n
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    front = length // 8
+    back = -(-(2 * length - GRAM - 8 * front) // 8)  # what the longest segment has beyond
+    words = [*(eight[at + 8 * i] for i in range(front)), *(eight[at + size - 8 * (i + 1)] for i in range(back))]
+    h = size.astype(np.uint64)
+    for w in words:
+        h = mix(h + w)
+    order = np.argsort(h, kind="stable")
+    head = _runs(h[order])
+    first = np.empty(len(at), np.int64)
+    first[order] = np.repeat(order[head], np.diff(np.append(head, len(at))))
+    equal = size == size[first]
+    for w in words:
+        equal &= w == w[first]
+    return np.where(equal, first, n)
+
+
+def cut_out(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of these segments, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _blobs(columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows that only pass a stage, packed, spread over its buckets."""
+    for lo in range(0, len(columns[0]), 8_192):
+        yield (lo // 8_192 * 7_919 + int(columns[0][lo])) % buckets, 1, pack(*[c[lo : lo + 8_192] for c in columns])
+
+
+def _rows(found: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "data"])
+
+
+def _read(table: pa.Table, width: int) -> tuple[list[bytes], np.ndarray]:
+    """The blobs of a bucket that are to be worked on, and the columns of those that pass."""
+    kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+    return [d for d, k in zip(data, kinds, strict=True) if not k], np.concatenate([np.zeros((width, 0), np.int64), *[unpack(d) for d, k in zip(data, kinds, strict=True) if k]], axis=1)
+
+
+def _anchor(h: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket and 32 bits of its hash; a clash only adds candidates."""
+    return ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
 def _flushes(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
     for batch in batches_by_bytes(batches, "text", 2 * CHUNK_BYTES):
@@ -116,152 +176,126 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             hashes, ids = [], []
             for batch in held:
                 row, _, _, anchor = segments(*flat(batch.column("text")), length)
-                hashes.append(anchor)
+                hashes.append(_anchor(anchor, buckets))
                 ids.append(batch.column("doc_id").to_numpy()[row])
             h, doc = np.concatenate(hashes), np.concatenate(ids)
-            # An anchor is its bucket and 32 bits of its hash.
-            h = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))).astype(np.int64)
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
-            once = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
             h, doc = h[once], doc[once]
             first = _runs(h)
             size = np.diff(np.append(first, len(h)))
             known = np.repeat(size > 1, size)  # several documents of this flush have it
-            out_bucket, out_kind, out_data = [], [], []
-            b = h[first] >> 32
-            cuts = _runs(b)
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(b)), strict=True):
-                out_bucket.append(int(b[lo]))
-                out_kind.append(0)
-                out_data.append(pack(h[first[lo:hi]], doc[first[lo:hi]]))
-            h, doc = h[known], doc[known]
-            for lo in range(0, len(h), 8_192):
-                out_bucket.append((lo // 8_192 * 7_919 + int(h[lo])) % buckets)
-                out_kind.append(1)
-                out_data.append(pack(h[lo : lo + 8_192], doc[lo : lo + 8_192]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(out_kind, pa.int32()), pa.array(out_data, pa.binary())], ["bucket", "kind", "data"])
+            one_h, one_doc = h[first], doc[first]
+            cuts = _runs(one_h >> 32)
+            parts = zip(cuts.tolist(), [*cuts[1:].tolist(), len(one_h)], strict=True) if len(one_h) else ()
+            yield _rows([*((int(one_h[lo] >> 32), 0, pack(one_h[lo:hi], one_doc[lo:hi])) for lo, hi in parts), *_blobs([h[known], doc[known]], buckets)])
 
     def meet(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        rows = [unpack(d.as_py()) for d in table.column("data")]
-        one = [r for r, k in zip(rows, kinds, strict=True) if not k and r.size]
-        h, doc = np.concatenate(one, axis=1) if one else np.zeros((2, 0), np.int64)
+        blobs, passed = _read(table, 2)
+        h, doc = np.concatenate([np.zeros((2, 0), np.int64), *map(unpack, blobs)], axis=1)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
-        first = _runs(h)
-        size = np.diff(np.append(first, len(h)))
+        size = np.diff(np.append(_runs(h), len(h)))
         known = np.repeat(size > 1, size)
-        rest = [r for r, k in zip(rows, kinds, strict=True) if k and r.size]
-        h, doc = np.concatenate([np.stack([h[known], doc[known]]), *rest], axis=1)
+        h, doc = np.concatenate([np.stack([h[known], doc[known]]), passed], axis=1)
         return pa.table({"doc_id": pa.array(doc), "anchor": pa.array(h)})
 
     return docs.mapInArrow(gather, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(meet, "doc_id long, anchor long")
 
 
-def removals(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """doc_id, version (16 bits of the text's hash), start, end: intervals to remove; they may overlap."""
-    shared = shared_anchors(docs.filter("doc_id is not null").select("doc_id", "text"), length, buckets)
-    wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    versioned = docs.join(wanted, "doc_id").select("doc_id", (F.xxhash64("text") % 32_768).cast("int").alias("version"), "text", "anchors")
-    schema = "bucket long, doc_id long, version int, start int, end int, data binary"
+def removals(whole: DataFrame, length: int, buckets: int) -> DataFrame:
+    """doc_id, version (of the text), start, end: intervals to remove; they may overlap."""
+    wanted = shared_anchors(whole.select(F.col("id").alias("doc_id"), "text"), length, buckets).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("anchor").alias("anchors"))
+    # All columns stay, so that this join and the last one have one exchange of the texts.
+    versioned = whole.join(wanted, "id").select(*whole.columns, F.expr(VERSION).alias("version"), "anchors")
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _flushes(batches):
-            owners: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            gone: list[tuple[int, int, int, int]] = []
+            found, base = [], 0
             for batch in held:
                 data, at = flat(batch.column("text"))
                 row, first, last, h = segments(data, at, length)
-                h = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))).astype(np.int64)
+                key = _anchor(h, buckets)
                 lists = batch.column("anchors")
-                ends = np.asarray(lists.offsets)
-                values = np.asarray(lists.values)
-                ids, versions = batch.column("doc_id").to_pylist(), batch.column("version").to_pylist()
-                bounds = np.searchsorted(row, np.arange(len(batch) + 1))
-                raw = data.tobytes()
-                for r in range(len(batch)):
-                    lo, hi = bounds[r], bounds[r + 1]
-                    hit = lo + np.flatnonzero(np.isin(h[lo:hi], values[ends[r] : ends[r + 1]]))
-                    doc, version, base = ids[r], versions[r], int(at[r])
-                    for key, a, b in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
-                        text = raw[base + a : base + b + length]
-                        mine = owners.get((key, text))
-                        if mine is None:
-                            owners[key, text] = [(doc, version, a)]
-                        elif doc > mine[0][0]:
-                            gone.append((doc, version, a, a + len(text)))
-                        elif doc == mine[0][0]:
-                            mine.append((doc, version, a))
-                        else:
-                            gone += [(d, v, s, s + len(text)) for d, v, s in mine]
-                            owners[key, text] = [(doc, version, a)]
-            by_bucket: dict[int, list] = {}
-            for (key, text), mine in owners.items():
-                by_bucket.setdefault(key >> 32, []).append((text, mine))
-            rows = []
-            for bucket, parts in by_bucket.items():
-                owner = np.array([(i, *o) for i, (_, mine) in enumerate(parts) for o in mine], np.int64).T
-                numbers = pack(owner[0], owner[1], owner[2], owner[3])
-                sizes = np.array([len(t) for t, _ in parts], "<i4").tobytes()
-                body = zstandard.ZstdCompressor(level=1).compress(b"".join([t for t, _ in parts]))
-                head = np.array([len(numbers), len(parts)], "<i8").tobytes()
-                rows.append((bucket, None, None, None, None, head + numbers + sizes + body))
-            # What is settled here passes through, by document.
-            rows += [(d % buckets, d, v, s, e, None) for d, v, s, e in gone]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            for lo in range(0, len(rows), 20_000):
-                columns = list(zip(*rows[lo : lo + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "doc_id", "version", "start", "end", "data"])
+                ends = np.asarray(lists.offsets).astype(np.int64)
+                wanted_row = np.repeat(np.arange(len(batch)), np.diff(ends))
+                both = lambda k, r: mix(k.astype(np.uint64)) + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                hit = np.isin(both(key, row), both(np.asarray(lists.values)[ends[0] : ends[-1]], wanted_row))
+                row, first, size = row[hit], first[hit], (last - first)[hit] + length
+                ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
+                found.append((key[hit], ids[row], versions[row].astype(np.int64), first, base + at[row] + first, size))
+                base += len(data)
+            data = np.concatenate([flat(batch.column("text"))[0] for batch in held])
+            key, doc, version, first, at, size = map(np.concatenate, zip(*found, strict=True))
+            group = same_text(data, at, size, length)
+            order = np.lexsort((doc, group))
+            head = _runs(group[order])
+            least = np.empty(len(doc), np.int64)
+            least[order] = np.repeat(doc[order[head]], np.diff(np.append(head, len(doc))))
+            gone, stays = doc > least, np.flatnonzero(doc == least)
+            stays = stays[np.argsort(key[stays], kind="stable")]
+            cuts = _runs(key[stays] >> 32)
+            rows = list(_blobs([doc[gone], version[gone], first[gone], (first + size)[gone]], buckets))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(stays)], strict=True) if len(stays) else ():
+                own = stays[lo:hi]
+                _, one, owner = np.unique(group[own], return_index=True, return_inverse=True)
+                one = own[one]
+                numbers = pack(owner, doc[own], version[own], first[own])
+                body = zstandard.ZstdCompressor(level=1).compress(cut_out(data, at[one], size[one]).tobytes())
+                rows.append((int(key[own[0]] >> 32), 0, np.array([len(numbers), len(one)], "<i8").tobytes() + numbers + size[one].astype("<i4").tobytes() + body))
+            yield _rows(rows)
 
     def settle(table: pa.Table) -> pa.Table:
-        names = ["doc_id", "version", "start", "end"]
-        table = table.combine_chunks()
-        passed = table.filter(pa.compute.is_null(table.column("data"))).select(names)
-        known: dict[bytes, int] = {}
-        owner_parts = []
-        for blob in table.column("data").drop_null():
-            blob = blob.as_py()
-            size, n = np.frombuffer(blob, "<i8", 2).tolist()
-            owner = unpack(blob[16 : 16 + size])
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(blob, "<i4", n, 16 + size).astype(np.int64))])
-            body = zstandard.ZstdDecompressor().decompress(blob[16 + size + 4 * n :])
-            number = np.array([known.setdefault(body[lo:hi], len(known)) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
-            owner[0] = number[owner[0]]
-            owner_parts.append(owner)
-        if not known:
-            return passed
-        owner = np.concatenate(owner_parts, axis=1)
-        owner = owner[:, np.argsort(owner[0], kind="stable")]
-        head = _runs(owner[0])
-        least = np.minimum.reduceat(owner[1], head)  # by segment; each has an owner
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        text = np.frombuffer(b"".join(known), np.uint8)
-        keys = keys8(text)
-        sa = suffix_array(text, keys)
-        segment = np.searchsorted(at, sa, "right") - 1
-        whole = sa + length <= at[segment + 1]
-        sa, segment = sa[whole], segment[whole]
-        group = _runs(np.concatenate([[0], np.cumsum(~equal_prefixes(sa, keys, length))]))
-        smallest = np.repeat(np.minimum.reduceat(least[segment], group), np.diff(np.append(group, len(sa))))
-        by_place = np.empty(len(text), np.int64)
-        by_place[sa] = smallest
-        # Windows of each segment, again in text order, against each owner of the segment.
-        n = sizes - length + 1
-        seg = owner[0]
-        count = n[seg]
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        hit = by_place[np.repeat(at[seg], count) + step] < np.repeat(owner[1], count)
-        starts = np.cumsum(count) - count
-        low = np.minimum.reduceat(np.where(hit, step, 1 << 40), starts)
-        high = np.maximum.reduceat(np.where(hit, step, -1), starts)
-        some = high >= 0
-        # The windows of a segment start within `length` bytes, so their union is one interval.
-        found = pa.table({"doc_id": pa.array(owner[1][some]), "version": pa.array(owner[2][some].astype(np.int32)), "start": pa.array((owner[3] + low)[some].astype(np.int32)), "end": pa.array((owner[3] + high)[some].astype(np.int32) + np.int32(length))})
-        return pa.concat_tables([passed.cast(found.schema), found])
-
-    return versioned.mapInArrow(gather, schema).groupBy("bucket").applyInArrow(settle, "doc_id long, version int, start int, end int")
+        blobs, passed = _read(table, 4)
+        owners, sizes, bodies, n = [], [], [], 0
+        for blob in blobs:
+            long, parts = np.frombuffer(blob, "<i8", 2).tolist()
+            owner = unpack(blob[16 : 16 + long])
+            owner[0] += n
+            n += parts
+            owners.append(owner)
+            sizes.append(np.frombuffer(blob, "<i4", parts, 16 + long).astype(np.int64))
+            bodies.append(zstandard.ZstdDecompressor().decompress(blob[16 + long + 4 * parts :]))
+        found = settled(np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(sizes), np.concatenate(owners, axis=1), length) if blobs else np.zeros((4, 0), np.int64)
+        doc, *rest = np.concatenate([passed, found], axis=1)
+        return pa.table([pa.array(doc), *[pa.array(c.astype(np.int32)) for c in rest]], names=["doc_id", "version", "start", "end"])
+
+    return versioned.mapInArrow(gather, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(settle, "doc_id long, version int, start int, end int")
+
+
+def settled(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Intervals (doc_id, version, start, end) to remove, by the suffix array of a bucket's segments.
+
+    data, size: the segments one after the other; owner: rows of segment number, doc_id, version, start in the text.
+    """
+    at = np.cumsum(size) - size
+    _, one, number = np.unique(same_text(data, at, size, length), return_index=True, return_inverse=True)
+    text = cut_out(data, at[one], size[one])
+    size = size[one]
+    at = np.cumsum(size) - size
+    owner[0] = number[owner[0]]
+    owner = owner[:, np.argsort(owner[0], kind="stable")]
+    least = np.minimum.reduceat(owner[1], _runs(owner[0]))  # by segment; each has an owner
+    keys = keys8(text)
+    sa = suffix_array(text, keys)
+    # A window must end within its segment.
+    segment_of = np.repeat(np.arange(len(size)), size)
+    within = np.arange(len(text)) + length <= np.repeat(at + size, size)
+    sa = sa[within[sa]]
+    group = np.flatnonzero(np.concatenate([[True], ~equal_prefixes(sa, keys, length)]))
+    smallest = np.empty(len(text), np.int64)
+    smallest[sa] = np.repeat(np.minimum.reduceat(least[segment_of[sa]], group), np.diff(np.append(group, len(sa))))
+    # The windows of each segment in text order, against each owner of the segment.
+    count = (size - length + 1)[owner[0]]
+    starts = np.cumsum(count) - count
+    step = np.arange(count.sum()) - np.repeat(starts, count)
+    hit = smallest[np.repeat(at[owner[0]], count) + step] < np.repeat(owner[1], count)
+    low = np.minimum.reduceat(np.where(hit, step, length), starts)
+    high = np.maximum.reduceat(np.where(hit, step, -1), starts)
+    some = high >= 0
+    # A segment's windows start within `length` bytes of each other, so their union is one interval.
+    return np.stack([owner[1], owner[2], owner[3] + low, owner[3] + high + length])[:, some]
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -272,12 +306,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     if not 2 * GRAM < length <= 56:
         raise ValueError("length must be 33 to 56 bytes")
     own = F.coalesce("text", F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
-    gone = removals(texts(docs), length, 4 * partitions(docs.sparkSession))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "end")).alias("gone"))
-    rows = whole.join(gone, "doc_id", "left").select("doc_id", "text", (F.xxhash64("text") % 32_768).cast("int").alias("version"), F.coalesce("gone", F.array().cast("array<struct<version: int, start: int, end: int>>")).alias("gone"), *[f"_{c}" for c in carry])
-    schema = "doc_id long, text string, spans array<struct<start: int, end: int>>, kept binary"
-    schema = T.StructType([*T.StructType.fromDDL(schema).fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
+    # Under another name, as Catalyst would drop an alias of the same one in one of the joins and then see two exchanges.
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), own.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    whole = every.filter("id is not null")
+    none = F.array().cast("array<struct<version: int, start: int, end: int>>")
+    gone = removals(whole, length, 4 * partitions(docs.sparkSession))
+    gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("version", "start", "end")).alias("gone"))
+    rows = whole.join(gone, "id", "left").select(*whole.columns, F.expr(VERSION).alias("version"), F.coalesce("gone", none).alias("gone"))
+    rows = rows.union(every.filter("id is null").select("*", F.lit(0), none))
+    schema = T.StructType.fromDDL("doc_id long, text string, spans array<struct<start: int, end: int>>, kept binary")
+    schema = T.StructType([*schema.fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -287,26 +325,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
             ends, parts = np.asarray(lists.offsets), lists.values
             version, start, end = (np.asarray(parts.field(i)) for i in range(3))
             spans, kept = [], []
-            for r, own in enumerate(batch.column("version").to_pylist()):
+            for r, mine in enumerate(batch.column("version").to_pylist()):
                 lo, hi = ends[r], ends[r + 1]
-                base, stop = int(at[r]), int(at[r + 1])
-                if lo == hi:
-                    spans.append([])
-                    kept.append(raw[base:stop])
-                    continue
-                mine = version[lo:hi] == own
-                s, e = start[lo:hi][mine], end[lo:hi][mine]
+                take = version[lo:hi] == mine
+                s, e = start[lo:hi][take], end[lo:hi][take]
                 order = np.argsort(s, kind="stable")
                 s, e = s[order], np.maximum.accumulate(e[order])
-                new = np.concatenate([[True], s[1:] > e[:-1]]) if len(s) else np.zeros(0, bool)
-                s, e = s[new], e[np.append(new[1:], True)] if len(s) else e
-                spans.append([{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-                keep, out = 0, []
-                for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                    out.append(raw[base + keep : base + a])
-                    keep = b
-                kept.append(b"".join([*out, raw[base + keep : stop]]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, span), pa.array(kept, pa.binary()), *[batch.column(f"_{c}") for c in carry]], ["doc_id", "text", "spans", "kept", *carry])
+                new = np.append(True, s[1:] > e[:-1])[: len(s)]
+                s, e = s[new].tolist(), e[np.append(new[1:], True)[: len(s)]].tolist()
+                spans.append([{"start": a, "end": b} for a, b in zip(s, e, strict=True)])
+                base, stop = int(at[r]), int(at[r + 1])
+                kept.append(b"".join([raw[base + a : base + b] for a, b in zip([0, *e], [*s, stop - base], strict=True)]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(spans, span), pa.array(kept, pa.binary()), *[batch.column(f"_{c}") for c in carry]], ["doc_id", "text", "spans", "kept", *carry])
 
     return rows.mapInArrow(work, schema)
 
