@@ -4,10 +4,12 @@ One hash of each shingle gives both its bin and its value; empty bins borrow fro
 own finds (optimal densification), so that every bin agrees with the Jaccard similarity of two sets. Four bins make a
 band; equal bands share a bucket. At similarity 0.75 two sets miss all 32 bands with a chance of about 5 in a million.
 
-Texts with equal sets are one class first, so copies are never paired. In each bucket every class is paired with the
-smallest one alone (a star); pairs are confirmed on full sets. Classes that meet in a bucket without ending in one
-component are then paired directly, so a star whose centre is too far from two similar members loses no link. Both
-joins hold their hot keys on the side that Spark may split.
+Texts with equal sets are one class first, so copies are never paired. In each bucket the classes are paired with a hub
+alone (a star): the member whose buckets hold most classes, which is the one most like the others. Pairs are confirmed on
+full sets. Where classes that meet in a bucket are still in different components, the clusters of such classes are compared
+in blocks of BLOCK: a task counts the common shingles of two blocks as a matrix product and returns only links, so that no
+link is lost where a hub is too far from two similar members. Blocks within one component are never compared. Joins hold
+their hot keys on the side that Spark may split.
 
 Null doc_ids and texts without words stand alone (component_id is their own doc_id); rows with one doc_id count as one
 document, each with the links of its own text; extra columns are ignored.
@@ -30,6 +32,7 @@ from ledgerline.llm.shingles import mix, shingle_sets, similar
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+BLOCK = 256
 EDGES = (np.arange(BINS, dtype=np.uint64)) << np.uint64(64 - BINS.bit_length() + 1)
 
 
@@ -74,8 +77,8 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
     return texts(docs).mapInArrow(work, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose texts are similar on full sets. v, not u, may stand in very many pairs."""
+def confirm(pairs: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of doc_ids whose texts (whole: doc_id, text) are similar on full sets. v, not u, may stand in very many."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "u_text", 4 * CHUNK_BYTES):
@@ -85,32 +88,97 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             right = dict(zip(new.tolist(), shingle_sets(*flat(batch.column("v_text").take(pa.array(which))), k), strict=True))
             yield batch.select(["u", "v"]).filter(pa.array([similar(s, right[x], percent) for s, x in zip(left, v.tolist(), strict=True)], pa.bool_()))
 
-    whole = texts(docs)  # one exchange by doc_id, which the second join uses again
     u = pairs.join(whole.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
     return u.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").select("u", "v", "u_text", "v_text").mapInArrow(work, "u long, v long").distinct()
 
 
+def with_hubs(live: DataFrame) -> DataFrame:
+    """`live` (bucket, node, component, ...) with each bucket's hub and the hub's component."""
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("size"))
+    crowds = live.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("crowd"))
+    best = live.join(crowds, "node").groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("node")).alias("first"), "component")).alias("best"))
+    return live.join(best.select("bucket", (-F.col("best.first")).alias("hub"), F.col("best.component").alias("hub_component")), "bucket")
+
+
+def unsettled(live: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    several = live.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket")
+    return live.join(several, "bucket")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `a` has in common with each set of `b`."""
+    number = lambda sets: np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+    count = np.zeros((len(a), len(b)), np.float32)
+    of_a, of_b = number(a), number(b)
+    for lo in range(0, len(both), 16_384):
+        part = both[lo : lo + 16_384]
+        sides = []
+        for values, rows, n in ((flat_a, of_a, len(a)), (flat_b, of_b, len(b))):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            side = np.zeros((n, len(part)), np.float32)
+            side[rows[hit], at[hit]] = 1
+            sides.append(side)
+        count += sides[0] @ sides[1].T
+    return count.astype(np.int64)
+
+
+def block_links(live: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (u, v) between different components of `live` (bucket, node, component) within its clusters.
+
+    A cluster is what buckets connect. A component of BLOCK classes or more has blocks of its own, which need not be
+    compared with each other; smaller ones share blocks.
+    """
+    least = live.groupBy("bucket").agg(F.min("node").alias("v"))
+    clusters = components(live.join(least, "bucket").select(F.col("node").alias("u"), "v").distinct()).withColumnRenamed("component", "cluster")
+    nodes = live.select("node", "component").distinct().join(clusters, "node")
+    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    small = sizes.filter(F.col("size") < BLOCK).groupBy("cluster").agg(F.sum("size").alias("rest"))
+    nodes = nodes.join(sizes, ["cluster", "component"]).join(small, "cluster", "left")
+    part = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / BLOCK)).cast("string")
+    alone = F.col("size") >= BLOCK
+    nodes = nodes.select("node", "component", "cluster", F.when(alone, F.concat_ws("/", "component", part("node", "size"))).otherwise(F.concat(F.lit("+"), part("component", "rest"))).alias("block"), F.when(alone, F.col("component")).alias("pure"))
+    nodes = cut(nodes, "blocks")
+    other = nodes.select("cluster", F.col("block").alias("with"), F.col("pure").alias("with_pure")).distinct()
+    spread = nodes.join(other, "cluster").filter(~F.coalesce(F.col("pure") == F.col("with_pure"), F.lit(False)))
+    spread = spread.select("cluster", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "component", F.col("node").alias("doc_id"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = shingle_sets(*flat(table.column("text").chunk(0)), k)
+        block, lo, hi = table.column("block").to_pylist(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        a, b = ([i for i, x in enumerate(block) if x == side] for side in (lo, hi))
+        if not a or not b:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        ids, component, size = table.column("doc_id").to_numpy(), table.column("component").to_numpy(), np.array([len(s) for s in sets])
+        both = common_counts([sets[i] for i in a], [sets[i] for i in b])
+        linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (component[a][:, None] != component[b][None, :])
+        i, j = np.nonzero(linked)
+        u, v = ids[np.array(a)[i]], ids[np.array(b)[j]]
+        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
+
+    return spread.join(whole.select("doc_id", "text"), "doc_id").groupBy("cluster", "lo", "hi").applyInArrow(compare, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is the smallest) per row."""
     sketch = cut(sketches(docs, k), "sketches")
     there = sketch.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = there.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     heads = there.join(classes, "set_hash").filter("doc_id = node").select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = heads.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("bucket", "hub")
-    members = cut(heads.join(shared, "bucket"), "buckets")
-    star = members.filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    links = cut(confirm(cut(star, "pairs"), docs, k, percent), "links")
-    found = cut(components(links), "components")
+    shared = heads.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("bucket")
+    members = cut(heads.join(shared, "bucket").distinct(), "buckets")
+    whole = cut(texts(docs).join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
 
-    # Buckets that still hold several components: their classes of different components meet directly.
-    labelled = members.join(found, "node", "left").select("bucket", "node", "n_shingles", "hub", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).filter("a != b and n > 2").select("bucket")
-    rest = cut(labelled.join(mixed, "bucket").filter("node != hub"), "rest")
-    other = rest.select("bucket", F.col("node").alias("v"), F.col("component").alias("v_component"), F.col("n_shingles").alias("v_n"))
-    near = F.expr(f"100 * least(n_shingles, v_n) >= {percent} * greatest(n_shingles, v_n)")
-    pairs = cut(rest.join(other, "bucket").filter((F.col("node") > F.col("v")) & (F.col("component") != F.col("v_component")) & near).select(F.col("node").alias("u"), "v").distinct(), "pairs")
-    if not pairs.isEmpty():
-        more = cut(confirm(pairs, docs, k, percent), "links")
+    star = with_hubs(members.withColumn("component", F.col("node"))).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    links = cut(confirm(cut(star, "pairs"), whole, k, percent), "links")
+    found = cut(components(links), "components")
+    live = cut(unsettled(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))), "live")
+    if not live.isEmpty():
+        more = cut(block_links(live, whole, k, percent), "links")
         if not more.isEmpty():
             found = cut(components(links.union(more)), "components")
 
