@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +32,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def long_rows(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default of 10,000, which would be tens of MB of text in each Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of `docs`, whatever other columns it has; a null text is an empty one."""
+    long_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

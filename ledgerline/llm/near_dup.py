@@ -113,8 +113,8 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     both = np.intersect1d(flat_a, flat_b)
     count = np.zeros((len(a), len(b)), np.float32)
     of_a, of_b = number(a), number(b)
-    for lo in range(0, len(both), 16_384):
-        part = both[lo : lo + 16_384]
+    for lo in range(0, len(both), 8_192):
+        part = both[lo : lo + 8_192]
         sides = []
         for values, rows, n in ((flat_a, of_a, len(a)), (flat_b, of_b, len(b))):
             at = np.minimum(np.searchsorted(part, values), len(part) - 1)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import batches_by_bytes, flat, texts
+from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, texts
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -177,19 +177,25 @@ def model(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
-def encode(docs: DataFrame, model_file: str, add_end: bool = True) -> DataFrame:
-    """doc_id and `ids` array<int> of every whole text; model_file is a path that each executor can read."""
+def encode(docs: DataFrame, model_file: str, add_end: bool = True, decoded: bool = False) -> DataFrame:
+    """doc_id and `ids` array<int> of every whole text; model_file is a path that each executor can read.
+
+    decoded: also the text `decoded` from these ids, by the same Python worker.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(model_file)
         tail = [bpe.end] if add_end else []
-        for batch in batches_by_bytes(batches, "text", 2 << 20):
+        for batch in batches_by_bytes(batches, "text", CHUNK_BYTES):
             rows = [np.append(ids, tail).astype(np.int32) for ids in bpe.encode(batch.column("text").to_pylist())]
-            at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return texts(docs).mapInArrow(work, "doc_id long, ids array<int>")
+            at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))]
+            if decoded:
+                columns.append(pa.array(bpe.decode(values, at), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+
+    return texts(docs).mapInArrow(work, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:

@@ -34,8 +34,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _tokenizer("piece_bpe_32k.model")
-    return piece_bpe.digests(piece_bpe.decode(piece_bpe.encode(_table(spark, sf_dir, "documents"), model), model))
+    return piece_bpe.digests(piece_bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), decoded=True))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

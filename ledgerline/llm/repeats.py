@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, flat, partitions, row_chunks
+from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, flat, long_rows, partitions, row_chunks
 from ledgerline.llm.shingles import mix
 from ledgerline.llm.suffix_array import equal_prefixes, keys8, suffix_array
 
@@ -35,7 +35,7 @@ GRAM = 16
 PLACE = 24
 PIECE = 1 << (PLACE - 1)
 #: Bytes of text after which a task sends what it has gathered.
-FLUSH = 32 << 20
+FLUSH = 16 << 20
 #: Tells apart texts that share a doc_id.
 VERSION = "cast(xxhash64(text) % 32768 as int)"
 
@@ -298,13 +298,14 @@ def settled(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int)
     return np.stack([owner[1], owner[2], owner[3] + low, owner[3] + high + length])[:, some]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, text, spans (maximal removed byte runs, array<struct<start, end>>), kept (binary) and the columns `carry` of every row.
 
-    length: 33 to 56 bytes, for this anchor and suffix depth.
+    length: 33 to 56 bytes, for this anchor and suffix depth. as_text: kept is a string; a character cut in two goes as a whole.
     """
     if not 2 * GRAM < length <= 56:
         raise ValueError("length must be 33 to 56 bytes")
+    long_rows(docs.sparkSession)
     own = F.coalesce("text", F.lit(""))
     # Under another name, as Catalyst would drop an alias of the same one in one of the joins and then see two exchanges.
     every = docs.select(F.col("doc_id").cast("long").alias("id"), own.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("version", "start", "end")).alias("gone"))
     rows = whole.join(gone, "id", "left").select(*whole.columns, F.expr(VERSION).alias("version"), F.coalesce("gone", none).alias("gone"))
     rows = rows.union(every.filter("id is null").select("*", F.lit(0), none))
-    schema = T.StructType.fromDDL("doc_id long, text string, spans array<struct<start: int, end: int>>, kept binary")
+    schema = T.StructType.fromDDL("doc_id long, text string, spans array<struct<start: int, end: int>>, kept " + ("string" if as_text else "binary"))
     schema = T.StructType([*schema.fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
                 spans.append([{"start": a, "end": b} for a, b in zip(s, e, strict=True)])
                 base, stop = int(at[r]), int(at[r + 1])
                 kept.append(b"".join([raw[base + a : base + b] for a, b in zip([0, *e], [*s, stop - base], strict=True)]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(spans, span), pa.array(kept, pa.binary()), *[batch.column(f"_{c}") for c in carry]], ["doc_id", "text", "spans", "kept", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(spans, span), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *[batch.column(f"_{c}") for c in carry]], ["doc_id", "text", "spans", "kept", *carry])
 
     return rows.mapInArrow(work, schema)
 

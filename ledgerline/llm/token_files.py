@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import batches_by_bytes, partitions, texts
+from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, partitions, texts
 
 #: The split rule of the byte-level vocabulary (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are split here; others go to the library whole.
 PLAIN = "[^\t\n\r -~¡-ɏ]"
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class ByteBpe:
@@ -76,7 +76,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, row_
         from pyspark import TaskContext
 
         bpe, tail, part, before = encoder(tokenizer_file), np.array([end_id], "<i4").tobytes(), TaskContext.get().partitionId(), 0
-        for batch in batches_by_bytes(batches, "text", 2 << 20):
+        for batch in batches_by_bytes(batches, "text", CHUNK_BYTES):
             rows = [ids + tail for ids in bpe.encode(batch.column("text").to_pylist())]
             size = np.array([len(r) // 4 for r in rows], np.int64)
             at = np.concatenate([[0], np.cumsum(size)])
