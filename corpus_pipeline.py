@@ -24,13 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that an earlier document has; a character cut in two goes as a whole."""
-
-    @F.pandas_udf("string")
-    def text(kept):
-        return kept.map(lambda data: data.decode("utf-8", "ignore"))
-
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = repeats.remove_repeats(docs, carry=rest).withColumn("text", text("kept"))
+    rows = repeats.remove_repeats(docs, carry=rest, as_text=True).withColumn("text", F.col("kept"))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -42,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_bpe.digests(piece_bpe.decode(piece_bpe.encode(docs, model), model))
+    return piece_bpe.digests(piece_bpe.encode(docs, model, decoded=True))
 
 
 STAGES = [
