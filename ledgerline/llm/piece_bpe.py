@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, texts
 MARK = "▁"
 NONE = np.int64(1 << 40)
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 250_000
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -64,6 +65,16 @@ class PieceBpe:
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
         # Only at a newline, which no piece holds, may a text be cut further.
         self.words = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if not any("\n" in p for p in plain) else rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # No piece joins these punctuation marks to other characters, apart from a few; texts without those are cut around them too.
+        near = {c: {x for p in plain for i, x in enumerate(p) if x not in MARK + c and c in (p[i - 1 : i], p[i + 1 : i + 2])} for c in string.punctuation}
+        marks = set(near)
+        while joined := {c for c in marks if any(x.isascii() and x.isprintable() and x not in marks for x in near[c])}:
+            marks -= joined
+        few = "".join(sorted(set().union(*(near[c] for c in marks)) - marks)) if marks else ""
+        marks = "".join(sorted(marks))
+        marks = re.escape(marks)
+        self.finer = re.compile(rf"{MARK}*[^{MARK}\n{marks}]+|{MARK}*[{marks}]+|{MARK}+|\n") if marks and not any("\n" in p for p in plain) else self.words
+        self.joined = re.compile(f"[{re.escape(few)}]") if few else None
         surface = [b"" if model.is_control(i) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size = np.array([len(s) for s in surface], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
@@ -77,14 +88,19 @@ class PieceBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE), self.made[at]
 
+    def rank_at(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pair_rank() of the pairs that start at these places; NONE at the end of a word."""
+        after = np.minimum(at + 1, len(symbols) - 1)
+        rank, made = self.pair_rank(symbols[at], symbols[after])
+        rank[(word[after] != word[at]) | (after == at)] = NONE
+        return rank, made
+
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols and their word numbers, words in order."""
         done_s, done_w = [], []
+        rank, made = self.rank_at(symbols, word, np.arange(len(symbols)))
         while len(symbols):
             n = len(symbols)
-            rank, made = np.full(n, NONE), np.zeros(n, np.int64)
-            rank[:-1], made[:-1] = self.pair_rank(symbols[:-1], symbols[1:])
-            rank[:-1][word[1:] != word[:-1]] = NONE
             head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, n)))
             over = least == NONE
@@ -116,11 +132,14 @@ class PieceBpe:
                     behind = np.cumsum(stop) - stop
                     first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
                     at = at[behind == np.repeat(behind[first], np.diff(np.append(first, len(w))))]
-            symbols = symbols.copy()
             symbols[at] = made[at]
             stay = np.ones(n, bool)
             stay[at + 1] = False
-            symbols, word = symbols[stay], word[stay]
+            symbols, word, rank, made = symbols[stay], word[stay], rank[stay], made[stay]
+            # Only the pairs around a merge are new.
+            at = at - np.arange(len(at))
+            at = np.concatenate([at, at[at > 0] - 1])
+            rank[at], made[at] = self.rank_at(symbols, word, at)
         if not done_s:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         symbols, word = np.concatenate(done_s), np.concatenate(done_w)
@@ -150,7 +169,8 @@ class PieceBpe:
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        found = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
+        whole = self.joined.search if self.joined else lambda text: None
+        found = [(self.words if whole(t) else self.finer).findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = list({w for words in found for w in words if w not in self.known})
