@@ -11,6 +11,8 @@ that follows their text; other columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, partitions, texts
 
-#: The split rule of the byte-level vocabulary (fixed value).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are split here; others go to the library whole.
 PLAIN = "[^\t\n\r -~¡-ɏ]"
+#: The split rule of the byte-level vocabulary (fixed value), with its letters and numbers among these characters.
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps; beyond it starts anew.
 CACHE_WORDS = 200_000
 
@@ -35,15 +38,13 @@ class ByteBpe:
     """The library's encoder with the ids of words seen before."""
 
     def __init__(self, path: str):
-        import re
-
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([PLAIN, *special])).search
-        self.split = regex.compile(WORDS).findall
+        self.split = re.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
