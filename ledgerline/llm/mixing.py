@@ -7,7 +7,7 @@ folded once and repeats: a block's slot follows from its number alone, and at an
 source's count is less than one block from its share.
 
 Rows are numbered within their source by counts per id range with prefix sums, so that no task holds a whole source.
-Null sources are a source of their own; null doc_ids come first; equal doc_ids follow their text; an empty table gives
+Null sources are a source of their own; null doc_ids come first; equal doc_ids follow a hash of their text; an empty table gives
 no rows. Repeated rows are all placed. A source that has run out leaves its slots empty.
 """
 
@@ -27,8 +27,9 @@ SOURCES_MAX = 10_000
 def tempered_weights(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     """source, p (slots of about `period`): in proportion to the square root of the number of documents."""
     roots = docs.groupBy("source").agg(F.round(F.sqrt(F.count("*"))).cast("long").alias("root"))
-    total = roots.agg(F.sum("root").alias("total"))
-    return roots.crossJoin(F.broadcast(total)).select("source", F.greatest(F.lit(1), F.expr(f"root * {period} div total")).cast("long").alias("p"))  # one row, not a product
+    # One row per source, of which there are SOURCES_MAX at most.
+    roots = roots.withColumn("total", F.sum("root").over(Window.partitionBy(F.lit(0))))
+    return roots.select("source", F.greatest(F.lit(1), F.expr(f"root * {period} div total")).cast("long").alias("p"))
 
 
 def period_slots(weights: DataFrame) -> DataFrame:
@@ -49,15 +50,15 @@ def period_slots(weights: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with _n: its number within its source, from 0, by doc_id, then text."""
-    rows = docs.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
+    """`docs` with _n: its number within its source, from 0, by doc_id, then a hash of the text (so that the texts needn't be sorted or even read along)."""
+    rows = docs.withColumn("_range", F.floor(F.col("doc_id") / RANGE)).withColumn("_tie", F.xxhash64("text"))
     counts = rows.groupBy("source", "_range").agg(F.count("*").alias("_c"))
     # Prefix sums over ranges: a source's rows divided by RANGE, not its rows.
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("source").orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("source", "_range").orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()))
+    inside = F.row_number().over(Window.partitionBy("source", "_range").orderBy(F.col("doc_id").asc_nulls_first(), "_tie"))
     rows = rows.withColumn("_i", inside).join(before, F.col("source").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r")))
-    return rows.withColumn("_n", F.col("_before") + F.col("_i") - 1).drop("_range", "_s", "_r", "_before", "_i")
+    return rows.withColumn("_n", F.col("_before") + F.col("_i") - 1).drop("_range", "_s", "_r", "_before", "_i", "_tie")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:

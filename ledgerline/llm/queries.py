@@ -103,7 +103,7 @@ run(t, done, pick) as (
       case when done[i] * w // x <= t then (((done[i] + 1) * w + x - 1) // x) * 100000 + i end), lambda y: y is not null)) % 100000)::bigint as k
     from run, listed) where t < w),
 slots as (select s[pick] as source, p[pick] as p, w, t - 1 as place, row_number() over (partition by pick order by t) - 1 as j from run, listed where t > 0),
-rows_ as (select doc_id, source, row_number() over (partition by source order by doc_id nulls first, text nulls first) - 1 as n from documents)
+rows_ as (select doc_id, source, row_number() over (partition by source order by doc_id nulls first) - 1 as n from documents)
 select doc_id, r.source, n // 64 as block, (n // 64) // p * w + place as slot, ((n // 64) // p * w + place) * 64 + n % 64 as position
 from rows_ r join slots s on r.source is not distinct from s.source and (n // 64) % p = j
 """,
