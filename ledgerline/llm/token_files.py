@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,11 +28,16 @@ from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, partitions, tex
 
 #: Texts of these characters alone are split here; others go to the library whole.
 PLAIN = "[^\t\n\r -~¡-ɏ]"
+PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
 #: The split rule of the byte-level vocabulary (fixed value), with its letters and numbers among these characters.
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
+# Letters come first, being the most common; no other alternative starts like them.
+WORDS = rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on; 0 parts words here.
+SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - SELF)) if b}
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 class ByteBpe:
@@ -42,21 +48,35 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([PLAIN, *special])).search
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile(PLAIN).search
         self.split = re.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> bool:
+        """Whether the library has to split the text itself."""
+        if any(token in text for token in self.special):
+            return True
+        return bool(text.encode().translate(None, PLAIN_ASCII)) if text.isascii() else self.odd(text) is not None
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of little-endian 32-bit integers."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
         found = [None if self.whole(t) else self.split(t) for t in batch]
-        new = list({w for words in found if words for w in words if w not in known})
-        # A word that the rule has found is one word by itself too.
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<i4").tobytes()
+        new = list(set().union(*[words for words in found if words]).difference(known))
+        # A word that the rule has found is one word by itself too, so the library's merges alone are asked for.
+        new.sort(key=str.isascii)
+        cut = sum(not w.isascii() for w in new)
+        mapped = "\0".join(new[:cut]).encode().decode("latin-1").translate(ALPHABET).split("\0") if cut else []
+        ascii_ = "\0".join(new[cut:])
+        for c in " \n\t\r":  # all that the alphabet changes of plain ASCII
+            ascii_ = ascii_.replace(c, chr(ALPHABET[ord(c)]))
+        mapped += ascii_.split("\0") if cut < len(new) else []
+        tokenize = self.library.model.tokenize
+        for w, letters in zip(new, mapped, strict=True):
+            known[w] = array("i", [t.id for t in tokenize(letters)]).tobytes()
         get = known.__getitem__
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<i4").tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(batch, found, strict=True)]
 
@@ -90,6 +110,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, row_
     (
         ordered.mapInArrow(work, "doc_id long, ids array<int>, n_tokens long, part int, part_start long")
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.enable.dictionary", str(dictionary).lower())
