@@ -28,7 +28,7 @@ from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, texts
 MARK = "▁"
 NONE = np.int64(1 << 40)
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
