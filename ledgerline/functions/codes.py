@@ -34,3 +34,56 @@ def observed(literal: Column) -> Column:
 
 def in_range(value: Column, low: float, high: float) -> Column:
     return value.between(low, high)
+
+
+#: Box that a usable coordinate lies strictly within (fixed values): latitudes, longitudes.
+LATITUDES, LONGITUDES = (20.0, 46.0), (122.0, 154.0)
+
+
+def integral(value: Column) -> Column:
+    """A long from an integer or a float without a fraction, as number or text; else NULL."""
+    number = value.cast("string").try_cast("double")
+    return F.when((number == F.floor(number)) & (F.abs(number) < 2.0**53), number.cast("long"))
+
+
+def number_code(value: Column, width: int, low: int, high: int) -> Column:
+    """`value` as digits of a fixed width, where it is integral and from low to high; else NULL."""
+    number = integral(value)
+    return F.when(number.between(low, high), F.format_string(f"%0{width}d", number))
+
+
+def persons(ten_thousands: Column) -> Column:
+    """Persons from units of 10,000, halves to even; NULL where the figure has more than four decimals."""
+    scaled = ten_thousands.cast("double") * 10_000
+    return F.when(F.abs(scaled - F.rint(scaled)) < 1e-6, F.rint(scaled).cast("long"))
+
+
+def rate_or_literal(literal: Column, low: float, high: float) -> Column:
+    """struct<value, literal, bad>: a number within the range, else the literal alone; bad marks numbers outside."""
+    number = literal.try_cast("double")
+    fits = number.between(low, high)
+    return F.struct(F.when(fits, number).alias("value"), literal.alias("literal"), F.coalesce(number.isNotNull() & ~fits, F.lit(False)).alias("bad"))
+
+
+def year_of_label(label: Column) -> Column:
+    """The year of a label like 2030年度（...）; NULL where it doesn't start with one."""
+    return F.regexp_extract(F.trim(F.regexp_replace(label, r"[\r\n]", "")), r"^(\d{4})年度", 1).try_cast("int")
+
+
+def series_column(label: Column) -> Column:
+    """struct<series, year> of a header like 2015実績, 2026見込量 or 2025必要数; NULL for derived columns."""
+    pattern = "^([0-9]{4})(実績|見込量|必要数)$"
+    return F.when(label.rlike(pattern), F.struct(F.regexp_extract(label, pattern, 2).alias("series"), F.regexp_extract(label, pattern, 1).cast("int").alias("year")))
+
+
+def sheet_name(name: Column) -> Column:
+    """struct<code, rest> of a sheet named by digits and a title; NULL for others."""
+    pattern = r"^(\d+)(.+)$"
+    return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).alias("code"), F.regexp_extract(name, pattern, 2).alias("rest")))
+
+
+def usable_coordinate(latitude: Column, longitude: Column) -> Column:
+    """struct<lon, lat> of two texts; NULL for blanks, words, 0/0 and whatever lies outside the box."""
+    lat, lon = F.trim(latitude).try_cast("double"), F.trim(longitude).try_cast("double")
+    inside = (lat > LATITUDES[0]) & (lat < LATITUDES[1]) & (lon > LONGITUDES[0]) & (lon < LONGITUDES[1])
+    return F.when(inside, F.struct(lon.alias("lon"), lat.alias("lat")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_M = 6_371_000.0
+EARTH_M = 6_371_008.8
 KM_PER_DEGREE = 111.32
 CELL = 0.5
 
@@ -29,3 +29,10 @@ def ring_km2(ring: str, latitude: str) -> Column:
     """Shoelace area with longitudes scaled at a reference latitude."""
     twice = f"aggregate(zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), (i, j) -> i.x * j.y - j.x * i.y), 0d, (n, t) -> n + t)"
     return F.expr(f"abs({twice}) / 2 * {KM_PER_DEGREE} * {KM_PER_DEGREE} * cos(radians({latitude}))")
+
+
+def bbox(rings: str) -> Column:
+    """struct<x0, y0, x1, y1> around an array of rings; NULL where there is no point."""
+    points = f"flatten({rings})"
+    edge = lambda f, axis: F.expr(f"array_{f}(transform({points}, p -> p.{axis}))")
+    return F.when(F.expr(f"size({points}) > 0"), F.struct(edge("min", "x").alias("x0"), edge("min", "y").alias("y0"), edge("max", "x").alias("x1"), edge("max", "y").alias("y1")))

@@ -38,3 +38,34 @@ def fixed_bin(value: Column, kind: str) -> Column:
 def quantile_class(value: Column, edges: Column) -> Column:
     """Class of a value among ascending edges (an array column)."""
     return F.when(value.isNotNull(), F.size(F.filter(edges, lambda e: e <= value)))
+
+
+def quantile_edges(value: Column, classes: int = 7) -> Column:
+    """Aggregate: classes + 1 edges by linear interpolation; zeros for no values."""
+    at = F.array(*[F.lit(i / classes) for i in range(classes + 1)])
+    return F.coalesce(F.percentile(value, at), F.array(*[F.lit(0.0)] * (classes + 1)))
+
+
+def distinct_edges(edges: Column) -> Column:
+    """Ascending edges without repetition, two at least."""
+    once = F.array_distinct(edges)
+    one = F.coalesce(F.get(once, 0), F.lit(0.0))
+    return F.when(F.size(once) >= 2, once).otherwise(F.array(one, one))
+
+
+def ramp_places(classes: Column, colours: int) -> Column:
+    """Which of `colours` ramp colours to use for so many classes: evenly spaced, both ends included."""
+    evenly = F.transform(F.sequence(F.lit(0), classes - 1), lambda i: F.floor(F.try_divide(i * (colours - 1), classes - 1) + 0.5).cast("int"))
+    return F.when(classes <= 0, F.array().cast("array<int>")).when(classes == 1, F.array(F.lit(0))).otherwise(evenly)
+
+
+def change_text(ratio: Column) -> Column:
+    """A ratio as signed change in percent; the sign follows the rounded figure, so that 0.0% has none."""
+    change = half_up((ratio - 1) * 100, 1)
+    return F.when(change == 0, "0.0%").when(change.isNotNull(), F.format_string("%+.1f%%", change))
+
+
+def share_text(part: Column, whole: Column) -> Column:
+    """part of whole in percent with one decimal; a dash where whole is 0."""
+    share = half_up(F.try_divide(part * 100.0, whole.cast("double")), 1)
+    return F.when(whole == 0, "-").when(share.isNotNull(), F.format_string("%.1f%%", share))

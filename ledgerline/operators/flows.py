@@ -33,3 +33,41 @@ def remainder(flows: DataFrame, origin: str, partner: str, k: int) -> DataFrame:
     """What the k largest partners leave over, per origin."""
     first = ranked(flows, origin, partner).withColumn("part", F.when(F.col("rank") <= k, "top").otherwise("rest"))
     return first.groupBy(origin).agg(F.sum(F.when(F.col("part") == "top", F.col("n"))).alias("top_n"), F.coalesce(F.sum(F.when(F.col("part") == "rest", F.col("n"))), F.lit(0)).alias("rest_n"))
+
+
+def every_group(groups: DataFrame, edges: DataFrame, keys: list[str], partner: str, rate: str, self_key: str, status: str) -> DataFrame:
+    """One row per group of `groups`, even without edges: self_rate, self_rank, partners in rank order, value_error_count.
+
+    Edges have rank, `rate` and `status`; rows in error are only counted, the group's own row leaves its partners.
+    """
+    ok, own = F.col(status) != "error", F.col(partner) == F.col(self_key)
+    found = edges.groupBy(*keys).agg(
+        F.max(F.when(ok & own, F.col(rate))).alias("self_rate"),
+        F.max(F.when(ok & own, F.col("rank"))).alias("self_rank"),
+        F.array_sort(F.collect_list(F.when(ok & ~own, F.struct("rank", F.col(partner).alias("partner"), F.col(rate).alias("rate"))))).alias("partners"),
+        F.count_if(~ok).alias("value_error_count"),
+    )
+    none = F.array().cast(found.schema["partners"].dataType)
+    joined = groups.join(found, keys, "left")
+    return joined.withColumn("partners", F.coalesce("partners", none)).withColumn("value_error_count", F.coalesce("value_error_count", F.lit(0)))
+
+
+def with_self(grouped: DataFrame, self_key: str) -> DataFrame:
+    """The groups' rows again, the own one at its rank among the partners: rank, partner, rate."""
+    own = F.struct(F.col("self_rank").alias("rank"), F.col(self_key).alias("partner"), F.col("self_rate").alias("rate"))
+    plain = F.transform("partners", lambda p: F.struct(p["partner"].alias("partner"), p["rate"].alias("rate")))
+    place = F.col("self_rank").cast("int")
+    rows = F.when(place.isNull(), plain).otherwise(F.concat(F.slice(plain, F.lit(1), place - 1), F.array(F.struct(own["partner"].alias("partner"), own["rate"].alias("rate"))), F.slice(plain, place, F.greatest(F.size(plain), F.lit(1)))))
+    kept = [c for c in grouped.columns if c not in ("self_rate", "self_rank", "partners", "value_error_count")]
+    return grouped.select(*kept, F.posexplode(rows).alias("_at", "_row")).select(*kept, (F.col("_at") + 1).alias("rank"), F.col("_row.partner").alias("partner"), F.col("_row.rate").alias("rate"))
+
+
+def rising(edges: DataFrame, keys: list[str], rate: str, tolerance: float = 1e-9) -> DataFrame:
+    """Rows whose rate is above that of the rank before them."""
+    before = F.lag(rate).over(Window.partitionBy(*keys).orderBy("rank"))
+    return edges.withColumn("previous", before).filter(F.col(rate) > F.col("previous") + tolerance)
+
+
+def overfull(edges: DataFrame, keys: list[str], rate: str, tolerance: float = 1e-9) -> DataFrame:
+    """Groups whose rates sum to more than one."""
+    return edges.groupBy(*keys).agg(F.sum(rate).alias("total")).filter(F.col("total") > 1 + tolerance)

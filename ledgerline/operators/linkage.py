@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import names, places
 from ledgerline.functions.measures import half_up
 from ledgerline.functions.text import similarity
 
@@ -30,8 +33,98 @@ def suffix(left: DataFrame, right: DataFrame, block: str, name: str, shortest: i
 
 
 def fuzzy(left: DataFrame, right: DataFrame, block: str, name: str, threshold: float = 0.8) -> DataFrame:
-    """The best candidate of each left row within its block, by similarity, then right_id; blocks keep this from being a product."""
-    other = right.select(block, F.col(name).alias("_other"), "right_id")
-    scored = left.join(other, block).withColumn("_score", similarity(F.col(name), F.col("_other")))
-    best = scored.groupBy("left_id").agg(F.max(F.struct("_score", (-F.col("right_id")).alias("r"))).alias("b"), F.count("*").alias("pool"))
+    """The best candidate of each left row within its block, by similarity, then right_id.
+
+    Blocks keep this from being a product; names are compared once, however many rows of the block have them.
+    """
+    other = right.groupBy(block, F.col(name).alias("right_name")).agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"))
+    names_ = left.select(block, F.col(name).alias("name")).distinct()
+    best = left.select("left_id", block, F.col(name).alias("name")).join(_best(names_.join(other, block), [block, "name"], "points"), [block, "name"])
     return best.select("left_id", "pool", (-F.col("b.r")).alias("right_id"), half_up(F.col("b._score")).alias("score"), (F.col("b._score") >= threshold).alias("candidate"))
+
+
+def _by_name(right: DataFrame, rows: DataFrame) -> DataFrame:
+    """right_area, right_name with the points that no row of `rows` has yet: their number, the first one, an address."""
+    free = right.join(rows.filter("right_id is not null").select("right_id"), "right_id", "left_anti")
+    return free.groupBy("right_area", "right_name").agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"), F.min("address").alias("address"))
+
+
+def _best(pairs: DataFrame, keys: list[str], points: str) -> DataFrame:
+    """keys, b (_score and the negative right_id of the most similar name), pool."""
+    scored = pairs.withColumn("_score", similarity(F.col("name"), F.col("right_name")))
+    return scored.groupBy(*keys).agg(F.max(F.struct("_score", (-F.col("right_id")).alias("r"))).alias("b"), F.sum(points).alias("pool"))
+
+
+def tiers(left: DataFrame, right: DataFrame, shortest: int = 5, threshold: float = 0.8, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Links a register to points in three tiers: equal names, suffixes, and the best candidate by similarity.
+
+    left: left_id, area, name (normal form), municipality; right: right_id, area, name, address. Per left row: match_status,
+    match_method, reason_code, candidate_count, match_score, right_id. Points that two rows claim in a tier go to neither.
+    `cut` is applied to each tier's result, e.g. to checkpoint it, as later tiers use it twice.
+    """
+    left = left.select("left_id", "area", "name", F.coalesce(F.trim("municipality"), F.lit("")).alias("municipality"))
+    right = right.select("right_id", F.col("area").alias("right_area"), F.col("name").alias("right_name"), "address")
+    checked = places.municipality_check(F.col("address"), F.col("municipality"))
+
+    # Tier 1. Counts by name, and by name and area; the one point of an area is carried along.
+    everywhere = right.groupBy(F.col("right_name").alias("name")).agg(F.count("*").alias("_all"))
+    here = right.groupBy(F.col("right_name").alias("name"), F.col("right_area").alias("area")).agg(F.count("*").alias("_here"), F.min("right_id").alias("_one"), F.min("address").alias("address"))
+    rows = left.join(everywhere, "name", "left").join(here, ["name", "area"], "left").fillna(0, ["_all", "_here"])
+    unreported, several = F.col("municipality") == "", F.col("_here") > 1
+    reason = F.when(unreported, "not_reported_facility").when(F.col("_all") == 0, "no_name_match").when(F.col("_here") == 0, "outside_area_polygon").when(several, "multiple_candidates_in_area").otherwise(checked)
+    count = F.when(~unreported & (F.col("_here") == 0), F.col("_all")).otherwise(F.col("_here"))
+    rows = rows.select("left_id", "area", "name", "municipality", reason.alias("reason"), count.alias("count"), F.when(reason == "", F.col("_one")).alias("right_id"))
+    rows = cut(_settle(rows))
+
+    # Tier 2. Suffixes among the points of the area that are still free; names are compared once, however many rows have them.
+    free = _by_name(right, rows)
+    open_ = rows.filter("right_id is null and municipality != ''")
+    pairs = open_.select("area", "name").distinct().join(free, F.col("area") == F.col("right_area"))
+    longer, shorter = (F.when((F.length("name") >= F.length("right_name")) == side, F.col("name")).otherwise(F.col("right_name")) for side in (True, False))
+    related = (F.col("name") != F.col("right_name")) & (F.length(shorter) >= shortest) & F.endswith(longer, shorter) & ~names.type_words_only(shorter)
+    found = pairs.filter(related).groupBy("area", "name").agg(F.sum("points").alias("_n"), F.min("right_id").alias("_one"), F.min("address").alias("address"))
+    why = F.when(F.col("_n") > 1, "multiple_candidates_in_area").otherwise(checked)
+    second = open_.join(found, ["area", "name"]).select("left_id", "_n", why.alias("_why"), F.when(why == "", F.col("_one")).alias("_right"))
+    rows = rows.withColumnRenamed("right_id", "_first").join(second, "left_id", "left")
+    rows = rows.select("left_id", "area", "name", "municipality", "_first", F.coalesce("_why", "reason").alias("reason"), F.coalesce("_n", "count").alias("count"), F.col("_right").alias("right_id"))
+    rows = _settle(rows).withColumn("match_method", F.when(F.col("_first").isNotNull(), "normalized_exact").when(F.col("right_id").isNotNull(), "normalized_suffix").otherwise("none"))
+    rows = cut(rows.withColumn("right_id", F.coalesce("_first", "right_id")).drop("_first"))
+
+    # Tier 3. Candidates only: the most similar free point of the area.
+    open_ = rows.filter("right_id is null").select("area", "name").distinct()
+    best = _best(open_.join(_by_name(right, rows), F.col("area") == F.col("right_area")), ["area", "name"], "points").filter(F.col("b._score") >= threshold)
+    best = rows.filter("right_id is null").join(best, ["area", "name"]).select("left_id", "b", F.col("pool").alias("_pool"))
+    rows = rows.join(best, "left_id", "left")
+    status = F.when(F.col("right_id").isNotNull(), "matched").when(F.col("b").isNotNull(), "candidate_only").otherwise("unmatched")
+    return rows.select(
+        "left_id", status.alias("match_status"), "match_method", F.when(F.col("right_id").isNull(), F.col("reason")).otherwise("").alias("reason_code"),
+        F.coalesce("_pool", "count").alias("candidate_count"), half_up(F.col("b._score")).alias("match_score"), F.coalesce("right_id", -F.col("b.r")).alias("right_id"),
+    )
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """Withdraws points that several rows claim; the reason says so."""
+    claims = rows.filter("right_id is not null").groupBy("right_id").agg(F.count("*").alias("_claims")).filter("_claims > 1")
+    marked = rows.join(claims, "right_id", "left")
+    lost = F.col("_claims").isNotNull()
+    return marked.withColumn("reason", F.when(lost, "contested_candidate").otherwise(F.col("reason"))).withColumn("right_id", F.when(~lost, F.col("right_id"))).drop("_claims")
+
+
+def references(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, reference_status and right_id of the only point with the same region and name in the same municipality.
+
+    left: left_id, region, name, municipality; right: right_id, region, name, address.
+    """
+    left = left.select("left_id", "region", "name", F.coalesce(F.trim("municipality"), F.lit("")).alias("municipality"))
+    pairs = left.join(right.select("right_id", "region", "name", "address"), ["region", "name"], "left")
+    fits = F.when(F.col("municipality") == "", F.col("right_id").isNotNull()).otherwise(places.in_municipality(F.col("address"), F.col("municipality")))
+    found = pairs.groupBy("left_id", "municipality").agg(F.count("right_id").alias("n"), F.count_if(fits).alias("fit"), F.min(F.when(fits, F.col("right_id"))).alias("right_id"))
+    alone = F.when(F.col("municipality") == "", "unique_municipality_unverified").otherwise("unique")
+    status = F.when(F.col("n") == 0, "none").when(F.col("fit") == 0, "municipality_mismatch").when(F.col("fit") > 1, "ambiguous").otherwise(alone)
+    return found.select("left_id", status.alias("reference_status"), F.when(F.col("fit") == 1, F.col("right_id")).alias("right_id"))
+
+
+def audit_status(has_coordinate: Column, has_reference: Column, metres: Column, agree: float = 100, conflict: float = 1_000) -> Column:
+    """How far a coordinate is from its reference, in bands; or which of the two is missing."""
+    band = F.when(~has_reference, "no_reference").when(metres < agree, "agree").when(metres < conflict, "minor_gap").otherwise("conflict")
+    return F.when(has_coordinate, band).when(has_reference, "missing_with_reference").otherwise("missing_without_reference")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,79 @@ def enforce(rows: DataFrame, checks: list[Check]) -> DataFrame:
     if broken := [r["check"] for r in result.filter("fatal and not passed").collect()]:
         raise ValueError(f"broken rules: {', '.join(broken)}")
     return result
+
+
+def missing_cells(grid: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Combinations of the grid that have no row, and rows beyond the grid."""
+
+    def find(rows: DataFrame) -> DataFrame:
+        have = rows.select(*keys).distinct()
+        return grid.select(*keys).join(have, keys, "left_anti").withColumn("side", F.lit("missing")).union(have.join(grid, keys, "left_anti").withColumn("side", F.lit("beyond")))
+
+    return find
+
+
+def set_differences(sets: dict[str, DataFrame], key: str) -> DataFrame:
+    """key, absent_from: values that some of the sets have and others lack."""
+    tagged = None
+    for name, rows in sets.items():
+        one = rows.select(key).distinct().withColumn("_set", F.lit(name))
+        tagged = one if tagged is None else tagged.union(one)
+    absent = F.array_sort(F.array_except(F.array(*map(F.lit, sets)), F.collect_set("_set")))
+    return tagged.groupBy(key).agg(absent.alias("absent_from")).filter("size(absent_from) > 0")
+
+
+def off_domain(column: str, values: list) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.filter(F.col(column).isNotNull() & ~F.col(column).isin(values))
+
+
+def not_number(column: str, sign: str = "any") -> Callable[[DataFrame], DataFrame]:
+    """Rows that aren't a finite number; sign: any, not_negative or positive."""
+    number = F.col(column).cast("string").try_cast("double")
+    low = {"any": F.lit(False), "not_negative": number < 0, "positive": number <= 0}[sign]
+    return lambda rows: rows.filter(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")) | low)
+
+
+def bad_code(column: str, width: int, prefix: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Codes that aren't `width` digits, or don't start with the code in column `prefix`."""
+    wrong = ~F.col(column).rlike(f"^[0-9]{{{width}}}$")
+    return lambda rows: rows.filter(F.coalesce(wrong | ~F.startswith(F.col(column), F.col(prefix)) if prefix else wrong, F.lit(True)))
+
+
+def disagreements(other: DataFrame, key: str, columns: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """key, column, mine, theirs: attributes that differ between two tables (NULL equals NULL)."""
+
+    def find(rows: DataFrame) -> DataFrame:
+        theirs = other.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("mine"), F.col(f"_{c}").cast("string").alias("theirs")) for c in columns])
+        both = rows.select(key, *columns).join(theirs, key).select(key, F.inline(F.filter(cells, lambda x: ~x["mine"].eqNullSafe(x["theirs"]))))
+        return both
+
+    return find
+
+
+def one_without_other(left: Column, right: Column) -> Callable[[DataFrame], DataFrame]:
+    """Rows where exactly one of two conditions holds; for a status and its value, or two that go together."""
+    return lambda rows: rows.filter(~left.eqNullSafe(right))
+
+
+def parts_beyond(total: str, parts: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Totals that aren't the sum of their parts; with a part missing, totals below the rest."""
+    known = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0)))
+    some = F.concat(*[F.col(p).cast("string") for p in parts]).isNull()
+    return lambda rows: rows.filter(F.when(some, F.col(total) < known).otherwise(F.col(total) != known))
+
+
+def unexpected_count(expected: int) -> Callable[[DataFrame], DataFrame]:
+    """One row with the count, if it isn't the expected one."""
+    return lambda rows: rows.agg(F.count("*").alias("n")).filter(F.col("n") != expected)
+
+
+def unlike(pinned: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The symmetric difference from a pinned set of rows with the same columns."""
+    return lambda rows: rows.exceptAll(pinned).withColumn("side", F.lit("new")).union(pinned.exceptAll(rows).withColumn("side", F.lit("gone")))
+
+
+def off_tolerance(left: str, right: str, relative: float) -> Callable[[DataFrame], DataFrame]:
+    """Rows whose two figures differ by more than a share of the second."""
+    return lambda rows: rows.filter(F.abs(F.col(left) - F.col(right)) > F.abs(F.col(right)) * relative)

@@ -46,3 +46,45 @@ def override(rows: DataFrame, corrections: DataFrame, key: str, column: str) ->
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group, with their rank; Spark limits groups before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def one_to_one(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """Tables with one row per key side by side: every key once, `missing` names the tables that lack it."""
+    out = None
+    for name, rows in tables.items():
+        marked = rows.withColumn(f"_{name}", F.lit(True))
+        out = marked if out is None else out.join(marked, key, "full")
+    missing = F.array_compact(F.array(*[F.when(F.col(f"_{name}").isNull(), F.lit(name)) for name in tables]))
+    return out.withColumn("missing", missing).drop(*[f"_{name}" for name in tables])
+
+
+def corroborate(claims: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct claims with `confirmed`: whether the independent evidence has them too."""
+    seen = evidence.select(*keys).distinct().withColumn("_seen", F.lit(True))
+    return claims.select(*keys).distinct().join(seen, keys, "left").select(*keys, F.col("_seen").isNotNull().alias("confirmed"))
+
+
+def bijection_errors(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """side, value, n: values of either side that stand with several of the other."""
+
+    def side(a: str, b: str) -> DataFrame:
+        return pairs.groupBy(F.col(a).cast("string").alias("value")).agg(F.countDistinct(b).alias("n")).filter("n > 1").select(F.lit(a).alias("side"), "value", "n")
+
+    return side(left, right).union(side(right, left))
+
+
+def exact_sum(value: Column, decimals: int = 6) -> Column:
+    """A sum of doubles that doesn't depend on their order: of decimals, so that Spark can still sum ahead of the shuffle."""
+    return F.sum(value.cast(f"decimal(38,{decimals})")).cast("double")
+
+
+def element_quantile(rows: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
+    """The element at place int(n * q) of each group's sorted values, without interpolation.
+
+    Equal values are counted first, so that a window sees one row per distinct value.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*group).orderBy(value)
+    placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
+    place = F.least(F.col("_all") - 1, F.floor(F.col("_all") * q))
+    return placed.filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).select(*group, F.col("_all").alias("n"), F.col(value).alias("quantile"))

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import io
+import json
+import zipfile
+import zlib
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +29,77 @@ def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
 def preamble(facts: dict[str, str]) -> str:
     """Comment lines in front of an export; newlines are squashed to spaces."""
     return "".join(f"# {k}: {' '.join(v.split())}\r\n" for k, v in facts.items())
+
+
+def csv_field(value: Column) -> Column:
+    """A field as RFC 4180 wants it: quoted where a quote, comma or line break is in it; NULL is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One line of CSV per row."""
+    return rows.select(F.concat_ws(",", *[csv_field(F.col(c)) for c in columns]).alias("line"))
+
+
+def json_lines(rows: DataFrame, key: str) -> DataFrame:
+    """One compact JSON object per row, with its key."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_shards(rows: DataFrame, path: str, key: str) -> None:
+    """A folder per key, replaced as a whole; readers of one key read one folder."""
+    rows.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+
+
+def write_with_meta(rows: DataFrame, path: str, order: list[str], facts: dict) -> None:
+    """write_csv(), and beside it `path`.meta.json with the facts, the columns and the number of rows."""
+    write_csv(rows, path, order)
+    n = rows.sparkSession.read.option("header", True).option("multiLine", True).csv(path).count()
+    meta = json.dumps({**facts, "fields": rows.columns, "rows": n}, ensure_ascii=False, sort_keys=True)
+    rows.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta.json")
+
+
+def issues_for(issues: DataFrame, scope: str, value: str, default: str) -> DataFrame:
+    """Known issues (id, scope map, ...) that concern a table or vintage; those without this scope count as `default`."""
+    return issues.filter(F.coalesce(F.try_element_at("scope", F.lit(scope)), F.lit(default)) == value)
+
+
+def by_source(files: DataFrame) -> DataFrame:
+    """source, files: the export files (file, sources array) of each source; files of none stand under derived::name."""
+    sources = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.concat(F.lit("derived::"), "file")))
+    return files.select("file", F.explode(sources).alias("source")).groupBy("source").agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
+def archives(members: DataFrame) -> DataFrame:
+    """bundle, archive: a ZIP with the same bytes in every run of each bundle's members (bundle, name, content binary).
+
+    Members are sorted by name and dated 1980. Without ZIP64 a bundle has below 65,535 members and 2 GB (else it raises), so it fits a task.
+    """
+    sizes = members.groupBy("bundle").agg(F.count("*").alias("_n"), F.sum(F.length("content").cast("long")).alias("_bytes"))
+    checked = members.join(sizes, "bundle").withColumn("content", F.expr("if(_n < 65535 and _bytes < 2000000000, content, cast(raise_error('bundle too large') as binary))"))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in part.sort_values("name")[["name", "content"]].itertuples(index=False):
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"bundle": [part["bundle"].iloc[0]], "archive": [out.getvalue()]})
+
+    return checked.select("bundle", "name", "content").groupBy("bundle").applyInPandas(pack, "bundle string, archive binary")
+
+
+def archive_members(archives: DataFrame) -> DataFrame:
+    """bundle, name, bytes, sha256, crc_ok of the members that the archives hold when read back."""
+
+    def unpack(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for bundle, archive in zip(part["bundle"], part["archive"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(archive)) as z:
+                    for info in z.infolist():
+                        content = z.read(info)
+                        found.append((bundle, info.filename, len(content), hashlib.sha256(content).hexdigest(), zlib.crc32(content) == info.CRC))
+            yield pd.DataFrame(found, columns=["bundle", "name", "bytes", "sha256", "crc_ok"])
+
+    return archives.select("bundle", "archive").mapInPandas(unpack, "bundle string, name string, bytes long, sha256 string, crc_ok boolean")

@@ -390,7 +390,7 @@ def _points(spark, d) -> DataFrame:
 
 POINTS_SQL = """points as (select p_partkey, p_size, lat, lon, case when p_size % 7 != 0 then lat + case when p_size % 5 = 0 then 0.02::double when p_size % 5 = 1 then 0.004::double else 0.0004::double end end as ref_lat
   from (select p_partkey, p_size, 30 + (p_partkey % 100) / 10.0::double as lat, 130 + (p_partkey % 73) / 10.0::double as lon from part)),
-audit as (select *, 2 * 6371000.0::double * asin(sqrt(pow(sin(radians(ref_lat - lat) / 2), 2))) as m from points)"""
+audit as (select *, 2 * 6371008.8::double * asin(sqrt(pow(sin(radians(ref_lat - lat) / 2), 2))) as m from points)"""
 
 
 def _audited(spark, d) -> DataFrame:
