@@ -1,10 +1,12 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A text block is a line. A block meets a template if it holds at least `threshold` of the template's distinct words. The
-join orders the templates' words by how many documents have them (rarest first, one pass over the corpus); a block that
-meets a template of n words with need = ceil(threshold * n) must hold one of its n - need + 1 rarest words (prefix),
-have need distinct words (length), and at its first prefix word at place i still have n - i >= need words to come
-(position). What passes is verified on whole sets, so no block is lost. The templates, and so the table of word counts, are
+A text block is a line. A block meets a template if it holds at least `threshold` of the template's distinct words. Both
+sides are sets of template words in one order: by how many documents have them, rarest first (one pass over the corpus);
+other words can't meet anything. For a template of n words, need = ceil(threshold * n), and a block of m such words:
+length: m >= need, else no word is looked at;
+prefix: a common word must be among the template's n - need + 1 and the block's m - need + 1 rarest;
+position: the first common word, at places i and j, leaves at most min(n - i, m - j) common ones, which must be >= need.
+What passes is verified on whole sets, so no block is lost. The templates, and so the table of word counts, are
 parameters of at most WORDS_MAX distinct words; they alone go to the driver and the executors.
 
 Words are runs of digits, a to z and non-ASCII characters after lower-casing A to Z. A null text is an empty one: no
@@ -64,40 +66,47 @@ class TemplateJoin:
     """The templates' side of the join."""
 
     def __init__(self, templates: dict[str, str], counts: dict[str, int], threshold: float):
-        self.sets, self.needs, self.labels = [], [], []
-        #: Word to (template, place among its words, rarest first), for prefix words.
-        self.prefixes: dict[str, list[tuple[int, int]]] = {}
-        for number, (text, label) in enumerate(templates.items()):
-            ordered = sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))
-            need = math.ceil(threshold * len(ordered) - 1e-9)
-            self.sets.append(frozenset(ordered))
-            self.needs.append(need)
-            self.labels.append(label)
-            for place, w in enumerate(ordered[: len(ordered) - need + 1]):
-                self.prefixes.setdefault(w, []).append((number, place))
-        self.starts = self.prefixes.keys()
+        sets = [set(words_of(text)) for text in templates]
+        #: Template words by their place in the global order, rarest first.
+        self.place = {w: i for i, w in enumerate(sorted(set().union(*sets), key=lambda w: (counts.get(w, 0), w)))}
+        self.sets = [frozenset(self.place[w] for w in words) for words in sets]
+        self.needs = [math.ceil(threshold * len(words) - 1e-9) for words in sets]
+        self.labels = list(templates.values())
+        self.least = min(self.needs, default=0)
+        #: Prefix word to (template, words of the template from this one on).
+        self.prefixes: dict[int, list[tuple[int, int]]] = {}
+        for number, (words, need) in enumerate(zip(self.sets, self.needs, strict=True)):
+            for i, w in enumerate(sorted(words)[: len(words) - need + 1]):
+                self.prefixes.setdefault(w, []).append((number, len(words) - i))
+        self.starts = {w for w, i in self.place.items() if i in self.prefixes}
+
+    def candidates(self, ordered: list[int]) -> Iterator[int]:
+        """Templates that a block of these template words, in order, can meet by length, prefixes and positions."""
+        seen = set()
+        for j, w in enumerate(ordered[: len(ordered) - self.least + 1]):
+            for number, left in self.prefixes.get(w, ()):
+                if number not in seen:  # its first common word, as a prefix is the start of the order
+                    seen.add(number)
+                    if min(left, len(ordered) - j) >= self.needs[number]:
+                        yield number
 
     def meets(self, block: set[str]) -> dict[int, float]:
         """Containment by template, of those that the block meets."""
-        first: dict[int, int] = {}
-        for w in self.starts & block:
-            for number, place in self.prefixes[w]:
-                first[number] = min(first.get(number, place), place)
-        found = {}
-        for number, place in first.items():
-            need, words = self.needs[number], self.sets[number]
-            if len(block) >= need and len(words) - place >= need and (n := len(words & block)) >= need:
-                found[number] = n / len(words)
-        return found
+        known = {self.place[w] for w in self.place.keys() & block}
+        if len(known) < self.least:
+            return {}
+        common = {number: len(self.sets[number] & known) for number in self.candidates(sorted(known))}
+        return {number: n / len(self.sets[number]) for number, n in common.items() if n >= self.needs[number]}
 
 
 def phrase_places(words: list[str], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand."""
     line, found = f" {' '.join(words)} ", []
     for phrase, label in phrases.items():
-        at = line.find(f" {phrase} ")
+        at, before, counted = line.find(f" {phrase} "), 0, 0
         while at >= 0:
-            found.append((line.count(" ", 0, at), label))
+            before, counted = before + line.count(" ", counted, at), at  # words up to the last place are not counted anew
+            found.append((before, label))
             at = line.find(f" {phrase} ", at + 1)
     return found
 
@@ -119,7 +128,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
         words = words_of(text)
         places = phrase_places(words, phrases)
         blocks = []
-        if not join.starts.isdisjoint(words):
+        if not join.starts.isdisjoint(words):  # no prefix word in any block
             for number, line in enumerate(text.split("\n")):
                 blocks += [{"line": number, "label": join.labels[t], "containment": c} for t, c in sorted(join.meets(set(words_of(line))).items())]
         base = {label for _, label in places}

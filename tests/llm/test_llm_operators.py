@@ -198,6 +198,11 @@ def test_licenses(docs, empty, spark):
         block = set(license_scan.words_of(line))
         want = {i for i, t in enumerate(license_scan.TEMPLATES) if len(block & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9}
         assert set(join.meets(block)) == want
+    join = license_scan.TemplateJoin({"a b c d e": "x", "f g h i j k l m n o": "y"}, {}, 0.8)
+    ordered = lambda line: sorted(join.place[w] for w in line.split())
+    assert list(join.candidates(ordered("a b c d h i j k l m"))) == [0]  # long enough for y and with its prefix word h, but that comes too late
+    assert list(join.candidates(ordered("h i j k l m n o"))) == [1] and not list(join.candidates(ordered("i j k l m n o")))
+    assert license_scan.phrase_places("cc by x cc by cc by mit license".split(), license_scan.PHRASES) == [(0, "cc-by"), (3, "cc-by"), (5, "cc-by"), (7, "mit")]
 
 
 def test_mixing_stays_within_a_block(docs, empty, spark):
