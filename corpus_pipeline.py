@@ -35,9 +35,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_bpe.digests(piece_bpe.encode(docs, model, decoded=True))
+    """doc_id, n_tokens, the digests of ids and decoded text, and the position that the mixture of `docs` gives the row.
+
+    A table's rows have no order once it is read again, so the position is computed natively from this stage's input; the
+    texts are not shuffled for it.
+    """
+    model, carry = public_tokenizers.path("piece_bpe_32k.model"), ("source", "_hash")
+    tokens = piece_bpe.digests(piece_bpe.encode(docs.withColumn("_hash", F.xxhash64("text")), model, decoded=True, carry=carry), carry)
+    return mixing.mix(tokens, of=docs, tie="_hash").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position")
 
 
 STAGES = [

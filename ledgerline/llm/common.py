@@ -38,10 +38,10 @@ def long_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text of `docs`, whatever other columns it has; a null text is an empty one."""
+def texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text of `docs`, and the columns `carry`, whatever others it has; a null text is an empty one."""
     long_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carry)
 
 
 def partitions(spark: SparkSession) -> int:

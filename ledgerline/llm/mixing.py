@@ -49,10 +49,11 @@ def period_slots(weights: DataFrame) -> DataFrame:
     return slots.withColumn("j", F.row_number().over(Window.partitionBy("source").orderBy("at")).cast("long") - 1)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, of: DataFrame | None = None, tie: str | None = None) -> DataFrame:
     """`docs` with _n: its number within its source, from 0, by doc_id, then a hash of the text (so that the texts needn't be sorted or even read along)."""
-    rows = docs.withColumn("_range", F.floor(F.col("doc_id") / RANGE)).withColumn("_tie", F.xxhash64("text"))
-    counts = rows.groupBy("source", "_range").agg(F.count("*").alias("_c"))
+    ranged = lambda df: df.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
+    rows = ranged(docs).withColumn("_tie", F.xxhash64("text") if tie is None else F.col(tie))
+    counts = (rows if of is None else ranged(of)).groupBy("source", "_range").agg(F.count("*").alias("_c"))
     # Prefix sums over ranges: a source's rows divided by RANGE, not its rows.
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("source").orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce("_before", F.lit(0)).alias("_before"))
@@ -61,12 +62,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.col("_before") + F.col("_i") - 1).drop("_range", "_s", "_r", "_before", "_i", "_tie")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """`docs` (with doc_id, text, source) with block, slot and position, by which the mixture is ordered."""
-    slots = period_slots(tempered_weights(docs, period) if weights is None else weights)
+def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, of: DataFrame | None = None, tie: str | None = None) -> DataFrame:
+    """`docs` (with doc_id, text, source) with block, slot and position, by which the mixture is ordered.
+
+    of: a table with the doc_ids and sources of the same rows, to count in where `docs` is costly to compute; tie: a column
+    with the hash xxhash64 of the texts, where `docs` no longer has them.
+    """
+    slots = period_slots(tempered_weights(docs if of is None else of, period) if weights is None else weights)
     slots = slots.select(F.col("source").alias("_s"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("j").alias("_j"), F.col("at").alias("_at"))
     shares = slots.select("_s", "_p", "_w").distinct().select(F.col("_s").alias("_t"), "_p", "_w")
-    rows = numbered(docs).withColumn("block", F.expr(f"_n div {block}"))
+    rows = numbered(docs, of, tie).withColumn("block", F.expr(f"_n div {block}"))
     # Both tables have at most a period's slots.
     rows = rows.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("_t"))).withColumn("_b", F.expr("block % _p"))
     rows = rows.join(F.broadcast(slots.drop("_p", "_w")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_j")))

@@ -197,10 +197,10 @@ def model(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
-def encode(docs: DataFrame, model_file: str, add_end: bool = True, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, add_end: bool = True, decoded: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and `ids` array<int> of every whole text; model_file is a path that each executor can read.
 
-    decoded: also the text `decoded` from these ids, by the same Python worker.
+    decoded: also the text `decoded` from these ids, by the same Python worker. carry: further columns of `docs` to keep.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +213,11 @@ def encode(docs: DataFrame, model_file: str, add_end: bool = True, decoded: bool
             columns = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))]
             if decoded:
                 columns.append(pa.array(bpe.decode(values, at), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+            names = ["doc_id", "ids", "decoded"][: len(columns)]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carry], [*names, *carry])
 
-    return texts(docs).mapInArrow(work, "doc_id long, ids array<int>" + ", decoded string" * decoded)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return texts(docs, carry).mapInArrow(work, "doc_id long, ids array<int>" + ", decoded string" * decoded + kinds)
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -234,7 +236,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Token counts and the SHA-256 of ids and text."""
+def digests(decoded: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Token counts and the SHA-256 of ids and text, and the columns `carry`."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *carry)

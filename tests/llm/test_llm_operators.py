@@ -309,3 +309,30 @@ def test_pipeline(spark):
     for r in corpus_pipeline.run(spark, sf).collect():
         ids = library.encode(texts[r["doc_id"]], add_eos=True)
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_the_mixture_reaches_the_rows(spark):
+    """Positions of the pipeline's rows against Pfair slots that are dealt out one by one."""
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    rows = [(i if i % 50 else None, f"text {rnd.randrange(10**9)}", rnd.choices(["s1", "s2", None], [8, 3, 1])[0]) for i in rnd.sample(range(5_000), 1_500)]
+    rows += [(7, "same", "s1"), (7, "same", "s1"), (7, "other", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.STAGES[-1][1](spark, corpus_pipeline.cut(mixing.mixed_order(docs)), "").collect()
+    by = defaultdict(list)
+    for i, text, s in rows:
+        by[s].append(((-1 if i is None else i), text))
+    roots = {s: round(len(v) ** 0.5) for s, v in by.items()}
+    p = {s: max(1, r * mixing.PERIOD // sum(roots.values())) for s, r in roots.items()}
+    w, done, slot, want = sum(p.values()), dict.fromkeys(p, 0), 0, {}
+    while any(done[s] * mixing.BLOCK < len(by[s]) for s in by):
+        ready = [s for s in p if done[s] * w // p[s] <= slot]
+        s = min(ready, key=lambda s: (-(-(done[s] + 1) * w // p[s]), s is not None, s or ""))
+        for k, n in enumerate(range(done[s] * mixing.BLOCK, min(len(by[s]), (done[s] + 1) * mixing.BLOCK))):
+            want[slot * mixing.BLOCK + k] = sorted(i for i, _ in by[s])[n]
+        done[s], slot = done[s] + 1, slot + 1
+    assert {r["position"]: -1 if r["doc_id"] is None else r["doc_id"] for r in got} == want
+    digest = {r["doc_id"]: r["ids_sha256"] for r in got if r["doc_id"] not in (None, 7)}
+    plain = piece_bpe.digests(piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)).collect()
+    assert len(got) == len(rows) and digest == {r["doc_id"]: r["ids_sha256"] for r in plain if r["doc_id"] not in (None, 7)}
