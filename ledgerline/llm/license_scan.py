@@ -1,12 +1,15 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A text block is a line. A block meets a template if it holds at least `threshold` of the template's distinct words. Both
+A text block is a line, or a window of words, which a wrap can't break: for a template of l words (repeated ones count) any
+ceil(l / threshold) words in a row, so that a few words between, as of comment signs, do no harm. A block meets a template if
+it holds at least `threshold` of the template's distinct words. Both
 sides are sets of template words in one order: by how many documents have them, rarest first (one pass over the corpus);
 other words can't meet anything. For a template of n words, need = ceil(threshold * n), and a block of m such words:
 length: m >= need, else no word is looked at;
 prefix: a common word must be among the template's n - need + 1 and the block's m - need + 1 rarest;
 position: the first common word, at places i and j, leaves at most min(n - i, m - j) common ones, which must be >= need.
-What passes is verified on whole sets, so no block is lost. The templates, and so the table of word counts, are
+What passes is verified on whole sets, so no block is lost. A document's words go through the filters first, as a block has
+no more of them; only for the templates that all its words meet are its lines and windows looked at. The templates, and so the table of word counts, are
 parameters of at most WORDS_MAX distinct words; they alone go to the driver and the executors.
 
 Words are runs of digits, a to z and non-ASCII characters after lower-casing A to Z. A null text is an empty one: no
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -72,6 +76,8 @@ class TemplateJoin:
         self.sets = [frozenset(self.place[w] for w in words) for words in sets]
         self.needs = [math.ceil(threshold * len(words) - 1e-9) for words in sets]
         self.labels = list(templates.values())
+        #: Words of a template's window.
+        self.spans = [math.ceil(len(words_of(text)) / threshold - 1e-9) for text in templates]
         self.least = min(self.needs, default=0)
         #: Prefix word to (template, words of the template from this one on).
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
@@ -98,6 +104,49 @@ class TemplateJoin:
         common = {number: len(self.sets[number] & known) for number in self.candidates(sorted(known))}
         return {number: n / len(self.sets[number]) for number, n in common.items() if n >= self.needs[number]}
 
+    def windows(self, words: list[str], number: int) -> Iterator[tuple[int, int, float]]:
+        """(first word, last word, containment) of the places where windows meet a template; overlapping windows are one place, the best of them."""
+        known, span, need = self.sets[number], self.spans[number], self.needs[number]
+        hits = [(at, p) for at, w in enumerate(words) if (p := self.place.get(w)) in known]
+        held: Counter[int] = Counter()
+        best, until, lo = None, -1, 0
+        for at, p in hits:
+            held[p] += 1
+            while hits[lo][0] <= at - span:
+                held[hits[lo][1]] -= 1
+                if not held[hits[lo][1]]:
+                    del held[hits[lo][1]]
+                lo += 1
+            if len(held) >= need:
+                if best and hits[lo][0] > until:
+                    yield best
+                    best = None
+                if not best or len(held) / len(known) > best[2]:
+                    best = hits[lo][0], at, len(held) / len(known)
+                until = at
+        if best:
+            yield best
+
+    def blocks(self, text: str, words: list[str]) -> list[dict]:
+        """The lines that meet templates, and the windows over several lines that hold more of a template than each of these lines; `line` is the first one."""
+        able = self.meets(set(words))
+        if not able:
+            return []
+        out, starts, n = [], [], 0
+        met: dict[int, dict[int, float]] = {}
+        for number, line in enumerate(text.split("\n")):
+            row = words_of(line)
+            starts.append(n)
+            n += len(row)
+            met[number] = self.meets(set(row))
+            out += [(number, t, c) for t, c in met[number].items()]
+        for t in able:
+            for first, last, c in self.windows(words, t):
+                lo, hi = bisect_right(starts, first) - 1, bisect_right(starts, last) - 1
+                if lo < hi and all(c > met[line].get(t, 0.0) for line in range(lo, hi + 1)):
+                    out.append((lo, t, c))
+        return [{"line": line, "label": self.labels[t], "containment": c} for line, t, c in sorted(out)]
+
 
 def phrase_places(words: list[str], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase's words stand."""
@@ -112,7 +161,7 @@ def phrase_places(words: list[str], phrases: dict[str, str]) -> list[tuple[int,
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """Per document: word count, phrase places, labels, score, and the blocks (line numbers) with their template labels.
+    """Per document: word count, phrase places, labels, score, and the blocks (numbers of their first lines) with their template labels.
 
     score is 1 where a phrase stands, else the largest containment of a block that meets a template, else 0.
     """
@@ -127,10 +176,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     def row(text: str) -> tuple:
         words = words_of(text)
         places = phrase_places(words, phrases)
-        blocks = []
-        if not join.starts.isdisjoint(words):  # no prefix word in any block
-            for number, line in enumerate(text.split("\n")):
-                blocks += [{"line": number, "label": join.labels[t], "containment": c} for t, c in sorted(join.meets(set(words_of(line))).items())]
+        blocks = [] if join.starts.isdisjoint(words) else join.blocks(text, words)  # else no prefix word in any block
         base = {label for _, label in places}
         at = [p for p, _ in places]
         score = 1.0 if places else max((b["containment"] for b in blocks), default=0.0)

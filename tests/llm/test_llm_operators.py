@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -205,6 +206,31 @@ def test_licenses(docs, empty, spark):
     assert license_scan.phrase_places("cc by x cc by cc by mit license".split(), license_scan.PHRASES) == [(0, "cc-by"), (3, "cc-by"), (5, "cc-by"), (7, "mit")]
 
 
+def test_wrapped_licenses(spark):
+    """Every template wrapped at 72 columns, plain, in comments and with blank lines between; none where its words lie far apart."""
+    templates, rows = list(license_scan.TEMPLATES), []
+    for t in templates:
+        lines = textwrap.wrap(t, 72)
+        rows += ["\n".join(lines), "/*\n * " + "\n * ".join(lines) + "\n */", "one\ntwo\n\n" + "\r\n\r\n".join(lines) + "\n\nthree", "\n".join(f"rem {x}" for x in textwrap.wrap(t, 36))]
+    rows += [("\n" + "filler " * 40).join(t.split()) for t in templates]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i in range(4 * len(templates)):
+        label = license_scan.TEMPLATES[templates[i // 4]]
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.8, rows[i]
+    assert all(not got[i]["blocks"] for i in range(4 * len(templates), len(rows)))
+    rnd = random.Random(6)
+    join = license_scan.TemplateJoin({"a b c d e": "x", "b c a f g h": "y", "a a h i": "z"}, {}, 0.8)
+    for _ in range(500):  # every window, one by one
+        lines = [[rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(4))] for _ in range(rnd.randrange(1, 12))]
+        words = [w for line in lines for w in line]
+        found = join.blocks("\n".join(map(" ".join, lines)), words)
+        for t, (template, label) in enumerate({"a b c d e": "x", "b c a f g h": "y", "a a h i": "z"}.items()):
+            whole, span = set(template.split()), join.spans[t]
+            held = [len(whole & set(block)) / len(whole) for block in [*lines, *(words[k : k + span] for k in range(len(words)))]]
+            want = max((c for c in held if c >= 0.8 - 1e-9), default=0.0)
+            assert max((b["containment"] for b in found if b["label"] == label), default=0.0) == want
+
+
 def test_mixing_stays_within_a_block(docs, empty, spark):
     for shares in ({"a": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 500, "b": 333, "c": 166, "d": 1}):
         slots = mixing.period_slots(spark.createDataFrame(list(shares.items()), "source string, p long")).collect()
