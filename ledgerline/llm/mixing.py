@@ -7,7 +7,8 @@ folded once and repeats: a block's slot follows from its number alone, and at an
 source's count is less than one block from its share.
 
 Rows are numbered within their source by counts per id range with prefix sums, so that no task holds a whole source.
-Null sources are a source of their own; null doc_ids come first; equal doc_ids follow a hash of their text; an empty table gives
+A source that a caller's weights do not list gets one slot a period, so that its rows are placed too. Over SOURCES_MAX
+sources are an error. Null sources are a source of their own; null doc_ids come first; equal doc_ids follow a hash of their text; an empty table gives
 no rows. Repeated rows are all placed. A source that has run out leaves its slots empty.
 """
 
@@ -32,6 +33,13 @@ def tempered_weights(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     return roots.select("source", F.greatest(F.lit(1), F.expr(f"root * {period} div total")).cast("long").alias("p"))
 
 
+def with_unlisted(weights: DataFrame, docs: DataFrame) -> DataFrame:
+    """`weights` (source, p), and the sources of `docs` that it lacks with a p of 1."""
+    listed = weights.select(F.col("source").alias("_s"))
+    rest = docs.select("source").distinct().join(listed, F.col("source").eqNullSafe(F.col("_s")), "left_anti")
+    return weights.select("source", F.col("p").cast("long").alias("p")).union(rest.select("source", F.lit(1).cast("long")))
+
+
 def period_slots(weights: DataFrame) -> DataFrame:
     """source, p, w (slots of a period), j (block within the period), at (its slot) for `weights` (source, p)."""
     packed = weights.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "p"))).alias("s"))
@@ -68,7 +76,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     of: a table with the doc_ids and sources of the same rows, to count in where `docs` is costly to compute; tie: a column
     with the hash xxhash64 of the texts, where `docs` no longer has them.
     """
-    slots = period_slots(tempered_weights(docs if of is None else of, period) if weights is None else weights)
+    sources = docs if of is None else of
+    slots = period_slots(tempered_weights(sources, period) if weights is None else with_unlisted(weights, sources))
     slots = slots.select(F.col("source").alias("_s"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("j").alias("_j"), F.col("at").alias("_at"))
     shares = slots.select("_s", "_p", "_w").distinct().select(F.col("_s").alias("_t"), "_p", "_w")
     rows = numbered(docs, of, tie).withColumn("block", F.expr(f"_n div {block}"))

@@ -250,6 +250,14 @@ def test_mixing_stays_within_a_block(docs, empty, spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_order(docs).columns == docs.columns
 
 
+def test_sources_without_weights_are_placed(docs, spark):
+    for listed in ([("s1", 3)], [("s1", 3), (None, 2)], [("s2", 1), ("absent", 4)]):
+        got = mixing.mix(docs, spark.createDataFrame(listed, "source string, p int"), block=4).collect()
+        assert len(got) == len(odd_rows()) and len({r["position"] for r in got}) == len(got)
+        p = {s: 1 for s in ("s1", "s2", None)} | dict(listed)
+        assert all(r["slot"] // sum(p.values()) == r["block"] // p[r["source"]] for r in got)
+
+
 def vector_rows():
     rnd = np.random.default_rng(4)
     v = rnd.normal(size=(300, 8)).astype(float)
