@@ -83,10 +83,9 @@ def confirm(pairs: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFra
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "u_text", 4 * CHUNK_BYTES):
             left = shingle_sets(*flat(batch.column("u_text")), k)
-            v = batch.column("v").to_numpy()
-            new, which = np.unique(v, return_index=True)
-            right = dict(zip(new.tolist(), shingle_sets(*flat(batch.column("v_text").take(pa.array(which))), k), strict=True))
-            yield batch.select(["u", "v"]).filter(pa.array([similar(s, right[x], percent) for s, x in zip(left, v.tolist(), strict=True)], pa.bool_()))
+            texts_ = batch.column("v_text").dictionary_encode()  # by text, as rows may share a doc_id with different texts
+            right = shingle_sets(*flat(texts_.dictionary), k)
+            yield batch.select(["u", "v"]).filter(pa.array([similar(s, right[x], percent) for s, x in zip(left, texts_.indices.to_pylist(), strict=True)], pa.bool_()))
 
     u = pairs.join(whole.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
     return u.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").select("u", "v", "u_text", "v_text").mapInArrow(work, "u long, v long").distinct()

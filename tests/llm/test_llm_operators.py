@@ -87,6 +87,14 @@ def test_links_that_no_star_finds(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == best
 
 
+def test_two_texts_under_one_doc_id(spark):
+    """Each text of a doc_id has its own links, also where many pairs share that doc_id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    whole = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "quite other words than these are here")], "doc_id long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "u long, v long")
+    assert sorted(map(tuple, near_dup.confirm(pairs, whole, 5, 75).collect())) == [(2, 1), (3, 1)]
+
+
 def test_common_counts():
     rnd = np.random.default_rng(1)
     a, b = ([np.unique(rnd.integers(0, 90, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 60, 1), (30, 80)))
