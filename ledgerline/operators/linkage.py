@@ -25,11 +25,21 @@ def contested(links: DataFrame) -> DataFrame:
     return links.withColumn("contested", F.col("right_id").isNotNull() & (claims > 1)).withColumn("right_id", F.when(~F.col("contested"), F.col("right_id")))
 
 
+def _name_pairs(left: DataFrame, right: DataFrame, block: str, name: str) -> DataFrame:
+    """block and name of the distinct left names with each right name of the block (_other), its rows (points) and its first right_id."""
+    other = right.groupBy(block, F.col(name).alias("_other")).agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"))
+    return left.select(block, name).distinct().join(other, block)
+
+
 def suffix(left: DataFrame, right: DataFrame, block: str, name: str, shortest: int = 5) -> DataFrame:
-    """Left rows whose name ends with, or is the end of, exactly one right name of the block (equal names apart)."""
-    other = right.select(block, F.col(name).alias("_other"), F.col("right_id"))
-    pairs = left.join(other, block).filter((F.col(name) != F.col("_other")) & (F.least(F.length(name), F.length("_other")) >= shortest) & (F.endswith(F.col(name), F.col("_other")) | F.endswith(F.col("_other"), F.col(name))))
-    return pairs.groupBy("left_id").agg(F.count("*").alias("candidates"), F.min("right_id").alias("right_id")).withColumn("right_id", F.when(F.col("candidates") == 1, F.col("right_id")))
+    """Left rows whose name ends with, or is the end of, exactly one right name of the block (equal names apart).
+
+    Names are compared once, however many rows of the block have them.
+    """
+    pairs = _name_pairs(left, right, block, name).filter((F.col(name) != F.col("_other")) & (F.least(F.length(name), F.length("_other")) >= shortest) & (F.endswith(F.col(name), F.col("_other")) | F.endswith(F.col("_other"), F.col(name))))
+    found = pairs.groupBy(block, name).agg(F.sum("points").alias("points"), F.min("right_id").alias("right_id"))
+    rows = left.select("left_id", block, name).join(found, [block, name]).groupBy("left_id").agg(F.sum("points").alias("candidates"), F.min("right_id").alias("right_id"))
+    return rows.withColumn("right_id", F.when(F.col("candidates") == 1, F.col("right_id")))
 
 
 def fuzzy(left: DataFrame, right: DataFrame, block: str, name: str, threshold: float = 0.8) -> DataFrame:

@@ -83,3 +83,13 @@ def test_stream_equals_batch(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, tumbling_counts(source).collect()))
+
+
+def test_suffix_compares_names_once(spark):
+    left = spark.createDataFrame([(i, "b", ["north clinic", "clinic", "other name"][i % 3]) for i in range(60)], "left_id int, block string, name string")
+    right = spark.createDataFrame([(i, "b", "far north clinic") for i in range(40)] + [(99, "b", "other"), (98, "c", "x clinic"), (97, "b", None)], "right_id int, block string, name string")
+    assert linkage._name_pairs(left, right, "block", "name").count() == 3 * 3  # not 60 * 42
+    got = {r["left_id"]: (r["candidates"], r["right_id"]) for r in linkage.suffix(left, right, "block", "name").collect()}
+    assert got == {i: (40, None) for i in range(60) if i % 3 < 2}
+    right = right.filter("right_id in (7, 99)")
+    assert {r["right_id"] for r in linkage.suffix(left, right, "block", "name").collect()} == {7}
