@@ -11,12 +11,20 @@ windows with one anchor make a segment. Three shuffles follow, each of packed ro
 Within a flush, copies of a segment are settled against the smallest doc_id there, so a very common passage sends one row
 per flush. The texts are shuffled once, by doc_id; both joins with them use the same exchange.
 
-Null doc_ids take no part and keep their text; rows with one doc_id don't remove from each other; a null text is an empty
-one; extra columns are ignored.
+There are as many buckets as BUCKET_BYTES of text, so a bucket stays as small however much text there is. An anchor that very many
+documents have with different bytes around it would still fill one bucket; such anchors are estimated from a sample of documents (which
+only decides where segments go, not what is found), and their segments go to buckets by the anchor and some of the bytes around it:
+each level takes half of what a window has beyond, from its longer side, until at the last level a window goes by all its bytes.
+As that depends on the window alone, equal windows still meet.
+
+Null doc_ids take no part and keep their text; rows with one doc_id don't remove from each other, and each keeps the spans of its
+own text; a null text is an empty one; a text of any length is read in pieces of PIECE bytes; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,16 +36,28 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, flat, long_rows, partitions, row_chunks
 from ledgerline.llm.shingles import mix
-from ledgerline.llm.suffix_array import equal_prefixes, keys8, suffix_array
+from ledgerline.llm.suffix_array import common_prefixes, keys8, suffix_array
 
-GRAM = 16
 #: Bits of a position within a piece; the rest of the 64 are the gram's hash.
 PLACE = 24
 PIECE = 1 << (PLACE - 1)
 #: Bytes of text after which a task sends what it has gathered.
 FLUSH = 16 << 20
-#: Tells apart texts that share a doc_id.
-VERSION = "cast(xxhash64(text) % 32768 as int)"
+#: Bytes of text for one bucket.
+BUCKET_BYTES = 2 << 20
+#: 128 bits of a text.
+DIGEST = "struct(xxhash64(text), xxhash64(1, text))"
+#: Tells apart texts that share a doc_id: 0, or the place of this text among them (`several`, see texts_by_id()).
+VERSION = f"coalesce(array_position(several, {DIGEST}), 0)"
+#: Documents with an anchor from which on its segments are split, and the factor from level to level.
+HOT, HOTTER = 4_096, 8
+#: Documents that the estimate reads: all up to so many, then a share, 1 / SPARSE of them at least; anchors that it finds.
+SAMPLE, SPARSE, HOT_MAX = 20_000, 1_024, 1 << 18
+
+
+def gram_of(length: int) -> int:
+    """Bytes of the grams for windows of this length; a window has more than two of them."""
+    return 16 if length > 32 else 8
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -46,8 +66,8 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """All segments of these texts: row, first window, last window (positions in the text), anchor hash."""
-    out = []
+    """All segments of these texts: row, first window, last window, anchor (positions in the text), anchor hash."""
+    out, gram = [], gram_of(length)
     for lo, hi in row_chunks(offsets):
         base, end = int(offsets[lo]), int(offsets[hi])
         row_of = np.repeat(np.arange(lo, hi), np.diff(offsets[lo : hi + 1]))
@@ -58,15 +78,15 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
             if len(part) < length:
                 continue
             eight = np.ndarray((len(part) - 7,), "<u8", np.ascontiguousarray(part), strides=(1,)).astype(np.uint64)
-            n = len(part) - GRAM + 1
+            n = len(part) - gram + 1
             hashed = eight[:n].copy()
-            for at in range(8, GRAM, 8):
+            for at in range(8, gram, 8):
                 hashed *= np.uint64(0x9E3779B97F4A7C15)
                 hashed ^= hashed >> np.uint64(29)
                 hashed += eight[at : at + n]
             hashed = mix(hashed)
             low = (hashed & np.uint64(-1 << PLACE & (1 << 64) - 1)) | np.arange(n, dtype=np.uint64)
-            width, have = length - GRAM + 1, 1
+            width, have = length - gram + 1, 1
             while have < width:  # minimum of `have` values, doubled up to the window's
                 step = min(have, width - have)
                 low = np.minimum(low[:-step], low[step:])
@@ -79,9 +99,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
             first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
             last = np.append(first[1:], len(fits)) - 1
             start = offsets[row[first]] - piece
-            out.append((row[first], fits[first] - start, fits[last] - start, hashed[(anchor[first] & np.uint64((1 << PLACE) - 1)).astype(np.int64)]))
+            place = (anchor[first] & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+            out.append((row[first], fits[first] - start, fits[last] - start, place - start, hashed[place]))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
@@ -113,7 +134,7 @@ def same_text(data: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -
         return n
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     front = length // 8
-    back = -(-(2 * length - GRAM - 8 * front) // 8)  # what the longest segment has beyond
+    back = -(-(2 * length - gram_of(length) - 8 * front) // 8)  # what the longest segment has beyond
     words = [*(eight[at + 8 * i] for i in range(front)), *(eight[at + size - 8 * (i + 1)] for i in range(back))]
     h = size.astype(np.uint64)
     for w in words:
@@ -168,6 +189,62 @@ def _flushes(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
         yield held
 
 
+def split(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray, level: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Parts of segments by the bytes around their anchors: segment number, shift, size, hash of these bytes.
+
+    data; at, size, anchor: where a segment and its anchor start in it, and the segment's size; level: 1 or more. A part holds the windows
+    with the same bytes around the anchor.
+    """
+    if not len(at):
+        return at, at, at, np.zeros(0, np.uint64)
+    gram = gram_of(length)
+    count = size - length + 1
+    of = np.repeat(np.arange(len(at)), count)
+    window = np.repeat(at - np.cumsum(count) + count, count) + np.arange(count.sum())
+    lo = anchor[of]
+    hi = lo + gram
+    rounds, most = level[of], int(level.max(initial=0))
+    for n in range(most):
+        left, right = lo - window, window + length - hi
+        take = np.where(rounds > n, (left + right + 1) // 2, 0)
+        to_right = right >= take
+        hi, lo = hi + np.where(to_right, take, 0), lo - np.where(to_right, 0, take)
+    head = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+    last = np.append(head[1:], len(of)) - 1
+    lo, hi, n = lo[head], hi[head], hi[head] - lo[head]
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    h = n.astype(np.uint64)
+    for word in range(-(-length // 8)):  # the last one ends with these bytes
+        h = np.where(8 * word < n, mix(h + eight[np.minimum(lo + 8 * word, hi - 8)]), h)
+    return of[head], window[head] - at[of[head]], window[last] - window[head] + length, h
+
+
+def hot_anchors(whole: DataFrame, length: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and levels of the anchors that HOT documents or more have, by a sample of `whole` (id, text; of `rows` rows).
+
+    At most HOT_MAX pairs of numbers come to the driver, the most common ones; those behind them are rarer than 1 / HOT_MAX of all.
+    """
+    sparse = max(1, min(SPARSE, rows // SAMPLE))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _flushes(batches):
+            found = []
+            for batch in held:
+                row, _, _, _, anchor = segments(*flat(batch.column("text")), length)
+                order = np.lexsort((row, anchor))
+                row, anchor = row[order], anchor[order]
+                found.append(anchor[np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])[: len(row)]])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    few = whole.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(sparse)) == 0).select("text")
+    counts = few.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") * sparse >= HOT)
+    found = counts.orderBy(F.col("n").desc(), "h").limit(HOT_MAX).collect() if rows >= HOT else []
+    h, n = (np.array([r[c] for r in found], np.int64) for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], 1 + np.floor(np.log(np.maximum(n[order] * sparse / HOT, 1)) / math.log(HOTTER)).astype(np.int64)
+
+
 def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """doc_id, anchor (long): the anchors that another document may have too."""
 
@@ -175,7 +252,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for held in _flushes(batches):
             hashes, ids = [], []
             for batch in held:
-                row, _, _, anchor = segments(*flat(batch.column("text")), length)
+                row, _, _, _, anchor = segments(*flat(batch.column("text")), length)
                 hashes.append(_anchor(anchor, buckets))
                 ids.append(batch.column("doc_id").to_numpy()[row])
             h, doc = np.concatenate(hashes), np.concatenate(ids)
@@ -204,18 +281,25 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(gather, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(meet, "doc_id long, anchor long")
 
 
-def removals(whole: DataFrame, length: int, buckets: int) -> DataFrame:
+def texts_by_id(whole: DataFrame) -> DataFrame:
+    """id, several: digests of the texts under a doc_id that has more than one."""
+    return whole.groupBy("id").agg(F.array_sort(F.collect_set(F.expr(DIGEST))).alias("several")).filter("size(several) > 1")
+
+
+def removals(whole: DataFrame, several: DataFrame, length: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, version (of the text), start, end: intervals to remove; they may overlap."""
     wanted = shared_anchors(whole.select(F.col("id").alias("doc_id"), "text"), length, buckets).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("anchor").alias("anchors"))
     # All columns stay, so that this join and the last one have one exchange of the texts.
-    versioned = whole.join(wanted, "id").select(*whole.columns, F.expr(VERSION).alias("version"), "anchors")
+    versioned = whole.join(wanted, "id").join(several, "id", "left").select(*whole.columns, F.expr(VERSION).cast("int").alias("version"), "anchors")
+    shared = whole.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MAX pairs
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_hash, hot_level = shared.value
         for held in _flushes(batches):
             found, base = [], 0
             for batch in held:
                 data, at = flat(batch.column("text"))
-                row, first, last, h = segments(data, at, length)
+                row, first, last, anchor, h = segments(data, at, length)
                 key = _anchor(h, buckets)
                 lists = batch.column("anchors")
                 ends = np.asarray(lists.offsets).astype(np.int64)
@@ -224,26 +308,43 @@ def removals(whole: DataFrame, length: int, buckets: int) -> DataFrame:
                 hit = np.isin(both(key, row), both(np.asarray(lists.values)[ends[0] : ends[-1]], wanted_row))
                 row, first, size = row[hit], first[hit], (last - first)[hit] + length
                 ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
-                found.append((key[hit], ids[row], versions[row].astype(np.int64), first, base + at[row] + first, size))
+                found.append((key[hit] >> 32, h[hit], ids[row], versions[row].astype(np.int64), first, base + at[row] + first, size, base + at[row] + anchor[hit]))
                 base += len(data)
             data = np.concatenate([flat(batch.column("text"))[0] for batch in held])
-            key, doc, version, first, at, size = map(np.concatenate, zip(*found, strict=True))
+            bucket, h, doc, version, first, at, size, anchor = map(np.concatenate, zip(*found, strict=True))
             group = same_text(data, at, size, length)
             order = np.lexsort((doc, group))
             head = _runs(group[order])
             least = np.empty(len(doc), np.int64)
             least[order] = np.repeat(doc[order[head]], np.diff(np.append(head, len(doc))))
             gone, stays = doc > least, np.flatnonzero(doc == least)
-            stays = stays[np.argsort(key[stays], kind="stable")]
-            cuts = _runs(key[stays] >> 32)
             rows = list(_blobs([doc[gone], version[gone], first[gone], (first + size)[gone]], buckets))
+            _, one, owner = np.unique(group[stays], return_index=True, return_inverse=True)
+            one = stays[one]  # the different segments
+            place = np.minimum(np.searchsorted(hot_hash, h[one]), max(0, len(hot_hash) - 1))
+            level = np.where(hot_hash[place] == h[one], hot_level[place], 0) if len(hot_hash) else np.zeros(len(one), np.int64)
+            split_ = np.flatnonzero(level)
+            of, shift, part, around = split(data, at[one[split_]], size[one[split_]], anchor[one[split_]], level[split_], length)
+            whole_ = np.flatnonzero(level == 0)
+            of = np.concatenate([whole_, split_[of]])
+            shift, part = np.concatenate([np.zeros(len(whole_), np.int64), shift]), np.concatenate([size[one[whole_]], part])
+            to = np.concatenate([bucket[one[whole_]], (around % np.uint64(buckets)).astype(np.int64)])
+            # Each owner of a segment owns its parts, which are put in the order of their buckets.
+            order = np.argsort(of, kind="stable")
+            count = np.bincount(of, minlength=len(one))
+            begins = np.cumsum(count) - count
+            n = count[owner]
+            mine = order[np.repeat(begins[owner] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            stays = np.repeat(stays, n)
+            by = np.argsort(to[mine], kind="stable")
+            mine, stays = mine[by], stays[by]
+            cuts = _runs(to[mine])
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(stays)], strict=True) if len(stays) else ():
+                parts, number = np.unique(mine[lo:hi], return_inverse=True)
                 own = stays[lo:hi]
-                _, one, owner = np.unique(group[own], return_index=True, return_inverse=True)
-                one = own[one]
-                numbers = pack(owner, doc[own], version[own], first[own])
-                body = zstandard.ZstdCompressor(level=1).compress(cut_out(data, at[one], size[one]).tobytes())
-                rows.append((int(key[own[0]] >> 32), 0, np.array([len(numbers), len(one)], "<i8").tobytes() + numbers + size[one].astype("<i4").tobytes() + body))
+                numbers = pack(number, doc[own], version[own], first[own] + shift[mine[lo:hi]])
+                body = zstandard.ZstdCompressor(level=1).compress(cut_out(data, at[one[of[parts]]] + shift[parts], part[parts]).tobytes())
+                rows.append((int(to[parts[0]]), 0, np.array([len(numbers), len(parts)], "<i8").tobytes() + numbers + part[parts].astype("<i4").tobytes() + body))
             yield _rows(rows)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -277,13 +378,13 @@ def settled(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int)
     owner[0] = number[owner[0]]
     owner = owner[:, np.argsort(owner[0], kind="stable")]
     least = np.minimum.reduceat(owner[1], _runs(owner[0]))  # by segment; each has an owner
-    keys = keys8(text)
-    sa = suffix_array(text, keys)
+    depth = -(-length // 8) * 8
+    keys = keys8(text, depth)
+    sa = suffix_array(text, depth, keys)
     # A window must end within its segment.
-    segment_of = np.repeat(np.arange(len(size)), size)
-    within = np.arange(len(text)) + length <= np.repeat(at + size, size)
-    sa = sa[within[sa]]
-    group = np.flatnonzero(np.concatenate([[True], ~equal_prefixes(sa, keys, length)]))
+    segment_of, stop = np.repeat(np.arange(len(size)), size), np.repeat(at + size, size)
+    sa = sa[sa + length <= stop[sa]]
+    group = np.flatnonzero(np.concatenate([[True], common_prefixes(text, sa, keys, stop) < length]))
     smallest = np.empty(len(text), np.int64)
     smallest[sa] = np.repeat(np.minimum.reduceat(least[segment_of[sa]], group), np.diff(np.append(group, len(sa))))
     # The windows of each segment in text order, against each owner of the segment.
@@ -301,19 +402,22 @@ def settled(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int)
 def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, text, spans (maximal removed byte runs, array<struct<start, end>>), kept (binary) and the columns `carry` of every row.
 
-    length: 33 to 56 bytes, for this anchor and suffix depth. as_text: kept is a string; a character cut in two goes as a whole.
+    length: 17 bytes or more. as_text: kept is a string; a character cut in two goes as a whole.
     """
-    if not 2 * GRAM < length <= 56:
-        raise ValueError("length must be 33 to 56 bytes")
+    if length <= 2 * gram_of(length):
+        raise ValueError("length must be 17 bytes or more")
     long_rows(docs.sparkSession)
     own = F.coalesce("text", F.lit(""))
     # Under another name, as Catalyst would drop an alias of the same one in one of the joins and then see two exchanges.
     every = docs.select(F.col("doc_id").cast("long").alias("id"), own.alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     whole = every.filter("id is not null")
     none = F.array().cast("array<struct<version: int, start: int, end: int>>")
-    gone = removals(whole, length, 4 * partitions(docs.sparkSession))
+    size = whole.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(4 * partitions(docs.sparkSession), size[1] // BUCKET_BYTES)
+    several = texts_by_id(whole)
+    gone = removals(whole, several, length, buckets, hot_anchors(whole, length, size[0]))
     gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("version", "start", "end")).alias("gone"))
-    rows = whole.join(gone, "id", "left").select(*whole.columns, F.expr(VERSION).alias("version"), F.coalesce("gone", none).alias("gone"))
+    rows = whole.join(gone, "id", "left").join(several, "id", "left").select(*whole.columns, F.expr(VERSION).cast("int").alias("version"), F.coalesce("gone", none).alias("gone"))
     rows = rows.union(every.filter("id is null").select("*", F.lit(0), none))
     schema = T.StructType.fromDDL("doc_id long, text string, spans array<struct<start: int, end: int>>, kept " + ("string" if as_text else "binary"))
     schema = T.StructType([*schema.fields, *[T.StructField(c, docs.schema[c].dataType) for c in carry]])

@@ -1,6 +1,6 @@
 """Suffix arrays by two-stage sorting, in numpy.
 
-Only the suffixes that are smaller than their successors are sorted directly, here by their first DEPTH bytes. All
+Only the suffixes that are smaller than their successors are sorted directly, here by their first `depth` bytes. All
 others are induced: character by character in ascending order, a finished bucket is scanned and each suffix in it
 places its predecessor, if that one is larger than it, behind those already placed in the predecessor's bucket. As one
 scan of a bucket is one stable sort of its predecessors by their first byte, the work stays in numpy.
@@ -10,13 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that the direct sort compares; suffixes that agree so far count as equal.
-DEPTH = 56
 
-
-def keys8(text: np.ndarray) -> np.ndarray:
-    """For each position, its next eight bytes as a number that sorts like them; behind the end come zeros."""
-    padded = np.concatenate([text, np.zeros(8 + DEPTH, np.uint8)])
+def keys8(text: np.ndarray, depth: int) -> np.ndarray:
+    """For each position, its next eight bytes as a number that sorts like them; behind the end come `depth` zeros and more."""
+    padded = np.concatenate([text, np.zeros(16 + depth, np.uint8)])
     return np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
@@ -32,13 +29,13 @@ def smaller_than_successor(text: np.ndarray) -> np.ndarray:
     return up
 
 
-def sort_directly(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions `at` in the order of their first DEPTH bytes; rounds of eight bytes touch only what is still tied."""
+def sort_directly(at: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
+    """Positions `at` in the order of their first `depth` bytes; rounds of eight bytes touch only what is still tied."""
     order = at[np.argsort(keys[at], kind="stable")]
     first = keys[order]
     group = np.concatenate([[0], np.cumsum(first[1:] != first[:-1])]) if len(order) else np.zeros(0, np.int64)
     open_ = np.arange(len(order))
-    for shift in range(8, DEPTH, 8):
+    for shift in range(8, depth, 8):
         g = group[open_]
         same = np.zeros(len(g) + 1, bool)
         same[1:-1] = g[1:] == g[:-1]
@@ -54,13 +51,13 @@ def sort_directly(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
-    """All positions of `text` (uint8) in suffix order, exact in the first DEPTH bytes."""
+def suffix_array(text: np.ndarray, depth: int, keys: np.ndarray | None = None) -> np.ndarray:
+    """All positions of `text` (uint8) in suffix order, exact in the first `depth` bytes: suffixes that agree so far count as equal."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     up = smaller_than_successor(text)
-    direct = sort_directly(np.flatnonzero(up), keys8(text) if keys is None else keys)
+    direct = sort_directly(np.flatnonzero(up), keys8(text, depth) if keys is None else keys, depth)
     heads = text[direct]
     bounds = np.searchsorted(heads, np.arange(257))
     down = ~up
@@ -87,10 +84,22 @@ def suffix_array(text: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray
     return np.concatenate(out)
 
 
-def equal_prefixes(sa: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix of `sa` but the first shares its first `length` bytes (8 to DEPTH) with the one before it."""
-    same = np.ones(max(0, len(sa) - 1), bool)
-    for shift in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        k = keys[sa + shift]
-        same &= k[1:] == k[:-1]
-    return same
+def common_prefixes(text: np.ndarray, sa: np.ndarray, keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix of `sa` but the first has in common with the one before it.
+
+    stop: where the suffix at each position of `text` ends, e.g. with its segment; no common prefix goes beyond. Rounds of eight bytes touch
+    only what is still equal.
+    """
+    a, b = sa[:-1], sa[1:]
+    room = np.minimum(stop[a] - a, stop[b] - b)
+    common = np.zeros(len(room), np.int64)
+    open_ = np.arange(len(room))
+    while len(open_):
+        x = keys[a[open_] + common[open_]] ^ keys[b[open_] + common[open_]]
+        # The leading zero bytes of the difference.
+        same = np.zeros(len(x), np.int64)
+        for byte in range(8):
+            same += (x >> np.uint64(56 - 8 * byte)) == 0
+        common[open_] = np.minimum(common[open_] + same, room[open_])
+        open_ = open_[(same == 8) & (common[open_] < room[open_])]
+    return common

@@ -101,21 +101,21 @@ def test_common_counts():
     assert near_dup.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
 
 
-def removed(rows):
+def removed(rows, n=50):
     """Kept bytes and removed spans by brute force: {(doc_id, text): ...}."""
     first = {}
     for i, t in rows:
         b = (t or "").encode()
-        for at in range(len(b) - 49):
+        for at in range(len(b) - n + 1):
             if i is not None:
-                first[b[at : at + 50]] = min(i, first.get(b[at : at + 50], i))
+                first[b[at : at + n]] = min(i, first.get(b[at : at + n], i))
     out = {}
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b) + 2, bool)
-        for at in range(len(b) - 49):
-            if i is not None and first[b[at : at + 50]] < i:
-                gone[at + 1 : at + 51] = True
+        for at in range(len(b) - n + 1):
+            if i is not None and first[b[at : at + n]] < i:
+                gone[at + 1 : at + 1 + n] = True
         out[i, t or ""] = (bytes(x for x, g in zip(b, gone[1:], strict=False) if not g), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()))
     return out
 
@@ -132,13 +132,68 @@ def test_repeats(docs, empty):
     assert repeats.digests(repeats.remove_repeats(empty)).count() == 0
 
 
+@pytest.mark.parametrize("length", [17, 33, 100])
+def test_repeats_of_other_lengths(docs, length):
+    want = removed([r[:2] for r in odd_rows()], length)
+    for r in repeats.remove_repeats(docs, length).collect():
+        assert (bytes(r["kept"]), len(r["spans"])) == want[r["doc_id"], r["text"]][::2]
+
+
+def test_texts_under_one_doc_id_keep_their_own_spans(spark):
+    """Many texts under one doc_id, some with equal low bits of their hash: only those with the passage lose it."""
+    import xxhash
+
+    passage, low = "a passage that an earlier document has, of over fifty bytes; " * 2, defaultdict(list)
+    for i in range(3_000):
+        t = f"text {i} " + (passage if i % 2 else "stands alone ") + f"{i * i}"
+        low[xxhash.xxh64_intdigest(t.encode(), 42) % 1_024].append(t)
+    mine = max(low.values(), key=len)
+    assert any(passage in t for t in mine) and any(passage not in t for t in mine)
+    rows = [(1, passage)] + [(5, t) for t in mine] + [(6, t) for t in mine[:2]]
+    want = removed(rows)
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert bytes(r["kept"]) == want[r["doc_id"], r["text"]][0], r
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """A passage and a ruler that most documents have, each in other surroundings, at every level."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("ab \n") for _ in range(n))
+    rows = [(i, text(rnd.randrange(90)) + rnd.choice(["-" * rnd.randrange(16, 60), "this passage stands in most of the documents, as a notice does"]) + text(rnd.randrange(90))) for i in range(400)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), removed(rows)
+    for hot, hotter in ((10**9, 8), (300, 8), (20, 8), (2, 2), (1, 1.01)):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        monkeypatch.setattr(repeats, "HOTTER", hotter)
+        monkeypatch.setattr(repeats, "FLUSH", 4_000)
+        for r in repeats.remove_repeats(docs).collect():
+            assert (bytes(r["kept"]), len(r["spans"])) == want[r["doc_id"], r["text"]][::2]
+
+
+def test_common_prefixes():
+    from ledgerline.llm import suffix_array
+
+    rnd = np.random.default_rng(3)
+    text = rnd.integers(97, 99, 500).astype(np.uint8)
+    text[100:160] = 97
+    sa = suffix_array.suffix_array(text, 504)
+    b = text.tobytes()
+    assert sa.tolist() == sorted(range(500), key=lambda i: b[i:])
+    stop = np.repeat(np.arange(50, 501, 50), 50)
+    got = suffix_array.common_prefixes(text, sa, suffix_array.keys8(text, 504), stop)
+    for x, y, n in zip(sa[:-1].tolist(), sa[1:].tolist(), got.tolist(), strict=True):
+        u, v = b[x : stop[x]], b[y : stop[y]]
+        assert n == next((k for k, (p, q) in enumerate(zip(u, v)) if p != q), min(len(u), len(v)))
+
+
 def test_repeats_in_pieces(monkeypatch):
     """Texts longer than a piece give the same segments."""
     data = np.frombuffer(bytes(random.Random(1).choice(b"ab ") for _ in range(5_000)), np.uint8)
     whole = repeats.segments(data, np.array([0, 2_000, 2_020, 5_000]), 50)
     monkeypatch.setattr(repeats, "PIECE", 700)
     pieces = repeats.segments(data, np.array([0, 2_000, 2_020, 5_000]), 50)
-    windows = lambda s: {(r, w, h) for r, a, b, h in zip(*(x.tolist() for x in s), strict=True) for w in range(a, b + 1)}
+    windows = lambda s: {(r, w, p, h) for r, a, b, p, h in zip(*(x.tolist() for x in s), strict=True) for w in range(a, b + 1)}
     assert windows(whole) == windows(pieces)
 
 
