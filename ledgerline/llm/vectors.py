@@ -1,68 +1,109 @@
 """Exact top-k search by tiled matrix products, and approximate nearest neighbours by vantage-point trees.
 
-Both deal the vectors out over shards and the queries over blocks, search each (block, shard) pair in one task, and merge the
-lists of a query over groups of shards, level by level. A pair holds at most about SHARD vectors and BLOCK queries.
+Vectors are dealt out over shards of about SHARD_BYTES, the queries over blocks of BLOCK, and each pair of a shard and a block is one run
+of sorted rows: the shard first, which the task keeps, then the block's queries, which stream by in tiles. So a task holds
+one shard and one tile, each vector is sent once per block and each query once per shard, in the component type of the table (float or
+double). The lists of a query are merged in a tree: of FAN_IN shards each, then of FAN_IN such groups, until one list is left.
 
 Vectors that are null, empty or hold null or non-finite components take no part (in the tree search, zero vectors neither); null
 vec_ids neither. Of rows with one vec_id the smallest vector counts. Vectors are only compared with those of their own
-length. Extra columns are ignored. A query is never its own neighbour; with fewer candidates than k, all are returned.
+length. Extra columns are ignored, whatever their names. A query is never its own neighbour; with fewer candidates than k, all are
+returned; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, partitions
+from ledgerline.llm.common import cut, long_rows, partitions
 
-SHARD = 1 << 16
-BLOCK = 1 << 12
+SHARD_BYTES = 64 << 20
+#: Queries that meet a shard in one task.
+BLOCK = 1 << 18
+#: Queries of one tile.
+TILE = 1_024
 #: No finer shards than these, however many tasks could run.
 LEAST = 1 << 12
-FAN_IN = 32
+FAN_IN = 8
+LONG = (1 << 63) - 1
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>), dim; one row per vec_id."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v (array<float> or array<double>, as in the table), dim; one row per vec_id."""
+    kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
-def search(rows: DataFrame, queries: DataFrame, work: Callable, k: int, largest: str, schema: str) -> DataFrame:
-    """`work` on every (shard, query block) pair, then merges of each query's lists; rows: vec_id, v, dim."""
-    spark = rows.sparkSession
-    rows = cut(rows, "vectors")
-    queries = queries(rows)
-    n, q = rows.count(), queries.count()
-    shards = max(1, math.ceil(n / SHARD), min(partitions(spark), math.ceil(n / LEAST)))
-    blocks = max(1, math.ceil(q / BLOCK))
-    pair = ["dim", "shard", "block"]
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("dim"))
-    right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], kind), "shard": pa.array([], pa.int32())})
-        matrix = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten()).reshape(len(t), -1)
-        ids = a.column("vec_id").to_numpy()
-        order = np.argsort(ids)
-        query, vec, score = work(ids[order], matrix(a, "v")[order], b.column("query_id").to_numpy(), matrix(b, "q"))
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, kind), "shard": pa.array(np.full(len(query), a.column("shard")[0].as_py(), np.int32))})
-
-    kind = pa.int64() if schema == "long" else pa.float64()
-    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(tile, f"query_id long, vec_id long, score {schema}, shard int")
-    order = [F.col(largest).desc(), F.col("vec_id")]
-    while shards > FAN_IN:  # a tree of merges
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut where the values of `keys` change."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
+            yield batch.slice(lo, hi - lo)
+
+
+def sharded(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`rows` (vec_id, v, dim) with shard, and the number of shards."""
+    n, dim = rows.agg(F.count("*"), F.max("dim")).first()
+    shards = max(1, math.ceil(n * (dim or 0) * 8 / SHARD_BYTES), min(partitions(rows.sparkSession), math.ceil(n / LEAST)))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), shards
+
+
+def search(rows: DataFrame, shards: int, queries: DataFrame, prepare: Callable, work: Callable, k: int, kind: str) -> DataFrame:
+    """`work` on every shard and tile of queries, then merges of each query's lists.
+
+    rows: vec_id, v, dim, shard, and `place` in the shard; prepare(batch of a whole shard) gives what work(it, query ids, queries) needs.
+    """
+    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    extra = [c for c in rows.columns if c not in ("vec_id", "v", "dim", "shard", "place")]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("block", each(blocks)).withColumn("query", F.lit(False))
+    right = queries.select("vec_id", "v", "dim", each(shards).alias("shard"), F.lit(0).cast("long").alias("place"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra])
+    right = right.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("query", F.lit(True))
+    run = ["dim", "shard", "block"]
+    long_rows(rows.sparkSession)
+    dealt = left.unionByName(right).repartition(*run).sortWithinPartitions(*run, "query", "place")
+    type_ = pa.int64() if kind == "long" else pa.float64()
+
+    def tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], None
+        for part in _runs(batches, [*run, "query"]):
+            of = tuple(part.column(c)[0].as_py() for c in run)
+            if of != now:
+                now, parts, held = of, [], None
+            if not part.column("query")[0].as_py():
+                parts.append(part)
+                continue
+            if held is None and parts:
+                held, parts = prepare(pa.Table.from_batches(parts).combine_chunks().to_batches()[0]), []
+            if held is None:
+                continue  # no vectors of this length in the shard
+            for lo in range(0, len(part), TILE):
+                tile = part.slice(lo, TILE)
+                query, vec, score = work(held, tile.column("vec_id").to_numpy(), _matrix(tile.column("v")))
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, type_), pa.array(np.full(len(query), of[1], np.int32))], ["query_id", "vec_id", "score", "shard"])
+
+    found = dealt.mapInArrow(tiles, f"query_id long, vec_id long, score {kind}, shard int")
+    order = [F.col("score").desc(), F.col("vec_id")]
+    while shards > FAN_IN:  # the tree's inner nodes
         shards = math.ceil(shards / FAN_IN)
-        found = found.withColumn("shard", F.expr(f"shard div {FAN_IN}")).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+        found = found.withColumn("shard", F.expr(f"shard div {FAN_IN}").cast("int")).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -73,104 +114,174 @@ def every(divisor: int) -> Callable[[DataFrame], DataFrame]:
 
 
 def exact_top(table: DataFrame, queries: Callable[[DataFrame], DataFrame], k: int = 20, scale: int = 64) -> DataFrame:
-    """Per query its k largest integer inner products of floor(scale * component): query_id, rank, vec_id, score."""
-
-    def work(ids: np.ndarray, m: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> tuple:
-        a, b = np.floor(scale * m), np.floor(scale * q)
-        # Sums of integers below 2**53 are exact in doubles; others are computed with Python's integers.
-        exact = np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53
-        if not exact:
-            a, b = (np.array([[int(x) for x in row] for row in z], object) for z in (a, b))
-        out = []
-        for lo in range(0, len(q), 256):
-            s = b[lo : lo + 256] @ a.T
-            s = s.astype(np.int64) if exact else s
-            own = query_ids[lo : lo + 256, None] == ids[None, :]
-            top = min(k + 1, len(ids))  # its own row may be among them
-            if exact and np.abs(s).max() < 2**62 // (len(ids) + 1):
-                place = s * len(ids) + (len(ids) - 1 - np.arange(len(ids)))  # ties to the smaller id
-                best = np.argpartition(-place, top - 1, axis=1)[:, :top] if top < len(ids) else np.tile(np.arange(len(ids)), (len(s), 1))
-            else:
-                best = np.array([sorted(range(len(ids)), key=lambda j, r=r: (-r[j], j))[:top] for r in s])
-            r = np.repeat(np.arange(len(s)), best.shape[1])
-            c = best.ravel()
-            keep = ~own[r, c]
-            out.append((query_ids[lo + r[keep]], ids[c[keep]], s[r[keep], c[keep]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return search(usable(table), queries, work, k, "score", "long")
+    """Per query its k largest integer inner products of floor(scale * component): query_id, rank, vec_id, score.
 
+    A product beyond 64 bits counts as the nearest long, so such products tie.
+    """
 
-class VantageTree:
-    """A vantage-point tree over unit vectors, searched for many queries at once."""
+    def floors(m: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.floor(scale * m)
+
+    def integers(m: np.ndarray) -> np.ndarray:
+        return np.array([[math.floor(x) * scale if abs(x) >= 2**53 else math.floor(scale * x) for x in row] for row in m.tolist()], object)
+
+    def prepare(shard: pa.RecordBatch) -> tuple:
+        m = _matrix(shard.column("v")).astype(np.float64)
+        return shard.column("vec_id").to_numpy(), m, floors(m), np.abs(floors(m)).max(), {}
+
+    def work(held: tuple, query_ids: np.ndarray, q: np.ndarray) -> tuple:
+        ids, m, a, most, as_ = held
+        q = q.astype(np.float64)
+        b = floors(q)
+        bound = most * np.abs(b).max() * a.shape[1]
+        top = min(k + 1, len(ids))  # its own row may be among them
+        if bound < 2**53:  # sums of integers are exact in doubles, and below 2**24 in floats
+            kind = np.float32 if bound < 2**24 else np.float64
+            if kind not in as_:
+                as_[kind] = np.ascontiguousarray(a.T, kind)
+            s = (b.astype(kind) @ as_[kind]).astype(np.int64)
+        else:
+            if object not in as_:
+                as_[object] = integers(m).T
+            s = integers(q) @ as_[object]
+            s = np.clip(s, -LONG - 1, LONG).astype(np.int64)
+        if bound < 2**62 // (len(ids) + 1) and top < len(ids):
+            place = s * len(ids) + (len(ids) - 1 - np.arange(len(ids)))  # ties to the smaller id
+            best = np.argpartition(place, len(ids) - top, axis=1)[:, len(ids) - top :]
+        elif top < len(ids):
+            best = np.argsort(~s, axis=1, kind="stable")[:, :top]  # ~s falls as s rises, without overflow
+        else:
+            best = np.tile(np.arange(len(ids)), (len(s), 1))
+        r, c = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+        keep = query_ids[r] != ids[c]
+        return query_ids[r[keep]], ids[c[keep]], s[r[keep], c[keep]]
+
+    rows = cut(usable(table), "vectors")
+    dealt, shards = sharded(rows)
+    return search(dealt.withColumn("place", F.col("vec_id")), shards, queries(rows), prepare, work, k, "long")
 
-    LEAF = 64
 
-    def __init__(self, points: np.ndarray, seed: int = 3):
-        self.points, self.random = points, np.random.default_rng(seed)
-        self.root = self._build(np.arange(len(points)))
+class VantageTree:
+    """A vantage-point tree over unit vectors, laid out in an array.
 
-    def _build(self, at: np.ndarray) -> tuple:
-        if len(at) <= self.LEAF:
-            return (at,)
-        top = at[self.random.integers(len(at))]
-        d = np.linalg.norm(self.points[at] - self.points[top], axis=1)
-        radius = float(np.median(d))
-        near = d <= radius if d.max() > radius else d < radius
-        if not near.any():  # nothing to tell apart
-            return (at,)
-        return (top, radius, self._build(at[near]), self._build(at[~near]))
+    A node is a range of places: its vantage point comes first, then the nearer half of the rest, then the farther half. Halves are cut by
+    rank, so that equal distances can't unbalance it; `near` and `far` hold at the vantage point the largest distance of the nearer
+    half and the smallest of the farther half. Ranges of LEAF or fewer are leaves.
+    """
+
+    LEAF = 64
 
-    def nearest(self, queries: np.ndarray, k: int, factor: float, skip: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
-        """Per query the places found, nearest first, of k at most.
+    def __init__(self, points: np.ndarray, near: np.ndarray, far: np.ndarray):
+        self.points, self.near, self.far = points, near, far
+
+    @classmethod
+    def order(cls, points: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The points in the order of their places, and `near` and `far`."""
+        at, random = np.arange(len(points)), np.random.default_rng(seed)
+        near, far = np.zeros(len(points)), np.zeros(len(points))
+        stack = [(0, len(points))]
+        while stack:
+            lo, hi = stack.pop()
+            if hi - lo <= cls.LEAF:
+                continue
+            top = random.integers(lo, hi)
+            at[lo], at[top] = at[top], at[lo]
+            d = np.linalg.norm(points[at[lo + 1 : hi]] - points[at[lo]], axis=1)
+            half = (hi - lo) // 2
+            by = np.argpartition(d, half - 1)
+            at[lo + 1 : hi] = at[lo + 1 : hi][by]
+            near[lo], far[lo] = d[by[:half]].max(), d[by[half:]].min()
+            stack += [(lo + 1, lo + 1 + half), (lo + 1 + half, hi)]
+        return at, near, far
+
+    def nearest(self, queries: np.ndarray, k: int, factor: float, ids: np.ndarray, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the places of the k found and their cosines, nearest first (place -1: none).
 
         factor 1 is exact; a smaller one prunes as if the kth distance were that much smaller. Cosines are compared by 12
-        digits, ties to the smaller place.
+        digits, ties to the smaller id. A query does not find its own id.
         """
         cosine = np.full((len(queries), k), -np.inf)
         place = np.full((len(queries), k), -1, np.int64)
-
-        def visit(node: tuple, q: np.ndarray) -> None:
-            if not len(q):
-                return
-            if len(node) == 1:
-                at = node[0]
-                for lo in range(0, len(at), 1_024):
-                    part = at[lo : lo + 1_024]
-                    c = np.round(queries[q] @ self.points[part].T, 12)
-                    c[skip(q, part)] = -np.inf
-                    both = np.concatenate([cosine[q], c], axis=1)
-                    which = np.concatenate([place[q], np.broadcast_to(part, c.shape)], axis=1)
-                    order = np.lexsort((which, -both), axis=1)[:, :k]
-                    cosine[q], place[q] = np.take_along_axis(both, order, 1), np.take_along_axis(which, order, 1)
-                return
-            top, radius, inner, outer = node
-            d = np.linalg.norm(queries[q] - self.points[top], axis=1)
-            inside = d <= radius
-            visit(inner, q[inside])
-            visit(outer, q[~inside])
-            kth = np.sqrt(np.maximum(0, 2 - 2 * cosine[q, -1]))
-            reach = np.abs(d - radius) <= factor * kth + 1e-5  # the slack covers rounding near distance 0
-            visit(outer, q[inside & reach])
-            visit(inner, q[~inside & reach])
-
-        visit(self.root, np.arange(len(queries)))
-        return [p[np.isfinite(c)] for p, c in zip(place, cosine, strict=True)]
+        name = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+        def offer(q: np.ndarray, lo: int, hi: int, c: np.ndarray) -> None:
+            """These cosines of the queries q with the points lo to hi."""
+            c = np.round(c, 12)
+            c[query_ids[q][:, None] == ids[None, lo:hi]] = -np.inf
+            some = np.flatnonzero((c >= cosine[q, -1:]).any(axis=1))
+            if len(some):
+                q, c = q[some], c[some]
+                both = np.concatenate([cosine[q], c], axis=1)
+                which = np.concatenate([place[q], np.broadcast_to(np.arange(lo, hi), c.shape)], axis=1)
+                names = np.concatenate([name[q], np.broadcast_to(ids[lo:hi], c.shape)], axis=1)
+                by = np.lexsort((names, -both), axis=1)[:, :k]
+                cosine[q], place[q], name[q] = (np.take_along_axis(x, by, 1) for x in (both, which, names))
+
+        # (range, queries, their distances to a half's boundary): what lies too far beyond is passed over when it is taken up.
+        stack: list[tuple[int, int, np.ndarray, np.ndarray]] = [(0, len(self.points), np.arange(len(queries)), np.zeros(len(queries)))]
+        while stack:
+            lo, hi, q, gap = stack.pop()
+            reach = gap <= factor * np.sqrt(np.maximum(0, 2 - 2 * cosine[q, -1])) + 1e-5  # the slack covers rounding near distance 0
+            q = q[reach]
+            if not len(q) or lo == hi:
+                continue
+            if hi - lo <= self.LEAF:
+                offer(q, lo, hi, queries[q] @ self.points[lo:hi].T)
+                continue
+            c = queries[q] @ self.points[lo]
+            offer(q, lo, lo + 1, c[:, None])
+            d = np.sqrt(np.maximum(0, 2 - 2 * c))
+            mid = lo + 1 + (hi - lo) // 2
+            to_near, to_far = np.maximum(0, d - self.near[lo]), np.maximum(0, self.far[lo] - d)
+            first = d - self.near[lo] <= self.far[lo] - d
+            # The last one pushed is searched first: each query's own half before the other one.
+            stack += [(lo + 1, mid, q[~first], to_near[~first]), (mid, hi, q[first], to_far[first]), (mid, hi, q[~first], to_far[~first]), (lo + 1, mid, q[first], to_near[first])]
+        return np.where(np.isfinite(cosine), place, -1), cosine
 
 
 def near_vectors(table: DataFrame, queries: Callable[[DataFrame], DataFrame], k: int = 5, factor: float = 0.8) -> DataFrame:
     """Per query its k nearest by cosine that the trees find: query_id, rank, vec_id, score (cosine of the original vectors).
 
-    Every shard has a tree of all its vectors; factor 1 restores the exact answer.
+    Every shard has one tree of all its vectors, built once and written as a table: the vectors with their places and the distances that part the
+    halves. factor 1 restores the exact answer. Huge components are scaled before they are squared, so that no length overflows.
     """
 
-    def work(ids: np.ndarray, m: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> tuple:
-        size, q_size = np.linalg.norm(m, axis=1), np.linalg.norm(q, axis=1)
-        tree = VantageTree(m / size[:, None])
-        # A few more than k, so that ties are broken on exact scores.
-        found = tree.nearest(q / q_size[:, None], k + 3, factor, lambda a, b: query_ids[a][:, None] == ids[b][None, :])
-        out = [(np.full(len(at), query_ids[i]), ids[at], (m[at] * q[i]).sum(axis=1) / (size[at] * q_size[i])) for i, at in enumerate(found)]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    def unit(m: np.ndarray) -> np.ndarray:
+        m = m / np.abs(m).max(axis=1, keepdims=True)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def build(shard: pa.Table) -> pa.Table:
+        v = shard.column("v").combine_chunks()
+        at, near, far = VantageTree.order(unit(_matrix(v).astype(np.float64)))
+        return pa.table({"vec_id": shard.column("vec_id").take(at), "v": v.take(pa.array(at)), "dim": shard.column("dim"), "shard": shard.column("shard"), "place": np.arange(len(at)), "near": near, "far": far})
 
-    rows = usable(table).filter("exists(v, x -> x != 0)")
-    return search(rows, queries, work, k, "score", "double")
+    def prepare(shard: pa.RecordBatch) -> tuple:
+        m = _matrix(shard.column("v")).astype(np.float64)
+        return shard.column("vec_id").to_numpy(), m, VantageTree(unit(m), shard.column("near").to_numpy(), shard.column("far").to_numpy())
+
+    def work(held: tuple, query_ids: np.ndarray, q: np.ndarray) -> tuple:
+        ids, m, tree = held
+        q = q.astype(np.float64)
+        # A few more than k, so that ties are broken on exact scores.
+        place, _ = tree.nearest(unit(q), k + 3, factor, ids, query_ids)
+        r, c = np.nonzero(place >= 0)
+        at = place[r, c]
+        return query_ids[r], ids[at], cosines(m[at], q[r])
+
+    rows = cut(usable(table).filter("exists(v, x -> x != 0)"), "vectors")
+    dealt, shards = sharded(rows)
+    v = rows.schema["v"].dataType.simpleString()
+    trees = cut(dealt.groupBy("dim", "shard").applyInArrow(build, f"vec_id long, v {v}, dim int, shard int, place long, near double, far double"), "trees")
+    return search(trees, shards, queries(rows), prepare, work, k, "double")
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two matrices in double precision; where lengths overflow or vanish, of scaled rows."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        out = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+    odd = ~np.isfinite(out)
+    if odd.any():
+        a, b = (x[odd] / np.abs(x[odd]).max(axis=1, keepdims=True) for x in (a, b))
+        out[odd] = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+    return out

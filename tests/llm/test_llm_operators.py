@@ -336,6 +336,12 @@ def embeddings(spark):
 
 def test_exact_top(embeddings, spark, monkeypatch):
     monkeypatch.setattr(vectors, "LEAST", 40)
+    monkeypatch.setattr(vectors, "FAN_IN", 2)
+    monkeypatch.setattr(vectors, "BLOCK", 6)
+    monkeypatch.setattr(vectors, "TILE", 4)
+    monkeypatch.setattr(vectors, "partitions", lambda _: 5)  # 5 shards: lists are merged on three levels
+    plan = vectors.exact_top(embeddings, vectors.every(20), k=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 3
     z = np.floor(64 * np.vstack([vector_rows()[1], np.zeros(8)])).astype(int)
     ids = [*range(300), 400]
     got = defaultdict(list)
@@ -348,6 +354,53 @@ def test_exact_top(embeddings, spark, monkeypatch):
     assert vectors.exact_top(embeddings.limit(0), vectors.every(20)).count() == 0
 
 
+def test_huge_and_tied_products(spark):
+    """Products beyond 64 bits are the nearest long and tie; so do equal vectors."""
+    rows = [(0, [1e10, 2.0]), (1, [1e10, 1.0]), (2, [-1e300, 0.0]), (3, [1e300, 5.0]), (4, [0.5, 0.0]), (20, [1.0, 1.0]), (40, [1.0, 1.0])]
+    z = {i: [int(x) * 64 for x in v] if i != 4 else [32, 0] for i, v in rows}
+    got = defaultdict(list)
+    for r in sorted(vectors.exact_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vectors.every(20), k=4).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for q in (0, 20, 40):
+        all_ = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(z[q], z[j], strict=True)))), j) for j in z if j != q]
+        assert got[q] == sorted(all_, key=lambda t: (-t[0], t[1]))[:4]
+
+
+def test_vantage_points_at_equal_distances(spark):
+    """One-hot vectors, whose distances are all equal, equal vectors, and no vectors."""
+    n = 1_400
+    hot = spark.createDataFrame([(i, [float(j == i) for j in range(1_536)]) for i in range(n)], "vec_id long, embedding array<float>")
+    got = vectors.near_vectors(hot, lambda rows: rows.filter("vec_id in (0, 700)"), factor=1.0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(q, k, k if q == 0 else k - 1, 0.0) for q in (0, 700) for k in range(1, 6)]
+    same = spark.createDataFrame([(i, [3.0, 4.0]) for i in range(n)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(same, lambda rows: rows.filter("vec_id in (0, 700)")).collect()
+    assert len(got) == 10 and all(abs(r["score"] - 1) < 1e-12 for r in got)
+    assert vectors.near_vectors(same.limit(0), vectors.every(50)).count() == 0
+    far = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [0.0, -1e308])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], round(r["score"], 9)) for r in sorted(vectors.near_vectors(far, vectors.every(50)).collect(), key=lambda r: r["rank"])] == [(1, 0.707106781), (2, -0.707106781)]
+
+
+@pytest.mark.parametrize("least", [4_096, 300])
+def test_recall_on_embeddings(spark, monkeypatch, least):
+    """Of the table itself: at least 0.9 of each query's nearest by brute force, and all of them with factor 1."""
+    monkeypatch.setattr(vectors, "LEAST", least)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], list(r["v"])) for r in vectors.usable(table).filter("exists(v, x -> x != 0)").collect()]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    best = {}
+    for i, v in zip(ids.tolist(), m, strict=True):
+        if i % 50 == 0:
+            c = vectors.cosines(m, np.broadcast_to(v, m.shape))
+            c[ids == i] = -9
+            best[i] = {(int(ids[j]), round(float(c[j]), 12)) for j in np.lexsort((ids, -c))[:5]}
+    for factor, share in ((0.8, 0.9), (1.0, 1.0)):
+        got = defaultdict(set)
+        for r in vectors.near_vectors(table, vectors.every(50), factor=factor).collect():
+            got[r["query_id"]].add((r["vec_id"], round(r["score"], 12)))
+        hits = sum(len(got[i] & best[i]) for i in best)
+        assert hits >= share * sum(map(len, best.values())), (factor, hits)
+
+
 def test_vantage_points(embeddings, spark, monkeypatch):
     monkeypatch.setattr(vectors, "LEAST", 60)
     monkeypatch.setattr(vectors.VantageTree, "LEAF", 4)
