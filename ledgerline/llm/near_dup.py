@@ -6,13 +6,21 @@ band; equal bands share a bucket. At similarity 0.75 two sets miss all 32 bands
 
 Texts with equal sets are one class first, so copies are never paired. In each bucket the classes are paired with a hub
 alone (a star): the member whose buckets hold most classes, which is the one most like the others. Pairs are confirmed on
-full sets. Where classes that meet in a bucket are still in different components, the clusters of such classes are compared
-in blocks of BLOCK: a task counts the common shingles of two blocks as a matrix product and returns only links, so that no
-link is lost where a hub is too far from two similar members. Blocks within one component are never compared. Joins hold
-their hot keys on the side that Spark may split.
+full sets. Where classes that meet in a bucket are still in different components, a hub may have been too far from two similar members. These
+classes go through an exact set-similarity join, which loses no link between them:
+cross: a shingle that stands in one component alone can't link two. It comes first in the order of shingles, the others follow by how many
+sets have them;
+prefix: two similar sets of different components have a shingle in common among the first n - need + 1 of each (need: percent of n), so a set with fewer
+than `need` cross shingles is out, which ends the matter for texts that share boilerplate and little else;
+a shingle in the prefixes of at most FEW sets gives pairs, which are confirmed; one in more gives pairs of blocks of BLOCK sets, and a task counts the common
+shingles of two blocks as a matrix product and returns only links.
+
+Joins on buckets take the largest ones apart: a bucket with one row in SHARES or more. There are at most SHARES of them, so what they meet is
+broadcast, and no task gets such a bucket whole.
 
 Null doc_ids and texts without words stand alone (component_id is their own doc_id); rows with one doc_id count as one
-document, each with the links of its own text; extra columns are ignored.
+document, each with the links of its own text; texts of any length are read whole; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +31,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, cut, flat, texts
+from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, cut, drop, flat, texts
 from ledgerline.llm.components import components
 from ledgerline.llm.shingles import mix, shingle_sets, similar
 
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 BLOCK = 256
+FEW = 16
+SHARES = 1_024
 EDGES = (np.arange(BINS, dtype=np.uint64)) << np.uint64(64 - BINS.bit_length() + 1)
 
 
@@ -91,18 +101,25 @@ def confirm(pairs: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFra
     return u.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").select("u", "v", "u_text", "v_text").mapInArrow(work, "u long, v long").distinct()
 
 
-def with_hubs(live: DataFrame) -> DataFrame:
-    """`live` (bucket, node, component, ...) with each bucket's hub and the hub's component."""
-    sizes = live.groupBy("bucket").agg(F.count("*").alias("size"))
-    crowds = live.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("crowd"))
-    best = live.join(crowds, "node").groupBy("bucket").agg(F.max(F.struct("crowd", (-F.col("node")).alias("first"), "component")).alias("best"))
-    return live.join(best.select("bucket", (-F.col("best.first")).alias("hub"), F.col("best.component").alias("hub_component")), "bucket")
+def on_bucket(rows: DataFrame, table: DataFrame, hot: list[int]) -> DataFrame:
+    """Inner join of `rows` with `table`, which has one row per bucket; those of the `hot` buckets, at most SHARES, are broadcast."""
+    if not hot:
+        return rows.join(table, "bucket")
+    large = F.col("bucket").isin(hot)
+    return rows.filter(~large).join(table.filter(~large), "bucket").union(rows.filter(large).join(F.broadcast(table.filter(large)), "bucket"))
 
 
-def unsettled(live: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    several = live.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket")
-    return live.join(several, "bucket")
+def stars(members: DataFrame, hot: list[int]) -> DataFrame:
+    """Pairs (u, v) of each class with its buckets' hubs; members: bucket, node, size (classes in the bucket)."""
+    crowds = members.withColumn("crowd", F.sum("size").over(Window.partitionBy("node")))  # a node has BANDS rows at most
+    best = crowds.groupBy("bucket").agg((-F.max(F.struct("crowd", (-F.col("node")).alias("first")))["first"]).alias("hub"))
+    return on_bucket(members, best, hot).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+
+
+def unsettled(members: DataFrame, hot: list[int]) -> DataFrame:
+    """node, component of the members (bucket, node, component) of buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket")
+    return on_bucket(members, several, hot).select("node", "component").distinct()
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -125,62 +142,90 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return count.astype(np.int64)
 
 
-def block_links(live: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (u, v) between different components of `live` (bucket, node, component) within its clusters.
-
-    A cluster is what buckets connect. A component of BLOCK classes or more has blocks of its own, which need not be
-    compared with each other; smaller ones share blocks.
-    """
-    least = live.groupBy("bucket").agg(F.min("node").alias("v"))
-    clusters = components(live.join(least, "bucket").select(F.col("node").alias("u"), "v").distinct()).withColumnRenamed("component", "cluster")
-    nodes = live.select("node", "component").distinct().join(clusters, "node")
-    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    small = sizes.filter(F.col("size") < BLOCK).groupBy("cluster").agg(F.sum("size").alias("rest"))
-    nodes = nodes.join(sizes, ["cluster", "component"]).join(small, "cluster", "left")
-    part = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / BLOCK)).cast("string")
-    alone = F.col("size") >= BLOCK
-    nodes = nodes.select("node", "component", "cluster", F.when(alone, F.concat_ws("/", "component", part("node", "size"))).otherwise(F.concat(F.lit("+"), part("component", "rest"))).alias("block"), F.when(alone, F.col("component")).alias("pure"))
-    nodes = cut(nodes, "blocks")
-    other = nodes.select("cluster", F.col("block").alias("with"), F.col("pure").alias("with_pure")).distinct()
-    spread = nodes.join(other, "cluster").filter(~F.coalesce(F.col("pure") == F.col("with_pure"), F.lit(False)))
-    spread = spread.select("cluster", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "component", F.col("node").alias("doc_id"))
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, component, key, size, shingle of the shingles in each set's prefix; sets: node, component, key, size, shingles."""
+    rows = sets.select("node", "component", "key", "size", F.explode("shingles").alias("shingle"))
+    cross = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle", "n")
+    own = Window.partitionBy("node", "key")
+    ranked = rows.join(cross, "shingle").withColumn("r", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("c", F.count("*").over(own))
+    return ranked.filter(f"r <= c - ceil({percent} * size / 100) + 1").select("node", "component", "key", "size", "shingle")
+
+
+def rest_links(live: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
+    """All links (u, v) between different components of the classes `live` (node, component)."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_by_bytes(batches, "text", 4 * CHUNK_BYTES):
+            sets = shingle_sets(*flat(batch.column("text")), k)
+            keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            values = [s.view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["node", "component", "key", "size", "shingles"])
+
+    texts_ = live.join(whole.select(F.col("doc_id").alias("node"), "text"), "node").select("node", "component", "text")
+    sets = cut(texts_.mapInArrow(read, "node long, component long, key long, size long, shingles array<long>").dropDuplicates(["node", "key"]), "sets")
+    first = cut(prefixes(sets, percent), "prefixes")
+    posts = first.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle", "f")
+    first = first.join(posts, "shingle")
+
+    few = first.filter(F.col("f") <= FEW)
+    other = few.select("shingle", F.col("node").alias("v"), F.col("component").alias("with"), F.col("size").alias("other"))
+    close = f"component < with and 100 * least(size, other) >= {percent} * greatest(size, other)"
+    pairs = few.join(other, "shingle").filter(close).select(F.col("node").alias("u"), "v").distinct()
+    found = confirm(pairs, whole, k, percent)
+
+    many = first.filter(F.col("f") > FEW)
+    # A set's block is a part of those that have the same most frequent shingle, as these are the likeliest to meet.
+    home = many.groupBy("node", "key").agg(F.max(F.struct("f", "shingle")).alias("home"))
+    block = F.struct(F.col("home.shingle").alias("home"), F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("home.f") / BLOCK)).alias("part"))
+    home = cut(home.select("node", "key", block.alias("block")), "homes")
+    if home.isEmpty():
+        return found
+    posted = many.join(home, ["node", "key"]).select("shingle", "block").distinct()
+    meeting = posted.withColumnRenamed("block", "lo").join(posted.withColumnRenamed("block", "hi"), "shingle").filter("lo <= hi").select("lo", "hi").distinct()
+    dealt = sets.join(home, ["node", "key"])
+    low = meeting.join(dealt.withColumnRenamed("block", "lo"), "lo").withColumn("side", F.lit(0))
+    high = meeting.join(dealt.withColumnRenamed("block", "hi"), "hi").withColumn("side", F.lit(1))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        sets = shingle_sets(*flat(table.column("text").chunk(0)), k)
-        block, lo, hi = table.column("block").to_pylist(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        a, b = ([i for i, x in enumerate(block) if x == side] for side in (lo, hi))
-        if not a or not b:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        ids, component, size = table.column("doc_id").to_numpy(), table.column("component").to_numpy(), np.array([len(s) for s in sets])
-        both = common_counts([sets[i] for i in a], [sets[i] for i in b])
+        ids, component, size, side = (table.column(c).to_numpy() for c in ("node", "component", "size", "side"))
+        shingles = [np.asarray(x.values).view(np.uint64) for x in table.column("shingles")]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = common_counts([shingles[i] for i in a], [shingles[i] for i in b])
         linked = (100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)) & (component[a][:, None] != component[b][None, :])
         i, j = np.nonzero(linked)
-        u, v = ids[np.array(a)[i]], ids[np.array(b)[j]]
+        u, v = ids[a[i]], ids[b[j]]
         return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
 
-    return spread.join(whole.select("doc_id", "text"), "doc_id").groupBy("cluster", "lo", "hi").applyInArrow(compare, "u long, v long").distinct()
+    columns = ["lo", "hi", "side", "node", "component", "size", "shingles"]
+    return found.union(low.select(columns).union(high.select(columns)).groupBy("lo", "hi").applyInArrow(compare, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is the smallest) per row."""
     sketch = cut(sketches(docs, k), "sketches")
     there = sketch.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = there.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    heads = there.join(classes, "set_hash").filter("doc_id = node").select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = heads.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("bucket")
-    members = cut(heads.join(shared, "bucket").distinct(), "buckets")
-    whole = cut(texts(docs).join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id"), "texts")
-
-    star = with_hubs(members.withColumn("component", F.col("node"))).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    links = cut(confirm(cut(star, "pairs"), whole, k, percent), "links")
+    # Equal sets have equal bands.
+    heads = there.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
+    shared = heads.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = cut(heads.join(shared, "bucket"), "buckets")
+    rows = members.count()
+    hot = [r["bucket"] for r in members.filter(F.col("size") * SHARES >= rows).select("bucket").distinct().collect()]  # at most SHARES
+    whole = cut(texts(docs).join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+
+    pairs = cut(stars(members, hot), "pairs")
+    links = cut(confirm(pairs, whole, k, percent), "links")
     found = cut(components(links), "components")
-    live = cut(unsettled(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))), "live")
+    placed = cut(members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
+    live = cut(unsettled(placed, hot), "live")
+    drop(pairs, links, members, placed)
     if not live.isEmpty():
-        more = cut(block_links(live, whole, k, percent), "links")
+        more = cut(rest_links(live, whole, k, percent), "links")
         if not more.isEmpty():
-            found = cut(components(links.union(more)), "components")
+            found = cut(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
+        drop(more)
+    drop(live, whole)
 
+    classes = there.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     placed = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     rows = sketch.join(placed, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -87,6 +87,84 @@ def test_links_that_no_star_finds(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == best
 
 
+def linked(sets):
+    """Smallest node reachable of each, from sets by node, over an index of their shingles."""
+    where, best = defaultdict(list), {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    common = defaultdict(int)
+    for ids in where.values():
+        for n, a in enumerate(ids):
+            for b in ids[:n]:
+                common[a, b] += 1
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    while any(best[a] != best[b] for a, b in links):
+        for a, b in links:
+            best[a] = best[b] = min(best[a], best[b])
+    return best
+
+
+@pytest.mark.parametrize("few", [1, 16])
+def test_links_of_the_rest(spark, monkeypatch, few):
+    """The exact join of what stars leave open, with pairs and with blocks alone, on sets around the threshold."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rnd = random.Random(12)
+    rows = []
+    for i in range(240):
+        base = [f"b{i % 3}x{j}" for j in range(60)]
+        at = rnd.randrange(50)
+        rows.append((i, " ".join(base[:at] + [f"own{rnd.randrange(40)}" for _ in range(rnd.randrange(6))] + base[at:])))
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    live = spark.createDataFrame([(i, i) for i, _ in rows], "node long, component long")
+    got = {(max(r), min(r)) for r in map(tuple, near_dup.rest_links(live, whole, 5, 75).collect())}
+    assert got == {(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])} != set()
+
+
+def test_unlike_texts_with_boilerplate(spark):
+    """5,000 texts that share most of their words, but no two of them enough; and a few pairs that do."""
+    rnd = random.Random(2)
+    boiler = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([f"u{i}x{j}" for j in range(30)] + boiler + [f"v{i}x{j}" for j in range(15)])) for i in range(5_000)]
+    rows += [(6_000 + i, rows[rnd.randrange(5_000)][1] + f" tail{i}") for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = {t: i for i, t in reversed(rows)}
+    assert got == {i: text[t.rsplit(" tail", 1)[0]] for i, t in rows}
+
+
+def test_components():
+    from ledgerline.llm import components
+
+    rnd = np.random.default_rng(9)
+    u, v = rnd.integers(0, 3_000, 2_500), rnd.integers(0, 3_000, 2_500)
+    label = np.arange(3_000)
+    for _ in range(3_000):
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        if (before == label).all():
+            break
+    child, root = components.forest(u, v)
+    want = {int(i): int(label[i]) for i in np.unique(np.concatenate([u, v])) if label[i] != i}
+    assert dict(zip(child.tolist(), root.tolist(), strict=True)) == want
+
+
+def test_components_over_tasks(spark, monkeypatch):
+    """A long chain in random order, dealt over tasks that contract a few edges at a time."""
+    from ledgerline.llm import components
+
+    monkeypatch.setattr(components, "CHUNK_EDGES", 20)
+    n = 400
+    ids = random.Random(3).sample(range(10**6), n)
+    edges = [(a, b) for a, b in zip(ids, ids[1:])] + [(7, 7), (None, 3), (5 + 10**6, 4 + 10**6), (5 + 10**6, 4 + 10**6)]
+    random.Random(4).shuffle(edges)
+    got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()
+    assert {r["node"]: r["component"] for r in got} == {i: min(ids) for i in ids} | {5 + 10**6: 4 + 10**6, 4 + 10**6: 4 + 10**6}
+
+
 def test_two_texts_under_one_doc_id(spark):
     """Each text of a doc_id has its own links, also where many pairs share that doc_id."""
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
