@@ -42,7 +42,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model, carry = public_tokenizers.path("piece_bpe_32k.model"), ("source", "_hash")
     tokens = piece_bpe.digests(piece_bpe.encode(docs.withColumn("_hash", F.xxhash64("text")), model, decoded=True, carry=carry), carry)
-    return mixing.mix(tokens, of=docs, tie="_hash").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position")
+    return mixing.mix(cut(tokens, "tokens"), tie="_hash").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position")
 
 
 STAGES = [

@@ -6,10 +6,14 @@ and is due first gets it (ties by source). Every W slots each source has had exa
 folded once and repeats: a block's slot follows from its number alone, and at any slot before a source has run out each
 source's count is less than one block from its share.
 
-Rows are numbered within their source by counts per id range with prefix sums, so that no task holds a whole source.
-A source that a caller's weights do not list gets one slot a period, so that its rows are placed too. Over SOURCES_MAX
-sources are an error. Null sources are a source of their own; null doc_ids come first; equal doc_ids follow a hash of their text; an empty table gives
-no rows. Repeated rows are all placed. A source that has run out leaves its slots empty.
+Rows are numbered within their source by two-level prefix sums: they are range-partitioned and sorted by source and doc_id and written, a row's
+place in its partition is one part of its number, and the counts of the partitions before it are the other. So no task holds a whole source,
+however the doc_ids are spread. The texts are at most carried along, whatever their length; they are not compared.
+
+A source that a caller's weights do not list gets one slot a period, so that its rows are placed too. Null sources are a source of their own;
+null doc_ids come first; equal doc_ids follow a hash of their text; an empty table gives no rows. Repeated rows are all placed. A source that has
+run out leaves its slots empty. Columns `block`, `slot` and `position` of the input are replaced by the mixture's; other extra columns stay. The period is folded
+over in one row: its cost is the number of sources times that of slots, which are config-sized.
 """
 
 from __future__ import annotations
@@ -17,18 +21,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import cut, partitions
+
 BLOCK = 64
 #: Slots that the weights are scaled to; a source has one at least.
 PERIOD = 1_000
-#: doc_ids that are counted together.
-RANGE = 1 << 10
-SOURCES_MAX = 10_000
 
 
 def tempered_weights(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     """source, p (slots of about `period`): in proportion to the square root of the number of documents."""
     roots = docs.groupBy("source").agg(F.round(F.sqrt(F.count("*"))).cast("long").alias("root"))
-    # One row per source, of which there are SOURCES_MAX at most.
+    # One row per source.
     roots = roots.withColumn("total", F.sum("root").over(Window.partitionBy(F.lit(0))))
     return roots.select("source", F.greatest(F.lit(1), F.expr(f"root * {period} div total")).cast("long").alias("p"))
 
@@ -43,7 +46,7 @@ def with_unlisted(weights: DataFrame, docs: DataFrame) -> DataFrame:
 def period_slots(weights: DataFrame) -> DataFrame:
     """source, p, w (slots of a period), j (block within the period), at (its slot) for `weights` (source, p)."""
     packed = weights.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "p"))).alias("s"))
-    packed = packed.filter("size(s) > 0").withColumn("w", F.expr("aggregate(s, 0L, (n, x) -> n + x.p)")).withColumn("s", F.expr(f"if(size(s) <= {SOURCES_MAX}, s, raise_error('too many sources'))"))
+    packed = packed.filter("size(s) > 0").withColumn("w", F.expr("aggregate(s, 0L, (n, x) -> n + x.p)"))
     due = "array_min(transform(s, (x, i) -> if(acc.done[i] * w div x.p <= t, named_struct('due', ((acc.done[i] + 1) * w + x.p - 1) div x.p, 'i', i), null))).i"
     folded = packed.withColumn(
         "run",
@@ -57,39 +60,45 @@ def period_slots(weights: DataFrame) -> DataFrame:
     return slots.withColumn("j", F.row_number().over(Window.partitionBy("source").orderBy("at")).cast("long") - 1)
 
 
-def numbered(docs: DataFrame, of: DataFrame | None = None, tie: str | None = None) -> DataFrame:
-    """`docs` with _n: its number within its source, from 0, by doc_id, then a hash of the text (so that the texts needn't be sorted or even read along)."""
-    ranged = lambda df: df.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
-    rows = ranged(docs).withColumn("_tie", F.xxhash64("text") if tie is None else F.col(tie))
-    counts = (rows if of is None else ranged(of)).groupBy("source", "_range").agg(F.count("*").alias("_c"))
-    # Prefix sums over ranges: a source's rows divided by RANGE, not its rows.
-    before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("source").orderBy(F.col("_range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("source", "_range").orderBy(F.col("doc_id").asc_nulls_first(), "_tie"))
-    rows = rows.withColumn("_i", inside).join(before, F.col("source").eqNullSafe(F.col("_s")) & F.col("_range").eqNullSafe(F.col("_r")))
-    return rows.withColumn("_n", F.col("_before") + F.col("_i") - 1).drop("_range", "_s", "_r", "_before", "_i", "_tie")
-
+def numbered(docs: DataFrame, tie: str | None = None) -> DataFrame:
+    """`docs` with _n: its number within its source, from 0, by doc_id, then a hash of the text (so that texts needn't be compared).
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, of: DataFrame | None = None, tie: str | None = None) -> DataFrame:
+    The order is written to the shared folder, so that a partition that is computed again can't change it.
+    """
+    order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("_tie")]
+    rows = docs.withColumn("_tie", F.xxhash64("text") if tie is None else F.col(tie))
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_tie")
+    # Partition and place of each row in one number; 33 bits are the place.
+    placed = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbers").withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy(F.col("source").alias("_s"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_s", "_p", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    # As ranges follow the source, there are fewer runs than partitions and sources.
+    rows = placed.join(F.broadcast(runs), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return rows.withColumn("_n", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_s", "_p", "_shift")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, tie: str | None = None) -> DataFrame:
     """`docs` (with doc_id, text, source) with block, slot and position, by which the mixture is ordered.
 
-    of: a table with the doc_ids and sources of the same rows, to count in where `docs` is costly to compute; tie: a column
-    with the hash xxhash64 of the texts, where `docs` no longer has them.
+    tie: a column with the hash xxhash64 of the texts, where `docs` has no texts. `docs` is computed more than once, so it should be a table.
     """
-    sources = docs if of is None else of
-    slots = period_slots(tempered_weights(sources, period) if weights is None else with_unlisted(weights, sources))
-    slots = slots.select(F.col("source").alias("_s"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("j").alias("_j"), F.col("at").alias("_at"))
+    slots = period_slots(tempered_weights(docs, period) if weights is None else with_unlisted(weights, docs))
+    slots = slots.select(F.col("source").alias("_s"), F.col("p").alias("_p"), F.col("w").alias("_w"), F.col("j").alias("_j"), F.col("at").alias("_slot"))
     shares = slots.select("_s", "_p", "_w").distinct().select(F.col("_s").alias("_t"), "_p", "_w")
-    rows = numbered(docs, of, tie).withColumn("block", F.expr(f"_n div {block}"))
+    rows = numbered(docs.drop("block", "slot", "position"), tie).withColumn("block", F.expr(f"_n div {block}"))
     # Both tables have at most a period's slots.
     rows = rows.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("_t"))).withColumn("_b", F.expr("block % _p"))
     rows = rows.join(F.broadcast(slots.drop("_p", "_w")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_j")))
-    rows = rows.withColumn("slot", F.expr("block div _p * _w + _at")).withColumn("position", F.expr(f"slot * {block} + _n % {block}"))
-    return rows.drop("_n", "_t", "_p", "_w", "_b", "_s", "_j", "_at")
+    rows = rows.withColumn("slot", F.expr("block div _p * _w + _slot")).withColumn("position", F.expr(f"slot * {block} + _n % {block}"))
+    return rows.drop("_n", "_t", "_p", "_w", "_b", "_s", "_j", "_slot")
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of `docs` in the mixture's order: range-partitioned and sorted by position."""
     columns = docs.columns
-    rows = mix(docs, **options)
-    return rows.repartitionByRange(F.col("position")).sortWithinPartitions("position").select(*columns)
+    # A column of that name is kept under another one meanwhile.
+    own = {c: f"_own_{c}" for c in columns if c in ("block", "slot", "position")}
+    rows = mix(docs.withColumnsRenamed(own), **options)
+    rows = rows.repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    return rows.select(*[F.col(own.get(c, c)).alias(c) for c in columns])

@@ -50,7 +50,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "block", "slot", "position")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("hash"))
+    return mixing.mix(rows, tie="hash").select("doc_id", "source", "block", "slot", "position")
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,6 +391,22 @@ def test_mixing_stays_within_a_block(docs, empty, spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_order(docs).columns == docs.columns
 
 
+def test_mixing_of_scattered_ids(spark):
+    """64-bit doc_ids, nulls and repeated rows in one source of most rows; columns with the mixture's names stay in mixed_order."""
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(-(2**63), 2**63) if i % 40 else None, f"t{i % 700}", rnd.choices(["s1", "s2", None], [8, 1, 1])[0], i, "clash") for i in range(2_000)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, source string, block int, position string").repartition(3)
+    got = sorted(mixing.mix(docs, block=8).collect(), key=lambda r: r["position"])
+    assert len(got) == 2_005 == len({r["position"] for r in got})
+    for s in ("s1", "s2", None):
+        ids = [r["doc_id"] for r in got if r["source"] == s]
+        assert ids == sorted((r[0] for r in rows + rows[:5] if r[2] == s), key=lambda i: (i is not None, i or 0))
+    again = mixing.mixed_order(docs, block=8).collect()
+    assert sorted(map(str, map(tuple, again))) == sorted(map(str, rows + rows[:5]))
+    plan = mixing.mix(docs, block=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in "".join(line for line in plan.splitlines() if "Window [" in line)
+
+
 def test_sources_without_weights_are_placed(docs, spark):
     for listed in ([("s1", 3)], [("s1", 3), (None, 2)], [("s2", 1), ("absent", 4)]):
         got = mixing.mix(docs, spark.createDataFrame(listed, "source string, p int"), block=4).collect()
