@@ -1,13 +1,15 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 No piece of a BPE model with escaped white space has its space mark behind another character, so a text
-falls into words (a run of spaces with what follows it) that never merge with each other. The distinct words
+falls into words (a run of spaces with what follows it) that never merge with each other. Words are cut further wherever
+two characters meet that no piece has next to each other, so that text without spaces falls apart too. The distinct words
 of a chunk lie in one flat numpy array of symbols. Each round looks up the rank of every adjacent pair, takes
 the smallest rank of each word by a segmented minimum, merges its leftmost occurrences at once, and
 compacts the arrays; words without a pair leave. Several merges of a word in one round stand only as long as none of
 them makes a pair of the same or a better rank, so that the order is that of the library, one merge at a time.
 
-Empty texts give the end id alone; a null text is an empty one; rows repeat as they come; other columns are ignored.
+Empty texts give the end id alone; a null text is an empty one; rows repeat as they come; an empty table gives no rows; other columns
+are ignored. Texts and words of any length are read whole; words of over LONG characters are not remembered.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from ledgerline.llm.common import CHUNK_BYTES, batches_by_bytes, texts
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
-#: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 150_000
+#: Bytes of words and their ids, with EACH for every word, that a worker keeps; beyond it starts anew.
+CACHE_BYTES, EACH, LONG = 28 << 20, 160, 256
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -60,6 +62,8 @@ class PieceBpe:
                 left, right = symbol(p[:at]), symbol(p[at:])
                 if left is not None and right is not None:
                     pairs[left * self.span + right] = (rank[model.get_score(i)], i)
+        #: Pairs of characters that stand next to each other in a piece.
+        self.neighbours = np.unique(np.array([ord(x) * 0x110000 + ord(y) for p in plain for x, y in zip(p, p[1:])], np.int64))
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
@@ -81,6 +85,7 @@ class PieceBpe:
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.spaced = np.array([p.startswith(MARK) and p in plain for p in pieces])
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where there is no such piece) and merged symbol of each pair."""
@@ -150,7 +155,11 @@ class PieceBpe:
         """Adds the ids of new words, as bytes of little-endian 32-bit integers."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         number = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        symbols, word = self.merge(self.first[chars], number)
+        pair = chars[:-1].astype(np.int64) * 0x110000 + chars[1:]
+        joined = self.neighbours[np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)] == pair
+        part = np.cumsum(np.concatenate([[True], ~joined | (number[1:] != number[:-1])])) - 1
+        symbols, word = self.merge(self.first[chars], part)
+        word = number[np.searchsorted(part, word)]
         unknown = symbols >= self.n
         if unknown.any():  # byte fallback
             parts = {int(s): [self.byte_ids[b] for b in chr(int(s) - self.n).encode("utf-8", "surrogatepass")] for s in np.unique(symbols[unknown])}
@@ -165,19 +174,25 @@ class PieceBpe:
         lo = 0
         for w, hi in zip(words, ends, strict=True):
             self.known[w] = data[lo:hi]
+            self.held += 2 * len(w) + hi - lo + EACH
             lo = hi
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
         whole = self.joined.search if self.joined else lambda text: None
         found = [(self.words if whole(t) else self.finer).findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         new = list({w for words in found for w in words if w not in self.known})
         if new:
             self.learn(new)
         known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<i4") for words in found]
+        out = [np.frombuffer(b"".join([known[w] for w in words]), "<i4") for words in found]
+        for w in new:
+            if len(w) > LONG:
+                self.held -= 2 * len(w) + len(known.pop(w)) + EACH
+        return out
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each row of ids."""
