@@ -5,8 +5,9 @@ order and written by Spark's committed Parquet writer. Every row holds its own p
 a document in the whole stream follows from the small metadata columns and one offset per partition; the ids need not be
 read for it. Page indexes (written by default) and doc_id order let a filter on doc_id read a few pages.
 
-A null text is an empty one and holds the end id alone; null doc_ids come first; repeated rows are kept, in an order
-that follows their text; other columns are ignored; an empty table gives an empty file set.
+A null text is an empty one and holds the end id alone; null doc_ids come first, and are dealt out by a hash of their text; repeated rows
+are kept, in an order that follows their text; texts of any length are read whole; other columns are ignored; an empty table gives an empty
+file set.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ WORDS = rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?[^\s{LETTER}{NU
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on; 0 parts words here.
 SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - SELF)) if b}
-#: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 400_000
+#: Bytes of words and their ids, with EACH for every word, that a worker keeps; beyond it starts anew. Words of over LONG characters are not kept.
+CACHE_BYTES, EACH, LONG = 72 << 20, 160, 256
 
 
 class ByteBpe:
@@ -52,6 +53,7 @@ class ByteBpe:
         self.odd = re.compile(PLAIN).search
         self.split = re.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bool:
         """Whether the library has to split the text itself."""
@@ -61,8 +63,9 @@ class ByteBpe:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of little-endian 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         known = self.known
         found = [None if self.whole(t) else self.split(t) for t in batch]
         new = list(set().union(*[words for words in found if words]).difference(known))
@@ -76,9 +79,14 @@ class ByteBpe:
         mapped += ascii_.split("\0") if cut < len(new) else []
         tokenize = self.library.model.tokenize
         for w, letters in zip(new, mapped, strict=True):
-            known[w] = array("i", [t.id for t in tokenize(letters)]).tobytes()
+            known[w] = ids = array("i", [t.id for t in tokenize(letters)]).tobytes()
+            self.held += 2 * len(w) + len(ids) + EACH
         get = known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<i4").tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(batch, found, strict=True)]
+        out = [np.array(self.library.encode(t, add_special_tokens=False).ids, "<i4").tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(batch, found, strict=True)]
+        for w in new:
+            if len(w) > LONG:
+                self.held -= 2 * len(w) + len(known.pop(w)) + EACH
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +114,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, row_
             before += int(at[-1])
 
     n = partitions(docs.sparkSession)
-    ordered = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Only where there are null doc_ids must the texts be read to find the ranges.
+    tie = [] if docs.filter("doc_id is null").isEmpty() else [F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
+    ordered = texts(docs).repartitionByRange(n, "doc_id", *tie).sortWithinPartitions("doc_id", *tie, "text")
     (
         ordered.mapInArrow(work, "doc_id long, ids array<int>, n_tokens long, part int, part_start long")
         .write.option("compression", "zstd")
