@@ -3,11 +3,11 @@
 A rule is a host and a path. It fits the host itself and every subdomain, if the URL's path starts with the rule's
 (as a string: /en/7 fits /en/77). Among the rules that fit, the one with most host labels wins, then the one with the
 longest path; of an allow and a block entry for the same host and path, the allow entry. Without a rule the verdict
-is `default`. The trie goes to the executors inside the function; its size is checked against RULES_MAX, and a larger
-rule set is to be joined as a table instead.
+is `default`. The trie is broadcast, up to RULES_MAX rules; a larger rule set is joined as a table, with the same results: a URL's host
+suffixes and path segments meet the rules' nodes by equality, then the beginnings of its next segment meet the rules that end there.
 
-Null URLs and those without :// have an empty host and path and fit no rule that names a host; repeated rows are kept; other
-columns are ignored.
+Null URLs and those without :// have an empty host and path and fit no rule that names a host; URLs of any length are read whole; repeated
+rows are kept; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +35,6 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {"hosts": {}}
-        rules = list(rules)
-        if len(rules) > RULES_MAX:
-            raise ValueError(f"{len(rules)} rules; join rule sets of over {RULES_MAX} as a table")
         for verdict, host, path in rules:
             node = self.root
             for label in reversed(host.translate(str.maketrans(*AZ)).split(".")):
@@ -49,6 +46,7 @@ class UrlTrie:
             # The last segment is a prefix of the URL's segment there.
             if node["ends"].get(last, ("",))[0] != "allow":
                 node["ends"][last] = (verdict, host + path)
+                node["sizes"] = sorted({*node.get("sizes", ()), len(last)}, reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """Verdict and rule of the longest match."""
@@ -63,9 +61,10 @@ class UrlTrie:
         for tree in reversed(trees):
             best, here = None, tree
             for segment in segments:
-                fits = [e for e in here["ends"] if segment.startswith(e)]
-                if fits:
-                    best = here["ends"][max(fits, key=len)]
+                for size in here.get("sizes", ()):  # the longest beginning that is a rule's
+                    if size <= len(segment) and (end := here["ends"].get(segment[:size])):
+                        best = end
+                        break
                 here = here["next"].get(segment)
                 if here is None:
                     break
@@ -76,13 +75,38 @@ class UrlTrie:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of every row of `pages`; rules: (verdict, host, path)."""
-    trie = UrlTrie(rules)
+    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if len(rules) > RULES_MAX:
+        return join_rules(parts, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), default)
+    trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     @F.pandas_udf("struct<verdict: string, rule: string>")
     def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for hosts, paths in parts:
-            found = [trie.match(h, p) or (default, None) for h, p in zip(hosts, paths, strict=True)]
+            match = trie.value.match
+            found = [match(h, p) or (default, None) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["verdict", "rule"])
 
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("_found", judged("host", "path"))
+    rows = parts.withColumn("_found", judged("host", "path"))
     return rows.select("page_id", "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("verdict"))
+
+
+def join_rules(parts: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+    """filter_urls() for rules (verdict, host, path) of any number; parts: page_id, host, path.
+
+    Each different host and path is judged once: equi-joins with the rules' nodes (host, whole segments), which tell how long the ends of rules there
+    are, and then with the rules themselves.
+    """
+    kept = rules.select(F.translate("host", *AZ).alias("rule_host"), F.concat("host", "path").alias("rule"), "verdict", F.split("path", "/").alias("s"))
+    kept = kept.select("rule_host", "rule", "verdict", F.array_join(F.slice("s", F.lit(1), F.size("s") - 1), "/").alias("whole"), F.size("s").alias("depth"), F.element_at("s", -1).alias("last"))
+    kept = kept.groupBy("rule_host", "whole", "depth", "last").agg(F.min(F.struct("verdict", "rule")).alias("found"))  # allow comes before block
+    nodes = kept.groupBy("rule_host", "whole", "depth").agg(F.collect_set(F.length("last")).alias("sizes"))  # of one node: lengths of segments
+    urls = parts.select("host", "path").distinct().withColumn("labels", F.split("host", r"\.")).withColumn("segments", F.split("path", "/"))
+    urls = urls.select("host", "path", "segments", "labels", F.posexplode("labels").alias("from_label", "_l"))
+    urls = urls.select("host", "path", "segments", F.array_join(F.slice("labels", F.col("from_label") + 1, F.size("labels")), ".").alias("rule_host"), F.posexplode("segments").alias("at", "segment"))
+    urls = urls.select("host", "path", "rule_host", (F.col("at") + 1).alias("depth"), "segment", F.array_join(F.slice("segments", F.lit(1), F.col("at")), "/").alias("whole"))
+    ends = urls.join(nodes, ["rule_host", "whole", "depth"]).withColumn("size", F.explode("sizes")).filter("size <= length(segment)")
+    ends = ends.select("host", "path", "rule_host", "whole", "depth", F.expr("left(segment, size)").alias("last"), "size")
+    longest = F.struct(F.length("rule_host").alias("a"), "depth", "size", "found")
+    best = ends.join(kept, ["rule_host", "whole", "depth", "last"]).groupBy("host", "path").agg(F.max(longest)["found"].alias("found"))
+    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
