@@ -4,11 +4,13 @@ Two raw-content dictionaries are cut from labelled training texts, in slices of
 with each. The normalised difference of the two sizes tells whose words it has; the size with the good dictionary over
 the text's length tells repetition, which both dictionaries compress alike. A logistic curve over them and the length's
 logarithm gives the calibrated score; it is fitted on training rows that no dictionary saw, weighted to the labels' own
-shares. The fit reads at most 2 * SAMPLE rows per label of at most SAMPLE_BYTES bytes, chosen by a hash of doc_id: that is the
-bound of what reaches the driver, whatever the corpus holds. Scoring reads every whole text and nothing else.
+shares. The fit reads at most 2 * SAMPLE rows per label, chosen by a hash of doc_id, and of a longer text SAMPLE_CHARS characters from a
+place that the same hash gives: that is the bound of what reaches the driver, whatever the corpus holds. Scoring reads every whole text
+and nothing else.
 
-Empty and null texts are scored like any other; null or unlabelled rows don't train; of several
-labels of a doc_id the smallest counts; repeated rows are kept; extra columns are ignored. Without labels of both kinds every score is 0.5.
+Empty and null texts are scored like any other, texts of any length whole; null, empty or unlabelled rows don't train; of several
+labels of a doc_id the smallest counts; repeated rows are kept; extra columns are ignored; an empty table gives no rows. Without labels of both
+kinds every score is 0.5.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import texts
 
 SAMPLE = 1_500
-SAMPLE_BYTES = 20_000
+SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 1 << 20
 SLICE = 2_000
 LEVEL = 3
@@ -70,7 +72,7 @@ def held_out(doc_id: Column) -> Column:
 def _dictionary(rows: list[bytes]) -> bytes:
     """Slices of all texts in turn, until the dictionary is full."""
     parts, size = [], 0
-    for at in range(0, SAMPLE_BYTES, SLICE):
+    for at in range(0, 4 * SAMPLE_CHARS, SLICE):
         for text in rows:
             if part := text[at : at + SLICE]:
                 parts.append(part)
@@ -104,9 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     if len(shares) < 2:
         return None
     chosen = marked.filter("quality = 0").orderBy("_at", "doc_id").limit(2 * SAMPLE).union(marked.filter("quality = 1").orderBy("_at", "doc_id").limit(2 * SAMPLE))
-    short = texts(docs).filter(F.octet_length("text").between(1, SAMPLE_BYTES))
+    part = F.expr(f"substring(text, 1 + pmod(_at, greatest(1, length(text) - {SAMPLE_CHARS} + 1)), {SAMPLE_CHARS})")
     # At most 4 * SAMPLE rows of two numbers are broadcast.
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "_at").agg(F.min("text").alias("text")).collect()
+    marked = texts(docs).filter("text != ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "_at", part.alias("text"))
+    rows = marked.groupBy("doc_id", "quality", "_at").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["_at"], r["doc_id"]))
     by = {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
     if min(map(len, by.values())) < 2:
