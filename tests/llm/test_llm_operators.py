@@ -289,6 +289,53 @@ def test_pieces_like_the_library(docs, empty):
     assert [x.tolist() for x in bpe.encode(cases)] == [library.encode(c) for c in cases]
 
 
+def test_words_without_spaces_like_the_library():
+    """Very long words of letters, base64-like, of four letters, and of one; they are not remembered."""
+    import time
+
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library, bpe, rnd = sentencepiece.SentencePieceProcessor(model_file=model), piece_bpe.PieceBpe(model), random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for of, n in ((letters, 320_000), (letters + letters.upper() + "0123456789+/", 100_000), ("ACGT", 50_000), ("e", 50_000), ("thequickbrownfoxjumpsoverthelazydog", 20_000)):
+        text = "".join(rnd.choice(of) for _ in range(n))
+        began = time.time()
+        (ids,) = bpe.encode([text])
+        assert time.time() - began < 5 and ids.tolist() == library.encode(text)
+    text = "thequickbrownfoxjumpsoverthelazydog" * 5_000
+    assert bpe.encode([text])[0].tolist() == library.encode(text)
+    assert not any(len(w) > piece_bpe.LONG for w in bpe.known) and bpe.held == sum(2 * len(w) + len(i) + piece_bpe.EACH for w, i in bpe.known.items())
+
+
+def test_token_file_layout(spark, tmp_path):
+    """Footers: encodings, row groups, page indexes; a read by doc_id skips row groups."""
+    import pyarrow.parquet as pq
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rnd = random.Random(1)
+    rows = [(i, " ".join(rnd.choice(["word", "other", "text", "tokens"]) + str(rnd.randrange(500)) for _ in range(200))) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, dictionary, encoding in (("a", True, "RLE_DICTIONARY"), ("b", False, "DELTA_BINARY_PACKED")):
+        token_files.write(docs, f"{tmp_path}/{name}", path, dictionary=dictionary, row_group_bytes=200_000)
+        groups, last = 0, -1
+        for file in sorted((tmp_path / name).glob("*.parquet")):
+            footer = pq.ParquetFile(file).metadata
+            groups += footer.num_row_groups
+            for g in range(footer.num_row_groups):
+                columns = {footer.row_group(g).column(c).path_in_schema: footer.row_group(g).column(c) for c in range(footer.num_columns)}
+                ids, doc = next(v for k, v in columns.items() if k.startswith("ids")), columns["doc_id"]
+                assert any(encoding in e or (dictionary and "PLAIN_DICTIONARY" in e) for e in ids.encodings) and ids.compression == "ZSTD"
+                assert ids.has_offset_index and doc.has_column_index and doc.has_offset_index
+                assert last < doc.statistics.min <= doc.statistics.max
+                last = doc.statistics.max
+        assert groups > len(list((tmp_path / name).glob("*.parquet"))) > 1
+        one = spark.read.parquet(f"{tmp_path}/{name}").filter("doc_id = 1234").select("n_tokens")
+        assert one.count() == 1
+        plan = one._jdf.queryExecution().toString()
+        assert "EqualTo(doc_id,1234)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+
+
 def test_token_files(docs, empty, spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -320,10 +367,28 @@ def test_url_rules(spark):
         path = re.split("[?#]", rest[len(host) :])[0] if there else ""
         fits = [(h.count("."), len(p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
         assert got[i] == ((max(fits)[2], max(fits)[3]) if fits else (None, "allow")), url
+    assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
+    twice = url_filter.filter_urls(pages.union(pages), URL_RULES).collect()
+    assert len(twice) == 2 * len(urls) and {(r["page_id"], r["rule"], r["verdict"]) for r in twice} == {(i, *got[i]) for i in got}
     trie = url_filter.UrlTrie([("block", "a.com", "/x/"), ("allow", "a.com", "/x/y"), ("allow", "b.a.com", "")])
     assert trie.match("a.com", "/x/z") == ("block", "a.com/x/") and trie.match("c.a.com", "/x/yz") == ("allow", "a.com/x/y") and trie.match("b.a.com", "/x/z") == ("allow", "b.a.com")
 
 
+def test_many_url_rules_are_joined(spark, monkeypatch):
+    """Tries and joins against each other and against a scan of all rules."""
+    rnd = random.Random(7)
+    host = lambda: ".".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4)))
+    path = lambda: "".join(rnd.choice(["/", "x", "y", "é"]) for _ in range(rnd.randrange(6)))
+    rules = [(rnd.choice(["allow", "block"]), host(), rnd.choice(["", "/"]) + path()) for _ in range(150)]
+    pages = spark.createDataFrame([(i, f"http://{host()}/{path()}" if i % 3 else f"http://{host()}") for i in range(1_200)] + [(1_200, None)], "page_id int, url string")
+    whole = {tuple(r) for r in url_filter.filter_urls(pages, rules).collect()}
+    monkeypatch.setattr(url_filter, "RULES_MAX", 0)
+    assert {tuple(r) for r in url_filter.filter_urls(pages, rules).collect()} == whole
+    for _, h, p, rule, verdict in whole:
+        fits = [(x.count("."), len(y), v == "allow", x + y, v) for v, x, y in rules if (h == x or h.endswith(f".{x}")) and p.startswith(y)]
+        assert (rule, verdict) == (max(fits)[3:] if fits else (None, "allow"))
+
+
 def test_licenses(docs, empty, spark):
     rows = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
     assert (rows[403]["n_base"], rows[403]["base_labels"], rows[403]["first_word"], rows[403]["last_word"]) == (3, "cc-by,mit", 3, 7)
@@ -522,6 +587,25 @@ def test_quality_on_held_out_rows(spark):
     assert rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0).all()
 
 
+def test_quality_scores_by_hand(docs, spark):
+    """Scores from two compressors and the weights, row by row; a long labelled text trains by a part of it."""
+    import math
+
+    import zstandard
+
+    labels = spark.createDataFrame([(6, 1), (8, 1), (200, 1), (201, 1), (202, 1), (203, 1), (4, 0), (5, 0), (400, 0), (401, 0), (402, 0), (300, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert len(model.good) < 3 * quality.SAMPLE_CHARS + 5_000
+    for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), quality.scorer(spark, model)(F.col("text")).alias("score")).collect():
+        data, sizes = r["text"].encode(), []
+        for words in (model.good, model.bad):
+            d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_checksum=False, write_content_size=False).compress(data)))
+        x, share, length = (sizes[0] - sizes[1]) / (sizes[0] + sizes[1]), sizes[0] / (len(data) + 1), math.log(1 + len(data))
+        z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], (x, x * length, share, share**2, length, share * length), strict=True))
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-50, min(50, z))))) < 1e-9
+
+
 def test_quality_odd_rows(docs, empty, spark):
     labels = spark.createDataFrame([(6, 1), (200, 1), (201, 1), (202, 1), (4, 0), (5, 0), (400, 0), (401, 0), (None, 1), (9, None)], "doc_id long, quality int")
     got = quality.classify(docs, labels).collect()
