@@ -25,7 +25,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +189,28 @@ def _flushes(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]
         yield held
 
 
+def per_bucket(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`work` on the rows of each bucket; buckets are dealt out in turn, as hashes of so few numbers would leave some tasks with twice their share."""
+    n = partitions(rows.sparkSession)
+    dealt = rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = _runs(bucket).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                if held and bucket[lo] != now:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                now = bucket[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def split(data: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray, level: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Parts of segments by the bytes around their anchors: segment number, shift, size, hash of these bytes.
 
@@ -278,7 +300,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         h, doc = np.concatenate([np.stack([h[known], doc[known]]), passed], axis=1)
         return pa.table({"doc_id": pa.array(doc), "anchor": pa.array(h)})
 
-    return docs.mapInArrow(gather, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(meet, "doc_id long, anchor long")
+    return per_bucket(docs.mapInArrow(gather, "bucket long, kind int, data binary"), meet, "doc_id long, anchor long")
 
 
 def texts_by_id(whole: DataFrame) -> DataFrame:
@@ -362,7 +384,7 @@ def removals(whole: DataFrame, several: DataFrame, length: int, buckets: int, ho
         doc, *rest = np.concatenate([passed, found], axis=1)
         return pa.table([pa.array(doc), *[pa.array(c.astype(np.int32)) for c in rest]], names=["doc_id", "version", "start", "end"])
 
-    return versioned.mapInArrow(gather, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(settle, "doc_id long, version int, start int, end int")
+    return per_bucket(versioned.mapInArrow(gather, "bucket long, kind int, data binary"), settle, "doc_id long, version int, start int, end int")
 
 
 def settled(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
