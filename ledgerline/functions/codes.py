@@ -87,3 +87,22 @@ def usable_coordinate(latitude: Column, longitude: Column) -> Column:
     lat, lon = F.trim(latitude).try_cast("double"), F.trim(longitude).try_cast("double")
     inside = (lat > LATITUDES[0]) & (lat < LATITUDES[1]) & (lon > LONGITUDES[0]) & (lon < LONGITUDES[1])
     return F.when(inside, F.struct(lon.alias("lon"), lat.alias("lat")))
+
+
+def prefixed_group(name: Column, prefixes: dict[str, str], other: str) -> Column:
+    """The group of the first prefix (prefix to group) that a metric's name has."""
+    out = None
+    for prefix, group in prefixes.items():
+        hit = F.startswith(name, F.lit(prefix))
+        out = F.when(hit, group) if out is None else out.when(hit, group)
+    return out.otherwise(other)
+
+
+def recoded(label: Column, keys: dict[str, str]) -> Column:
+    """The key of a label; NULL for one that isn't listed."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in keys.items() for x in pair]), label)
+
+
+def present_struct(rows_columns: list[str], wanted: list[str]) -> Column:
+    """A struct of those of the wanted columns that a table has, in their order."""
+    return F.struct(*[c for c in wanted if c in rows_columns])

@@ -71,3 +71,17 @@ def rising(edges: DataFrame, keys: list[str], rate: str, tolerance: float = 1e-9
 def overfull(edges: DataFrame, keys: list[str], rate: str, tolerance: float = 1e-9) -> DataFrame:
     """Groups whose rates sum to more than one."""
     return edges.groupBy(*keys).agg(F.sum(rate).alias("total")).filter(F.col("total") > 1 + tolerance)
+
+
+def rate_triples(rows: DataFrame, keys: list[str], inflow: str, outflow: str, own: str) -> DataFrame:
+    """keys, rates (struct of the three, NULL where none is known), uneven: some of the three are known and others aren't."""
+    known = [F.col(c).isNotNull() for c in (inflow, outflow, own)]
+    all_, some = known[0] & known[1] & known[2], known[0] | known[1] | known[2]
+    return rows.select(*keys, F.when(all_, F.struct(F.col(inflow).alias("inflow"), F.col(outflow).alias("outflow"), F.col(own).alias("self"))).alias("rates"), (some & ~all_).alias("uneven"))
+
+
+def listed(places: DataFrame, edges: DataFrame, origin: str, partner: str, rate: str, chosen) -> DataFrame:
+    """Every place with its rate seen from the `chosen` origin and a status: self, listed, zero, or unlisted (no row, which is not zero)."""
+    own = edges.filter(F.col(origin) == chosen).select(F.col(partner).alias("place"), F.col(rate).alias("rate"))
+    status = F.when(F.col("place") == chosen, "self").when(F.col("rate").isNull(), "unlisted").when(F.col("rate") == 0, "zero").otherwise("listed")
+    return places.select("place").join(own, "place", "left").withColumn("status", status)

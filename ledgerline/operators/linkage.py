@@ -25,10 +25,41 @@ def contested(links: DataFrame) -> DataFrame:
     return links.withColumn("contested", F.col("right_id").isNotNull() & (claims > 1)).withColumn("right_id", F.when(~F.col("contested"), F.col("right_id")))
 
 
-def _name_pairs(left: DataFrame, right: DataFrame, block: str, name: str) -> DataFrame:
-    """block and name of the distinct left names with each right name of the block (_other), its rows (points) and its first right_id."""
-    other = right.groupBy(block, F.col(name).alias("_other")).agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"))
-    return left.select(block, name).distinct().join(other, block)
+def _suffix_pairs(left: DataFrame, right: DataFrame, shortest: int) -> DataFrame:
+    """block, name, other of the names where one is the end of the other, `shortest` characters at least; left: block, name; right: block, other.
+
+    Each name's own ends are joined by equality with the names of the other side, so that a large block makes no product.
+    """
+    ends = lambda c: F.explode(F.expr(f"transform(sequence(2, greatest(1, length({c}) - {shortest} + 1), if(length({c}) > {shortest}, 1, -1)), i -> substring({c}, i))"))
+    longer = lambda rows, c: rows.filter(F.length(c) > shortest)
+    at_end = longer(left, "name").select("block", "name", ends("name").alias("other")).join(right, ["block", "other"])
+    whole = longer(right, "other").select("block", "other", ends("other").alias("name")).join(left, ["block", "name"])
+    return at_end.select("block", "name", "other").union(whole.select("block", "name", "other"))
+
+
+def _like_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """block, name, other of all names whose similarity() may reach `threshold`; left: block, name; right: block, other.
+
+    The ratio is at most twice the letters in common over all letters. Names that reach the threshold by that have a letter in common
+    among the rarest of each (the prefix of a set-similarity join over letters with their repetitions), by which they are joined.
+    """
+    share = threshold / (2 - threshold)  # of a name's letters that must be common, whatever the other's length
+
+    def letters(rows: DataFrame, c: str) -> DataFrame:
+        each = rows.select("block", c, F.posexplode(F.split(c, "")).alias("_at", "_x")).filter("_x != ''")
+        again = F.row_number().over(Window.partitionBy("block", c, "_x").orderBy("_at"))
+        return each.select("block", c, F.concat("_x", again.cast("string")).alias("letter"), F.length(c).alias(f"n_{c}"))
+
+    a, b = letters(left, "name"), letters(right, "other")
+    common = a.select("block", "letter").union(b.select("block", "letter")).groupBy("block", "letter").agg(F.count("*").alias("_f"))
+
+    def prefix(rows: DataFrame, c: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("block", c).orderBy("_f", "letter"))
+        return rows.join(common, ["block", "letter"]).withColumn("_r", rank).filter(F.col("_r") <= F.col(f"n_{c}") - F.ceil(F.col(f"n_{c}") * share - 1e-9) + 1).select("block", c, "letter", f"n_{c}")
+
+    met = prefix(a, "name").join(prefix(b, "other"), ["block", "letter"]).filter(2 * F.least("n_name", "n_other") >= threshold * (F.col("n_name") + F.col("n_other")) - 1e-9)
+    equal = left.join(right.withColumn("name", F.col("other")), ["block", "name"]).select("block", "name", "other")  # names without letters among them
+    return met.select("block", "name", "other").union(equal).distinct()
 
 
 def suffix(left: DataFrame, right: DataFrame, block: str, name: str, shortest: int = 5) -> DataFrame:
@@ -36,21 +67,23 @@ def suffix(left: DataFrame, right: DataFrame, block: str, name: str, shortest: i
 
     Names are compared once, however many rows of the block have them.
     """
-    pairs = _name_pairs(left, right, block, name).filter((F.col(name) != F.col("_other")) & (F.least(F.length(name), F.length("_other")) >= shortest) & (F.endswith(F.col(name), F.col("_other")) | F.endswith(F.col("_other"), F.col(name))))
-    found = pairs.groupBy(block, name).agg(F.sum("points").alias("points"), F.min("right_id").alias("right_id"))
-    rows = left.select("left_id", block, name).join(found, [block, name]).groupBy("left_id").agg(F.sum("points").alias("candidates"), F.min("right_id").alias("right_id"))
+    other = right.groupBy(F.col(block).alias("block"), F.col(name).alias("other")).agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"))
+    pairs = _suffix_pairs(left.select(F.col(block).alias("block"), F.col(name).alias("name")).distinct(), other.select("block", "other"), shortest)
+    found = pairs.join(other, ["block", "other"]).groupBy("block", "name").agg(F.sum("points").alias("points"), F.min("right_id").alias("right_id"))
+    named = left.select("left_id", F.col(block).alias("block"), F.col(name).alias("name"))
+    rows = named.join(found, ["block", "name"]).groupBy("left_id").agg(F.sum("points").alias("candidates"), F.min("right_id").alias("right_id"))
     return rows.withColumn("right_id", F.when(F.col("candidates") == 1, F.col("right_id")))
 
 
 def fuzzy(left: DataFrame, right: DataFrame, block: str, name: str, threshold: float = 0.8) -> DataFrame:
-    """The best candidate of each left row within its block, by similarity, then right_id.
+    """The best candidate of each left row within its block, by similarity, then right_id, if it reaches the threshold; pool: right rows of the block.
 
-    Blocks keep this from being a product; names are compared once, however many rows of the block have them.
+    Names are compared once, however many rows of the block have them, and only those that letters in common let reach the threshold.
     """
-    other = right.groupBy(block, F.col(name).alias("right_name")).agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"))
-    names_ = left.select(block, F.col(name).alias("name")).distinct()
-    best = left.select("left_id", block, F.col(name).alias("name")).join(_best(names_.join(other, block), [block, "name"], "points"), [block, "name"])
-    return best.select("left_id", "pool", (-F.col("b.r")).alias("right_id"), half_up(F.col("b._score")).alias("score"), (F.col("b._score") >= threshold).alias("candidate"))
+    right = right.select(F.col(block).alias("block"), F.col(name).alias("other"), "right_id")
+    left = left.select("left_id", F.col(block).alias("block"), F.col(name).alias("name"))
+    best = left.join(_best(left, right, threshold), ["block", "name"]).join(right.groupBy("block").agg(F.count("*").alias("pool")), "block")
+    return best.select("left_id", "pool", (-F.col("b.r")).alias("right_id"), half_up(F.col("b._score")).alias("score"))
 
 
 def _by_name(right: DataFrame, rows: DataFrame) -> DataFrame:
@@ -59,10 +92,12 @@ def _by_name(right: DataFrame, rows: DataFrame) -> DataFrame:
     return free.groupBy("right_area", "right_name").agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"), F.min("address").alias("address"))
 
 
-def _best(pairs: DataFrame, keys: list[str], points: str) -> DataFrame:
-    """keys, b (_score and the negative right_id of the most similar name), pool."""
-    scored = pairs.withColumn("_score", similarity(F.col("name"), F.col("right_name")))
-    return scored.groupBy(*keys).agg(F.max(F.struct("_score", (-F.col("right_id")).alias("r"))).alias("b"), F.sum(points).alias("pool"))
+def _best(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """block, name, b (_score and the negative right_id of the most similar name) of the names with one that reaches the threshold."""
+    other = right.groupBy("block", "other").agg(F.min("right_id").alias("right_id"))
+    pairs = _like_pairs(left.select("block", "name").distinct(), other.select("block", "other"), threshold)
+    scored = pairs.withColumn("_score", similarity(F.col("name"), F.col("other"))).filter(F.col("_score") >= threshold).join(other, ["block", "other"])
+    return scored.groupBy("block", "name").agg(F.max(F.struct("_score", (-F.col("right_id")).alias("r"))).alias("b"))
 
 
 def tiers(left: DataFrame, right: DataFrame, shortest: int = 5, threshold: float = 0.8, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -89,10 +124,11 @@ def tiers(left: DataFrame, right: DataFrame, shortest: int = 5, threshold: float
     # Tier 2. Suffixes among the points of the area that are still free; names are compared once, however many rows have them.
     free = _by_name(right, rows)
     open_ = rows.filter("right_id is null and municipality != ''")
-    pairs = open_.select("area", "name").distinct().join(free, F.col("area") == F.col("right_area"))
-    longer, shorter = (F.when((F.length("name") >= F.length("right_name")) == side, F.col("name")).otherwise(F.col("right_name")) for side in (True, False))
-    related = (F.col("name") != F.col("right_name")) & (F.length(shorter) >= shortest) & F.endswith(longer, shorter) & ~names.type_words_only(shorter)
-    found = pairs.filter(related).groupBy("area", "name").agg(F.sum("points").alias("_n"), F.min("right_id").alias("_one"), F.min("address").alias("address"))
+    named = open_.select(F.col("area").alias("block"), "name").distinct()
+    pairs = _suffix_pairs(named, free.select(F.col("right_area").alias("block"), F.col("right_name").alias("other")), shortest)
+    shorter = F.when(F.length("name") < F.length("other"), F.col("name")).otherwise(F.col("other"))
+    pairs = pairs.filter(~names.type_words_only(shorter)).select(F.col("block").alias("area"), "name", F.col("other").alias("right_name"))
+    found = pairs.join(free.withColumnRenamed("right_area", "area"), ["area", "right_name"]).groupBy("area", "name").agg(F.sum("points").alias("_n"), F.min("right_id").alias("_one"), F.min("address").alias("address"))
     why = F.when(F.col("_n") > 1, "multiple_candidates_in_area").otherwise(checked)
     second = open_.join(found, ["area", "name"]).select("left_id", "_n", why.alias("_why"), F.when(why == "", F.col("_one")).alias("_right"))
     rows = rows.withColumnRenamed("right_id", "_first").join(second, "left_id", "left")
@@ -101,9 +137,10 @@ def tiers(left: DataFrame, right: DataFrame, shortest: int = 5, threshold: float
     rows = cut(rows.withColumn("right_id", F.coalesce("_first", "right_id")).drop("_first"))
 
     # Tier 3. Candidates only: the most similar free point of the area.
-    open_ = rows.filter("right_id is null").select("area", "name").distinct()
-    best = _best(open_.join(_by_name(right, rows), F.col("area") == F.col("right_area")), ["area", "name"], "points").filter(F.col("b._score") >= threshold)
-    best = rows.filter("right_id is null").join(best, ["area", "name"]).select("left_id", "b", F.col("pool").alias("_pool"))
+    free = _by_name(right, rows).select(F.col("right_area").alias("area"), F.col("right_area").alias("block"), F.col("right_name").alias("other"), "right_id", "points")
+    best = _best(rows.filter("right_id is null").select(F.col("area").alias("block"), "name"), free, threshold).withColumnRenamed("block", "area")
+    pools = free.groupBy("area").agg(F.sum("points").alias("_pool"))
+    best = rows.filter("right_id is null").join(best, ["area", "name"]).join(pools, "area").select("left_id", "b", "_pool")
     rows = rows.join(best, "left_id", "left")
     status = F.when(F.col("right_id").isNotNull(), "matched").when(F.col("b").isNotNull(), "candidate_only").otherwise("unmatched")
     return rows.select(

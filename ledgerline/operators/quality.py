@@ -18,6 +18,16 @@ class Check:
     fatal: bool = True
 
 
+@dataclass(frozen=True)
+class RowRule:
+    """A rule that looks at one row at a time: called with a table it gives the rows where `broken` is true; a report counts all such rules in one pass."""
+
+    broken: Column
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return rows.filter(self.broken)
+
+
 def duplicates(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
@@ -32,7 +42,7 @@ def dependency(left: str, right: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def outside(column: str, low: float, high: float) -> Callable[[DataFrame], DataFrame]:
-    return lambda rows: rows.filter(~F.col(column).between(low, high))
+    return RowRule(~F.col(column).between(low, high))
 
 
 def gaps(group: str, order: str, first: int) -> Callable[[DataFrame], DataFrame]:
@@ -46,9 +56,15 @@ def gaps(group: str, order: str, first: int) -> Callable[[DataFrame], DataFrame]
 
 
 def report(rows: DataFrame, checks: list[Check]) -> DataFrame:
-    """One row per rule: name, number of violations, passed."""
-    found = None
+    """One row per rule: name, number of violations, passed. Rules of single rows share one scan."""
+    found, single = None, [c for c in checks if isinstance(c.violations, RowRule)]
+    if single:
+        counted = rows.agg(*[F.count_if(c.violations.broken).alias(f"_{i}") for i, c in enumerate(single)])
+        lines = [F.struct(F.lit(c.name).alias("check"), F.col(f"_{i}").alias("violations"), (F.col(f"_{i}") == 0).alias("passed"), F.lit(c.fatal).alias("fatal")) for i, c in enumerate(single)]
+        found = counted.select(F.inline(F.array(*lines)))
     for c in checks:
+        if any(c is s for s in single):
+            continue
         one = c.violations(rows).agg(F.count("*").alias("violations")).select(F.lit(c.name).alias("check"), "violations", (F.col("violations") == 0).alias("passed"), F.lit(c.fatal).alias("fatal"))
         found = one if found is None else found.union(one)
     return found
@@ -83,20 +99,20 @@ def set_differences(sets: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def off_domain(column: str, values: list) -> Callable[[DataFrame], DataFrame]:
-    return lambda rows: rows.filter(F.col(column).isNotNull() & ~F.col(column).isin(values))
+    return RowRule(F.col(column).isNotNull() & ~F.col(column).isin(values))
 
 
 def not_number(column: str, sign: str = "any") -> Callable[[DataFrame], DataFrame]:
     """Rows that aren't a finite number; sign: any, not_negative or positive."""
     number = F.col(column).cast("string").try_cast("double")
     low = {"any": F.lit(False), "not_negative": number < 0, "positive": number <= 0}[sign]
-    return lambda rows: rows.filter(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")) | low)
+    return RowRule(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")) | low)
 
 
 def bad_code(column: str, width: int, prefix: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """Codes that aren't `width` digits, or don't start with the code in column `prefix`."""
     wrong = ~F.col(column).rlike(f"^[0-9]{{{width}}}$")
-    return lambda rows: rows.filter(F.coalesce(wrong | ~F.startswith(F.col(column), F.col(prefix)) if prefix else wrong, F.lit(True)))
+    return RowRule(F.coalesce(wrong | ~F.startswith(F.col(column), F.col(prefix)) if prefix else wrong, F.lit(True)))
 
 
 def disagreements(other: DataFrame, key: str, columns: list[str]) -> Callable[[DataFrame], DataFrame]:
@@ -113,14 +129,14 @@ def disagreements(other: DataFrame, key: str, columns: list[str]) -> Callable[[D
 
 def one_without_other(left: Column, right: Column) -> Callable[[DataFrame], DataFrame]:
     """Rows where exactly one of two conditions holds; for a status and its value, or two that go together."""
-    return lambda rows: rows.filter(~left.eqNullSafe(right))
+    return RowRule(~left.eqNullSafe(right))
 
 
 def parts_beyond(total: str, parts: list[str]) -> Callable[[DataFrame], DataFrame]:
     """Totals that aren't the sum of their parts; with a part missing, totals below the rest."""
     known = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0)))
     some = F.concat(*[F.col(p).cast("string") for p in parts]).isNull()
-    return lambda rows: rows.filter(F.when(some, F.col(total) < known).otherwise(F.col(total) != known))
+    return RowRule(F.when(some, F.col(total) < known).otherwise(F.col(total) != known))
 
 
 def unexpected_count(expected: int) -> Callable[[DataFrame], DataFrame]:
@@ -135,4 +151,22 @@ def unlike(pinned: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def off_tolerance(left: str, right: str, relative: float) -> Callable[[DataFrame], DataFrame]:
     """Rows whose two figures differ by more than a share of the second."""
-    return lambda rows: rows.filter(F.abs(F.col(left) - F.col(right)) > F.abs(F.col(right)) * relative)
+    return RowRule(F.abs(F.col(left) - F.col(right)) > F.abs(F.col(right)) * relative)
+
+
+def count_gaps(stated: DataFrame, details: DataFrame, key: str, count: str) -> DataFrame:
+    """key, stated, found: a summary's counts that its detail rows don't bear out; to be reported, not raised."""
+    found = details.groupBy(key).agg(F.count("*").alias("found"))
+    both = stated.select(key, F.col(count).alias("stated")).join(found, key, "full").fillna(0, ["found"])
+    return both.filter(~F.col("stated").eqNullSafe(F.col("found")))
+
+
+def unexpected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, expected, n: counts (name, n) that differ from a table of expectations (name, expected), or stand on one side alone."""
+    both = counts.select("name", "n").join(expected.select("name", "expected"), "name", "full")
+    return both.filter(~F.col("expected").eqNullSafe(F.col("n"))).select("name", "expected", "n")
+
+
+def examples(violations: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """The first n rows that break a rule, in a fixed order, for a report."""
+    return violations.orderBy(*order).limit(n)

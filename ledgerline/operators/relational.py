@@ -26,14 +26,14 @@ def reconcile(parts: DataFrame, totals: DataFrame, keys: list[str], value: str,
     summed = parts.groupBy(*keys).agg(F.sum(value).alias("part_sum"))
     both = summed.join(totals.withColumnRenamed(value, "total"), keys, "full")
     gap = F.abs(F.col("part_sum") - F.col("total"))
-    return both.withColumn("agrees", F.coalesce(gap <= tolerance * F.greatest(F.lit(1.0), F.abs("total")), F.lit(False)))
+    return both.withColumn("agrees", F.coalesce(gap <= tolerance * F.greatest(F.abs("part_sum"), F.abs("total")), F.lit(False)))
 
 
 def complete_grid(rows: DataFrame, axes: list[DataFrame], keys: list[str]) -> DataFrame:
     """Every combination of small code lists, with the rows' columns or NULL."""
     grid = axes[0]
     for axis in axes[1:]:
-        grid = grid.join(F.broadcast(axis))  # code lists, whose product is the grid itself
+        grid = grid.crossJoin(axis)  # code lists, whose product is the grid itself
     return grid.join(rows, keys, "left")
 
 
@@ -73,9 +73,14 @@ def bijection_errors(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return side(left, right).union(side(right, left))
 
 
-def exact_sum(value: Column, decimals: int = 6) -> Column:
-    """A sum of doubles that doesn't depend on their order: of decimals, so that Spark can still sum ahead of the shuffle."""
-    return F.sum(value.cast(f"decimal(38,{decimals})")).cast("double")
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order: of decimals, so that Spark can still sum ahead of the shuffle.
+
+    Sixteen decimals keep 1e-9 of the largest value, down to 1e-6; smaller groups, and values of over 22 digits, are summed as doubles.
+    """
+    exact, largest = value.try_cast("decimal(38,16)"), F.max(F.abs(value))
+    fits = (F.count(exact) == F.count(value)) & ((largest >= 1e-6) | (largest == 0))
+    return F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(value))
 
 
 def element_quantile(rows: DataFrame, group: list[str], value: str, q: float) -> DataFrame:

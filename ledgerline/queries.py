@@ -293,9 +293,9 @@ def rank_contiguity(spark, d):
     return quality.gaps("l_orderkey", "l_linenumber", 1)(table(spark, d, "lineitem"))
 
 
-@query("""select conv_id, turn, previous, turn - previous - 1 as missing from (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as previous from conversations where turn % 3 != 1) where turn - previous > 1""")
+@query("""select conv_id, turn, previous, turn - previous - 1 as missing from (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as previous from conversations) where turn - previous > 1""")
 def gap_detection(spark, d):
-    rows = table(spark, d, "conversations").filter("turn % 3 != 1").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
     return rows.withColumn("missing", F.expr("turn - previous - 1")).filter("missing > 0")
 
 

@@ -250,11 +250,11 @@ def ratio_by_region_function(spark, d):
 
 
 @query("""with y as (select c_nationkey as area, year(o_orderdate)::int as year, count(case when o_orderstatus = 'F' then 1 end) / count(*) as rate from orders join customer on o_custkey = c_custkey group by 1, 2),
-a as (select * from y where area < 20), b as (select area, year + 1 as year, rate from y where area >= 5)
+a as (select * from y), b as (select area, year + 1 as year, rate from y)
 select coalesce(a.year, b.year) as year, count(a.rate) as old_n, count(b.rate) as new_n, count(case when a.rate != b.rate then 1 end) as differ from a full join b on a.area = b.area and a.year = b.year group by 1""")
 def report_rate_differences(spark, d):
     y = _placed_orders(spark, d).groupBy(F.col("c_nationkey").alias("area"), F.year("o_orderdate").alias("year")).agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("rate"))
-    a, b = y.filter("area < 20").withColumnRenamed("rate", "a"), y.filter("area >= 5").select("area", (F.col("year") + 1).alias("year"), F.col("rate").alias("b"))
+    a, b = y.withColumnRenamed("rate", "a"), y.select("area", (F.col("year") + 1).alias("year"), F.col("rate").alias("b"))
     return a.join(b, ["area", "year"], "full").groupBy("year").agg(F.count("a").alias("old_n"), F.count("b").alias("new_n"), F.count_if(F.expr("a != b")).alias("differ"))
 
 
@@ -290,13 +290,13 @@ def search_first_20(spark, d):
 
 
 def _ranked_edges(spark, d) -> DataFrame:
-    rows = flows.shares(_edges(spark, d), "origin", "partner").filter("n % 7 != 0")
+    rows = flows.shares(_edges(spark, d), "origin", "partner")
     rank = F.row_number().over(Window.partitionBy("origin").orderBy(F.col("n").desc(), "partner"))
     return rows.select("origin", "partner", F.col("share").alias("rate"), rank.alias("rank"), F.when(F.col("n") % 11 == 0, "error").otherwise("observed").alias("status"))
 
 
 EDGES_SQL = f"""{FLOWS_SQL}, t as (select *, sum(n) over (partition by origin) as total from flows),
-edges as (select origin, partner, floor(n / total * 1e6 + 0.5) / 1e6 as rate, row_number() over (partition by origin order by n desc, partner)::int as rank, case when n % 11 = 0 then 'error' else 'observed' end as status from t where n % 7 != 0)"""
+edges as (select origin, partner, floor(n / total * 1e6 + 0.5) / 1e6 as rate, row_number() over (partition by origin order by n desc, partner)::int as rank, case when n % 11 = 0 then 'error' else 'observed' end as status from t)"""
 
 
 @query(f"""with {EDGES_SQL} select n_nationkey as origin, max(case when status != 'error' and partner = origin then rate end) as self_rate, max(case when status != 'error' and partner = origin then rank end) as self_rank,

@@ -5,7 +5,7 @@ A layout is checked by data: each function returns rows, or the rows that break
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,7 @@ def fixed_blocks(cells: DataFrame, first_row: int, size: int, count: int) -> Dat
 
 def block_number_errors(blocks: DataFrame, count: int, first_number: int, number_col: int) -> DataFrame:
     """sheet, block, expected, number: blocks whose first row doesn't hold the next number of the sequence."""
-    spark = blocks.sparkSession
-    wanted = blocks.select("sheet").distinct().join(F.broadcast(spark.range(count).select(F.col("id").cast("int").alias("block"))))  # a row for each block of a sheet
+    wanted = blocks.select("sheet").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     numbers = blocks.filter((F.col("place") == 0) & (F.col("col") == number_col)).select("sheet", "block", F.col("value").try_cast("int").alias("number"))
     both = wanted.join(numbers, ["sheet", "block"], "left").withColumn("expected", F.col("block") + first_number)
     return both.filter(~F.col("expected").eqNullSafe(F.col("number"))).select("sheet", "block", "expected", "number")
@@ -67,3 +66,42 @@ def code_pairs(rows: DataFrame, codes: str, names: str, separator: str = ",") ->
     left, right = (F.transform(F.split(c, separator), lambda x: F.trim(x)) for c in (codes, names))
     zipped = rows.withColumn("uneven", F.size(left) != F.size(right)).withColumn("_pair", F.explode(F.arrays_zip(left.alias("code"), right.alias("name"))))
     return zipped.select(*[c for c in rows.columns if c not in (codes, names)], "uneven", F.col("_pair.code").alias("code"), F.col("_pair.name").alias("name"))
+
+
+def expected_columns(spark: SparkSession, levels: list[list[str]], first: int) -> DataFrame:
+    """col, labels: the columns that a header of nested levels has from column `first` on, the last level changing fastest."""
+    found = [[]]
+    for level in levels:
+        found = [[*labels, one] for labels in found for one in level]
+    return spark.createDataFrame([(first + i, labels) for i, labels in enumerate(found)], "col int, labels array<string>")
+
+
+def resolved(header: DataFrame, expected: DataFrame) -> DataFrame:
+    """sheet, col, labels, problem of header cells (sheet, col, labels) that the catalogue lacks, stand elsewhere, or are missing; NULL sheets: in no sheet."""
+    sheets = header.select("sheet").distinct()
+    wanted = sheets.join(expected.select(F.col("col").alias("at"), "labels"))  # a row for each column of a sheet
+    both = header.join(wanted, ["sheet", "labels"], "full")
+    problem = F.when(F.col("at").isNull(), "unexpected").when(F.col("col").isNull(), "missing").when(F.col("col") != F.col("at"), "elsewhere")
+    return both.withColumn("problem", problem).filter("problem is not null").select("sheet", F.coalesce("col", "at").alias("col"), "labels", "problem")
+
+
+def signature_outliers(header: DataFrame) -> DataFrame:
+    """sheet, columns: sheets whose header (col, label) is not that of most sheets; of equally common ones the smallest digest counts."""
+    parts = F.array_sort(F.collect_list(F.struct("col", "label")))
+    signs = header.groupBy("sheet").agg(F.sha2(F.to_json(parts), 256).alias("sign"), F.count("*").alias("columns"))
+    usual = signs.groupBy("sign").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "sign"))["sign"].alias("_usual"))  # one row
+    return signs.join(F.broadcast(usual)).filter("sign != _usual").select("sheet", "columns")
+
+
+def banded(cells: DataFrame, bands: dict[str, tuple[int, int]]) -> DataFrame:
+    """Cells with band and place (column within it), of column bands that stand side by side with one meaning, name to (first, last); others go."""
+    spans = F.array(*[F.struct(F.lit(name).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, (lo, hi) in bands.items()])
+    hit = F.filter(spans, lambda s: F.col("col").between(s["lo"], s["hi"]))
+    return cells.withColumn("_band", F.get(hit, F.lit(0))).filter("_band is not null").withColumn("band", F.col("_band.band")).withColumn("place", F.col("col") - F.col("_band.lo")).drop("_band")
+
+
+def band_totals(cells: DataFrame, total_place: int) -> DataFrame:
+    """sheet, row, band, total, parts: banded cells whose total (at `total_place`) isn't the sum of the others."""
+    number, own = F.col("value").try_cast("double"), F.col("place") == total_place
+    sums = cells.groupBy("sheet", "row", "band").agg(F.max(F.when(own, number)).alias("total"), F.sum(F.when(~own, number)).alias("parts"))
+    return sums.filter(~F.col("total").eqNullSafe(F.col("parts")))

@@ -88,8 +88,54 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_suffix_compares_names_once(spark):
     left = spark.createDataFrame([(i, "b", ["north clinic", "clinic", "other name"][i % 3]) for i in range(60)], "left_id int, block string, name string")
     right = spark.createDataFrame([(i, "b", "far north clinic") for i in range(40)] + [(99, "b", "other"), (98, "c", "x clinic"), (97, "b", None)], "right_id int, block string, name string")
-    assert linkage._name_pairs(left, right, "block", "name").count() == 3 * 3  # not 60 * 42
+    names = left.select("block", "name").distinct(), right.select("block", F.col("name").alias("other")).distinct()
+    assert sorted(map(tuple, linkage._suffix_pairs(*names, 5).collect())) == [("b", "clinic", "far north clinic"), ("b", "north clinic", "far north clinic")]
     got = {r["left_id"]: (r["candidates"], r["right_id"]) for r in linkage.suffix(left, right, "block", "name").collect()}
     assert got == {i: (40, None) for i in range(60) if i % 3 < 2}
     right = right.filter("right_id in (7, 99)")
     assert {r["right_id"] for r in linkage.suffix(left, right, "block", "name").collect()} == {7}
+
+
+def test_best_candidates_by_hand(spark):
+    """The most similar name of the block by a scan of all, on the query's own tables and on short and odd names; one hot block."""
+    import difflib
+    import random
+
+    from ledgerline.queries import _sides
+
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choice("aabc é") for _ in range(rnd.randrange(0, 9)))
+    odd = [[(i, rnd.choice(["hot", "hot", "b"]), name() if i % 20 else None) for i in range(150)] for _ in range(2)]
+    tables = [_sides(spark, "/root/testdata/sf0.001"), tuple(spark.createDataFrame(rows, f"{side}_id int, block string, name string") for side, rows in zip(("left", "right"), odd))]
+    for left, right in tables:
+        rows, others = left.collect(), right.collect()
+        want = {}
+        for l in rows:
+            scores = [(difflib.SequenceMatcher(None, l["name"], r["name"]).ratio(), -r["right_id"]) for r in others if r["block"] == l["block"] and r["name"] is not None] if l["name"] is not None else []
+            if scores and max(scores)[0] >= 0.8:
+                want[l["left_id"]] = (-max(scores)[1], round(max(scores)[0], 4))
+        got = {r["left_id"]: (r["right_id"], round(r["score"], 4)) for r in linkage.fuzzy(left, right, "block", "name").collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items() if v}
+        assert all(abs(got[k][1] - want[k][1]) <= 1e-4 for k in got)
+        ends = {l["left_id"]: [r["right_id"] for r in others if r["block"] == l["block"] and l["name"] and r["name"] and l["name"] != r["name"] and min(len(l["name"]), len(r["name"])) >= 3 and (l["name"].endswith(r["name"]) or r["name"].endswith(l["name"]))] for l in rows}
+        found = {r["left_id"]: (r["candidates"], r["right_id"]) for r in linkage.suffix(left, right, "block", "name", 3).collect()}
+        assert found == {k: (len(v), v[0] if len(v) == 1 else None) for k, v in ends.items() if v}
+
+
+def test_sums_in_any_order(spark):
+    values = [1e-7, 3e-7, 1e18, 0.1, 0.2, -1e18] * 5
+    sums = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)] + [(9, 1e-9)] * 4 + [(8, 1e30), (8, 1.0)], "g int, v double").groupBy("g").agg(relational.exact_sum(F.col("v")).alias("s"))
+    got = {r["g"]: r["s"] for r in sums.collect()}
+    assert abs(got[9] - 4e-9) < 1e-18 and got[8] == 1e30 + 1
+    assert got == pytest.approx({g: sum(sorted(v for i, v in enumerate(values) if i % 3 == g)) for g in range(3)} | {9: 4e-9, 8: 1e30}, rel=1e-9, abs=1e-6)
+
+
+def test_planted_gaps_and_flows(spark):
+    """Missing numbers and edges, which the full tables hardly have."""
+    turns = spark.createDataFrame([(1, t) for t in (0, 1, 4)] + [(2, t) for t in (0, 1, 1)] + [(3, 0), (3, 1)], "conv_id int, turn int")
+    assert sorted(r["conv_id"] for r in quality.gaps("conv_id", "turn", 0)(turns).collect()) == [1, 2]
+    from ledgerline.operators import flows
+
+    places = spark.createDataFrame([(i,) for i in range(4)], "place int")
+    edges = spark.createDataFrame([(0, 0, 5.0), (0, 1, 0.0), (0, 2, 2.0), (1, 3, 1.0)], "origin int, partner int, rate double")
+    assert {r["place"]: r["status"] for r in flows.listed(places, edges, "origin", "partner", "rate", 0).collect()} == {0: "self", 1: "zero", 2: "listed", 3: "unlisted"}

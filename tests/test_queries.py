@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import ledgerline.queries_documents  # noqa: F401
 import ledgerline.queries_reports  # noqa: F401
 from ledgerline.queries import ORACLES, QUERIES
 
