@@ -15,8 +15,8 @@ than `need` cross shingles is out, which ends the matter for texts that share bo
 a shingle in the prefixes of at most FEW sets gives pairs, which are confirmed; one in more gives pairs of blocks of BLOCK sets, and a task counts the common
 shingles of two blocks as a matrix product and returns only links.
 
-Joins on buckets take the largest ones apart: a bucket with one row in SHARES or more. There are at most SHARES of them, so what they meet is
-broadcast, and no task gets such a bucket whole.
+Joins on buckets and on the shingles of prefixes take the largest ones apart: those with one row in SHARES or more. There are at most SHARES of them, so
+what they meet is broadcast, and no task gets such a group whole.
 
 Null doc_ids and texts without words stand alone (component_id is their own doc_id); rows with one doc_id count as one
 document, each with the links of its own text; texts of any length are read whole; an empty table gives no rows; extra columns are
@@ -101,25 +101,30 @@ def confirm(pairs: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFra
     return u.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").select("u", "v", "u_text", "v_text").mapInArrow(work, "u long, v long").distinct()
 
 
-def on_bucket(rows: DataFrame, table: DataFrame, hot: list[int]) -> DataFrame:
-    """Inner join of `rows` with `table`, which has one row per bucket; those of the `hot` buckets, at most SHARES, are broadcast."""
+def hot_keys(table: DataFrame, key: str, n: str, rows: int) -> list[int]:
+    """The keys of `table` with a share of 1 / SHARES or more of `rows` rows, by their counts `n`: at most SHARES."""
+    return [r[key] for r in table.filter(F.col(n) * SHARES >= rows).select(key).distinct().collect()]
+
+
+def on_key(rows: DataFrame, table: DataFrame, hot: list[int], key: str = "bucket") -> DataFrame:
+    """Inner join of `rows` with `table`, which has one row per key; those of the `hot` keys, at most SHARES, are broadcast."""
     if not hot:
-        return rows.join(table, "bucket")
-    large = F.col("bucket").isin(hot)
-    return rows.filter(~large).join(table.filter(~large), "bucket").union(rows.filter(large).join(F.broadcast(table.filter(large)), "bucket"))
+        return rows.join(table, key)
+    large = F.col(key).isin(hot)
+    return rows.filter(~large).join(table.filter(~large), key).union(rows.filter(large).join(F.broadcast(table.filter(large)), key))
 
 
 def stars(members: DataFrame, hot: list[int]) -> DataFrame:
     """Pairs (u, v) of each class with its buckets' hubs; members: bucket, node, size (classes in the bucket)."""
     crowds = members.withColumn("crowd", F.sum("size").over(Window.partitionBy("node")))  # a node has BANDS rows at most
     best = crowds.groupBy("bucket").agg((-F.max(F.struct("crowd", (-F.col("node")).alias("first")))["first"]).alias("hub"))
-    return on_bucket(members, best, hot).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    return on_key(members, best, hot).filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def unsettled(members: DataFrame, hot: list[int]) -> DataFrame:
     """node, component of the members (bucket, node, component) of buckets that hold several components."""
     several = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("bucket")
-    return on_bucket(members, several, hot).select("node", "component").distinct()
+    return on_key(members, several, hot).select("node", "component").distinct()
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -164,8 +169,8 @@ def rest_links(live: DataFrame, whole: DataFrame, k: int, percent: int) -> DataF
     texts_ = live.join(whole.select(F.col("doc_id").alias("node"), "text"), "node").select("node", "component", "text")
     sets = cut(texts_.mapInArrow(read, "node long, component long, key long, size long, shingles array<long>").dropDuplicates(["node", "key"]), "sets")
     first = cut(prefixes(sets, percent), "prefixes")
-    posts = first.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle", "f")
-    first = first.join(posts, "shingle")
+    posts = cut(first.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("shingle", "f"), "posts")
+    first = on_key(first, posts, hot_keys(posts, "shingle", "f", first.count()), "shingle")
 
     few = first.filter(F.col("f") <= FEW)
     other = few.select("shingle", F.col("node").alias("v"), F.col("component").alias("with"), F.col("size").alias("other"))
@@ -209,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     shared = heads.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut(heads.join(shared, "bucket"), "buckets")
     rows = members.count()
-    hot = [r["bucket"] for r in members.filter(F.col("size") * SHARES >= rows).select("bucket").distinct().collect()]  # at most SHARES
+    hot = hot_keys(members, "bucket", "size", rows)
     whole = cut(texts(docs).join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     pairs = cut(stars(members, hot), "pairs")
