@@ -117,5 +117,81 @@ ranked as (
     row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id) as rank
   from usable q join usable c on q.vec_id != c.vec_id where q.vec_id % 20 = 0)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
+""",
+    "op8_minhash_near_dedup": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+flat as (select doc_id, len(w) as m, unnest(w) as x, unnest(range(0, len(w))) as pos from words),
+grams as (
+  select doc_id, m, pos, concat_ws(' ', x, lead(x, 1) over d, lead(x, 2) over d, lead(x, 3) over d, lead(x, 4) over d) as g
+  from flat window d as (partition by doc_id order by pos)),
+shingles as (select distinct doc_id, md5_number(g) as g from grams where pos <= m - 5 or (m < 5 and pos = 0)),
+sets as (select doc_id, coalesce(list_sort(list(g) filter (where g is not null)), []) as s from words left join shingles using (doc_id) group by doc_id),
+classes as (select min(doc_id) as node, s, len(s) as n from sets where len(s) > 0 group by s),
+each as (select node, n, unnest(s) as g from classes),
+links as (
+  select a.node as u, b.node as v from each a join each b on a.g = b.g and a.node != b.node group by a.node, b.node, a.n, b.n
+  having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(node, root) as (select node, node from classes union select v, root from reach join links on u = node),
+found as (select node, min(root) as component from reach group by node)
+select doc_id, len(sets.s) as n_shingles, coalesce(component, doc_id) as component_id, coalesce(component, doc_id) = doc_id as kept
+from sets left join classes on sets.s = classes.s left join found using (node)
+""",
+    "op10_suffix_array_dedup": """
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+pieces as (select doc_id, c, substr(h, 128 * c + 1, 226) as part from (select doc_id, h, unnest(range(0, (length(h) + 127) // 128)) as c from bytes)),
+windows as (
+  select doc_id, 64 * c + j as p, md5_number(substr(part, 2 * j + 1, 100)) as s
+  from (select doc_id, c, part, unnest(range(0, 64)) as j from pieces) where length(part) >= 2 * j + 100),
+firsts as (select s, min(doc_id) as least from windows group by s),
+hits as (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from windows join firsts using (s) where least < doc_id),
+runs as (select doc_id, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by doc_id order by p) as run from hits),
+spans as (select doc_id, min(p) as lo, max(p) + 50 as hi from runs group by doc_id, run),
+gaps as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as rest from spans),
+kept as (
+  select doc_id, count(*) as n_spans, sum(hi - lo)::bigint as n_removed, string_agg(substr(h, 2 * rest + 1, 2 * (lo - rest)), '' order by lo) as front, max(hi) as last
+  from gaps join bytes using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) as kept_sha256
+from bytes left join kept using (doc_id)
 """,
 }
+
+
+def _license_sql() -> str:
+    """Phrases, lines and word windows as SQL, with the operator's own phrases and templates."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"({i}, {quoted(t.split())}, '{label}')" for i, (t, label) in enumerate(license_scan.TEMPLATES.items()))
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return f"""
+with phrases(p, label) as (values {phrases}), templates(id, w, label) as (values {templates}),
+wanted as (select id, label, len(list_distinct(w)) as n, ceil(0.8 * len(list_distinct(w)) - 1e-9) as need, ceil(len(w) / 0.8 - 1e-9) as span from templates),
+vocabulary as (select distinct id, unnest(w) as word from templates),
+docs as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+words as (select doc_id, t, regexp_extract_all(t, {word}) as w from docs),
+places as (
+  select doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) as pos
+  from words join phrases on contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(p, ' ') || ' ')),
+base as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word from places group by 1),
+hits as (select doc_id, id, word, pos from (select doc_id, unnest(w) as word, unnest(range(0, len(w))) as pos from words) join vocabulary using (word)),
+able as (select doc_id, id, n, span, need from (select doc_id, id, count(distinct word) as d from hits group by 1, 2) join wanted using (id) where d >= need),
+windows as (
+  select doc_id, id, n, need, a.pos, count(distinct b.word) as d from able join hits a using (doc_id, id) join hits b using (doc_id, id)
+  where b.pos >= a.pos and b.pos < a.pos + span group by 1, 2, 3, 4, 5),
+lines as (select doc_id, unnest(range(0, len(l))) as line, unnest(l) as text from (select doc_id, string_split(t, chr(10)) as l from words where doc_id in (select doc_id from able))),
+line_words as (select distinct doc_id, line, unnest(regexp_extract_all(text, {word})) as word from lines),
+line_hits as (select doc_id, id, n, need, line, count(*) as d from line_words join vocabulary using (word) join able using (doc_id, id) group by 1, 2, 3, 4, 5),
+met as (
+  select doc_id, id, max(d) / any_value(n) as c from (select doc_id, id, n, need, d from windows union all select doc_id, id, n, need, d from line_hits) where d >= need group by 1, 2),
+best as (select doc_id, max(c) as c from met group by 1),
+all_labels as (select doc_id, label from places union select doc_id, label from met join wanted using (id)),
+joined as (select doc_id, string_agg(label, ',' order by label) as labels from all_labels group by 1),
+base_joined as (select doc_id, string_agg(distinct label, ',' order by label) as base_labels from places group by 1)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  case when n_base > 0 then 1.0::double else coalesce(c, 0.0)::double end as score
+from words left join base using (doc_id) left join best using (doc_id) left join joined using (doc_id) left join base_joined using (doc_id)
+"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
