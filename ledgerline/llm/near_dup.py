@@ -15,7 +15,7 @@ than `need` cross shingles is out, which ends the matter for texts that share bo
 a shingle in the prefixes of at most FEW sets gives pairs, which are confirmed; one in more gives pairs of blocks of BLOCK sets, and a task counts the common
 shingles of two blocks as a matrix product and returns only links.
 
-Joins on buckets and on the shingles of prefixes take the largest ones apart: those with one row in SHARES or more. There are at most SHARES of them, so
+Joins on sets, on buckets and on the shingles of prefixes take the largest ones apart: those with one row in SHARES or more. There are at most SHARES of them, so
 what they meet is broadcast, and no task gets such a group whole.
 
 Null doc_ids and texts without words stand alone (component_id is their own doc_id); rows with one doc_id count as one
@@ -101,12 +101,12 @@ def confirm(pairs: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFra
     return u.join(whole.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").select("u", "v", "u_text", "v_text").mapInArrow(work, "u long, v long").distinct()
 
 
-def hot_keys(table: DataFrame, key: str, n: str, rows: int) -> list[int]:
+def hot_keys(table: DataFrame, key: str, n: str, rows: int) -> list:
     """The keys of `table` with a share of 1 / SHARES or more of `rows` rows, by their counts `n`: at most SHARES."""
     return [r[key] for r in table.filter(F.col(n) * SHARES >= rows).select(key).distinct().collect()]
 
 
-def on_key(rows: DataFrame, table: DataFrame, hot: list[int], key: str = "bucket") -> DataFrame:
+def on_key(rows: DataFrame, table: DataFrame, hot: list, key: str = "bucket") -> DataFrame:
     """Inner join of `rows` with `table`, which has one row per key; those of the `hot` keys, at most SHARES, are broadcast."""
     if not hot:
         return rows.join(table, key)
@@ -230,8 +230,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         drop(more)
     drop(live, whole)
 
-    classes = there.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    placed = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    rows = sketch.join(placed, "set_hash", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    classes = there.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    placed = cut(classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"), "n"), "classes")
+    hot = hot_keys(placed, "set_hash", "n", sketch.count())  # copies of one text
+    alone = sketch.filter(F.col("set_hash").isNull() | F.col("doc_id").isNull()).withColumn("component", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component"]
+    rows = on_key(there, placed.drop("n"), [bytes(h) for h in hot], "set_hash").select(columns).union(alone.select(columns))
+    component = F.col("component")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
