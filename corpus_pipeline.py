@@ -1,4 +1,10 @@
-"""A training-data pipeline over `documents`: each stage works on all that the stage before it kept."""
+"""A training-data pipeline over `documents`: each stage works on all that the stage before it kept.
+
+A null text is scored and read as an empty one. Rows with a null doc_id pass the stages that compare documents and are numbered first in their source. Of
+repeated rows with one doc_id all stay or none does. Equal texts are one group, of which the smallest doc_id stays. Texts of any length are read whole. Extra
+columns, whatever their names, stay up to the last stage, which returns its own columns. Without labels of both kinds no document is rejected; an empty table
+gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -639,6 +639,21 @@ def test_pipeline(spark):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_pipeline_of_odd_rows(docs, empty, spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    kept = near_dup.near_duplicates(docs).filter("kept").collect()
+    key = lambda ids: sorted(-1 if i is None else i for i in ids)
+    assert key(r["doc_id"] for r in rows) == key(r["doc_id"] for r in kept) and len({r["position"] for r in rows}) == len(rows)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_the_mixture_reaches_the_rows(spark):
     """Positions of the pipeline's rows against Pfair slots that are dealt out one by one."""
     import corpus_pipeline
