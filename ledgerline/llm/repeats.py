@@ -257,8 +257,6 @@ def hot_anchors(whole: DataFrame, length: int, rows: int) -> tuple[np.ndarray, n
                 row, anchor = row[order], anchor[order]
                 found.append(anchor[np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])[: len(row)]])
             h, n = np.unique(np.concatenate(found), return_counts=True)
-            if sum(map(len, held)) >= SAMPLE // 10:  # a hot anchor stands more than once in so many documents
-                h, n = h[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     few = whole.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(sparse)) == 0).select("text")
