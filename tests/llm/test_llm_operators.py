@@ -265,6 +265,22 @@ def test_common_prefixes():
         assert n == next((k for k, (p, q) in enumerate(zip(u, v)) if p != q), min(len(u), len(v)))
 
 
+def test_hot_anchors_at_any_partitioning(spark, monkeypatch):
+    """What the sample finds doesn't depend on how many documents a flush holds."""
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = words(120)
+    rows = spark.createDataFrame([(i, words(150) + (shared if i % 5 == 0 else "")) for i in range(40)], "id long, text string")
+    monkeypatch.setattr(repeats, "HOT", 4)
+    monkeypatch.setattr(repeats, "SAMPLE", 40)
+    found = []
+    for parts, flush in ((1, 1 << 20), (1, 1_000), (8, 1_000)):
+        monkeypatch.setattr(repeats, "FLUSH", flush)
+        h, level = repeats.hot_anchors(rows.repartition(parts, "id"), 50, 40)
+        found.append((h.tolist(), level.tolist()))
+    assert found[0][0] and found[0] == found[1] == found[2]
+
+
 def test_repeats_in_pieces(monkeypatch):
     """Texts longer than a piece give the same segments."""
     data = np.frombuffer(bytes(random.Random(1).choice(b"ab ") for _ in range(5_000)), np.uint8)
