@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.measures import ratio
+
 
 def join_status(left: DataFrame, right: DataFrame, keys: list[str], names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """Full outer join of two key sets: matched, left_only or right_only."""
@@ -93,3 +95,19 @@ def element_quantile(rows: DataFrame, group: list[str], value: str, q: float) ->
     placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
     place = F.least(F.col("_all") - 1, F.floor(F.col("_all") * q))
     return placed.filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).select(*group, F.col("_all").alias("n"), F.col(value).alias("quantile"))
+
+
+def rate_extremes(rows: DataFrame, key: str, hit: Column) -> DataFrame:
+    """place (lowest or highest), key, rate: the groups with the extreme shares of rows that `hit`; ties to the smaller key, no rows give none."""
+    rates = rows.groupBy(key).agg(ratio(F.count_if(hit), F.count("*"), 6).alias("rate"))
+    # Two rows of one struct each, so that no sort of the groups is needed.
+    ends = rates.agg(F.min(F.struct("rate", key)).alias("_low"), F.min(F.struct((-F.col("rate")).alias("rate"), F.col(key))).alias("_high"))
+    each = [F.struct(F.lit(name).alias("place"), F.col(f"{at}.{key}").alias(key), (F.col(f"{at}.rate") * sign).alias("rate")) for name, at, sign in (("lowest", "_low", 1), ("highest", "_high", -1))]
+    return ends.select(F.inline(F.array(*each))).filter("rate is not null")
+
+
+def residual_splits(rows: DataFrame, parent: str, child: str, verified: DataFrame) -> DataFrame:
+    """parent, child: pairs of parents with several children that no row of `verified` confirms."""
+    pairs = rows.select(parent, child).distinct()
+    several = pairs.groupBy(parent).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return pairs.join(several, parent, "left_semi").join(verified.select(parent, child), [parent, child], "left_anti")

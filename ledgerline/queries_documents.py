@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, measures
-from ledgerline.operators import flows, provenance, quality, spatial
+from ledgerline.operators import flows, provenance, quality, relational, spatial
 from ledgerline.plans import documents, exports
 from ledgerline.queries import FLOWS_SQL, PIP, POINTS_SQL, POLYGONS_SQL, _edges, _placed_orders, _points, query
 from ledgerline.sources import blocks
@@ -285,3 +285,30 @@ def first_offenders(spark, d):
 def csv_with_header(spark, d):
     rows = _customers(spark, d)
     return spark.createDataFrame([(",".join(rows.columns),)], "line string").union(exports.csv_lines(rows, rows.columns))
+
+
+@query("""with r as (select c_nationkey as area, floor(count(case when o_orderstatus = 'F' then 1 end) / count(*)::double * 1e6 + 0.5) / 1e6 as rate from orders join customer on o_custkey = c_custkey group by 1)
+select 'lowest' as place, area, rate from (select * from r order by rate, area limit 1) union all select 'highest', area, rate from (select * from r order by rate desc, area limit 1)""")
+def success_extremes(spark, d):
+    """The areas with the smallest and the largest share of closed orders."""
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("c_nationkey", "area")
+    return relational.rate_extremes(rows, "area", F.col("o_orderstatus") == "F")
+
+
+@query("""with p as (select distinct p_name, p_brand from part) select p_name, p_brand from p where p_name in (select p_name from p group by 1 having count(*) > 1)
+except select p_name, p_brand from part where p_size > 25""")
+def residual_splits(spark, d):
+    """Names that several brands have, without the pairs that a large part confirms."""
+    rows = table(spark, d, "part")
+    return relational.residual_splits(rows, "p_name", "p_brand", rows.filter("p_size > 25"))
+
+
+@query("""select n_name || '.txt' as name, 'declared' as absent_from from nation where n_nationkey = 3 union all select 'README.txt', 'found'""")
+def manifest_gaps(spark, d):
+    """The members that archives hold against a declared list with one name too many and one too few."""
+    nation = table(spark, d, "nation")
+    name = F.concat("n_name", F.lit(".txt")).alias("name")
+    members = nation.select(F.col("n_regionkey").cast("string").alias("bundle"), name, F.encode("n_name", "UTF-8").alias("content"))
+    declared = nation.filter("n_nationkey != 3").select(name).union(spark.createDataFrame([("README.txt",)], "name string"))
+    found = exports.archive_members(exports.archives(members))
+    return quality.set_differences({"declared": declared, "found": found}, "name").select("name", F.array_join("absent_from", ",").alias("absent_from"))

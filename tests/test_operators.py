@@ -139,3 +139,11 @@ def test_planted_gaps_and_flows(spark):
     places = spark.createDataFrame([(i,) for i in range(4)], "place int")
     edges = spark.createDataFrame([(0, 0, 5.0), (0, 1, 0.0), (0, 2, 2.0), (1, 3, 1.0)], "origin int, partner int, rate double")
     assert {r["place"]: r["status"] for r in flows.listed(places, edges, "origin", "partner", "rate", 0).collect()} == {0: "self", 1: "zero", 2: "listed", 3: "unlisted"}
+
+
+def test_extremes_and_splits(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), ("b", 0), ("c", 0), ("d", 0), ("e", None)], "k string, v int")
+    assert {(r["place"], r["k"], r["rate"]) for r in relational.rate_extremes(rows, "k", F.col("v") == 1).collect()} == {("lowest", "c", 0.0), ("highest", "a", 0.5)}
+    assert relational.rate_extremes(rows.filter("k = 'z'"), "k", F.col("v") == 1).count() == 0
+    pairs = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x")], "p int, c string")
+    assert [tuple(r) for r in relational.residual_splits(pairs, "p", "c", spark.createDataFrame([(1, "x"), (2, "x")], "p int, c string")).collect()] == [(1, "y")]
