@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, geo, measures, text
-from ledgerline.operators import flows, linkage, quality, relational
+from ledgerline.operators import flows, linkage, quality, relational, spatial
 from ledgerline.plans import exports
 from ledgerline.sources import layout
 from ledgerline.sources.tables import table
@@ -428,24 +428,13 @@ POLYGONS_SQL = """polygons as (select 1 as area, [{x: 130.2::double, y: 30.2::do
 
 @query("with " + POLYGONS_SQL + ", " + POINTS_SQL + " select p_partkey, min(area) as area from points join polygons on " + PIP.format(r="shell") + " and (hole is null or not (" + PIP.format(r="hole") + ")) group by 1")
 def point_in_polygon_grid(spark, d):
-    polygons = _polygons(spark)
-    box = lambda f, axis, name: F.expr(f"array_{f}(transform(shell, p -> p.{axis}))").alias(name)
-    boxed = polygons.select("*", box("min", "x", "x0"), box("max", "x", "x1"), box("min", "y", "y0"), box("max", "y", "y1"))
-    cells = boxed.withColumn("cx", F.explode(F.sequence(geo.cell(F.col("x0")), geo.cell(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(geo.cell(F.col("y0")), geo.cell(F.col("y1")))))
-    points = _points(spark, d).withColumn("cx", geo.cell(F.col("lon"))).withColumn("cy", geo.cell(F.col("lat")))
-    inside = points.join(cells, ["cx", "cy"]).filter(geo.in_ring("lon", "lat", "shell")).withColumn("hole", F.explode_outer("holes"))
-    inside = inside.withColumn("out", F.coalesce(geo.in_ring("lon", "lat", "hole"), F.lit(False)) & F.col("hole").isNotNull())
-    kept = inside.groupBy("p_partkey", "area").agg(F.bool_or("out").alias("out")).filter("not out")
-    return kept.groupBy("p_partkey").agg(F.min("area").alias("area"))
+    return spatial.points_in(_points(spark, d), _polygons(spark), "p_partkey", "area").select("p_partkey", "area")
 
 
 @query("with " + POLYGONS_SQL + """, a as (select area, 35.0::double as lat, abs(list_sum(list_transform(range(1, len(shell)), lambda i: shell[i].x * shell[i+1].y - shell[i+1].x * shell[i].y))) / 2 as s,
   coalesce(abs(list_sum(list_transform(range(1, len(hole)), lambda i: hole[i].x * hole[i+1].y - hole[i+1].x * hole[i].y))) / 2, 0) as h from polygons) select area, floor((s - h) * 111.32 * 111.32 * cos(radians(lat)) * 100 + 0.5) / 100 as km2 from a""")
 def polygon_area(spark, d):
-    rows = _polygons(spark).withColumn("lat", F.lit(35.0)).withColumn("hole", F.explode_outer("holes"))
-    holes = F.coalesce(F.sum(geo.ring_km2("hole", "lat")), F.lit(0.0))
-    summed = rows.withColumn("outer_km2", geo.ring_km2("shell", "lat")).groupBy("area").agg(F.first("outer_km2").alias("outer_km2"), holes.alias("holes_km2"))
-    return summed.select("area", measures.half_up(F.expr("outer_km2 - holes_km2"), 2).alias("km2"))
+    return spatial.area_km2(_polygons(spark), ["area"], F.lit(35.0)).select("area", measures.half_up(F.col("km2"), 2).alias("km2"))
 
 
 @query("""select n_nationkey, case n_nationkey when 3 then 4 when 7 then 0 else n_regionkey end::int as n_regionkey, n_nationkey in (3, 7) as overridden from nation""")
@@ -473,11 +462,11 @@ def manifest(spark, d):
     return one("nation", ["n_nationkey", "n_name"]).union(one("orders", ["o_orderkey", "o_custkey"]))
 
 
-@query("""select 'count' as dataset, o_orderpriority as category, year(o_orderdate)::int as year, count(*)::double as value, 'orders' as unit from orders join customer on o_custkey = c_custkey where c_nationkey = 7 group by 2, 3
-union all select 'amount', o_orderpriority, year(o_orderdate)::int, sum(round(o_totalprice * 100)::bigint)::double, 'cents' from orders join customer on o_custkey = c_custkey where c_nationkey = 7 group by 2, 3""")
+@query("""select 'count' as dataset, c_nationkey as area, o_orderpriority as category, year(o_orderdate)::int as year, count(*)::double as value, 'orders' as unit from orders join customer on o_custkey = c_custkey group by 2, 3, 4
+union all select 'amount', c_nationkey, o_orderpriority, year(o_orderdate)::int, sum(round(o_totalprice * 100)::bigint)::double, 'cents' from orders join customer on o_custkey = c_custkey group by 2, 3, 4""")
 def detail_long_export(spark, d):
-    rows = _placed_orders(spark, d).filter("n_nationkey = 7").groupBy(F.col("o_orderpriority").alias("category"), F.year("o_orderdate").alias("year")).agg(F.count("*").cast("double").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("cents"))
-    return rows.select(F.expr("stack(2, 'count', n, 'orders', 'amount', cents, 'cents') as (dataset, value, unit)"), "category", "year").select("dataset", "category", "year", "value", "unit")
+    rows = _placed_orders(spark, d).groupBy(F.col("n_nationkey").alias("area"), F.col("o_orderpriority").alias("category"), F.year("o_orderdate").alias("year")).agg(F.count("*").cast("double").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("cents"))
+    return rows.select(F.expr("stack(2, 'count', n, 'orders', 'amount', cents, 'cents') as (dataset, value, unit)"), "area", "category", "year").select("dataset", "area", "category", "year", "value", "unit")
 
 
 @query("""select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2""")

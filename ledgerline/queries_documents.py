@@ -56,12 +56,11 @@ def envelope_document(spark, d):
     return documents.envelope(_customers(spark, d), ["area_code"], {"vintage": "1996"}).select("part", "at.area_code", "line")
 
 
-@query(f"""with t as ({CUSTOMERS}) select 1 as part, case when area_code = (select min(area_code) from t where area_code % 4 != 0) then '' else ',' end || '{{"type":"Feature","properties":{{"area_code":' || area_code || ',"customers":' || customers || '}},"geometry":{{"type":"Point","coordinates":[' || (130 + area_code % 7)::double || ',' || (30 + area_code % 5)::double || ']}}}}' as line from t where area_code % 4 != 0""")
+@query(f"""with t as ({CUSTOMERS}) select 1 as part, case when area_code = (select min(area_code) from t) then '' else ',' end || '{{"type":"Feature","properties":{{"area_code":' || area_code || ',"customers":' || customers || '}},"geometry":{{"type":"Point","coordinates":[' || (130 + area_code % 7)::double || ',' || (30 + area_code % 5)::double || ']}}}}' as line from t""")
 def feature_document(spark, d):
-    """Areas that have a point."""
+    """Areas as points."""
     k = F.col("area_code")
-    lon = F.when(k % 4 != 0, (130 + k % 7).cast("double"))
-    rows = documents.features(_customers(spark, d), ["area_code", "customers"], documents.point(lon, (30 + k % 5).cast("double"))).filter("geometry is not null")
+    rows = documents.features(_customers(spark, d), ["area_code", "customers"], documents.point((130 + k % 7).cast("double"), (30 + k % 5).cast("double")))
     return documents.envelope(rows, ["properties"], {"type": "FeatureCollection"}, "features").filter("part = 1").select("part", "line")
 
 
@@ -87,11 +86,11 @@ def light_summary(spark, d):
     return documents.summary(nested, "segments")
 
 
-@query("""with s as (select s_nationkey as area, s_suppkey, case when s_suppkey % 3 != 0 then 130 + s_suppkey % 9 end as lon, s_acctbal, case when s_acctbal < 0 then 'owes' end as note from supplier)
-select area, '{"s_suppkey":"' || s_suppkey || '"' || case when note is not null then ',"note":"owes"' else '' end || '}' as properties, lon::double as lon from s where lon is not null""")
+@query("""with s as (select s_nationkey as area, s_suppkey, 130 + s_suppkey % 9 as lon, s_acctbal, case when s_acctbal < 0 then 'owes' end as note from supplier)
+select area, '{"s_suppkey":"' || s_suppkey || '"' || case when note is not null then ',"note":"owes"' else '' end || '}' as properties, lon::double as lon from s""")
 def point_features(spark, d):
     k = F.col("s_suppkey")
-    item = F.struct("s_suppkey", F.when(k % 3 != 0, (130 + k % 9).cast("double")).alias("lon"), F.lit(35.0).alias("lat"), F.when(F.col("s_acctbal") < 0, "owes").alias("note"))
+    item = F.struct("s_suppkey", (130 + k % 9).cast("double").alias("lon"), F.lit(35.0).alias("lat"), F.when(F.col("s_acctbal") < 0, "owes").alias("note"))
     nested = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("area")).agg(F.collect_list(item).alias("suppliers"))
     rows = documents.point_features(nested, ["area"], "suppliers", ["s_suppkey", "note"])
     return rows.select("area", F.to_json("properties").alias("properties"), F.get("geometry.coordinates", F.lit(0)).alias("lon"))
@@ -225,8 +224,9 @@ def header_catalogue(spark, d):
 @query("""select n_nationkey::varchar as sheet, case when n_nationkey = 5 then 4 else 5 end::bigint as columns from nation where n_nationkey in (5, 6)""")
 def sheet_signatures(spark, d):
     """One sheet lacks a column, another has one with another label."""
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("sheet"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col"))
-    rows = rows.filter("sheet != '5' or col != 4").withColumn("label", F.when((F.col("sheet") == "6") & (F.col("col") == 2), "other").otherwise(F.concat(F.lit("c"), F.col("col").cast("string"))))
+    last = F.when(F.col("n_nationkey") == 5, 3).otherwise(4)
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("sheet"), F.explode(F.sequence(F.lit(0), last)).alias("col"))
+    rows = rows.withColumn("label", F.when((F.col("sheet") == "6") & (F.col("col") == 2), "other").otherwise(F.concat(F.lit("c"), F.col("col").cast("string"))))
     return blocks.signature_outliers(rows)
 
 
@@ -309,6 +309,6 @@ def manifest_gaps(spark, d):
     nation = table(spark, d, "nation")
     name = F.concat("n_name", F.lit(".txt")).alias("name")
     members = nation.select(F.col("n_regionkey").cast("string").alias("bundle"), name, F.encode("n_name", "UTF-8").alias("content"))
-    declared = nation.filter("n_nationkey != 3").select(name).union(spark.createDataFrame([("README.txt",)], "name string"))
+    declared = nation.select(F.when(F.col("n_nationkey") == 3, "README.txt").otherwise(name).alias("name"))
     found = exports.archive_members(exports.archives(members))
     return quality.set_differences({"declared": declared, "found": found}, "name").select("name", F.array_join("absent_from", ",").alias("absent_from"))

@@ -147,3 +147,13 @@ def test_extremes_and_splits(spark):
     assert relational.rate_extremes(rows.filter("k = 'z'"), "k", F.col("v") == 1).count() == 0
     pairs = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x")], "p int, c string")
     assert [tuple(r) for r in relational.residual_splits(pairs, "p", "c", spark.createDataFrame([(1, "x"), (2, "x")], "p int, c string")).collect()] == [(1, "y")]
+
+
+def test_points_of_documents(spark):
+    """Elements and areas without a whole coordinate have no feature."""
+    from ledgerline.plans import documents
+
+    rows = spark.createDataFrame([(1, 130.0, 35.0), (2, None, 35.0), (3, 130.0, None)], "k int, lon double, lat double")
+    assert [r["g"] and tuple(r["g"]) for r in rows.orderBy("k").select(documents.point(F.col("lon"), F.col("lat")).alias("g")).collect()] == [("Point", [130.0, 35.0]), None, None]
+    nested = rows.groupBy().agg(F.collect_list(F.struct("k", "lon", "lat")).alias("items")).withColumn("area", F.lit("a"))
+    assert [(r["area"], r["properties"]) for r in documents.point_features(nested, ["area"], "items", ["k"]).collect()] == [("a", {"k": "1"})]
