@@ -25,12 +25,6 @@ def in_ring(x: str, y: str, ring: str) -> Column:
     return F.expr(f"size(filter({edges}, e -> e)) % 2 = 1")
 
 
-def ring_km2(ring: str, latitude: str) -> Column:
-    """Shoelace area with longitudes scaled at a reference latitude."""
-    twice = f"aggregate(zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), (i, j) -> i.x * j.y - j.x * i.y), 0d, (n, t) -> n + t)"
-    return F.expr(f"abs({twice}) / 2 * {KM_PER_DEGREE} * {KM_PER_DEGREE} * cos(radians({latitude}))")
-
-
 def bbox(rings: str) -> Column:
     """struct<x0, y0, x1, y1> around an array of rings; NULL where there is no point."""
     points = f"flatten({rings})"

@@ -175,3 +175,17 @@ def audit_status(has_coordinate: Column, has_reference: Column, metres: Column,
     """How far a coordinate is from its reference, in bands; or which of the two is missing."""
     band = F.when(~has_reference, "no_reference").when(metres < agree, "agree").when(metres < conflict, "minor_gap").otherwise("conflict")
     return F.when(has_coordinate, band).when(has_reference, "missing_with_reference").otherwise("missing_without_reference")
+
+
+def adopted(withdrawn: Column, own: Column, reference: Column) -> Column:
+    """struct<value, source>: a register's own value unless it is withdrawn, else a reference's only one, and which of them it is."""
+    pick = lambda value, source: F.struct(value.alias("value"), F.lit(source).alias("source"))
+    nothing = F.lit(None).cast("double")
+    return F.when(withdrawn, pick(nothing, "withdrawn")).when(own.isNotNull(), pick(own, "register")).when(reference.isNotNull(), pick(reference, "reference")).otherwise(pick(nothing, "none"))
+
+
+def records(links: DataFrame, points: DataFrame, status: str, matched: list[str]) -> DataFrame:
+    """Links with lon and lat of their point (right_id, lon, lat); only where the status is one of `matched`, as candidates have no place yet."""
+    rows = links.join(points.select("right_id", "lon", "lat"), "right_id", "left")
+    sure = F.col(status).isin(matched)
+    return rows.withColumns({c: F.when(sure, F.col(c)) for c in ("lon", "lat")})

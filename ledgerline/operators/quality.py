@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -170,3 +170,14 @@ def unexpected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
 def examples(violations: DataFrame, order: list[str], n: int = 10) -> DataFrame:
     """The first n rows that break a rule, in a fixed order, for a report."""
     return violations.orderBy(*order).limit(n)
+
+
+def ragged(cells: str, width: int) -> Callable[[DataFrame], DataFrame]:
+    """Rows whose array of cells doesn't have `width` elements, or lacks one."""
+    return RowRule(F.coalesce((F.size(cells) != width) | F.exists(cells, lambda c: c.isNull()), F.lit(True)))
+
+
+def observe_zeros(rows: DataFrame, name: str, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that holds the number of zeros of each column once an action has read them: for logs, without a scan of its own."""
+    seen = Observation(name)
+    return rows.observe(seen, *[F.count_if(F.col(c) == 0).alias(c) for c in columns]), seen

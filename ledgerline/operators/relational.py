@@ -111,3 +111,10 @@ def residual_splits(rows: DataFrame, parent: str, child: str, verified: DataFram
     pairs = rows.select(parent, child).distinct()
     several = pairs.groupBy(parent).agg(F.count("*").alias("_n")).filter("_n > 1")
     return pairs.join(several, parent, "left_semi").join(verified.select(parent, child), [parent, child], "left_anti")
+
+
+def nesting_errors(rows: DataFrame, child: str, parent: str, fits: Column) -> DataFrame:
+    """child, parents, unfit: children that stand under several parents, or under one that `fits` says is not theirs."""
+    pairs = rows.filter(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(child, parent).distinct()
+    found = pairs.groupBy(child).agg(F.count("*").alias("parents"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("unfit"))
+    return found.filter("parents > 1 or unfit > 0")

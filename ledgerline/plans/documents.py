@@ -79,7 +79,7 @@ def file_name(parts: list[Column], suffix: str) -> Column:
     return F.concat(F.regexp_replace(F.concat_ws("_", *parts), r'[\\/:*?"<>|\s]+', "-"), F.lit(f".{suffix}"))
 
 
-def in_order(value: Column, order: list[str]) -> Column:
+def in_order(value: Column, order: list) -> Column:
     """A value's place in a fixed order, for sorting; unlisted ones come last."""
     place = F.array_position(F.array(*map(F.lit, order)), value)
     return F.when(place > 0, place).otherwise(len(order) + 1).cast("int")
@@ -106,3 +106,14 @@ def long_of(family: str, table: DataFrame, keys: list[str]) -> DataFrame:
     """dataset, keys, measure, value: the same table with one row per measure."""
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in FAMILIES[family]])
     return table.select(F.lit(family).alias("dataset"), *keys, F.inline(measures))
+
+
+def bundle_text(sources: DataFrame) -> DataFrame:
+    """source, at, line: a bundle's table of contents, each source with the files made from it (source, files array)."""
+    lines = F.concat(F.array(F.concat(F.lit("## "), "source")), F.transform("files", lambda f: F.concat(F.lit("- "), f)))
+    return sources.select("source", F.posexplode(lines).alias("at", "line"))
+
+
+def placed(rows: DataFrame, group: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their place in a fixed order within their group, e.g. by in_order() of a label and a number that is kept as text."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

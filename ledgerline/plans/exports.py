@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,14 @@ def csv_field(value: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def csv_document(rows: DataFrame, columns: list[str], facts: dict[str, str], mark: bool = True) -> DataFrame:
+    """part, at, line of a CSV text: comment lines and the header (part 0, ordered by `at`), then the rows (part 1); a byte order mark stands in front."""
+    quoted = ['"' + c.replace('"', '""') + '"' if set(c) & set('",\r\n') else c for c in columns]
+    lead = [*preamble(facts).split("\r\n")[:-1], ",".join(quoted)]
+    top = [(0, i, ("\ufeff" if mark and i == 0 else "") + line) for i, line in enumerate(lead)]
+    return rows.sparkSession.createDataFrame(top, "part int, at int, line string").union(csv_lines(rows, columns).select(F.lit(1), F.lit(None).cast("int"), "line"))
+
+
 def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One line of CSV per row."""
     return rows.select(F.concat_ws(",", *[csv_field(F.col(c)) for c in columns]).alias("line"))
@@ -52,6 +60,13 @@ def write_shards(rows: DataFrame, path: str, key: str) -> None:
     rows.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
 
 
+def read_shard(spark: SparkSession, path: str, key: str, value: str, echo: str) -> DataFrame:
+    """The rows of one key's folder; a row whose own `echo` names another key raises when it is read."""
+    rows = spark.read.json(path).filter(F.col(key) == value)
+    wrong = F.raise_error(F.concat(F.lit(f"shard {value} holds "), F.coalesce(F.col(echo).cast("string"), F.lit("no key"))))
+    return rows.withColumn(echo, F.when(F.col(echo).cast("string").eqNullSafe(F.lit(value)), F.col(echo)).otherwise(wrong.cast(rows.schema[echo].dataType)))
+
+
 def write_with_meta(rows: DataFrame, path: str, order: list[str], facts: dict) -> None:
     """write_csv(), and beside it `path`.meta.json with the facts, the columns and the number of rows."""
     write_csv(rows, path, order)

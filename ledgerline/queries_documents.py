@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions import codes, measures
-from ledgerline.operators import flows, provenance, quality, relational, spatial
+from ledgerline.functions import codes, geo, measures
+from ledgerline.operators import flows, linkage, provenance, quality, relational, spatial
 from ledgerline.plans import documents, exports
 from ledgerline.queries import FLOWS_SQL, PIP, POINTS_SQL, POLYGONS_SQL, _edges, _placed_orders, _points, query
-from ledgerline.sources import blocks
+from ledgerline.sources import blocks, layout
 from ledgerline.sources.tables import table
 
 # Tables of regions by metric family.
@@ -312,3 +312,86 @@ def manifest_gaps(spark, d):
     declared = nation.select(F.when(F.col("n_nationkey") == 3, "README.txt").otherwise(name).alias("name"))
     found = exports.archive_members(exports.archives(members))
     return quality.set_differences({"declared": declared, "found": found}, "name").select("name", F.array_join("absent_from", ",").alias("absent_from"))
+
+
+# Whole texts, orders, registers and sheets.
+
+
+@query(f"""select 0 as part, 0 as at, chr(65279) || '# source: survey of 1996' as line union all select 0, 1, 'area_code,area_name,customers'
+union all select 1, null, area_code || ',' || area_name || ',' || customers from ({CUSTOMERS})""")
+def csv_document(spark, d):
+    rows = _customers(spark, d)
+    return exports.csv_document(rows, rows.columns, {"source": "survey\nof 1996"})
+
+
+@query("""select p_partkey from part where len(string_split(p_name, ' ')) is distinct from 2""")
+def ragged_rows(spark, d):
+    """Names that are not two words."""
+    return quality.ragged("cells", 2)(table(spark, d, "part").withColumn("cells", F.split("p_name", " "))).select("p_partkey")
+
+
+@query("""with f as (select r_name as source, n_name || '.csv' as file from nation join region on n_regionkey = r_regionkey)
+select distinct source, 0 as at, '## ' || source as line from f union all select source, row_number() over (partition by source order by file)::int, '- ' || file from f""")
+def bundle_text(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return documents.bundle_text(exports.by_source(rows.select(F.concat("n_name", F.lit(".csv")).alias("file"), F.array("r_name").alias("sources"))))
+
+
+@query("""select o_orderkey, row_number() over (partition by o_custkey order by case year(o_orderdate) when 1996 then 1 when 1995 then 2 else 3 end, case o_orderpriority when '5-LOW' then 1 when '3-MEDIUM' then 2 else 3 end, o_orderkey)::int as place from orders""")
+def ordered_rows(spark, d):
+    """Each customer's orders: vintages and labels in a stated order, then by a number that is kept as text."""
+    rows = table(spark, d, "orders").withColumn("key", F.col("o_orderkey").cast("string"))
+    order = [documents.in_order(F.year("o_orderdate"), [1996, 1995]), documents.in_order(F.col("o_orderpriority"), ["5-LOW", "3-MEDIUM"]), F.col("key").try_cast("long")]
+    return documents.placed(rows, ["o_custkey"], order).select("o_orderkey", "place")
+
+
+@query(f"""with {POINTS_SQL}, a as (select p_partkey, m >= 1000 as gone, case when p_size % 3 != 0 then lat end as own, ref_lat from audit)
+select p_partkey, case when gone then null else coalesce(own, ref_lat) end as lat, case when gone then 'withdrawn' when own is not null then 'register' when ref_lat is not null then 'reference' else 'none' end as source from a""")
+def register_adoption(spark, d):
+    """Coordinates of the register, of its reference where it has none, and of neither where they conflict."""
+    rows = _points(spark, d).withColumn("m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon")))
+    pick = linkage.adopted(F.col("m") >= 1000, F.when(F.col("p_size") % 3 != 0, F.col("lat")), F.col("ref_lat"))
+    return rows.select("p_partkey", pick.alias("_p")).select("p_partkey", F.col("_p.value").alias("lat"), "_p.source")
+
+
+@query(f"""with {POINTS_SQL} select o_orderkey, case when o_orderstatus = 'F' then p_partkey end as known, case when o_orderstatus = 'F' then lat end as lat
+from orders left join points on p_partkey = o_custkey""")
+def located_records(spark, d):
+    """Orders linked to points by number; those that are still open show no place."""
+    links = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("right_id"), "o_orderstatus")
+    points = _points(spark, d).withColumnRenamed("p_partkey", "right_id")
+    rows = linkage.records(links, points, "o_orderstatus", ["F"])
+    return rows.select("o_orderkey", F.when(F.col("lat").isNotNull(), F.col("right_id")).alias("known"), "lat")
+
+
+@query("""with o as (select n_name, o_orderpriority as series, count(*)::varchar as n, sum(round(o_totalprice * 100)::bigint)::bigint::varchar as cents from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2)
+select 'orders' as sheet, n_name as key, 'counts' as relation, series, n as value from o union all select 'orders', n_name, 'amounts', series, cents from o""")
+def sheet_relations(spark, d):
+    """A sheet with counts, amounts and a derived column side by side, generated as cells and taken apart into its relations."""
+    rows = _placed_orders(spark, d).groupBy("n_nationkey", "n_name", "o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    at = F.substring("o_orderpriority", 1, 1).cast("int")
+    cell = lambda row, col, value: F.struct(F.lit("orders").alias("sheet"), row.cast("int").alias("row"), col.cast("int").alias("col"), value.cast("string").alias("value"))
+    one, two, row = F.lit(1), F.lit(2), F.col("n_nationkey") + 3
+    made = [cell(row, F.lit(0), F.col("n_name")), cell(row, F.lit(11), F.col("n")), cell(one, F.lit(11), F.lit("difference"))]
+    for name, value, shift in (("counts", "n", 0), ("amounts", "cents", 5)):
+        made += [cell(one, at + shift, F.lit(name)), cell(two, at + shift, F.col("o_orderpriority")), cell(row, at + shift, F.col(value))]
+    cells = rows.select(F.inline(F.array(*made))).dropDuplicates(["sheet", "row", "col"])
+    parts = F.split("label", "/")
+    known = F.when(parts[0].isin("counts", "amounts"), F.struct(parts[0].alias("relation"), F.get(parts, one).alias("series")))
+    return layout.relations(cells, (1, 2), 0, known)
+
+
+@query("""with p as (select distinct lpad(c_custkey::varchar, 6, '0') as area, lpad(c_nationkey::varchar, 2, '0') as prefecture from customer where c_custkey is not null and c_nationkey is not null)
+select area, count(*) as parents, count(case when not starts_with(area, prefecture) then 1 end) as unfit from p group by 1 having count(*) > 1 or count(case when not starts_with(area, prefecture) then 1 end) > 0""")
+def nesting_errors(spark, d):
+    """Customer numbers as area codes, which should begin with the code of their nation."""
+    rows = table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("area"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("prefecture"))
+    return relational.nesting_errors(rows, "area", "prefecture", F.startswith("area", "prefecture"))
+
+
+@query("with " + POLYGONS_SQL + """, a as (select 'west' as region, abs(list_sum(list_transform(range(1, len(shell)), lambda i: shell[i].x * shell[i+1].y - shell[i+1].x * shell[i].y))) / 2 - coalesce(abs(list_sum(list_transform(range(1, len(hole)), lambda i: hole[i].x * hole[i+1].y - hole[i+1].x * hole[i].y))) / 2, 0) as s from polygons)
+select region, floor(sum(s * 111.32 * 111.32 * cos(radians(35.0))) * 100 + 0.5) / 100 as km2 from a group by 1""")
+def region_area(spark, d):
+    """Areas summed by the region that they belong to."""
+    regions = spark.createDataFrame([(1, "west"), (2, "west")], "area int, region string")
+    return spatial.area_km2(_feature_table(spark).join(regions, "area"), ["region"], F.lit(35.0)).select("region", measures.half_up(F.col("km2"), 2).alias("km2"))

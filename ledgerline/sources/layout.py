@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.blocks import column_map
+
 
 def header(cells: DataFrame, first: int, last: int) -> DataFrame:
     """sheet, col, label: the header rows' labels of a column, merged cells filled from the left, joined by a slash."""
@@ -25,3 +27,12 @@ def body(cells: DataFrame, first: int, key_col: int) -> DataFrame:
 def tidy(cells: DataFrame, header_rows: tuple[int, int], key_col: int) -> DataFrame:
     """One row per key and labelled column."""
     return body(cells, header_rows[1] + 1, key_col).join(header(cells, *header_rows), ["sheet", "col"]).select("sheet", "key", "label", "value")
+
+
+def relations(cells: DataFrame, header_rows: tuple[int, int], key_col: int, classify: Column) -> DataFrame:
+    """sheet, key, the members of the struct that `classify` makes of a column's label, value: the relations that stand side by side in a sheet.
+
+    Columns that it finds none for (derived ones) go; a relation is then a filter on its name.
+    """
+    columns = column_map(header(cells, *header_rows), classify).withColumnRenamed("key", "_is").drop("label")
+    return body(cells, header_rows[1] + 1, key_col).join(columns, ["sheet", "col"]).select("sheet", "key", "_is.*", "value")

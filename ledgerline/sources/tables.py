@@ -10,6 +10,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vintage(spark: SparkSession, path: str, column: str, value: str) -> DataFrame:
+    """One vintage of a table that is partitioned by vintage: the other folders are not read. Raises where it has no rows, as a missing vintage is an error."""
+    rows = spark.read.parquet(path).filter(F.col(column) == value)
+    if rows.isEmpty():
+        raise ValueError(f"{path} has no rows of {column} {value}")
+    return rows
+
+
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header, every column a string, an empty cell NULL."""
     return spark.read.option("header", True).option("nullValue", "").option("multiLine", True).csv(path)

@@ -157,3 +157,34 @@ def test_points_of_documents(spark):
     assert [r["g"] and tuple(r["g"]) for r in rows.orderBy("k").select(documents.point(F.col("lon"), F.col("lat")).alias("g")).collect()] == [("Point", [130.0, 35.0]), None, None]
     nested = rows.groupBy().agg(F.collect_list(F.struct("k", "lon", "lat")).alias("items")).withColumn("area", F.lit("a"))
     assert [(r["area"], r["properties"]) for r in documents.point_features(nested, ["area"], "items", ["k"]).collect()] == [("a", {"k": "1"})]
+
+
+def test_vintages_and_shards(spark, tmp_path):
+    from ledgerline.plans import exports
+    from ledgerline.sources import tables
+
+    rows = spark.createDataFrame([("a", 1, "R6"), ("b", 0, "R7"), ("c", 0, "R7")], "area string, n int, fy string")
+    rows.write.partitionBy("fy").parquet(f"{tmp_path}/v")
+    one = tables.vintage(spark, f"{tmp_path}/v", "fy", "R7")
+    assert {r["area"] for r in one.collect()} == {"b", "c"} and "PartitionFilters: [isnotnull(fy" in one._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="R8"):
+        tables.vintage(spark, f"{tmp_path}/v", "fy", "R8")
+
+    exports.write_shards(rows.withColumn("echo", F.when(F.col("area") == "c", "b").otherwise(F.col("area"))), f"{tmp_path}/s", "area")
+    assert [r["n"] for r in exports.read_shard(spark, f"{tmp_path}/s", "area", "b", "echo").collect()] == [0]
+    with pytest.raises(Exception, match="shard c holds b"):
+        exports.read_shard(spark, f"{tmp_path}/s", "area", "c", "echo").collect()
+
+    seen_rows, seen = quality.observe_zeros(rows, "zeros", ["n"])
+    assert seen_rows.count() == 3 and seen.get == {"n": 2}
+
+
+def test_adoption_and_nesting(spark):
+    rows = spark.createDataFrame([(1, True, 1.0, 2.0), (2, False, 1.0, 2.0), (3, False, None, 2.0), (4, None, None, None)], "k int, gone boolean, own double, ref double")
+    got = [tuple(r["a"]) for r in rows.orderBy("k").select(linkage.adopted(F.col("gone"), F.col("own"), F.col("ref")).alias("a")).collect()]
+    assert got == [(None, "withdrawn"), (1.0, "register"), (2.0, "reference"), (None, "none")]
+    nested = spark.createDataFrame([("01a", "01"), ("01a", "01"), ("02a", "01"), ("03a", "03"), ("03a", "04"), (None, "01"), ("05a", None)], "c string, p string")
+    found = {(r["c"], r["parents"], r["unfit"]) for r in relational.nesting_errors(nested, "c", "p", F.startswith("c", "p")).collect()}
+    assert found == {("02a", 1, 1), ("03a", 2, 1)}
+    cells = spark.createDataFrame([(["a", "b"],), (["a"],), (["a", None],), (None,)], "cells array<string>")
+    assert quality.ragged("cells", 2)(cells).count() == 3
