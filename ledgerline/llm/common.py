@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a Python worker.
@@ -86,6 +86,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """`rows` with _n, their place from 0 in the order of all, by two-level prefix sums: a written range's rows before it, and the place in the range.
+
+    The order is written to the shared folder, so that a partition that is computed again can't change it.
+    """
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), "places").withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    # One row for each range.
+    before = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(F.broadcast(runs), "_part").withColumn("_n", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without nulls, and the n + 1 offsets of its rows."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import license_scan, mixing, near_dup, piece_bpe, quality, repeats, token_files, url_filter, vectors
+from ledgerline.llm import hard_negatives, language, license_scan, mixing, near_dup, piece_bpe, quality, repeats, resample, token_files, url_filter, vectors
 from ledgerline.llm.common import shared_dir
 
 
@@ -70,9 +70,25 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(rows, vectors.every(100))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_url_filter, op3_sentencepiece, op4_quality_classifier, op5_token_files, op6_source_mixing, op7_exact_topk, op8_minhash_near_dedup, op9_vantage_point_search, op10_suffix_array_dedup)
+    for f in (
+        op1_license_scan, op2_url_filter, op3_sentencepiece, op4_quality_classifier, op5_token_files, op6_source_mixing, op7_exact_topk, op8_minhash_near_dedup,
+        op9_vantage_point_search, op10_suffix_array_dedup, op11_hard_negatives, op12_importance_resampling, op13_language_id,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -117,6 +133,53 @@ ranked as (
     row_number() over (partition by q.vec_id order by list_inner_product(q.v, c.v) desc, c.vec_id) as rank
   from usable q join usable c on q.vec_id != c.vec_id where q.vec_id % 20 = 0)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
+""",
+    "op11_hard_negatives": """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.v, c.v)::bigint as score
+  from usable a join usable c on a.vec_id != c.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from positives join scores using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+""",
+    "op12_importance_resampling": r"""
+with recursive crc(b, k, c) as (
+  select b, 0, b from range(256) r(b) union all select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8),
+byte as (select list(c order by b) as t from crc where k = 8),
+docs as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+goals as (select translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from benchmark),
+both_ as (select x, count(*) as copies, 0 as goals from docs group by x union all select x, 0, count(*) from goals group by x),
+classes as (select row_number() over () as id, x, sum(copies)::bigint as copies, sum(goals)::bigint as goals from both_ group by x),
+words as (select id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from classes),
+flat as (select id, unnest(w) as a, unnest(range(0, len(w))) as pos from words),
+runs as (
+  select id, a, a || ' ' || lead(a, 1) over d as b, a || ' ' || lead(a, 1) over d || ' ' || lead(a, 2) over d as c
+  from flat window d as (partition by id order by pos)),
+grams as (select id, unnest([a, b, c]) as g from runs),
+counted as (select id, g, count(*) as n from grams where g is not null group by id, g),
+names as (select distinct g from counted),
+codes as (
+  select g, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode(g))), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::bigint)),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::bigint) % 10000 as bucket from names, byte),
+features as (select id, bucket, sum(n)::bigint as n from counted join codes using (g) group by 1, 2),
+buckets as (select bucket, sum(n * copies)::bigint as s, sum(n * goals)::bigint as t from features join classes using (id) group by 1),
+totals as (select coalesce(sum(s), 0)::double as s_all, coalesce(sum(t), 0)::double as t_all from buckets),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain from buckets, totals),
+weights as (select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from features join gains using (bucket) group by 1),
+scored as (
+  select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from docs join classes using (x) join words using (id) left join weights using (id)),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as r, 5 * count(*) over () // 100 as drawn from scored where n_words >= 20)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when r <= drawn then r end as rank
+from scored left join ranked using (doc_id)
 """,
     "op8_minhash_near_dedup": r"""
 with recursive words as (

@@ -34,16 +34,17 @@ FAN_IN = 8
 LONG = (1 << 63) - 1
 
 
-def usable(table: DataFrame) -> DataFrame:
-    """vec_id, v (array<float> or array<double>, as in the table), dim; one row per vec_id."""
+def usable(table: DataFrame, *carry: str) -> DataFrame:
+    """vec_id, v (array<float> or array<double>, as in the table), the columns `carry`, dim; one row per vec_id, the smallest."""
     kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     v = F.col("embedding").cast(f"array<{kind}>")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), *carry).filter("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    least = rows.groupBy("vec_id").agg(F.min(F.struct("v", *carry)).alias("_least")).select("vec_id", "_least.*") if carry else rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return least.withColumn("dim", F.size("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
@@ -65,21 +66,20 @@ def sharded(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), shards
 
 
-def search(rows: DataFrame, shards: int, queries: DataFrame, prepare: Callable, work: Callable, k: int, kind: str) -> DataFrame:
-    """`work` on every shard and tile of queries, then merges of each query's lists.
+def meet(rows: DataFrame, shards: int, queries: DataFrame, prepare: Callable, work: Callable, schema: str) -> DataFrame:
+    """`work` on every shard and tile of queries, as a table of `schema`.
 
-    rows: vec_id, v, dim, shard, and `place` in the shard; prepare(batch of a whole shard) gives what work(it, query ids, queries) needs.
+    rows: vec_id, v, dim, shard, `place` in the shard, and more; queries: vec_id, v, dim, and more. prepare(batch of a whole shard) gives what
+    work(it, tile of queries, shard) needs, which returns a batch.
     """
     blocks = max(1, math.ceil(queries.count() / BLOCK))
-    extra = [c for c in rows.columns if c not in ("vec_id", "v", "dim", "shard", "place")]
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("block", each(blocks)).withColumn("query", F.lit(False))
-    right = queries.select("vec_id", "v", "dim", each(shards).alias("shard"), F.lit(0).cast("long").alias("place"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra])
+    right = queries.select("*", each(shards).alias("shard"), F.lit(0).cast("long").alias("place"))
     right = right.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("query", F.lit(True))
     run = ["dim", "shard", "block"]
     long_rows(rows.sparkSession)
-    dealt = left.unionByName(right).repartition(*run).sortWithinPartitions(*run, "query", "place")
-    type_ = pa.int64() if kind == "long" else pa.float64()
+    dealt = left.unionByName(right, allowMissingColumns=True).repartition(*run).sortWithinPartitions(*run, "query", "place")
 
     def tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, held = None, [], None
@@ -95,17 +95,30 @@ def search(rows: DataFrame, shards: int, queries: DataFrame, prepare: Callable,
             if held is None:
                 continue  # no vectors of this length in the shard
             for lo in range(0, len(part), TILE):
-                tile = part.slice(lo, TILE)
-                query, vec, score = work(held, tile.column("vec_id").to_numpy(), _matrix(tile.column("v")))
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, type_), pa.array(np.full(len(query), of[1], np.int32))], ["query_id", "vec_id", "score", "shard"])
+                yield work(held, part.slice(lo, TILE), of[1])
+
+    return dealt.mapInArrow(tiles, schema)
+
 
-    found = dealt.mapInArrow(tiles, f"query_id long, vec_id long, score {kind}, shard int")
-    order = [F.col("score").desc(), F.col("vec_id")]
+def merged(found: DataFrame, by: list[str], k: int, shards: int, tie: str = "vec_id") -> DataFrame:
+    """The k highest scores of each `by` with their rank, ties to the smaller `tie`: lists of FAN_IN shards are merged, then such groups, until one is left."""
+    order = [F.col("score").desc(), F.col(tie)]
     while shards > FAN_IN:  # the tree's inner nodes
         shards = math.ceil(shards / FAN_IN)
-        found = found.withColumn("shard", F.expr(f"shard div {FAN_IN}").cast("int")).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.withColumn("shard", F.expr(f"shard div {FAN_IN}").cast("int")).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "shard").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k).drop("shard")
+
+
+def search(rows: DataFrame, shards: int, queries: DataFrame, prepare: Callable, work: Callable, k: int, kind: str) -> DataFrame:
+    """query_id, rank, vec_id, score: meet(), then merges of each query's lists. work(it, query ids, queries) returns query ids, ids and scores."""
+    type_ = pa.int64() if kind == "long" else pa.float64()
+
+    def lists(held: object, tile: pa.RecordBatch, shard: int) -> pa.RecordBatch:
+        query, vec, score = work(held, tile.column("vec_id").to_numpy(), matrix(tile.column("v")))
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, type_), pa.array(np.full(len(query), shard, np.int32))], ["query_id", "vec_id", "score", "shard"])
+
+    found = meet(rows, shards, queries.select("vec_id", "v", "dim"), prepare, lists, f"query_id long, vec_id long, score {kind}, shard int")
+    return merged(found, ["query_id"], k, shards).select("query_id", "rank", "vec_id", "score")
 
 
 def every(divisor: int) -> Callable[[DataFrame], DataFrame]:
@@ -113,46 +126,82 @@ def every(divisor: int) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: rows.filter(F.col("vec_id") % divisor == 0)
 
 
-def exact_top(table: DataFrame, queries: Callable[[DataFrame], DataFrame], k: int = 20, scale: int = 64) -> DataFrame:
-    """Per query its k largest integer inner products of floor(scale * component): query_id, rank, vec_id, score.
+class Scaled:
+    """The rows of a matrix as floor(scale * component), sorted by how large they are, so that inner products are exact.
 
-    A product beyond 64 bits counts as the nearest long, so such products tie.
+    Level 0: sums of products fit doubles; 1: they fit 64 bits; 2: they need Python's integers. A row beyond level 0 costs its own products, not its shard's.
     """
 
-    def floors(m: np.ndarray) -> np.ndarray:
+    def __init__(self, m: np.ndarray, scale: int):
+        self.m, self.scale = m.astype(np.float64), scale
         with np.errstate(over="ignore"):
-            return np.floor(scale * m)
+            self.floors = np.floor(scale * self.m)
+        most = np.abs(self.floors).max(axis=1, initial=0)
+        self.most = most
+        self.level = (most > math.isqrt((2**53 - 1) // m.shape[1])).astype(np.int8) + (most > math.isqrt((2**63 - 1) // m.shape[1]))
+        self.kinds: dict[type, np.ndarray] = {}
+
+    def doubles(self, kind: type) -> np.ndarray:
+        """The floors in float32 or float64, with zeros for rows beyond level 0."""
+        if kind not in self.kinds:
+            self.kinds[kind] = np.where(self.level[:, None] == 0, self.floors, 0).astype(kind)
+        return self.kinds[kind]
+
+    def integers(self, at: np.ndarray) -> np.ndarray:
+        whole = lambda x: math.floor(x) * self.scale if abs(x) >= 2**53 else math.floor(self.scale * x)
+        return np.array([[whole(x) for x in row] for row in self.m[at].tolist()], object).reshape(len(at), -1)
+
+
+def inner(a: Scaled, b: Scaled) -> np.ndarray:
+    """The inner products of the rows of a with those of b; one beyond 64 bits is the nearest long."""
+    bound = a.most[a.level == 0].max(initial=0) * b.most[b.level == 0].max(initial=0) * a.m.shape[1]
+    kind = np.float32 if bound < 2**24 else np.float64
+    s = (a.doubles(kind) @ b.doubles(kind).T).astype(np.int64)
+    for level in (1, 2):
+        for rows, columns in ((a.level == level, b.level <= level), (a.level < level, b.level == level)):
+            i, j = np.flatnonzero(rows), np.flatnonzero(columns)
+            if not len(i) or not len(j):
+                continue
+            if level == 1:
+                s[np.ix_(i, j)] = a.floors[i].astype(np.int64) @ b.floors[j].astype(np.int64).T
+            else:
+                s[np.ix_(i, j)] = np.clip(a.integers(i) @ b.integers(j).T, -LONG - 1, LONG).astype(np.int64)
+    return s
+
 
-    def integers(m: np.ndarray) -> np.ndarray:
-        return np.array([[math.floor(x) * scale if abs(x) >= 2**53 else math.floor(scale * x) for x in row] for row in m.tolist()], object)
+def first(s: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the ascending places `at` of the scores s, the k of the highest, ties to the smaller place."""
+    if len(at) > k:
+        own = s[at]
+        least = np.partition(own, len(at) - k)[len(at) - k]
+        above = at[own > least]
+        at = np.concatenate([above, at[own == least][: k - len(above)]])
+    return at[np.argsort(~s[at], kind="stable")]  # ~s falls as s rises, without overflow
+
+
+def exact_top(table: DataFrame, queries: Callable[[DataFrame], DataFrame], k: int = 20, scale: int = 64) -> DataFrame:
+    """Per query its k largest integer inner products of floor(scale * component): query_id, rank, vec_id, score.
+
+    A product beyond 64 bits counts as the nearest long, so such products tie.
+    """
 
     def prepare(shard: pa.RecordBatch) -> tuple:
-        m = _matrix(shard.column("v")).astype(np.float64)
-        return shard.column("vec_id").to_numpy(), m, floors(m), np.abs(floors(m)).max(), {}
+        return shard.column("vec_id").to_numpy(), Scaled(matrix(shard.column("v")), scale)
 
     def work(held: tuple, query_ids: np.ndarray, q: np.ndarray) -> tuple:
-        ids, m, a, most, as_ = held
-        q = q.astype(np.float64)
-        b = floors(q)
-        bound = most * np.abs(b).max() * a.shape[1]
+        ids, shard = held
+        s = inner(Scaled(q, scale), shard)
         top = min(k + 1, len(ids))  # its own row may be among them
-        if bound < 2**53:  # sums of integers are exact in doubles, and below 2**24 in floats
-            kind = np.float32 if bound < 2**24 else np.float64
-            if kind not in as_:
-                as_[kind] = np.ascontiguousarray(a.T, kind)
-            s = (b.astype(kind) @ as_[kind]).astype(np.int64)
-        else:
-            if object not in as_:
-                as_[object] = integers(m).T
-            s = integers(q) @ as_[object]
-            s = np.clip(s, -LONG - 1, LONG).astype(np.int64)
-        if bound < 2**62 // (len(ids) + 1) and top < len(ids):
-            place = s * len(ids) + (len(ids) - 1 - np.arange(len(ids)))  # ties to the smaller id
-            best = np.argpartition(place, len(ids) - top, axis=1)[:, len(ids) - top :]
-        elif top < len(ids):
-            best = np.argsort(~s, axis=1, kind="stable")[:, :top]  # ~s falls as s rises, without overflow
-        else:
+        if top == len(ids):
             best = np.tile(np.arange(len(ids)), (len(s), 1))
+        else:
+            limit = 2**62 // (len(ids) + 1)
+            plain = (s.max(axis=1) < limit) & (s.min(axis=1) > -limit)
+            best = np.zeros((len(s), top), np.int64)
+            place = s[plain] * len(ids) + (len(ids) - 1 - np.arange(len(ids)))  # ties to the smaller id
+            best[plain] = np.argpartition(place, len(ids) - top, axis=1)[:, len(ids) - top :]
+            for i in np.flatnonzero(~plain):
+                best[i] = first(s[i], np.arange(len(ids)), top)
         r, c = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
         keep = query_ids[r] != ids[c]
         return query_ids[r[keep]], ids[c[keep]], s[r[keep], c[keep]]
@@ -253,11 +302,11 @@ def near_vectors(table: DataFrame, queries: Callable[[DataFrame], DataFrame], k:
 
     def build(shard: pa.Table) -> pa.Table:
         v = shard.column("v").combine_chunks()
-        at, near, far = VantageTree.order(unit(_matrix(v).astype(np.float64)))
+        at, near, far = VantageTree.order(unit(matrix(v).astype(np.float64)))
         return pa.table({"vec_id": shard.column("vec_id").take(at), "v": v.take(pa.array(at)), "dim": shard.column("dim"), "shard": shard.column("shard"), "place": np.arange(len(at)), "near": near, "far": far})
 
     def prepare(shard: pa.RecordBatch) -> tuple:
-        m = _matrix(shard.column("v")).astype(np.float64)
+        m = matrix(shard.column("v")).astype(np.float64)
         return shard.column("vec_id").to_numpy(), m, VantageTree(unit(m), shard.column("near").to_numpy(), shard.column("far").to_numpy())
 
     def work(held: tuple, query_ids: np.ndarray, q: np.ndarray) -> tuple:

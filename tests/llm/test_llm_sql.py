@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     mine, theirs = QUERIES[name](spark, SF).toPandas(), db.sql(ORACLES[name]).df()
     columns = sorted(mine.columns)
