@@ -40,12 +40,6 @@ def quantile_class(value: Column, edges: Column) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(edges, lambda e: e <= value)))
 
 
-def quantile_edges(value: Column, classes: int = 7) -> Column:
-    """Aggregate: classes + 1 edges by linear interpolation; zeros for no values."""
-    at = F.array(*[F.lit(i / classes) for i in range(classes + 1)])
-    return F.coalesce(F.percentile(value, at), F.array(*[F.lit(0.0)] * (classes + 1)))
-
-
 def distinct_edges(edges: Column) -> Column:
     """Ascending edges without repetition, two at least."""
     once = F.array_distinct(edges)

@@ -75,28 +75,6 @@ def bijection_errors(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return side(left, right).union(side(right, left))
 
 
-def exact_sum(value: Column) -> Column:
-    """A sum of doubles that doesn't depend on their order: of decimals, so that Spark can still sum ahead of the shuffle.
-
-    Sixteen decimals keep 1e-9 of the largest value, down to 1e-6; smaller groups, and values of over 22 digits, are summed as doubles.
-    """
-    exact, largest = value.try_cast("decimal(38,16)"), F.max(F.abs(value))
-    fits = (F.count(exact) == F.count(value)) & ((largest >= 1e-6) | (largest == 0))
-    return F.coalesce(F.when(fits, F.try_sum(exact).cast("double")), F.sum(value))
-
-
-def element_quantile(rows: DataFrame, group: list[str], value: str, q: float) -> DataFrame:
-    """The element at place int(n * q) of each group's sorted values, without interpolation.
-
-    Equal values are counted first, so that a window sees one row per distinct value.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*group).orderBy(value)
-    placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
-    place = F.least(F.col("_all") - 1, F.floor(F.col("_all") * q))
-    return placed.filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))).select(*group, F.col("_all").alias("n"), F.col(value).alias("quantile"))
-
-
 def rate_extremes(rows: DataFrame, key: str, hit: Column) -> DataFrame:
     """place (lowest or highest), key, rate: the groups with the extreme shares of rows that `hit`; ties to the smaller key, no rows give none."""
     rates = rows.groupBy(key).agg(ratio(F.count_if(hit), F.count("*"), 6).alias("rate"))

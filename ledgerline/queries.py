@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, geo, measures, text
-from ledgerline.operators import flows, linkage, quality, relational, spatial
+from ledgerline.operators import flows, linkage, quality, quantiles, relational, spatial
 from ledgerline.plans import exports
 from ledgerline.sources import layout
 from ledgerline.sources.tables import table
@@ -230,8 +230,10 @@ def sparse_flags_long(spark, d):
 
 @query("""select c_mktsegment as segment, count(*) as n, floor(quantile_cont(c_acctbal, 0.5) * 1e4 + 0.5) / 1e4 as median, floor(quantile_cont(c_acctbal, 0.9) * 1e4 + 0.5) / 1e4 as p90, max(c_acctbal) as largest from customer group by 1""")
 def ratio_distribution(spark, d):
-    at = lambda p: measures.half_up(F.percentile("c_acctbal", F.lit(p)))
-    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("c_acctbal").alias("largest"))
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    found = quantiles.quantiles(rows, ["segment"], "c_acctbal", [0.5, 0.9, 1.0])
+    at = lambda i: measures.half_up(F.get("quantiles", F.lit(i)))
+    return found.select("segment", "n", at(0).alias("median"), at(1).alias("p90"), F.get("quantiles", F.lit(2)).alias("largest"))
 
 
 @query("""with e as (select n_regionkey as region, c_custkey, c_acctbal from customer join nation on c_nationkey = n_nationkey),
@@ -240,7 +242,7 @@ select region, c_custkey, (case when c_acctbal >= edges[1] then 1 else 0 end + c
 def quantile_bins(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     rows = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("region"), "c_custkey", "c_acctbal")
-    edges = rows.groupBy("region").agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
+    edges = quantiles.quantiles(rows, ["region"], "c_acctbal", [0.25, 0.5, 0.75]).withColumnRenamed("quantiles", "edges")
     return rows.join(edges, "region").select("region", "c_custkey", measures.quantile_class(F.col("c_acctbal"), F.col("edges")).alias("class"))
 
 

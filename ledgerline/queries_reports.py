@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, geo, measures, names, places
-from ledgerline.operators import flows, linkage, quality, relational
+from ledgerline.operators import flows, linkage, quality, quantiles, relational, sums
 from ledgerline.plans import exports
 from ledgerline.queries import FLOWS_SQL, POINTS_SQL, _edges, _placed_orders, _points, query
 from ledgerline.sources import blocks
@@ -205,22 +205,34 @@ def bijection_breaks(spark, d):
     return relational.bijection_errors(table(spark, d, "part"), "p_brand", "p_type")
 
 
-@query("""select n_regionkey as region, sum(cast(o_totalprice as decimal(38, 6)))::double as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1""")
+#: A sum of 128-bit integers as a double: two exact halves, which are rounded once.
+WHOLE_SQL = "(case when {x} < 0 then -1.0 else 1.0 end)::double * ((abs({x}) // 4294967296)::double * 4294967296::double + (abs({x}) % 4294967296)::double)"
+
+
+@query("with s as (select n_regionkey as region, sum((o_totalprice * 17592186044416)::hugeint) as x from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1) select region, " + WHOLE_SQL.format(x="x") + " / 17592186044416 as total from s")
 def exact_rollup(spark, d):
-    return _placed_orders(spark, d).groupBy(F.col("n_regionkey").alias("region")).agg(relational.exact_sum(F.col("o_totalprice")).alias("total"))
+    return sums.exact_sums(_placed_orders(spark, d).withColumn("region", F.col("n_regionkey")), ["region"], {"total": F.col("o_totalprice")})
+
+
+@query("""with v as (select l_returnflag as flag, l_linestatus as status, round(l_extendedprice * 100)::hugeint * (1::bigint << (4 * (l_linenumber % 8))::int) as b, case when l_suppkey % 2 = 0 then -1 else 1 end as side from lineitem),
+s as (select flag, status, sum(b * side)::hugeint as a, sum(b)::hugeint as b from v group by 1, 2) select flag, status, """ + WHOLE_SQL.format(x="a") + " / 1048576 as net, " + WHOLE_SQL.format(x="b") + " / 1048576 as gross from s")
+def mixed_magnitudes(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("v", F.round(F.col("l_extendedprice") * 100) * F.pow(F.lit(2.0), 4 * (F.col("l_linenumber") % 8) - 20))
+    net = F.when(F.col("l_suppkey") % 2 == 0, -F.col("v")).otherwise(F.col("v"))
+    return sums.exact_sums(rows.withColumnsRenamed({"l_returnflag": "flag", "l_linestatus": "status"}), ["flag", "status"], {"net": net, "gross": F.col("v")})
 
 
 @query("""with s as (select c_mktsegment as segment, list(c_acctbal order by c_acctbal) as v from customer group by 1) select segment, len(v) as n, v[least(len(v) - 1, floor(len(v) * 0.9))::bigint + 1] as quantile from s""")
 def element_quantile(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
-    return relational.element_quantile(rows, ["segment"], "c_acctbal", 0.9)
+    return quantiles.element(rows, ["segment"], "c_acctbal", 0.9)
 
 
 @query("""with e as (select l_returnflag as flag, quantile_cont(l_discount, [0, 1/7, 2/7, 3/7, 4/7, 5/7, 6/7, 1]) as raw from lineitem group by 1), u as (select flag, list_sort(list_distinct(list_transform(raw, lambda x: round(x, 9)))) as edges from e)
 select flag, len(edges)::int as n_edges, list_min(edges) as low, list_max(edges) as high, array_to_string(list_transform(range(0, len(edges) - 1), lambda i: floor(i * 6 / (len(edges) - 2) + 0.5)::int), ',') as ramp from u""")
 def sequential_classes(spark, d):
-    edges = F.transform(measures.quantile_edges(F.col("l_discount")), lambda x: F.round(x, 9))
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(edges.alias("raw")).withColumn("edges", measures.distinct_edges(F.col("raw")))
+    rows = quantiles.class_edges(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_discount"), ["flag"], "l_discount")
+    rows = rows.withColumn("edges", measures.distinct_edges(F.transform("edges", lambda x: F.round(x, 9))))
     ramp = measures.ramp_places(F.size("edges") - 1, 7)
     return rows.select("flag", F.size("edges").alias("n_edges"), F.array_min("edges").alias("low"), F.array_max("edges").alias("high"), F.array_join(ramp.cast("array<string>"), ",").alias("ramp"))
 

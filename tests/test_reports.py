@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, measures, names, places
-from ledgerline.operators import flows, linkage, quality, relational
+from ledgerline.operators import flows, linkage, quality, quantiles, relational
 from ledgerline.plans import exports
 from ledgerline.sources import archives, blocks
 from test_operators import column
@@ -136,7 +136,7 @@ def test_rules(spark):
     assert sorted(map(tuple, quality.unlike(spark.createDataFrame([(1,), (9,)], "k int"))(rows.select("k").filter("k < 3")).collect())) == [(2, "new"), (9, "gone")]
     texts = spark.createDataFrame([("1",), ("-1",), ("x",), (None,), ("NaN",), ("Infinity",)], "v string")
     assert sorted(str(r["v"]) for r in quality.not_number("v", "not_negative")(texts).collect()) == ["-1", "Infinity", "NaN", "None", "x"]
-    assert [r["quantile"] for r in relational.element_quantile(spark.createDataFrame([(1, v) for v in (5, 1, 1, 9)], "g int, v int"), ["g"], "v", 0.5).collect()] == [5]
+    assert [r["quantile"] for r in quantiles.element(spark.createDataFrame([(1, v) for v in (5, 1, 1, 9)], "g int, v int"), ["g"], "v", 0.5).collect()] == [5]
 
 
 @pytest.mark.parametrize("text, want", [('{"features": []}', []), ('{"a": 1, "features" : [ {"x": [1, 2]},\n{"y": "]"} ]}', [{"x": [1, 2]}, {"y": "]"}]), ('{"a": 1}', [])])
