@@ -13,6 +13,16 @@ def code(value: Column, width: int) -> Column:
     return F.when(ok, F.lpad(digits, width, "0"))
 
 
+#: What counts as a number's text: digits with a point and an exponent, no type letters, words or hexadecimals.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number(literal: Column) -> Column:
+    """The double that a text states, or a numeric column's own value; NULL for anything else, so for `1d` and `NaN`."""
+    text = F.trim(literal.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def cell_status(literal: Column) -> Column:
     """observed, blank, or what a sentinel says; anything else is an error."""
     text = F.trim(literal)
@@ -22,18 +32,14 @@ def cell_status(literal: Column) -> Column:
         .when(text == "*", "not_disclosed")
         .when(text == "not reported", "not_reported")
         .when(text == "XXX", "not_calculated")
-        .when(text.try_cast("double").isNotNull() & ~text.rlike("^[A-Za-z]"), "observed")
+        .when(text.rlike(NUMBER), "observed")
         .otherwise("error")
     )
 
 
 def observed(literal: Column) -> Column:
     """The number of an observed cell, else NULL."""
-    return F.when(cell_status(literal) == "observed", F.trim(literal).try_cast("double"))
-
-
-def in_range(value: Column, low: float, high: float) -> Column:
-    return value.between(low, high)
+    return F.when(cell_status(literal) == "observed", number(literal))
 
 
 #: Box that a usable coordinate lies strictly within (fixed values): latitudes, longitudes.
@@ -42,14 +48,14 @@ LATITUDES, LONGITUDES = (20.0, 46.0), (122.0, 154.0)
 
 def integral(value: Column) -> Column:
     """A long from an integer or a float without a fraction, as number or text; else NULL."""
-    number = value.cast("string").try_cast("double")
-    return F.when((number == F.floor(number)) & (F.abs(number) < 2.0**53), number.cast("long"))
+    whole = number(value)
+    return F.when((whole == F.floor(whole)) & (F.abs(whole) < 2.0**53), whole.cast("long"))
 
 
 def number_code(value: Column, width: int, low: int, high: int) -> Column:
     """`value` as digits of a fixed width, where it is integral and from low to high; else NULL."""
-    number = integral(value)
-    return F.when(number.between(low, high), F.format_string(f"%0{width}d", number))
+    whole = integral(value)
+    return F.when(whole.between(low, high), F.format_string(f"%0{width}d", whole))
 
 
 def persons(ten_thousands: Column) -> Column:
@@ -60,9 +66,9 @@ def persons(ten_thousands: Column) -> Column:
 
 def rate_or_literal(literal: Column, low: float, high: float) -> Column:
     """struct<value, literal, bad>: a number within the range, else the literal alone; bad marks numbers outside."""
-    number = literal.try_cast("double")
-    fits = number.between(low, high)
-    return F.struct(F.when(fits, number).alias("value"), literal.alias("literal"), F.coalesce(number.isNotNull() & ~fits, F.lit(False)).alias("bad"))
+    stated = number(literal)
+    fits = stated.between(low, high)
+    return F.struct(F.when(fits, stated).alias("value"), literal.alias("literal"), F.coalesce(stated.isNotNull() & ~fits, F.lit(False)).alias("bad"))
 
 
 def year_of_label(label: Column) -> Column:

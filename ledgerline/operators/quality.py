@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ledgerline.functions import codes
+
 
 @dataclass(frozen=True)
 class Check:
@@ -41,8 +43,9 @@ def dependency(left: str, right: str) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: rows.groupBy(left).agg(F.countDistinct(right).alias("n")).filter("n > 1")
 
 
-def outside(column: str, low: float, high: float) -> Callable[[DataFrame], DataFrame]:
-    return RowRule(~F.col(column).between(low, high))
+def outside(column: str, low: float, high: float, null_ok: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Figures that aren't within the range; a NULL one isn't, unless null_ok."""
+    return RowRule(F.coalesce(~F.col(column).between(low, high), F.lit(not null_ok)))
 
 
 def gaps(group: str, order: str, first: int) -> Callable[[DataFrame], DataFrame]:
@@ -104,9 +107,9 @@ def off_domain(column: str, values: list) -> Callable[[DataFrame], DataFrame]:
 
 def not_number(column: str, sign: str = "any") -> Callable[[DataFrame], DataFrame]:
     """Rows that aren't a finite number; sign: any, not_negative or positive."""
-    number = F.col(column).cast("string").try_cast("double")
+    number = codes.number(F.col(column))
     low = {"any": F.lit(False), "not_negative": number < 0, "positive": number <= 0}[sign]
-    return RowRule(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")) | low)
+    return RowRule(number.isNull() | (F.abs(number) == float("inf")) | low)
 
 
 def bad_code(column: str, width: int, prefix: str | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -132,11 +135,11 @@ def one_without_other(left: Column, right: Column) -> Callable[[DataFrame], Data
     return RowRule(~left.eqNullSafe(right))
 
 
-def parts_beyond(total: str, parts: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """Totals that aren't the sum of their parts; with a part missing, totals below the rest."""
+def parts_beyond(total: str, parts: list[str], null_ok: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Totals that aren't the sum of their parts; with a part missing, totals below the rest. A NULL total is none, unless null_ok."""
     known = sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0)))
     some = F.concat(*[F.col(p).cast("string") for p in parts]).isNull()
-    return RowRule(F.when(some, F.col(total) < known).otherwise(F.col(total) != known))
+    return RowRule(F.coalesce(F.when(some, F.col(total) < known).otherwise(F.col(total) != known), F.lit(not null_ok)))
 
 
 def unexpected_count(expected: int) -> Callable[[DataFrame], DataFrame]:
@@ -149,9 +152,9 @@ def unlike(pinned: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: rows.exceptAll(pinned).withColumn("side", F.lit("new")).union(pinned.exceptAll(rows).withColumn("side", F.lit("gone")))
 
 
-def off_tolerance(left: str, right: str, relative: float) -> Callable[[DataFrame], DataFrame]:
-    """Rows whose two figures differ by more than a share of the second."""
-    return RowRule(F.abs(F.col(left) - F.col(right)) > F.abs(F.col(right)) * relative)
+def off_tolerance(left: str, right: str, relative: float, null_ok: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """Rows whose two figures differ by more than a share of the second; a NULL one differs, unless null_ok."""
+    return RowRule(F.coalesce(F.abs(F.col(left) - F.col(right)) > F.abs(F.col(right)) * relative, F.lit(not null_ok)))
 
 
 def count_gaps(stated: DataFrame, details: DataFrame, key: str, count: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import geo
+from ledgerline.operators.cover import points_in
 
 
 def polygons(features: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
@@ -19,22 +20,6 @@ def polygons(features: DataFrame, keys: list[str], geometry: str = "geometry") -
     return rows.select(*keys, "part", F.get("_rings", F.lit(0)).alias("shell"), F.expr("slice(_rings, 2, greatest(size(_rings) - 1, 0))").alias("holes"))
 
 
-def points_in(points: DataFrame, shapes: DataFrame, point: str, area: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """point, area (the smallest one) of the points that lie in a polygon and none of its holes.
-
-    shapes: area, shell, holes. Points and polygons meet by equality of grid cells, so that few polygons are tried for a point; a large polygon
-    stands in many cells.
-    """
-    box = lambda f, axis, name: F.expr(f"array_{f}(transform(shell, p -> p.{axis}))").alias(name)
-    boxed = shapes.select(area, "shell", "holes", box("min", "x", "x0"), box("max", "x", "x1"), box("min", "y", "y0"), box("max", "y", "y1")).withColumn("_shape", F.xxhash64("shell"))
-    cells = boxed.withColumn("_cx", F.explode(F.sequence(geo.cell(F.col("x0")), geo.cell(F.col("x1"))))).withColumn("_cy", F.explode(F.sequence(geo.cell(F.col("y0")), geo.cell(F.col("y1")))))
-    placed = points.select(point, F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).withColumn("_cx", geo.cell(F.col("_lon"))).withColumn("_cy", geo.cell(F.col("_lat")))
-    inside = placed.join(cells, ["_cx", "_cy"]).filter(geo.in_ring("_lon", "_lat", "shell")).withColumn("_hole", F.explode_outer("holes"))
-    inside = inside.withColumn("_out", F.coalesce(geo.in_ring("_lon", "_lat", "_hole"), F.lit(False)) & F.col("_hole").isNotNull())
-    kept = inside.groupBy(point, area, "_shape").agg(F.bool_or("_out").alias("_out")).filter("not _out")
-    return kept.groupBy(point).agg(F.min(area).alias(area))
-
-
 def area_km2(shapes: DataFrame, keys: list[str], latitude: Column) -> DataFrame:
     """keys, km2: the areas of all polygons of a key, without their holes."""
     rows = shapes.withColumn("_lat", latitude)
@@ -44,12 +29,28 @@ def area_km2(shapes: DataFrame, keys: list[str], latitude: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(F.expr(f"({ring('shell')} - {hollow}) * {scale}")).alias("km2"))
 
 
-def shape_errors(shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, part, problem: shells that are missing, have fewer than four points, or aren't closed."""
-    n = F.coalesce(F.size("shell"), F.lit(0))
-    ends = F.get("shell", F.lit(0)) != F.element_at("shell", -1)
-    problem = F.when(F.col("shell").isNull() | (n <= 0), "empty").when(n < 4, "too few points").when(ends, "not closed")
-    return shapes.withColumn("problem", problem).filter("problem is not null").select(*keys, "part", "problem")
+def shape_errors(features: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """keys, part, problem: features whose geometry is missing, unreadable or no polygon (part NULL), and shells or holes that are empty, have fewer than four points, lack a coordinate or aren't closed."""
+    kind = F.when(F.col(geometry).isNotNull(), F.try_variant_get(F.try_parse_json(geometry), "$.type", "string"))
+    none = F.when(F.col(geometry).isNull(), "missing").when(kind.isNull(), "unreadable").when(~kind.isin("Polygon", "MultiPolygon"), "no polygon")
+    parts = polygons(features, keys, geometry)
+    rings = F.inline(F.transform(F.concat(F.array("shell"), "holes"), lambda r: F.struct(r.alias("_r"))))
+    each = parts.select(*keys, "part", rings)
+    ends = F.get("_r", F.lit(0)) != F.get("_r", F.size("_r") - 1)
+    gap = F.exists("_r", lambda p: p["x"].isNull() | p["y"].isNull())
+    problem = F.when(F.coalesce(F.size("_r"), F.lit(0)) <= 0, "empty").when(gap, "a coordinate is missing").when(F.size("_r") < 4, "too few points").when(ends, "not closed")
+    found = each.withColumn("problem", problem).filter("problem is not null").select(*keys, F.col("part").cast("int").alias("part"), "problem").distinct()
+    whole = features.withColumn("problem", none).filter("problem is not null").select(*keys, F.lit(None).cast("int").alias("part"), "problem")
+    bare = features.filter(none.isNull()).select(*keys).join(parts.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(None).cast("int").alias("part"), F.lit("empty").alias("problem"))
+    return whole.union(bare).union(found)
+
+
+def feature_set_errors(features: DataFrame, expected: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """keys, side: keys without a feature (missing), features beyond the expected keys (beyond), and keys with several (repeated)."""
+    have = features.groupBy(*keys).agg(F.count("*").alias("_n"))
+    wanted = expected.select(*keys).distinct()
+    lost, more = wanted.join(have, keys, "left_anti").select(*keys, F.lit("missing").alias("side")), have.join(wanted, keys, "left_anti").select(*keys, F.lit("beyond").alias("side"))
+    return lost.union(more).union(have.filter("_n > 1").select(*keys, F.lit("repeated").alias("side")))
 
 
 def area_changes(before: DataFrame, after: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -61,8 +62,8 @@ def area_changes(before: DataFrame, after: DataFrame, key: str, tolerance: float
 
 
 def registered_points(rows: DataFrame, shapes: DataFrame, point: str, area: str, kind: str, dropped: list[str], name: Column) -> DataFrame:
-    """A point register's rows without the `dropped` kinds, with their normal `name` and the area they lie in (NULL: outside every polygon)."""
-    kept = rows.filter(~F.col(kind).isin(dropped)).withColumn("name", name)
+    """A point register's rows without the `dropped` kinds (a NULL kind is none of them), with their normal `name` and the area they lie in (NULL: outside every polygon)."""
+    kept = rows.filter(F.coalesce(~F.col(kind).isin(dropped), F.lit(True))).withColumn("name", name)
     return kept.join(points_in(kept, shapes, point, area), point, "left")
 
 

@@ -108,6 +108,29 @@ def long_of(family: str, table: DataFrame, keys: list[str]) -> DataFrame:
     return table.select(F.lit(family).alias("dataset"), *keys, F.inline(measures))
 
 
+#: Units of measures; others are counts.
+UNITS = {"ratio": "ratio"}
+
+
+def details(rows: DataFrame, keys: list[str], families: dict[str, dict[str, str]], years: dict[str, str], ratio, note) -> DataFrame:
+    """dataset, keys, measure, unit, year, value, note: the tables of several metric families at one grain, a row for each measure, from one pass over `rows`.
+
+    families: for each family, the columns of `rows` that hold its two counts, the one that the other is compared with last, e.g. {"change": {"new": "n1996", "old": "n1995"}}.
+    years: the vintage of a column. A count has its own column's year; a difference or ratio has both, where they differ. ratio(part, whole) rounds a quotient,
+    note(whole) says why there is none.
+    """
+    cells = []
+    for family, columns in families.items():
+        (first, a), (second, b) = columns.items()
+        both = years[a] if years[a] == years[b] else f"{years[b]}/{years[a]}"
+        made = {first: (F.col(a), years[a]), second: (F.col(b), years[b]), "difference": (F.col(a) - F.col(b), both), "ratio": (ratio(F.col(a), F.col(b)), both)}
+        for measure in FAMILIES[family]:
+            value, year = made[measure]
+            said = note(F.col(b)) if measure == "ratio" else F.lit("")
+            cells.append(F.struct(F.lit(family).alias("dataset"), F.lit(measure).alias("measure"), F.lit(UNITS.get(measure, "count")).alias("unit"), F.lit(year).alias("year"), value.cast("double").alias("value"), said.alias("note")))
+    return rows.select(*keys, F.inline(F.array(*cells)))
+
+
 def bundle_text(sources: DataFrame) -> DataFrame:
     """source, at, line: a bundle's table of contents, each source with the files made from it (source, files array)."""
     lines = F.concat(F.array(F.concat(F.lit("## "), "source")), F.transform("files", lambda f: F.concat(F.lit("- "), f)))

@@ -433,12 +433,6 @@ def point_in_polygon_grid(spark, d):
     return spatial.points_in(_points(spark, d), _polygons(spark), "p_partkey", "area").select("p_partkey", "area")
 
 
-@query("with " + POLYGONS_SQL + """, a as (select area, 35.0::double as lat, abs(list_sum(list_transform(range(1, len(shell)), lambda i: shell[i].x * shell[i+1].y - shell[i+1].x * shell[i].y))) / 2 as s,
-  coalesce(abs(list_sum(list_transform(range(1, len(hole)), lambda i: hole[i].x * hole[i+1].y - hole[i+1].x * hole[i].y))) / 2, 0) as h from polygons) select area, floor((s - h) * 111.32 * 111.32 * cos(radians(lat)) * 100 + 0.5) / 100 as km2 from a""")
-def polygon_area(spark, d):
-    return spatial.area_km2(_polygons(spark), ["area"], F.lit(35.0)).select("area", measures.half_up(F.col("km2"), 2).alias("km2"))
-
-
 @query("""select n_nationkey, case n_nationkey when 3 then 4 when 7 then 0 else n_regionkey end::int as n_regionkey, n_nationkey in (3, 7) as overridden from nation""")
 def override_mapping(spark, d):
     fixes = spark.createDataFrame([(3, 4), (7, 0)], "n_nationkey int, n_regionkey int")

@@ -40,6 +40,16 @@ def region_detail_long(spark, d):
     return each[0].union(each[1])
 
 
+@query(f"""with t as ({BY_REGION}), m as (
+select region, bed_function, unnest([('change', 'old', 'count', '1995', b::double, ''), ('change', 'new', 'count', '1996', a::double, ''), ('change', 'difference', 'count', '1995/1996', (a - b)::double, ''), ('change', 'ratio', 'ratio', '1995/1996', {RATIO}, case when b = 0 then 'denominator is 0' else '' end),
+  ('demand', 'value', 'count', '1996', a::double, ''), ('demand', 'base', 'count', '1995', b::double, ''), ('demand', 'ratio', 'ratio', '1995/1996', {RATIO}, case when b = 0 then 'denominator is 0' else '' end)]) as x from t)
+select region, bed_function, x[1] as dataset, x[2] as measure, x[3] as unit, x[4] as year, x[5] as value, x[6] as note from m""")
+def region_details(spark, d):
+    """Two families of measures at one grain, from one pass, with the unit, the year and a note in each row."""
+    families = {"change": {"new": "n1996", "old": "n1995"}, "demand": {"value": "n1996", "base": "n1995"}}
+    return documents.details(_two_years(spark, d, "n1996", "n1995"), ["region", "bed_function"], families, {"n1996": "1996", "n1995": "1995"}, measures.ratio, measures.ratio_note)
+
+
 # Documents.
 
 CUSTOMERS = "select n_nationkey as area_code, n_name as area_name, count(c_custkey) as customers from nation left join customer on c_nationkey = n_nationkey group by 1, 2"
@@ -128,11 +138,10 @@ def metrics_by_group(spark, d):
 
 
 def _feature_table(spark):
-    """The fixture polygons as GeoJSON: one of them in a MultiPolygon, one ring open, one missing."""
+    """The fixture polygons as GeoJSON: one of them in a MultiPolygon."""
     rows = [
         (1, '{"type":"Polygon","coordinates":[[[130.2,30.2],[133.3,30.4],[133.1,35.7],[130.1,35.2],[130.2,30.2]],[[131.2,32.2],[132.2,32.2],[132.2,33.2],[131.2,33.2],[131.2,32.2]]]}'),
         (2, '{"type":"MultiPolygon","coordinates":[[[[134.2,33.1],[136.9,34.3],[135.4,38.9],[134.2,33.1]]]]}'),
-        (3, '{"type":"Polygon","coordinates":[[[150.0,30.0],[151.0,30.0],[151.0,31.0],[150.0,31.0]]]}'), (4, '{"type":"Polygon","coordinates":[[]]}'), (5, '{"type":"Point","coordinates":[1.0,2.0]}'), (6, None),
     ]
     return spatial.polygons(spark.createDataFrame(rows, "area int, geometry string"), ["area"])
 
@@ -141,21 +150,68 @@ def _feature_table(spark):
 def register_points(spark, d):
     """A point register with the area that each point lies in."""
     points = _points(spark, d).withColumn("kind", F.lit("part"))
-    return spatial.registered_points(points, _feature_table(spark).filter("area < 3"), "p_partkey", "area", "kind", ["dental"], F.lit("-")).select("p_partkey", "area")
+    return spatial.registered_points(points, _feature_table(spark), "p_partkey", "area", "kind", ["dental"], F.lit("-")).select("p_partkey", "area")
+
+
+def _ring(x: str, y: str, side: str, closed: bool = True) -> str:
+    """SQL of the text of a square ring."""
+    corners = [(x, y), (f"{x} + {side}", y), (f"{x} + {side}", f"{y} + {side}"), (x, f"{y} + {side}"), *[(x, y)] * closed]
+    return "concat('[', " + ", ',', ".join(f"'[', string({a}), ',', string({b}), ']'" for a, b in corners) + ", ']')"
+
+
+def _supplier_features(spark, d):
+    """A GeoJSON feature for each supplier, by its key: missing, of another kind, unreadable, too short, open, empty, with an open hole, of two parts, with a hole."""
+    x, y, side = "(128 + s_suppkey % 64 * 0.25D)", "(32 + s_suppkey div 64 % 8 * 2.0D)", "(0.25D * (1 + s_suppkey % 3))"
+    hole = lambda closed: _ring(f"({x} + {side} / 4)", f"({y} + {side} / 4)", f"({side} / 4)", closed)
+    polygon = lambda *rings: "concat('{\"type\":\"Polygon\",\"coordinates\":[', " + ", ',', ".join(rings) + ", ']}')"
+    cases = [
+        "cast(null as string)", f"concat('{{\"type\":\"Point\",\"coordinates\":[', string({x}), ',', string({y}), ']}}')", "'{\"type\":\"Polygon\"'",
+        polygon(f"concat('[[', string({x}), ',', string({y}), '],[', string({x} + {side}), ',', string({y}), '],[', string({x}), ',', string({y}), ']]')"),
+        polygon(_ring(x, y, side, False)), "'{\"type\":\"Polygon\",\"coordinates\":[]}'", polygon(_ring(x, y, side), hole(False)),
+        f"concat('{{\"type\":\"MultiPolygon\",\"coordinates\":[[', {_ring(x, y, side)}, '],[', {_ring(x, f'({y} + 1)', side)}, ']]}}')", polygon(_ring(x, y, side), hole(True)),
+    ]
+    by_key = "case s_suppkey % 9 " + " ".join(f"when {i} then {c}" for i, c in enumerate(cases)) + " end"
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("area"), F.col("s_nationkey").alias("region"), F.expr(by_key).alias("geometry"))
+
 
+def _supplier_areas(spark, d, keys):
+    """Areas of the features without a problem."""
+    features = _supplier_features(spark, d)
+    sound = features.join(spatial.shape_errors(features, ["area"]).select("area").distinct(), "area", "left_anti")
+    return spatial.area_km2(spatial.polygons(sound, keys), keys, F.lit(35.0))
 
-@query("select * from (values (3, 0, 'not closed'), (4, 0, 'empty')) t(area, part, problem)")
+
+AREAS_SQL = """areas as (select s_suppkey as area, s_nationkey as region, 0.25::double * (1 + s_suppkey % 3) as side, (case s_suppkey % 9 when 7 then 2 * side * side else side * side - side / 4 * side / 4 end) * 111.32 * 111.32 * cos(radians(35.0)) as km2
+from supplier where s_suppkey % 9 in (7, 8))"""
+
+
+@query("""select s_suppkey as area, case when s_suppkey % 9 in (3, 4, 6) then 0 end::int as part,
+  ['missing', 'no polygon', 'unreadable', 'too few points', 'not closed', 'empty', 'not closed'][(s_suppkey % 9 + 1)::int] as problem from supplier where s_suppkey % 9 < 7""")
 def shape_problems(spark, d):
-    return spatial.shape_errors(_feature_table(spark), ["area"])
+    """Missing, foreign and broken shapes among the suppliers' features."""
+    found = spatial.shape_errors(_supplier_features(spark, d), ["area"])
+    return found.withColumn("part", F.when(F.col("problem") != "empty", F.col("part")))
+
 
+@query("""select s_suppkey as area, case s_suppkey % 10 when 3 then 'missing' when 4 then 'repeated' end as side from supplier where s_suppkey % 10 in (3, 4) union all select -s_suppkey, 'beyond' from supplier where s_suppkey % 10 = 5""")
+def feature_set(spark, d):
+    """Features against the areas that there should be: some left out, some twice, some of no area."""
+    all_ = _supplier_features(spark, d)
+    features = all_.filter("area % 10 != 3").union(all_.filter("area % 10 = 4")).union(all_.filter("area % 10 = 5").withColumn("area", -F.col("area")))
+    return spatial.feature_set_errors(features, all_, ["area"])
 
-@query("with " + POLYGONS_SQL + """, a as (select area, abs(list_sum(list_transform(range(1, len(shell)), lambda i: shell[i].x * shell[i+1].y - shell[i+1].x * shell[i].y))) / 2 - coalesce(abs(list_sum(list_transform(range(1, len(hole)), lambda i: hole[i].x * hole[i+1].y - hole[i+1].x * hole[i].y))) / 2, 0) as s from polygons),
-k as (select area, s * 111.32 * 111.32 * cos(radians(35.0)) as km2 from a), c as (select area, km2, case area when 1 then km2 * 1.0001 else km2 * 1.05 end as after from k)
-select area, floor(km2 * 100 + 0.5) / 100 as before, floor(after * 100 + 0.5) / 100 as after from c where area = 2 union all select null, floor(sum(km2) * 100 + 0.5) / 100, floor(sum(after) * 100 + 0.5) / 100 from c""")
+
+@query(f"with {AREAS_SQL} select area, floor(km2 * 100 + 0.5) / 100 as km2 from areas")
+def polygon_area(spark, d):
+    return _supplier_areas(spark, d, ["area"]).select("area", measures.half_up(F.col("km2"), 2).alias("km2"))
+
+
+@query(f"""with {AREAS_SQL}, c as (select area, km2, case area % 2 when 1 then km2 * 1.0001 else km2 * 1.05 end as after from areas)
+select area, floor(km2 * 100 + 0.5) / 100 as before, floor(after * 100 + 0.5) / 100 as after from c where area % 2 = 0 union all select null, floor(sum(km2) * 100 + 0.5) / 100, floor(sum(after) * 100 + 0.5) / 100 from c""")
 def area_conservation(spark, d):
-    """Areas after a change of shapes, one within and one beyond the tolerance."""
-    before = spatial.area_km2(_feature_table(spark).filter("area < 3"), ["area"], F.lit(35.0))
-    after = before.withColumn("km2", F.col("km2") * F.when(F.col("area") == 1, 1.0001).otherwise(1.05))
+    """Areas after a change of shapes, half of them within and half beyond the tolerance."""
+    before = _supplier_areas(spark, d, ["area"])
+    after = before.withColumn("km2", F.col("km2") * F.when(F.col("area") % 2 == 1, 1.0001).otherwise(1.05))
     found = spatial.area_changes(before, after, "area", 0.01)
     return found.select("area", measures.half_up(F.col("before"), 2).alias("before"), measures.half_up(F.col("after"), 2).alias("after"))
 
@@ -166,32 +222,38 @@ def register_kinds(spark, d):
     return spatial.kinds({"supplier": s, "customer": c}, F.col("v") > 0)
 
 
-# Provenance: what datasets state about themselves (fixtures).
+# Provenance: orders as what datasets state about themselves.
+
 
-FACTS = [("beds", "1996", "survey", "rounded"), ("beds", "1995", "survey", None), ("flows", None, "census", "sampled"), ("flows", "1996", "census 2", None), ("names", None, "register", None)]
-LINEAGE = [("area.json", "beds"), ("area.json", "flows"), ("flow.json", "flows"), ("other.json", "absent")]
-_list = lambda rows: ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in r) + ")" for r in rows)
-FACTS_SQL = f"facts(dataset, vintage, source, caveat) as (values {_list(FACTS)}), lineage(output, dataset) as (values {_list(LINEAGE)})"
+def _facts(spark, d, dataset: str):
+    caveat = F.when(F.col("o_totalprice") > 300000, F.concat(F.lit("large in "), F.year("o_orderdate").cast("string")))
+    vintage = F.when(F.year("o_orderdate") != 1992, F.year("o_orderdate").cast("string"))
+    return table(spark, d, "orders").select(F.col(dataset).cast("string").alias("dataset"), vintage.alias("label"), F.col("o_orderstatus").alias("source"), caveat.alias("caveat")).distinct()
 
 
-def _facts(spark):
-    return spark.createDataFrame(FACTS, "dataset string, vintage string, source string, caveat string")
+FACTS_SQL = "facts as (select distinct {dataset}::varchar as dataset, case when year(o_orderdate) != 1992 then year(o_orderdate)::varchar end as label, o_orderstatus as source, case when o_totalprice > 300000 then 'large in ' || year(o_orderdate) end as caveat from orders)"
 
 
-@query(f"with {FACTS_SQL} select output, coalesce(string_agg(distinct source, ',' order by source), '') as sources, coalesce(string_agg(distinct caveat, ',' order by caveat), '') as caveats from lineage left join facts using (dataset) group by 1")
+@query(f"""with {FACTS_SQL.format(dataset='o_orderpriority')}, lineage as (select distinct c_mktsegment || '.json' as output, o_orderpriority as dataset from orders join customer on o_custkey = c_custkey where c_custkey % 7 = 0 union select r_name || '.json', 'absent' from region)
+select output, coalesce(string_agg(distinct source, ',' order by source), '') as sources, coalesce(string_agg(distinct caveat, ',' order by caveat), '') as caveats from lineage left join facts using (dataset) group by 1""")
 def provenance_carried(spark, d):
-    found = provenance.carried(_facts(spark), spark.createDataFrame(LINEAGE, "output string, dataset string"))
+    """Outputs by segment, made from orders by priority, and outputs of an input that states nothing."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").filter("c_custkey % 7 = 0")
+    lineage = o.join(c, o.o_custkey == c.c_custkey).select(F.concat("c_mktsegment", F.lit(".json")).alias("output"), F.col("o_orderpriority").alias("dataset")).distinct()
+    lineage = lineage.union(table(spark, d, "region").select(F.concat("r_name", F.lit(".json")), F.lit("absent")))
+    found = provenance.carried(_facts(spark, d, "o_orderpriority"), lineage)
     return found.select("output", F.array_join("sources", ",").alias("sources"), F.array_join("caveats", ",").alias("caveats"))
 
 
-@query(f"with {FACTS_SQL} select dataset, 'source' as \"column\", string_agg(distinct source, ',' order by source) as said from facts group by 1 having count(distinct source) > 1")
+@query(f"""with {FACTS_SQL.format(dataset='o_custkey')}, said as (select dataset, 'source' as "column", source as value from facts union all select dataset, 'caveat', caveat from facts where caveat is not null)
+select dataset, "column", string_agg(distinct value, ',' order by value) as said from said group by 1, 2 having count(distinct value) > 1""")
 def provenance_disagreeing(spark, d):
-    return provenance.disagreeing(_facts(spark), "dataset", ["source", "caveat"]).select("dataset", "column", F.array_join("values", ",").alias("said"))
+    return provenance.disagreeing(_facts(spark, d, "o_custkey"), "dataset", ["source", "caveat"]).select("dataset", "column", F.array_join("values", ",").alias("said"))
 
 
-@query(f"with {FACTS_SQL} select dataset, source from facts f where vintage = '1996' or (vintage is null and not exists (select 1 from facts g where g.dataset = f.dataset and g.vintage = '1996'))")
+@query(f"with {FACTS_SQL.format(dataset='o_custkey')} select dataset, source, caveat from facts f where label = '1996' or (label is null and not exists (select 1 from facts g where g.dataset = f.dataset and g.label = '1996'))")
 def provenance_of_vintage(spark, d):
-    return provenance.source_of(_facts(spark).withColumnRenamed("vintage", "label"), "1996").select("dataset", "source")
+    return provenance.source_of(_facts(spark, d, "o_custkey"), "1996").select("dataset", "source", "caveat")
 
 
 @query("select 'orders' as relation, v::varchar as vintage from (values (1995), (1996), (2050)) t(v) where v not in (select distinct year(o_orderdate) from orders)")
@@ -200,10 +262,16 @@ def missing_vintages(spark, d):
     return provenance.missing_vintages(rows, "year", [1995, 1996, 2050], "orders")
 
 
-@query("select * from (values ('dict', 'a', 'x'), ('dict', 'b', 'y'), ('list', 'a', 'x'), ('list', 'b', null)) t(name, label, value)")
+@query("""select 'dict ' || n_regionkey as name, n_name as label, n_nationkey::varchar as value from nation union all select 'list ' || n_regionkey, n_name, case when n_nationkey % 4 > 0 then n_nationkey::varchar end from nation""")
 def source_entries(spark, d):
-    rows = spark.createDataFrame([("dict", '{"b": "y", "a": "x"}'), ("list", '[{"label": "a", "source": "x"}, {"label": "b"}]')], "name string, j string")
-    return rows.select("name", F.inline(provenance.entries(F.col("j"))))
+    """Sources as a JSON object, and as a list of objects of which some state none, by region."""
+    n = table(spark, d, "nation").withColumn("v", F.col("n_nationkey").cast("string"))
+    both = n.groupBy("n_regionkey").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "v")))).alias("dict"),
+        F.to_json(F.collect_list(F.struct(F.col("n_name").alias("label"), F.when(F.col("n_nationkey") % 4 > 0, F.col("v")).alias("source")))).alias("list"),
+    )
+    each = F.array(*[F.struct(F.concat(F.lit(f"{k} "), F.col("n_regionkey").cast("string")).alias("name"), F.col(k).alias("j")) for k in ("dict", "list")])
+    return both.select(F.inline(each)).select("name", F.inline(provenance.entries(F.col("j"))))
 
 
 # Headers and bands of sheets that are generated as cells.
@@ -389,9 +457,7 @@ def nesting_errors(spark, d):
     return relational.nesting_errors(rows, "area", "prefecture", F.startswith("area", "prefecture"))
 
 
-@query("with " + POLYGONS_SQL + """, a as (select 'west' as region, abs(list_sum(list_transform(range(1, len(shell)), lambda i: shell[i].x * shell[i+1].y - shell[i+1].x * shell[i].y))) / 2 - coalesce(abs(list_sum(list_transform(range(1, len(hole)), lambda i: hole[i].x * hole[i+1].y - hole[i+1].x * hole[i].y))) / 2, 0) as s from polygons)
-select region, floor(sum(s * 111.32 * 111.32 * cos(radians(35.0))) * 100 + 0.5) / 100 as km2 from a group by 1""")
+@query(f"with {AREAS_SQL} select region, floor(sum(km2) * 100 + 0.5) / 100 as km2 from areas group by 1")
 def region_area(spark, d):
-    """Areas summed by the region that they belong to."""
-    regions = spark.createDataFrame([(1, "west"), (2, "west")], "area int, region string")
-    return spatial.area_km2(_feature_table(spark).join(regions, "area"), ["region"], F.lit(35.0)).select("region", measures.half_up(F.col("km2"), 2).alias("km2"))
+    """Areas summed by the nation that they belong to."""
+    return _supplier_areas(spark, d, ["region"]).select("region", measures.half_up(F.col("km2"), 2).alias("km2"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, geo, measures, names, places
 from ledgerline.operators import flows, linkage, quality, quantiles, relational, sums
-from ledgerline.plans import exports
+from ledgerline.plans import exports, lineage
 from ledgerline.queries import FLOWS_SQL, POINTS_SQL, _edges, _placed_orders, _points, query
 from ledgerline.sources import blocks
 from ledgerline.sources.tables import table
@@ -84,7 +84,7 @@ def _registers(spark, d) -> tuple[DataFrame, DataFrame]:
 @query()
 def link_three_tiers(spark, d):
     left, right = _registers(spark, d)
-    return linkage.tiers(left, right)
+    return linkage.tiers(left, right, cut=lineage.cut)
 
 
 @query(f"""with r as (select p_partkey, p_type, case when p_partkey % 4 = 0 then 'new ' || p_name else p_name end || ' ' || (p_partkey % 97)::varchar as name, p_size,

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import codes
+
 
 def fixed_blocks(cells: DataFrame, first_row: int, size: int, count: int) -> DataFrame:
     """Cells with block (from 0) and place (row within the block); those outside the blocks go."""
@@ -101,7 +103,14 @@ def banded(cells: DataFrame, bands: dict[str, tuple[int, int]]) -> DataFrame:
 
 
 def band_totals(cells: DataFrame, total_place: int) -> DataFrame:
-    """sheet, row, band, total, parts: banded cells whose total (at `total_place`) isn't the sum of the others."""
-    number, own = F.col("value").try_cast("double"), F.col("place") == total_place
-    sums = cells.groupBy("sheet", "row", "band").agg(F.max(F.when(own, number)).alias("total"), F.sum(F.when(~own, number)).alias("parts"))
-    return sums.filter(~F.col("total").eqNullSafe(F.col("parts")))
+    """sheet, row, band, total, parts: banded cells whose total (at `total_place`) isn't the sum of the others, within a relative 1e-9 of rounding.
+
+    A missing total is none. With a part missing, or one that is no number, only a total below the rest is told of.
+    """
+    number, own = codes.number(F.col("value")), F.col("place") == total_place
+    gaps = F.count_if(~own & number.isNull()).alias("_gaps")
+    sums = cells.groupBy("sheet", "row", "band").agg(F.max(F.when(own, number)).alias("total"), F.sum(F.when(~own, number)).alias("parts"), F.sum(F.when(~own, F.abs(number))).alias("_size"), gaps)
+    known = F.coalesce("parts", F.lit(0.0))
+    slack = 1e-9 * F.greatest(F.abs("total"), F.coalesce("_size", F.lit(0.0)))
+    off = F.when(F.col("_gaps") > 0, F.col("total") < known - slack).otherwise(F.abs(F.col("total") - known) > slack)
+    return sums.filter(F.coalesce(off, F.lit(True))).drop("_size", "_gaps")
