@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
 import json
-import zipfile
-import zlib
-from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.plans import texts
+
 
 def digest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """n and an order-free digest of `keys`: the sum of 52 bits of each row's SHA-256."""
@@ -37,12 +33,23 @@ def csv_field(value: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def csv_document(rows: DataFrame, columns: list[str], facts: dict[str, str], mark: bool = True) -> DataFrame:
-    """part, at, line of a CSV text: comment lines and the header (part 0, ordered by `at`), then the rows (part 1); a byte order mark stands in front."""
+def csv_lead(columns: list[str], facts: dict[str, str]) -> list[str]:
+    """The comment lines and the header of a CSV text."""
     quoted = ['"' + c.replace('"', '""') + '"' if set(c) & set('",\r\n') else c for c in columns]
-    lead = [*preamble(facts).split("\r\n")[:-1], ",".join(quoted)]
-    top = [(0, i, ("\ufeff" if mark and i == 0 else "") + line) for i, line in enumerate(lead)]
-    return rows.sparkSession.createDataFrame(top, "part int, at int, line string").union(csv_lines(rows, columns).select(F.lit(1), F.lit(None).cast("int"), "line"))
+    return [*preamble(facts).split("\r\n")[:-1], ",".join(quoted)]
+
+
+def csv_document(rows: DataFrame, columns: list[str], facts: dict[str, str], order: list[str], mark: bool = True) -> DataFrame:
+    """part, at, key, line of a CSV text: comment lines and the header (part 0, ordered by `at`), then the rows (part 1, ordered by `key`, a struct of `order`); a byte order mark stands in front."""
+    top = [(0, i, ("\ufeff" if mark and i == 0 else "") + line) for i, line in enumerate(csv_lead(columns, facts))]
+    body = rows.select(F.lit(1).alias("part"), F.lit(None).cast("int").alias("at"), F.struct(*order).alias("key"), texts.lines_of(rows, columns, csv_field).alias("line"))
+    lead = rows.sparkSession.createDataFrame(top, "part int, at int, line string").select("part", "at", F.lit(None).cast(body.schema["key"].dataType).alias("key"), "line")
+    return lead.union(body)
+
+
+def write_csv_text(rows: DataFrame, path: str, columns: list[str], facts: dict[str, str], order: list[str], mark: bool = True, cells: str | None = None) -> dict[str, int]:
+    """csv_document() as one file, with the rows and bytes counted while writing; `cells` is an array column in place of `columns`, and a row of another width raises."""
+    return texts.write_text(rows, path, order, texts.lines_of(rows, columns, csv_field, cells), csv_lead(columns, facts), mark)
 
 
 def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,11 +75,10 @@ def read_shard(spark: SparkSession, path: str, key: str, value: str, echo: str)
 
 
 def write_with_meta(rows: DataFrame, path: str, order: list[str], facts: dict) -> None:
-    """write_csv(), and beside it `path`.meta.json with the facts, the columns and the number of rows."""
-    write_csv(rows, path, order)
-    n = rows.sparkSession.read.option("header", True).option("multiLine", True).csv(path).count()
-    meta = json.dumps({**facts, "fields": rows.columns, "rows": n}, ensure_ascii=False, sort_keys=True)
-    rows.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta.json")
+    """A CSV file of the rows in order, and beside it `path`.meta.json with the facts, the columns and the rows and bytes that were counted while writing."""
+    counts = write_csv_text(rows, path, rows.columns, {}, order, mark=False)
+    with open(f"{texts.mounted(path)}.meta.json", "w") as out:
+        json.dump({**facts, "fields": rows.columns, **counts}, out, ensure_ascii=False, sort_keys=True)
 
 
 def issues_for(issues: DataFrame, scope: str, value: str, default: str) -> DataFrame:
@@ -84,37 +90,3 @@ def by_source(files: DataFrame) -> DataFrame:
     """source, files: the export files (file, sources array) of each source; files of none stand under derived::name."""
     sources = F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.concat(F.lit("derived::"), "file")))
     return files.select("file", F.explode(sources).alias("source")).groupBy("source").agg(F.array_sort(F.collect_set("file")).alias("files"))
-
-
-def archives(members: DataFrame) -> DataFrame:
-    """bundle, archive: a ZIP with the same bytes in every run of each bundle's members (bundle, name, content binary).
-
-    Members are sorted by name and dated 1980. Without ZIP64 a bundle has below 65,535 members and 2 GB (else it raises), so it fits a task.
-    """
-    sizes = members.groupBy("bundle").agg(F.count("*").alias("_n"), F.sum(F.length("content").cast("long")).alias("_bytes"))
-    checked = members.join(sizes, "bundle").withColumn("content", F.expr("if(_n < 65535 and _bytes < 2000000000, content, cast(raise_error('bundle too large') as binary))"))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in part.sort_values("name")[["name", "content"]].itertuples(index=False):
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"bundle": [part["bundle"].iloc[0]], "archive": [out.getvalue()]})
-
-    return checked.select("bundle", "name", "content").groupBy("bundle").applyInPandas(pack, "bundle string, archive binary")
-
-
-def archive_members(archives: DataFrame) -> DataFrame:
-    """bundle, name, bytes, sha256, crc_ok of the members that the archives hold when read back."""
-
-    def unpack(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for bundle, archive in zip(part["bundle"], part["archive"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(archive)) as z:
-                    for info in z.infolist():
-                        content = z.read(info)
-                        found.append((bundle, info.filename, len(content), hashlib.sha256(content).hexdigest(), zlib.crc32(content) == info.CRC))
-            yield pd.DataFrame(found, columns=["bundle", "name", "bytes", "sha256", "crc_ok"])
-
-    return archives.select("bundle", "archive").mapInPandas(unpack, "bundle string, name string, bytes long, sha256 string, crc_ok boolean")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, geo, measures
 from ledgerline.operators import flows, linkage, provenance, quality, relational, spatial
-from ledgerline.plans import documents, exports
+from ledgerline.plans import documents, exports, lineage, texts, writing
 from ledgerline.queries import FLOWS_SQL, PIP, POINTS_SQL, POLYGONS_SQL, _edges, _placed_orders, _points, query
-from ledgerline.sources import blocks, layout
+from ledgerline.sources import blocks, documents_of, layout, zips
 from ledgerline.sources.tables import table
 
 # Tables of regions by metric family.
@@ -371,17 +373,99 @@ def residual_splits(spark, d):
     return relational.residual_splits(rows, "p_name", "p_brand", rows.filter("p_size > 25"))
 
 
-@query("""select n_name || '.txt' as name, 'declared' as absent_from from nation where n_nationkey = 3 union all select 'README.txt', 'found'""")
+# Documents of unknown shape, and rules that are checked while a table is written.
+
+
+def _documents(spark, d):
+    """Event properties as documents: some broken, some lists, some with another type of value."""
+    broken = F.when(F.col("event_id") % 50 == 0, F.lit('{"k": ')).when(F.col("event_id") % 41 == 0, F.concat(F.lit("["), "props", F.lit("]"))).when(F.col("event_id") % 17 == 0, F.regexp_replace("props", "([0-9]+)", '"x$1"'))
+    return table(spark, d, "events").select("event_id", "event_type", F.coalesce(broken, F.col("props")).alias("props"))
+
+
+@query("""with e as (select event_type, event_id % 50 = 0 as broken, event_id % 50 != 0 and event_id % 41 = 0 as listed, event_id % 50 != 0 and event_id % 41 != 0 and event_id % 17 = 0 as worded, json_extract_string(props, '$.k')::bigint as k from events)
+select event_type, count(*) as n, count(case when broken then 1 end) as unreadable, count(case when worded then 1 end) as mistyped, count(case when listed then 1 end) as absent, sum(case when not broken and not listed and not worded then k end)::bigint as total from e group by 1""")
+def variant_fields(spark, d):
+    """A field of documents without a schema: its sum where it is a number, and how often it is absent, of another type, or the document can't be read."""
+    rows = documents_of.with_fields(documents_of.parsed(_documents(spark, d), "props"), {"k": ("$.k", "long")})
+    said = F.col("problems")["k"]
+    return rows.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if("unreadable").alias("unreadable"), F.count_if(said == "mistyped").alias("mistyped"), F.count_if(said == "absent").alias("absent"), F.sum("k").alias("total")
+    )
+
+
+@query("""select '$' as path, 'array' as kind, count(*) as n from events where event_id % 50 != 0 and event_id % 41 = 0 union all select '$', 'object', count(*) from events where event_id % 50 != 0 and event_id % 41 != 0
+union all select '$[*]', 'object', count(*) from events where event_id % 50 != 0 and event_id % 41 = 0 union all select '$[*].k', 'bigint', count(*) from events where event_id % 50 != 0 and event_id % 41 = 0
+union all select '$.k', 'string', count(*) from events where event_id % 50 != 0 and event_id % 41 != 0 and event_id % 17 = 0 union all select '$.k', 'bigint', count(*) from events where event_id % 50 != 0 and event_id % 41 != 0 and event_id % 17 != 0""")
+def variant_shapes(spark, d):
+    """The paths that documents without a schema have, the kinds of value there, and how many."""
+    return documents_of.shapes(documents_of.parsed(_documents(spark, d), "props"), 3).filter("n > 0")
+
+
+@query("""select 'quantity' as "check", count(case when not coalesce(l_quantity between 1 and 40, false) then 1 end) as violations, count(case when not coalesce(l_quantity between 1 and 40, false) then 1 end) = 0 as passed, false as fatal from lineitem
+union all select 'flag', 0, true, true union all select 'orders', count(*), count(*) = 0, true from lineitem where l_orderkey not in (select o_orderkey from orders)
+union all select 'unique', count(*), count(*) = 0, false from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'discount', count(case when l_discount > 0.05 then 1 end), count(case when l_discount > 0.05 then 1 end) = 0, false from lineitem""")
+def checked_write(spark, d):
+    """Line items written with their rules checked on the way: three that are only told of, two that would undo the write."""
+    checks = [
+        quality.Check("quantity", quality.outside("l_quantity", 1, 40), fatal=False), quality.Check("flag", quality.off_domain("l_returnflag", ["A", "N", "R"])),
+        quality.Check("discount", quality.RowRule(F.col("l_discount") > 0.05), fatal=False), quality.Check("unique", quality.duplicates(["l_orderkey", "l_linenumber"]), fatal=False),
+        quality.Check("orders", quality.orphans(table(spark, d, "orders"), "l_orderkey", "o_orderkey")),
+    ]
+    return writing.write_checked(table(spark, d, "lineitem"), f"{lineage.shared_dir(spark)}/lineitem-{uuid.uuid4().hex}", checks)
+
+
+# Archives and texts that are written in the shared folder and read back.
+
+
+def _shared_file(spark, name: str) -> str:
+    return f"{texts.mounted(lineage.shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
+
+
+def _customer_archive(spark, d) -> str:
+    """A ZIP with a file of customers for each segment."""
+    path = _shared_file(spark, "customers") + ".zip"
+    rows = table(spark, d, "customer").withColumn("file", F.concat("c_mktsegment", F.lit(".csv")))
+    texts.write_archive(rows, path, "file", ["c_custkey"], texts.lines_of(rows, ["c_custkey", "c_name", "c_nationkey"], exports.csv_field))
+    return path
+
+
+ARCHIVE_SQL = "files as (select c_mktsegment || '.csv' as name, string_agg(c_custkey || ',' || c_name || ',' || c_nationkey || chr(13) || chr(10), '' order by c_custkey) as text from customer group by 1)"
+
+
+@query(f"with {ARCHIVE_SQL} select name, octet_length(encode(text))::bigint as bytes, sha256(text) as sha256 from files")
+def archive_manifest(spark, d):
+    """The members of an archive as they are read back."""
+    return zips.members(spark, _customer_archive(spark, d)).select(F.col("member").alias("name"), "bytes", "sha256")
+
+
+@query("""select distinct case when c_mktsegment = 'BUILDING' then 'BUILDING.csv' else 'README.txt' end as name, case when c_mktsegment = 'BUILDING' then 'declared' else 'found' end as absent_from from customer""")
 def manifest_gaps(spark, d):
-    """The members that archives hold against a declared list with one name too many and one too few."""
-    nation = table(spark, d, "nation")
-    name = F.concat("n_name", F.lit(".txt")).alias("name")
-    members = nation.select(F.col("n_regionkey").cast("string").alias("bundle"), name, F.encode("n_name", "UTF-8").alias("content"))
-    declared = nation.select(F.when(F.col("n_nationkey") == 3, "README.txt").otherwise(name).alias("name"))
-    found = exports.archive_members(exports.archives(members))
+    """The members that an archive holds against a declared list with one name too many and one too few."""
+    name = F.concat("c_mktsegment", F.lit(".csv"))
+    declared = table(spark, d, "customer").select(F.when(F.col("c_mktsegment") == "BUILDING", "README.txt").otherwise(name).alias("name")).distinct()
+    found = zips.members(spark, _customer_archive(spark, d)).select(F.col("member").alias("name"))
     return quality.set_differences({"declared": declared, "found": found}, "name").select("name", F.array_join("absent_from", ",").alias("absent_from"))
 
 
+@query("""select p_partkey::varchar as key, p_name as name, row_number() over (partition by p_brand order by p_partkey desc) as "row", p_brand || '.csv' as member from part""")
+def zipped_tables(spark, d):
+    """The rows of an archive with a table for each brand, read back a task for each member; a member's rows are numbered in its own order."""
+    path = _shared_file(spark, "brands") + ".zip"
+    rows = table(spark, d, "part").withColumn("file", F.concat("p_brand", F.lit(".csv"))).select("file", F.lit(1).alias("at"), "p_partkey", F.concat_ws(",", "p_partkey", exports.csv_field(F.col("p_name"))).alias("text"))
+    headed = rows.union(rows.select("file").distinct().select("file", F.lit(0), F.lit(0).cast("long"), F.lit("key,name")))
+    texts.write_archive(headed.withColumn("back", -F.col("p_partkey")), path, "file", ["at", "back"], F.col("text"))
+    return zips.zipped_csv(spark, path, ["key", "name"], several=True).select("key", "name", "row", "member")
+
+
+@query("""select '# source: orders' as line, count(*)::bigint as rows from orders union all select 'key,status,price', count(*) from orders union all select o_orderkey || ',' || o_orderstatus || ',' || floor(o_totalprice)::bigint, (select count(*) from orders) from orders""")
+def csv_text(spark, d):
+    """One file of all orders, with what was counted while it was written."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.floor("o_totalprice").alias("price"))
+    path = _shared_file(spark, "orders") + ".csv"
+    counts = exports.write_csv_text(rows, path, rows.columns, {"source": "orders"}, ["key"])
+    return spark.read.option("lineSep", "\r\n").text(f"file://{path}").select(F.ltrim(F.col("value"), F.lit("\ufeff")).alias("line"), F.lit(counts["rows"]).cast("long").alias("rows"))
+
+
 # Whole texts, orders, registers and sheets.
 
 
@@ -389,7 +473,7 @@ def manifest_gaps(spark, d):
 union all select 1, null, area_code || ',' || area_name || ',' || customers from ({CUSTOMERS})""")
 def csv_document(spark, d):
     rows = _customers(spark, d)
-    return exports.csv_document(rows, rows.columns, {"source": "survey\nof 1996"})
+    return exports.csv_document(rows, rows.columns, {"source": "survey\nof 1996"}, ["area_code"]).select("part", "at", "line")
 
 
 @query("""select p_partkey from part where len(string_split(p_name, ' ')) is distinct from 2""")

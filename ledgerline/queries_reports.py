@@ -394,13 +394,6 @@ def json_export_lines(spark, d):
     return exports.json_lines(table(spark, d, "nation").select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey")).alias("n_regionkey")), "n_nationkey")
 
 
-@query("""select n_regionkey::varchar as bundle, n_nationkey::varchar || '.csv' as name, length(n_name)::bigint as bytes, sha256(n_name) as sha256, true as crc_ok from nation""")
-def archive_manifest(spark, d):
-    """A ZIP per region with a file per nation, read back member by member."""
-    members = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("bundle"), F.concat(F.col("n_nationkey").cast("string"), F.lit(".csv")).alias("name"), F.encode("n_name", "UTF-8").alias("content"))
-    return exports.archive_members(exports.archives(members))
-
-
 @query("""with f as (select 'part' || p_size::varchar as file, p_brand as source from part where p_size > 5 union select 'part' || p_size::varchar, 'derived::part' || p_size::varchar from part where p_size <= 5)
 select source, string_agg(file, ',' order by file) as files from f group by 1""")
 def exports_by_source(spark, d):

@@ -1,94 +1,10 @@
-"""Zipped tables and feature files, read as streams inside tasks: one file per row, its members row by row."""
+"""Plain feature files, and the digests of files."""
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-import zipfile
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = 5_000
-CHUNK = 1 << 16
-
-
-def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """file, row and `columns` (strings, empty cells NULL) of archives that hold one CSV each, with or without a byte-order mark.
-
-    An archive with several members, or without one of the columns, raises.
-    """
-
-    def work(files: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in files:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    (member,) = z.namelist()
-                    with z.open(member) as raw:
-                        rows = csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
-                        batch = []
-                        for n, row in enumerate(rows, 1):
-                            batch.append([name, n, *[row[c] or None for c in columns]])
-                            if len(batch) == BATCH:
-                                yield pd.DataFrame(batch, columns=["file", "row", *columns])
-                                batch = []
-                        yield pd.DataFrame(batch, columns=["file", "row", *columns])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(work, ", ".join(["file string", "row long", *[f"`{c}` string" for c in columns]]))
-
-
-def array_items(text: io.TextIOBase, key: str) -> Iterator[object]:
-    """The items of the array under `key`, read a chunk at a time, whatever the layout of the file."""
-    decoder, held = json.JSONDecoder(), ""
-    while (at := held.find(f'"{key}"')) < 0 or (start := held.find("[", at)) < 0:
-        more = text.read(CHUNK)
-        if not more:
-            return
-        held += more
-    held = held[start + 1 :]
-    while True:
-        held = held.lstrip(" \t\r\n,")
-        if held.startswith("]"):
-            return
-        try:
-            item, end = decoder.raw_decode(held)
-            if end == len(held):
-                raise ValueError  # a number may go on
-        except ValueError:
-            more = text.read(CHUNK)
-            if not more:
-                raise
-            held += more
-            continue
-        yield item
-        held = held[end:]
-
-
-def zipped_features(spark: SparkSession, path: str, suffix: str = "json") -> DataFrame:
-    """file, member, properties and geometry (JSON) of the features in the archives' members of that suffix."""
-
-    def work(files: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "member", "properties", "geometry"]
-        for part in files:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in filter(lambda m: m.endswith(suffix), z.namelist()):
-                        batch = []
-                        with z.open(member) as raw:
-                            for item in array_items(io.TextIOWrapper(raw, "utf-8-sig"), "features"):
-                                batch.append([name, member, *[json.dumps(item.get(k), ensure_ascii=False) for k in names[2:]]])
-                                if len(batch) == BATCH:
-                                    yield pd.DataFrame(batch, columns=names)
-                                    batch = []
-                        yield pd.DataFrame(batch, columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(work, "file string, member string, properties string, geometry string")
-
 
 def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """The `properties` (DDL) of a plain feature collection's features; geometry isn't read. A broken file raises."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import codes, measures, names, places
 from ledgerline.operators import flows, linkage, quality, quantiles, relational
 from ledgerline.plans import exports
-from ledgerline.sources import archives, blocks
+from ledgerline.sources import archives, blocks, zips
 from test_operators import column
 
 
@@ -97,23 +97,16 @@ def test_labels(spark):
     assert column(spark, [0, 1, 6, 7], "int", lambda v: measures.ramp_places(v, 7)) == [[], [0], [0, 1, 2, 4, 5, 6], list(range(7))]
 
 
-def test_archives(spark, tmp_path):
-    members = spark.createDataFrame([("z", "b.csv", bytearray(b"x" * 1000)), ("z", "a.csv", bytearray(b""))], "bundle string, name string, content binary")
-    first, second = (exports.archives(members.orderBy(F.col("name").desc() if i else "name")).first()["archive"] for i in range(2))
-    assert first == second and zipfile.ZipFile(io.BytesIO(bytes(first))).namelist() == ["a.csv", "b.csv"]
-    assert [(r["name"], r["bytes"], r["crc_ok"]) for r in exports.archive_members(exports.archives(members)).orderBy("name").collect()] == [("a.csv", 0, True), ("b.csv", 1000, True)]
-
-
 def test_zipped_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
         z.writestr("t.csv", "﻿code,name\r\n01,\"a\nb\"\r\n02,\r\n".encode())
-    assert [tuple(r)[1:] for r in archives.zipped_csv(spark, f"{tmp_path}/t.zip", ["name", "code"]).orderBy("row").collect()] == [(1, "a\nb", "01"), (2, None, "02")]
+    assert [tuple(r)[2:] for r in zips.zipped_csv(spark, f"{tmp_path}/t.zip", ["name", "code"]).orderBy("row").collect()] == [(1, "a\nb", "01"), (2, None, "02")]
     features = [{"type": "Feature", "properties": {"k": i, "t": "}]," * i}, "geometry": {"type": "Point", "coordinates": [i, 0.5]}} for i in range(7_000)]
     with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
         z.writestr("a.geojson", json.dumps({"type": "FeatureCollection", "features": features[:20]}, indent=2))
         z.writestr("b.geojson", json.dumps({"features": [dict(f, properties={"k": f["properties"]["k"]}) for f in features], "name": "x"}))
         z.writestr("c.txt", "no")
-    rows = archives.zipped_features(spark, f"{tmp_path}/f.zip")
+    rows = zips.zipped_features(spark, f"{tmp_path}/f.zip")
     assert {r["member"]: r["count"] for r in rows.groupBy("member").count().collect()} == {"a.geojson": 20, "b.geojson": 7_000}
     assert rows.select(F.sum(F.get_json_object("properties", "$.k").cast("int"))).first()[0] == sum(range(20)) + sum(range(7_000))
     (tmp_path / "p.geojson").write_text(json.dumps({"features": features[:3]}))
@@ -125,7 +118,8 @@ def test_zipped_sources(spark, tmp_path):
 def test_written_exports(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
     exports.write_with_meta(rows, f"{tmp_path}/t", ["k"], {"title": "é"})
-    assert json.loads(spark.read.text(f"{tmp_path}/t.meta.json").first()[0]) == {"title": "é", "fields": ["k", "v"], "rows": 2}
+    assert json.loads((tmp_path / "t.meta.json").read_text()) == {"title": "é", "fields": ["k", "v"], "rows": 2, "bytes": 14}
+    assert (tmp_path / "t").read_bytes() == b"k,v\r\na,1\r\nb,\r\n"
     exports.write_shards(rows, f"{tmp_path}/s", "k")
     assert spark.read.schema("k string, v int").json(f"{tmp_path}/s").filter("k = 'a'").first()["v"] == 1
 
@@ -141,4 +135,4 @@ def test_rules(spark):
 
 @pytest.mark.parametrize("text, want", [('{"features": []}', []), ('{"a": 1, "features" : [ {"x": [1, 2]},\n{"y": "]"} ]}', [{"x": [1, 2]}, {"y": "]"}]), ('{"a": 1}', [])])
 def test_array_items(text, want):
-    assert list(archives.array_items(io.StringIO(text), "features")) == want
+    assert list(zips.array_items(io.StringIO(text), "features")) == want
