@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import names, places
 from ledgerline.functions.measures import half_up
 from ledgerline.functions.text import similarity
+from ledgerline.plans import lineage
 
 
 def exact(left: DataFrame, right: DataFrame, block: str, name: str) -> DataFrame:
@@ -37,29 +38,35 @@ def _suffix_pairs(left: DataFrame, right: DataFrame, shortest: int) -> DataFrame
     return at_end.select("block", "name", "other").union(whole.select("block", "name", "other"))
 
 
+def _tokens(name: str) -> Column:
+    """The letters of a name, each with how often it has stood so far, so that sets of them have repetitions."""
+    letters = f"filter(split({name}, ''), x -> x != '')"
+    return F.expr(f"transform({letters}, (x, i) -> concat(x, string(size(filter(slice({letters}, 1, i + 1), y -> y = x)))))")
+
+
 def _like_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """block, name, other of all names whose similarity() may reach `threshold`; left: block, name; right: block, other.
+    """block, name, other, bound of all names whose similarity() may reach `threshold`; left: block, name; right: block, other.
 
-    The ratio is at most twice the letters in common over all letters. Names that reach the threshold by that have a letter in common
-    among the rarest of each (the prefix of a set-similarity join over letters with their repetitions), by which they are joined.
+    The ratio is at most twice the letters in common over all letters: that is `bound`. Names that reach the threshold by it have a letter in common
+    among the rarest of each (the prefix of a set-similarity join over letters with their repetitions), by which they are joined; then their letters in
+    common are counted, and the pairs below the threshold go before anything is shuffled again.
     """
     share = threshold / (2 - threshold)  # of a name's letters that must be common, whatever the other's length
-
-    def letters(rows: DataFrame, c: str) -> DataFrame:
-        each = rows.select("block", c, F.posexplode(F.split(c, "")).alias("_at", "_x")).filter("_x != ''")
-        again = F.row_number().over(Window.partitionBy("block", c, "_x").orderBy("_at"))
-        return each.select("block", c, F.concat("_x", again.cast("string")).alias("letter"), F.length(c).alias(f"n_{c}"))
-
+    letters = lambda rows, c: rows.select("block", c, F.length(c).alias(f"n_{c}"), _tokens(c).alias(f"x_{c}"))
     a, b = letters(left, "name"), letters(right, "other")
-    common = a.select("block", "letter").union(b.select("block", "letter")).groupBy("block", "letter").agg(F.count("*").alias("_f"))
+    each = lambda rows, c: rows.select("block", c, f"n_{c}", f"x_{c}", F.explode(f"x_{c}").alias("letter"))
+    common = each(a, "name").select("block", "letter").union(each(b, "other").select("block", "letter")).groupBy("block", "letter").agg(F.count("*").alias("_f"))
 
     def prefix(rows: DataFrame, c: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("block", c).orderBy("_f", "letter"))
-        return rows.join(common, ["block", "letter"]).withColumn("_r", rank).filter(F.col("_r") <= F.col(f"n_{c}") - F.ceil(F.col(f"n_{c}") * share - 1e-9) + 1).select("block", c, "letter", f"n_{c}")
+        kept = F.col("_r") <= F.col(f"n_{c}") - F.ceil(F.col(f"n_{c}") * share - 1e-9) + 1
+        return each(rows, c).join(common, ["block", "letter"]).withColumn("_r", rank).filter(kept).select("block", c, "letter", f"n_{c}", f"x_{c}")
 
-    met = prefix(a, "name").join(prefix(b, "other"), ["block", "letter"]).filter(2 * F.least("n_name", "n_other") >= threshold * (F.col("n_name") + F.col("n_other")) - 1e-9)
-    equal = left.join(right.withColumn("name", F.col("other")), ["block", "name"]).select("block", "name", "other")  # names without letters among them
-    return met.select("block", "name", "other").union(equal).distinct()
+    both = F.col("n_name") + F.col("n_other")
+    met = prefix(a, "name").join(prefix(b, "other"), ["block", "letter"]).filter(2 * F.least("n_name", "n_other") >= threshold * both - 1e-9)
+    met = met.withColumn("bound", 2 * F.size(F.array_intersect("x_name", "x_other")) / both).filter(F.col("bound") >= threshold - 1e-9)
+    equal = left.join(right.withColumn("name", F.col("other")), ["block", "name"]).select("block", "name", "other", F.lit(1.0).alias("bound"))  # names without letters among them
+    return met.select("block", "name", "other", "bound").union(equal).distinct()
 
 
 def suffix(left: DataFrame, right: DataFrame, block: str, name: str, shortest: int = 5) -> DataFrame:
@@ -92,11 +99,23 @@ def _by_name(right: DataFrame, rows: DataFrame) -> DataFrame:
     return free.groupBy("right_area", "right_name").agg(F.count("*").alias("points"), F.min("right_id").alias("right_id"), F.min("address").alias("address"))
 
 
+#: Candidates of a name that are scored first.
+FIRST = 3
+
+
 def _best(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """block, name, b (_score and the negative right_id of the most similar name) of the names with one that reaches the threshold."""
+    """block, name, b (_score and the negative right_id of the most similar name) of the names with one that reaches the threshold.
+
+    The candidates of the highest bounds are scored first; of the others, only those whose bound is not below the best score of their name, as no other can win.
+    """
     other = right.groupBy("block", "other").agg(F.min("right_id").alias("right_id"))
-    pairs = _like_pairs(left.select("block", "name").distinct(), other.select("block", "other"), threshold)
-    scored = pairs.withColumn("_score", similarity(F.col("name"), F.col("other"))).filter(F.col("_score") >= threshold).join(other, ["block", "other"])
+    rank = F.row_number().over(Window.partitionBy("block", "name").orderBy(F.desc("bound"), "other"))
+    pairs = lineage.cut(_like_pairs(left.select("block", "name").distinct(), other.select("block", "other"), threshold).withColumn("_r", rank), "pairs")
+    score = lambda rows: rows.withColumn("_score", similarity(F.col("name"), F.col("other"))).select("block", "name", "other", "_score")
+    early = lineage.cut(score(pairs.filter(F.col("_r") <= FIRST)), "scores")
+    least = early.groupBy("block", "name").agg(F.max("_score").alias("_least"))
+    late = pairs.filter(F.col("_r") > FIRST).join(least, ["block", "name"]).filter(F.col("bound") >= F.greatest(F.col("_least"), F.lit(threshold)) - 1e-9)
+    scored = early.union(score(late)).filter(F.col("_score") >= threshold).join(other, ["block", "other"])
     return scored.groupBy("block", "name").agg(F.max(F.struct("_score", (-F.col("right_id")).alias("r"))).alias("b"))
 
 

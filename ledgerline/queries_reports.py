@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes, geo, measures, names, places
-from ledgerline.operators import flows, linkage, quality, quantiles, relational, sums
+from ledgerline.operators import entities, flows, linkage, quality, quantiles, relational, sums
 from ledgerline.plans import exports, lineage
 from ledgerline.queries import FLOWS_SQL, POINTS_SQL, _edges, _placed_orders, _points, query
 from ledgerline.sources import blocks
@@ -194,6 +196,19 @@ def four_tables_by_key(spark, d):
     return joined.withColumn("missing", F.nullif(F.array_join("missing", ","), F.lit("")))
 
 
+@query("""with f as (select distinct o_custkey as k from orders), r as (select c_custkey as k, s_suppkey is null as no_s, f.k is null as no_f, c_nationkey as cn, s_nationkey as sn, f.k % 25 as fn from customer left join supplier on s_suppkey = c_custkey left join f on f.k = c_custkey),
+t as (select k, unnest([case when no_s then 'missing in supplier' end, case when no_f then 'missing in orders' end, case when (not no_s and cn != sn) or (not no_f and cn != fn) or (not no_s and not no_f and sn != fn) then 'different nation' end]) as problem from r)
+select k as key, problem from t where problem is not null union all select s_suppkey, 'only in supplier' from supplier where s_suppkey not in (select c_custkey from customer) union all select k, 'only in orders' from f where k not in (select c_custkey from customer)""")
+def entity_tables(spark, d):
+    """Three tables by one key, bucketed by it and met without a shuffle: who lacks a key, and where a shared measure differs."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("nation"), "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").cast("long").alias("nation"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("orders"), F.max("o_totalprice").alias("top")).withColumn("nation", F.col("key") % 25)
+    run = uuid.uuid4().hex
+    tables = {name: entities.bucketed(rows, f"entity_{run}_{name}", "key", 8) for name, rows in (("customer", c), ("supplier", s), ("orders", o))}
+    return entities.disagreements(tables, "key", ["nation"])
+
+
 @query("""select c_nationkey, c_mktsegment, (c_nationkey, c_mktsegment) in (select (c_nationkey, c_mktsegment) from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' and o_totalprice > 300000) as confirmed from (select distinct c_nationkey, c_mktsegment from customer)""")
 def corroborated_claims(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 300000")
