@@ -10,7 +10,7 @@ from ledgerline.functions import codes, geo, measures
 from ledgerline.operators import flows, linkage, provenance, quality, relational, spatial
 from ledgerline.plans import documents, exports, lineage, texts, writing
 from ledgerline.queries import FLOWS_SQL, PIP, POINTS_SQL, POLYGONS_SQL, _edges, _placed_orders, _points, query
-from ledgerline.sources import blocks, documents_of, layout, zips
+from ledgerline.sources import blocks, documents_of, layout, sheets, zips
 from ledgerline.sources.tables import table
 
 # Tables of regions by metric family.
@@ -506,6 +506,32 @@ def register_adoption(spark, d):
     return rows.select("p_partkey", pick.alias("_p")).select("p_partkey", F.col("_p.value").alias("lat"), "_p.source")
 
 
+@query("""with o as (select n_nationkey as unit, n_name, count(*) as n, count(case when o_orderpriority[1] = '1' then 1 end) as a, count(case when o_orderpriority[1] = '2' then 1 end) as b, count(case when o_orderpriority[1] > '2' then 1 end) as c,
+  max(floor(o_totalprice))::bigint as top, min(floor(o_totalprice))::bigint as low from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
+names as (select 'names' as relation, unit, unnest(['number', 'name']) as key, unnest([(case unit when 7 then 70 else unit + 1 end)::varchar, n_name]) as value, null as problem from o where unit != 4),
+counts as (select 'counts', unit, unnest(['total', 'urgent', 'high', 'other']) as key, unnest([case unit when 11 then n + 1 else n end, a, b, c])::varchar, null from o where unit != 4),
+prices as (select 'prices', unit, unnest(['top', 'low']), unnest([top, low])::varchar, null from o where unit != 4),
+told as (select 'names', 7, 'number', '70', 'is not the next number' union all select 'names', 4, 'number', null, 'is not the next number' union all select 'counts', 11, 'total', (n + 1)::varchar, 'is not the sum of its parts' from o where unit = 11)
+select 'orders' as sheet, relation, unit::int as unit, key, value, problem from (select * from names union all select * from counts union all select * from prices union all select * from told)""")
+def sheet_parse(spark, d):
+    """A sheet of blocks that hold three relations, taken apart in one pass: one block is missing, one has a wrong number, one a wrong total."""
+    level, price = F.substring("o_orderpriority", 1, 1), F.floor("o_totalprice").cast("long")
+    rows = _placed_orders(spark, d).groupBy(F.col("n_nationkey").alias("unit"), "n_name").agg(
+        F.count("*").alias("n"), F.count_if(level == "1").alias("a"), F.count_if(level == "2").alias("b"), F.count_if(level > "2").alias("c"), F.max(price).alias("top"), F.min(price).alias("low")
+    )
+    cell = lambda place, col, value: F.struct(F.lit("orders").alias("sheet"), (F.col("unit") * 3 + 5 + place).cast("int").alias("row"), F.lit(col).alias("col"), value.cast("string").alias("value"))
+    number, total = F.when(F.col("unit") == 7, 70).otherwise(F.col("unit") + 1), F.when(F.col("unit") == 11, F.col("n") + 1).otherwise(F.col("n"))
+    made = [cell(0, 0, number), cell(0, 1, F.col("n_name")), cell(0, 9, F.lit("derived")), cell(1, 1, total), *[cell(1, 2 + i, F.col(c)) for i, c in enumerate("abc")], cell(2, 2, F.col("top")), cell(2, 3, F.col("low"))]
+    cells = rows.filter("unit != 4").select(F.inline(F.array(*made)))
+    block = {"first_row": 5, "size": 3, "count": 25}
+    relations = [
+        sheets.Relation("names", fields={"number": (0, 0), "name": (0, 1)}, number="number", **block),
+        sheets.Relation("counts", fields={"total": (1, 1), "urgent": (1, 2), "high": (1, 3), "other": (1, 4)}, totals={"total": ["urgent", "high", "other"]}, **block),
+        sheets.Relation("prices", fields={"top": (2, 2), "low": (2, 3)}, **block),
+    ]
+    return sheets.parse(cells, relations)
+
+
 @query(f"""with {POINTS_SQL} select o_orderkey, case when o_orderstatus = 'F' then p_partkey end as known, case when o_orderstatus = 'F' then lat end as lat
 from orders left join points on p_partkey = o_custkey""")
 def located_records(spark, d):
