@@ -96,3 +96,37 @@ def nesting_errors(rows: DataFrame, child: str, parent: str, fits: Column) -> Da
     pairs = rows.filter(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(child, parent).distinct()
     found = pairs.groupBy(child).agg(F.count("*").alias("parents"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("unfit"))
     return found.filter("parents > 1 or unfit > 0")
+
+
+def vintage_measures(rows: DataFrame, keys: list[str], picks: dict[str, tuple[str, str, int]], equal: dict[str, list[tuple[str, str, int]]]) -> DataFrame:
+    """keys, a column for each of `picks` (vintage, measure, year) and of `equal`: figures of several vintages side by side, from one shuffle.
+
+    rows: keys, vintage, measure, year, value. The figures that a column of `equal` names must be one and the same (NULL is a figure of its own), or the row raises
+    when it is read: no side is taken in silence.
+    """
+    at = lambda p: F.max(F.when((F.col("vintage") == p[0]) & (F.col("measure") == p[1]) & (F.col("year") == p[2]), F.col("value")))
+    own = {name: at(p) for name, p in picks.items()} | {f"_{name}_{i}": at(p) for name, several in equal.items() for i, p in enumerate(several)}
+    wide = rows.groupBy(*keys).agg(*[c.alias(name) for name, c in own.items()])
+    for name, several in equal.items():
+        same = F.lit(True)
+        for i in range(1, len(several)):
+            same = same & F.col(f"_{name}_0").eqNullSafe(F.col(f"_{name}_{i}"))
+        where = F.concat_ws(", ", *[F.concat(F.lit(f"{k} "), F.col(k).cast("string")) for k in keys])
+        wrong = F.raise_error(F.concat(F.lit(f"{name} differs between vintages: "), where)).cast(rows.schema["value"].dataType)
+        wide = wide.withColumn(name, F.when(same, F.col(f"_{name}_0")).otherwise(wrong))
+    return wide.select(*keys, *picks, *equal)
+
+
+def crosswalk_drift(status: DataFrame, key: str, crosswalk: DataFrame, names: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """side, code, problem: where a crosswalk (old, new) doesn't cover what a join left over: status is of join_status(), whose left side has the new codes.
+
+    Codes left over on either side must be those of the crosswalk's columns and no others: `uncovered` ones have no entry, `stale` ones are no longer left over.
+    """
+    found = None
+    for side, column in ((names[0], "new"), (names[1], "old")):
+        left = status.filter(F.col("status") == f"{side}_only").select(F.col(key).cast("string").alias("code"))
+        mapped = crosswalk.select(F.col(column).cast("string").alias("code")).filter("code is not null").distinct()
+        one = left.join(mapped, "code", "left_anti").withColumn("problem", F.lit("uncovered")).union(mapped.join(left, "code", "left_anti").withColumn("problem", F.lit("stale")))
+        one = one.select(F.lit(side).alias("side"), "code", "problem")
+        found = one if found is None else found.union(one)
+    return found

@@ -209,6 +209,32 @@ def entity_tables(spark, d):
     return entities.disagreements(tables, "key", ["nation"])
 
 
+@query("""with o as (select c_nationkey as area, o_orderpriority as kind, o_orderstatus as s, year(o_orderdate) as y, count(*) as n from orders join customer on o_custkey = c_custkey group by all)
+select area, kind, max(case when s = 'F' and y = 1995 then n end) as old_1995, max(case when s = 'O' and y = 1995 then n end) as new_1995, max(case when s = 'F' and y = 1996 then n end) as old_1996, max(case when s = 'O' and y = 1996 then n end) as new_1996, any_value(area * 10)::bigint as need
+from o where area is not null group by 1, 2""")
+def vintage_measures(spark, d):
+    """Five figures of two vintages side by side, of which the need must be the same in both."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    each = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_nationkey").alias("area"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("vintage"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("value"))
+    counts = each.withColumn("measure", F.lit("count"))
+    cells = each.select("area", "kind").distinct().withColumn("vintage", F.explode(F.array(F.lit("F"), F.lit("O"))))
+    need = cells.select("area", "kind", "vintage", F.lit(1995).alias("year"), (F.col("area") * 10).cast("long").alias("value"), F.lit("need").alias("measure"))
+    picks = {f"{name}_{y}": (s, "count", y) for y in (1995, 1996) for name, s in (("old", "F"), ("new", "O"))}
+    return relational.vintage_measures(counts.unionByName(need), ["area", "kind"], picks, {"need": [("F", "need", 1995), ("O", "need", 1995)]})
+
+
+@query("""with c as (select distinct c_custkey as k from customer), s as (select distinct s_suppkey * 3 as k from supplier), new as (select k from c where k not in (select k from s)), old as (select k from s where k not in (select k from c)),
+m as (select k + (case when k % 7 = 0 then 1000000 else 0 end) as new, null::bigint as old from new union all select null, k from old where k % 5 != 0)
+select 'left' as side, k::varchar as code, 'uncovered' as problem from new where k % 7 = 0 union all select 'left', new::varchar, 'stale' from m where new > 1000000 union all select 'right', k::varchar, 'uncovered' from old where k % 5 = 0""")
+def crosswalk_drift(spark, d):
+    """A crosswalk of codes that a join leaves over, in which some entries are out of date and some are missing."""
+    c, s = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("k"))
+    status = relational.join_status(c, s, ["k"])
+    new = status.filter("status = 'left_only'").select(F.when(F.col("k") % 7 == 0, F.col("k") + 1_000_000).otherwise(F.col("k")).alias("new"), F.lit(None).cast("long").alias("old"))
+    old = status.filter("status = 'right_only' and k % 5 != 0").select(F.lit(None).cast("long").alias("new"), F.col("k").alias("old"))
+    return relational.crosswalk_drift(status, "k", new.union(old))
+
+
 @query("""select c_nationkey, c_mktsegment, (c_nationkey, c_mktsegment) in (select (c_nationkey, c_mktsegment) from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' and o_totalprice > 300000) as confirmed from (select distinct c_nationkey, c_mktsegment from customer)""")
 def corroborated_claims(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 300000")

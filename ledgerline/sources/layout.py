@@ -9,8 +9,8 @@ from ledgerline.sources.blocks import column_map
 
 
 def header(cells: DataFrame, first: int, last: int) -> DataFrame:
-    """sheet, col, label: the header rows' labels of a column, merged cells filled from the left, joined by a slash."""
-    rows = cells.filter(F.col("row").between(first, last))
+    """sheet, col, label: the header rows' labels of a column, without the line breaks in them, merged cells filled from the left, joined by a slash."""
+    rows = cells.filter(F.col("row").between(first, last)).withColumn("value", F.regexp_replace("value", "[\r\n]", ""))
     left = Window.partitionBy("sheet", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("value", F.last(F.when(F.trim("value") != "", F.trim("value")), ignorenulls=True).over(left)).filter("value is not null")
     parts = F.array_sort(F.collect_list(F.struct("row", "value")))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import codes
-from ledgerline.operators import cover, quality, spatial
-from ledgerline.sources import blocks
+from ledgerline.operators import cover, quality, relational, spatial
+from ledgerline.sources import blocks, layout
 
 
 def test_numbers_have_no_letters(spark):
@@ -102,3 +102,24 @@ def test_covers_have_cells_of_several_sizes():
     assert len({c[0] for c in whole}) > 1 and all(c[4] == [0] for c in whole)
     area = sum((cover.ROOT / 2.0 ** c[0]) ** 2 for c in whole)
     assert 0.6 * 7.8**2 < area <= 7.8**2
+
+
+def test_vintages_that_must_agree(spark):
+    rows = [("a", "r6", "need", 2025, 5), ("a", "r7", "need", 2025, 5), ("a", "r6", "plan", 2025, 4), ("b", "r7", "actual", 2024, 1)]
+    table = spark.createDataFrame(rows, "k string, vintage string, measure string, year int, value int")
+    picks, equal = {"plan": ("r6", "plan", 2025), "actual": ("r7", "actual", 2024)}, {"need": [("r6", "need", 2025), ("r7", "need", 2025)]}
+    assert sorted(map(tuple, relational.vintage_measures(table, ["k"], picks, equal).collect())) == [("a", 4, None, 5), ("b", None, 1, None)]
+    wrong = table.union(spark.createDataFrame([("b", "r6", "need", 2025, 3)], table.schema))
+    with pytest.raises(Exception, match="need differs between vintages: k b"):
+        relational.vintage_measures(wrong, ["k"], picks, equal).collect()
+
+
+def test_drift_of_a_crosswalk(spark):
+    status = relational.join_status(spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1,), (8,), (9,)], "k int"), ["k"])
+    found = relational.crosswalk_drift(status, "k", spark.createDataFrame([(8, 2), (8, 5), (7, 2)], "old int, new int"))
+    assert sorted(map(tuple, found.collect())) == [("left", "3", "uncovered"), ("left", "5", "stale"), ("right", "7", "stale"), ("right", "9", "uncovered")]
+
+
+def test_headers_with_line_breaks(spark):
+    cells = spark.createDataFrame([("s", 1, 1, "be\nds "), ("s", 2, 1, "a\r\nb"), ("s", 1, 2, None), ("s", 2, 2, "\n")], "sheet string, row int, col int, value string")
+    assert {r["col"]: r["label"] for r in layout.header(cells, 1, 2).collect()} == {1: "beds/ab", 2: "beds/ab"}
