@@ -173,7 +173,8 @@ def _supplier_features(spark, d):
         f"concat('{{\"type\":\"MultiPolygon\",\"coordinates\":[[', {_ring(x, y, side)}, '],[', {_ring(x, f'({y} + 1)', side)}, ']]}}')", polygon(_ring(x, y, side), hole(True)),
     ]
     by_key = "case s_suppkey % 9 " + " ".join(f"when {i} then {c}" for i, c in enumerate(cases)) + " end"
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("area"), F.col("s_nationkey").alias("region"), F.expr(by_key).alias("geometry"))
+    made = table(spark, d, "supplier").select(F.col("s_suppkey").alias("area"), F.col("s_nationkey").alias("region"), F.expr(by_key).alias("geometry"))
+    return lineage.cut(made, "features")  # else the long expression stands in the code of each check
 
 
 def _supplier_areas(spark, d, keys):
