@@ -31,6 +31,10 @@ TILE = 1_024
 #: No finer shards than these, however many tasks could run.
 LEAST = 1 << 12
 FAN_IN = 8
+#: How far the product of two unit vectors may be from their cosine.
+SLACK = 1e-9
+#: Bytes of the pairs of vectors that are scored at a time.
+PAIR_BYTES = 32 << 20
 LONG = (1 << 63) - 1
 
 
@@ -244,26 +248,35 @@ class VantageTree:
             stack += [(lo + 1, lo + 1 + half), (lo + 1 + half, hi)]
         return at, near, far
 
-    def nearest(self, queries: np.ndarray, k: int, factor: float, ids: np.ndarray, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per query the places of the k found and their cosines, nearest first (place -1: none).
+    def nearest(self, queries: np.ndarray, k: int, factor: float, ids: np.ndarray, query_ids: np.ndarray, exact: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the places of the k found and their scores, nearest first (place -1: none).
 
-        factor 1 is exact; a smaller one prunes as if the kth distance were that much smaller. Cosines are compared by 12
-        digits, ties to the smaller id. A query does not find its own id.
+        factor 1 is exact; a smaller one prunes as if the kth distance were that much smaller. exact(rows of queries, places) gives the scores by which points
+        are ranked, ties to the smaller id; products of unit vectors only tell which points may be among the k. A query does not find its own id.
         """
         cosine = np.full((len(queries), k), -np.inf)
         place = np.full((len(queries), k), -1, np.int64)
         name = np.full((len(queries), k), np.iinfo(np.int64).max)
+        step = max(1, PAIR_BYTES // (8 * queries.shape[1]))
 
         def offer(q: np.ndarray, lo: int, hi: int, c: np.ndarray) -> None:
             """These cosines of the queries q with the points lo to hi."""
-            c = np.round(c, 12)
-            c[query_ids[q][:, None] == ids[None, lo:hi]] = -np.inf
-            some = np.flatnonzero((c >= cosine[q, -1:]).any(axis=1))
+            c = np.where(query_ids[q][:, None] == ids[None, lo:hi], -np.inf, c)
+            least = cosine[q, -1]
+            if hi - lo > k:
+                least = np.maximum(least, np.partition(c, hi - lo - k, axis=1)[:, hi - lo - k])
+            # All that may tie with the kth are scored, however many.
+            r, j = np.nonzero((c >= least[:, None] - SLACK) & np.isfinite(c))
+            score = np.full(c.shape, -np.inf)
+            for at in range(0, len(r), step):
+                x, y = r[at : at + step], j[at : at + step]
+                score[x, y] = exact(q[x], lo + y)
+            some = np.flatnonzero((score >= cosine[q, -1:]).any(axis=1) & np.isfinite(score).any(axis=1))
             if len(some):
-                q, c = q[some], c[some]
-                both = np.concatenate([cosine[q], c], axis=1)
-                which = np.concatenate([place[q], np.broadcast_to(np.arange(lo, hi), c.shape)], axis=1)
-                names = np.concatenate([name[q], np.broadcast_to(ids[lo:hi], c.shape)], axis=1)
+                q, score = q[some], score[some]
+                both = np.concatenate([cosine[q], score], axis=1)
+                which = np.concatenate([place[q], np.where(np.isfinite(score), np.arange(lo, hi), -1)], axis=1)
+                names = np.concatenate([name[q], np.broadcast_to(ids[lo:hi], score.shape)], axis=1)
                 by = np.lexsort((names, -both), axis=1)[:, :k]
                 cosine[q], place[q], name[q] = (np.take_along_axis(x, by, 1) for x in (both, which, names))
 
@@ -312,11 +325,9 @@ def near_vectors(table: DataFrame, queries: Callable[[DataFrame], DataFrame], k:
     def work(held: tuple, query_ids: np.ndarray, q: np.ndarray) -> tuple:
         ids, m, tree = held
         q = q.astype(np.float64)
-        # A few more than k, so that ties are broken on exact scores.
-        place, _ = tree.nearest(unit(q), k + 3, factor, ids, query_ids)
+        place, score = tree.nearest(unit(q), k, factor, ids, query_ids, lambda rows, at: cosines(m[at], q[rows]))
         r, c = np.nonzero(place >= 0)
-        at = place[r, c]
-        return query_ids[r], ids[at], cosines(m[at], q[r])
+        return query_ids[r], ids[place[r, c]], score[r, c]
 
     rows = cut(usable(table).filter("exists(v, x -> x != 0)"), "vectors")
     dealt, shards = sharded(rows)

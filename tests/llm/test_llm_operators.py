@@ -472,6 +472,65 @@ def test_mixing_stays_within_a_block(docs, empty, spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_order(docs).columns == docs.columns
 
 
+def due_first(p):
+    """(source, block) to slot for the weights p, dealt out one slot at a time."""
+    import heapq
+
+    w, ready, got = sum(p.values()), [], {}
+    starts = defaultdict(list)
+    for s, x in p.items():
+        for j in range(x):
+            starts[j * w // x].append((-(-(j + 1) * w // x), s is not None, s or "", j))
+    for t in range(w):
+        for block in starts[t]:
+            heapq.heappush(ready, block)
+        _, named, s, j = heapq.heappop(ready)
+        got[s if named else None, j] = t
+    return got
+
+
+def test_period_against_slots_dealt_one_by_one(spark):
+    rnd = random.Random(8)
+    cases = [{"a": 1}, {None: 3, "": 3, "b": 2}, {f"s{i}": rnd.choice([1, 1, 2, 9, 70]) for i in range(60)}, {f"s{i}": 1 + i % 2 for i in range(3_000)}]
+    for p in cases:
+        weights, want = spark.createDataFrame(list(p.items()), "source string, p long"), due_first(p)
+        assert {(r["source"], r["j"]): r["at"] for r in mixing.period_slots(weights).collect()} == want
+        w = sum(p.values())
+        until = rnd.randrange(1, w + 1)
+        part = mixing.slots_until(weights, len(p), w, until).collect()
+        assert {(r["source"], r["j"]): r["at"] for r in part} == {b: t for b, t in want.items() if t < until}
+
+
+def test_mixing_by_weights_of_any_size(spark, monkeypatch):
+    """Weights with a common divisor, of billions, repeated, null and negative; the joins by shuffle give the same rows; clashing columns of the mixture are replaced."""
+    rows = [(i, f"t{i}", "abc"[i % 7 % 3], "clash", 1.5, True) for i in range(300)] + [(5, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, block string, slot double, position boolean")
+    schema = "source string, p long"
+
+    def got(*weights):
+        rows = mixing.mix(docs, spark.createDataFrame(list(weights), schema), block=4)
+        assert sorted(rows.columns) == sorted(docs.columns)
+        return sorted((r["slot"], r["position"], r["doc_id"], r["block"]) for r in rows.collect())
+
+    plain = got(("a", 3), ("b", 2), ("c", 1), (None, 1))
+    p = {"a": 3, "b": 2, "c": 1, None: 1}
+    at, own, want = due_first(p), defaultdict(list), []
+    for r in rows:
+        own[r[2]].append(r[0])
+    for s, ids in own.items():
+        for n, i in enumerate(sorted(ids)):
+            slot = n // 4 // p[s] * 7 + at[s, n // 4 % p[s]]
+            want.append((slot, slot * 4 + n % 4, i, n // 4))
+    assert plain == sorted(want)
+    assert got(("a", 1), ("a", 2), ("b", 2), ("c", None), (None, -5)) == plain
+    assert got(("a", 3 * 10**9), ("b", 2 * 10**9), ("c", 10**9), (None, 10**9)) == plain
+    huge = got(("a", 1_000_003), ("b", 2_000_003), ("c", 999_983))
+    assert len(huge) == 301 == len({r[1] for r in huge})
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    monkeypatch.setattr(mixing, "CHUNK", 1)
+    assert got(("a", 3), ("b", 2), ("c", 1)) == plain
+
+
 def test_mixing_of_scattered_ids(spark):
     """64-bit doc_ids, nulls and repeated rows in one source of most rows; columns with the mixture's names stay in mixed_order."""
     rnd = random.Random(5)
@@ -555,6 +614,22 @@ def test_vantage_points_at_equal_distances(spark):
     assert [(r["vec_id"], round(r["score"], 9)) for r in sorted(vectors.near_vectors(far, vectors.every(50)).collect(), key=lambda r: r["rank"])] == [(1, 0.707106781), (2, -0.707106781)]
 
 
+@pytest.mark.parametrize("least", [4_096, 20])
+def test_vectors_on_one_line(spark, monkeypatch, least):
+    """Cosines that differ in their last digit only, many more than k: brute force by unrounded cosines."""
+    monkeypatch.setattr(vectors, "LEAST", least)
+    monkeypatch.setattr(vectors.VantageTree, "LEAF", 8)
+    rnd = np.random.default_rng(12)
+    one = rnd.normal(size=24)
+    m = np.array([one * s for s in rnd.uniform(0.1, 9, 200)] + [rnd.normal(size=24) for _ in range(20)])
+    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>"), vectors.every(50), factor=1.0).collect()
+    for i in range(0, 220, 50):
+        c = vectors.cosines(m, np.broadcast_to(m[i], m.shape))
+        c[i] = -9
+        want = [(int(j), float(c[j])) for j in np.lexsort((np.arange(220), -c))[:5]]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == want
+
+
 @pytest.mark.parametrize("least", [4_096, 300])
 def test_recall_on_embeddings(spark, monkeypatch, least):
     """Of the table itself: at least 0.9 of each query's nearest by brute force, and all of them with factor 1."""
