@@ -180,3 +180,35 @@ def test_adoption_and_nesting(spark):
     assert found == {("02a", 1, 1), ("03a", 2, 1)}
     cells = spark.createDataFrame([(["a", "b"],), (["a"],), (["a", None],), (None,)], "cells array<string>")
     assert quality.ragged("cells", 2)(cells).count() == 3
+
+
+def test_linkage_broadcasts_no_side(spark):
+    """Spark takes the sides of these joins for small, as their files are; they grow with the registers, and the driver would hold what is broadcast."""
+    from ledgerline.queries_reports import _registers
+
+    left, right = _registers(spark, "/root/testdata/sf0.001")
+    a, b = (rows.withColumn("block", F.col("area")) for rows in (left, right))
+    letters = [linkage._letters(rows.select("block", F.col("name").alias(c)).distinct(), c) for rows, c in ((a, "name"), (b, "other"))]
+    for rows in (linkage.tiers(left, right), linkage.fuzzy(a, b, "block", "name"), linkage.suffix(a, b, "block", "name"), linkage.exact(a, b, "block", "name"), linkage._like_pairs(*letters, 0.8)):
+        assert "Broadcast" not in rows._jdf.queryExecution().toString()
+
+
+def test_equal_names_meet_no_other(spark):
+    """A name that stands on both sides is its own best; the others meet all that letters let reach the threshold, and long names have more letters than bits."""
+    import difflib
+    import random
+
+    rnd = random.Random(7)
+    long = ["".join(rnd.choice("abcdefgh🙂é ") for _ in range(150)) for _ in range(12)]
+    typo = lambda t: t[:3] + rnd.choice("xyz") + t[4:]
+    sides = [["", "red bolt 12", "red bolt 21", "new rod 5", None, *long[:4], *map(typo, long[4:])], ["", "red bolt 12", "red bolt 13", "new rod 6", None, *long]]
+    left, right = (spark.createDataFrame([(i, "b", t) for i, t in enumerate(names)], f"{side}_id int, block string, name string") for side, names in zip(("left", "right"), sides))
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    best = {i: max((ratio(x, y), -j) for j, y in enumerate(sides[1]) if y is not None) for i, x in enumerate(sides[0]) if x is not None}
+    got = {r["left_id"]: (r["right_id"], r["score"]) for r in linkage.fuzzy(left, right, "block", "name").collect()}
+    assert got == {i: (-j, round(s, 4)) for i, (s, j) in best.items() if s >= 0.8}
+    letters = [linkage._letters(rows.filter("name != ''").select("block", F.col("name").alias(c)), c) for rows, c in ((left, "name"), (right, "other"))]
+    pairs = {(r["name"], r["other"]): r["bound"] for r in linkage._like_pairs(*letters, 0.8).collect()}
+    common = lambda x, y: 2 * sum(min(x.count(c), y.count(c)) for c in set(x)) / (len(x) + len(y))
+    want = {(x, y): common(x, y) for x in sides[0] if x for y in sides[1] if y and common(x, y) >= 0.8}
+    assert pairs.keys() == want.keys() and all(abs(pairs[k] - want[k]) < 1e-9 for k in want)
