@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cities whose wards count as municipalities (fixed values).
@@ -49,15 +49,48 @@ def municipality(address: Column, unsure: bool = True) -> Column:
     return F.when(city.isNotNull(), F.concat(city, ward)).otherwise(named)
 
 
+def _large(text: Column) -> Column:
+    return F.translate(text, "ヶヵ", "ケカ")
+
+
+def _ward(place: Column) -> Column:
+    return _found(place, f"^({NAME}+?区)")
+
+
+def _behind_county(place: Column) -> Column:
+    return F.regexp_replace(place, f"^{NAME}+?郡", "")
+
+
 def in_municipality(address: Column, name: Column) -> Column:
     """Whether an address lies in a municipality: it starts with the name, perhaps behind a county, or with a ward that ends the name."""
-    large = lambda text: F.translate(text, "ヶヵ", "ケカ")
-    place, name = large(without_prefecture(address)), large(name)
-    ward = _found(place, f"^({NAME}+?区)")
-    fits = F.startswith(place, name) | F.startswith(F.regexp_replace(place, f"^{NAME}+?郡", ""), name) | F.coalesce(F.endswith(name, ward), F.lit(False))
+    place, name = _large(without_prefecture(address)), _large(name)
+    fits = F.startswith(place, name) | F.startswith(_behind_county(place), name) | F.coalesce(F.endswith(name, _ward(place)), F.lit(False))
     return F.coalesce((address != "") & (name != "") & fits, F.lit(False))
 
 
+def name_keys(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """`rows` once for each key of the municipality `name`: '=' and the whole name, '~' and each of its ends.
+
+    It has exactly one key in common with an address_keys() that lies in it, and none with any other. A null or empty name has no key.
+    """
+    rows = rows.filter(F.length(name) > 0).withColumn(key, _large(F.col(name)))
+    ends = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.lit("~"), F.substring(F.col(key), i, F.length(key))))
+    return rows.withColumn(key, F.explode(F.concat(F.array(F.concat(F.lit("="), F.col(key))), ends)))
+
+
+def address_keys(rows: DataFrame, address: str, key: str, longest: Column) -> DataFrame:
+    """`rows` once for each key of `address`: '~' and its ward, '=' and each of its beginnings that doesn't end with that ward, perhaps behind a county, `longest` characters at most."""
+    rows = rows.filter(F.length(address) > 0).withColumn("_place", _large(without_prefecture(F.col(address)))).withColumn("_behind", _behind_county(F.col("_place"))).withColumn("_ward", _ward(F.col("_place")))
+
+    def starts(c: str) -> Column:
+        n = F.least(F.length(c), longest)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col(c), F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+
+    names = F.filter(F.array_distinct(F.concat(starts("_place"), starts("_behind"))), lambda x: ~F.coalesce(F.endswith(x, F.col("_ward")), F.lit(False)))
+    ward = F.array_compact(F.array(F.concat(F.lit("~"), F.col("_ward"))))
+    return rows.withColumn(key, F.explode(F.concat(F.transform(names, lambda x: F.concat(F.lit("="), x)), ward))).drop("_place", "_behind", "_ward")
+
+
 def municipality_check(address: Column, name: Column) -> Column:
     """'' where they agree, else why not: another municipality stands there, or none that is sure."""
     reason = F.when(municipality(address, unsure=False).isNull(), "municipality_not_in_address").otherwise("municipality_mismatch")

@@ -199,12 +199,20 @@ def _settle(rows: DataFrame) -> DataFrame:
 def references(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, reference_status and right_id of the only point with the same region and name in the same municipality.
 
-    left: left_id, region, name, municipality; right: right_id, region, name, address.
+    left: left_id, region, name, municipality; right: right_id, region, name, address. Points are counted by the keys that their addresses have in common with the
+    municipalities they lie in, and these are met by equality, so that a name with many rows on both sides makes no product.
     """
     left = left.select("left_id", "region", "name", F.coalesce(F.trim("municipality"), F.lit("")).alias("municipality"))
-    pairs = left.join(right.select("right_id", "region", "name", "address"), ["region", "name"], "left")
-    fits = F.when(F.col("municipality") == "", F.col("right_id").isNotNull()).otherwise(places.in_municipality(F.col("address"), F.col("municipality")))
-    found = pairs.groupBy("left_id", "municipality").agg(F.count("right_id").alias("n"), F.count_if(fits).alias("fit"), F.min(F.when(fits, F.col("right_id"))).alias("right_id"))
+    points = right.groupBy("region", "name").agg(F.count("right_id").alias("_n"), F.min("right_id").alias("_any"))
+    addresses = right.groupBy("region", "name", "address").agg(F.count(F.lit(1)).alias("_fit"), F.min("right_id").alias("_one"))
+    longest = left.agg(F.max(F.length("municipality")).alias("_longest"))  # one row
+    keyed = places.address_keys(addresses.crossJoin(F.broadcast(longest)), "address", "key", F.col("_longest")).groupBy("region", "name", "key").agg(F.sum("_fit").alias("_fit"), F.min("_one").alias("_one"))
+    asked = places.name_keys(left.select("region", "name", "municipality").distinct(), "municipality", "key")
+    fits = _met(asked, keyed, ["region", "name", "key"]).groupBy("region", "name", "municipality").agg(F.sum("_fit").alias("_fit"), F.min("_one").alias("_one"))
+    rows = _met(_met(left, points, ["region", "name"], "left"), fits, ["region", "name", "municipality"], "left").fillna(0, ["_n", "_fit"])
+    unnamed = F.col("municipality") == ""
+    fit, one = F.when(unnamed, F.col("_n")).otherwise(F.col("_fit")), F.when(unnamed, F.col("_any")).otherwise(F.col("_one"))
+    found = rows.groupBy("left_id", "municipality").agg(F.sum("_n").alias("n"), F.sum(fit).alias("fit"), F.min(one).alias("right_id"))
     alone = F.when(F.col("municipality") == "", "unique_municipality_unverified").otherwise("unique")
     status = F.when(F.col("n") == 0, "none").when(F.col("fit") == 0, "municipality_mismatch").when(F.col("fit") > 1, "ambiguous").otherwise(alone)
     return found.select("left_id", status.alias("reference_status"), F.when(F.col("fit") == 1, F.col("right_id")).alias("right_id"))

@@ -136,3 +136,49 @@ def test_rules(spark):
 @pytest.mark.parametrize("text, want", [('{"features": []}', []), ('{"a": 1, "features" : [ {"x": [1, 2]},\n{"y": "]"} ]}', [{"x": [1, 2]}, {"y": "]"}]), ('{"a": 1}', [])])
 def test_array_items(text, want):
     assert list(zips.array_items(io.StringIO(text), "features")) == want
+
+
+def test_keys_of_municipalities(spark):
+    """An address and a municipality have one key in common if it lies there, else none."""
+    import random
+
+    rnd = random.Random(5)
+    text = lambda: "".join(rnd.choice(["区", "市", "郡", "町", "ヶ", "ケ", "北", "1", "東京都", "🏥"]) for _ in range(rnd.randrange(0, 7)))
+    addresses = spark.createDataFrame([(i, text() if i % 50 else None) for i in range(300)], "i int, address string")
+    given = spark.createDataFrame([(j, text() if j % 50 else None) for j in range(300)], "j int, name string")
+    fits = places.in_municipality(F.col("address"), F.col("name"))
+    want = {(r["i"], r["j"]) for r in addresses.crossJoin(given).filter(fits).collect()}
+    met = places.address_keys(addresses, "address", "key", F.lit(20)).join(places.name_keys(given, "name", "key"), "key").select("i", "j").collect()
+    assert len(want) > 500 and len(met) == len(want) and {tuple(r) for r in met} == want
+
+
+def test_references_make_no_product(spark):
+    """A name with many rows on both sides, each point with an address of its own: no step makes their pairs; the rows are those of a scan of all."""
+    towns, roads = ["文京区", "横浜市港北区", "中標津町", "龍ケ崎市", "岡山市", "", None], ["文京区", "港北区", "標津郡中標津町", "東京都龍ヶ崎市", "赤磐市"]
+    left = [(i, "r" if i % 9 else None, "a" if i % 5 else f"only {i}", towns[i % 7]) for i in range(700)]
+    right = [(i, "r", "a", f"{roads[i % 4]}{i}") for i in range(600)] + [(1000 + i, "r", f"only {i}", None if i % 3 == 0 else f"{roads[i % 5]}{i}") for i in range(0, 700, 10)]
+    frames = spark.createDataFrame(left, "left_id int, region string, name string, municipality string"), spark.createDataFrame(right, "right_id int, region string, name string, address string")
+    inside = {tuple(r) for r in frames[0].select("municipality").distinct().crossJoin(frames[1].select("address").distinct()).filter(places.in_municipality(F.col("address"), F.col("municipality"))).select("municipality", "address").collect()}
+    want = {}
+    for i, region, name, town in left:
+        same = [(k, a) for k, r, n, a in right if (r, n) == (region, name)]
+        fit = [k for k, a in same if (town, a) in inside or not town]
+        status = "none" if not same else "municipality_mismatch" if not fit else "ambiguous" if len(fit) > 1 else "unique" if town else "unique_municipality_unverified"
+        want[i] = (status, fit[0] if len(fit) == 1 else None)
+
+    def made(plan):
+        rows = plan.metrics().get("numOutputRows")
+        yield rows.get().value() if "Join" in plan.nodeName() and rows.isDefined() else 0
+        for k in range(plan.children().size()):
+            yield from made(plan.children().apply(k))
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan's children are hidden in its stages
+    try:
+        found = linkage.references(*frames)
+        got = {r["left_id"]: tuple(r)[1:] for r in found.collect()}
+        most = max(made(found._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == want and len({s for s, _ in got.values()}) == 5
+    assert 700 <= most < 5_000, most
